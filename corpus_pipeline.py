@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditgraph.llm import dedup, langid, mixing, setjoin
+from creditgraph.llm import bpe, dedup, langid, mixing, setjoin
 from creditgraph.llm.common import staged, table
 
 
@@ -35,7 +35,14 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select(*docs.columns)
 
 
-STAGES = [("language ID", known_language), ("exact dedup", one_of_each_text), ("near copies", one_of_each_group), ("mixing", mixed_sources)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's token ids, with their count and a digest of the bytes that they decode to."""
+    ranks, pattern = bpe.public_vocabulary()
+    out = bpe.encode(docs, ranks, pattern)
+    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+STAGES = [("language ID", known_language), ("exact dedup", one_of_each_text), ("near copies", one_of_each_group), ("mixing", mixed_sources), ("tokens", tokens)]
 
 #: Model fitting, graph components and merges have no SQL; tests compare each stage with brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, langid, mixing, setjoin, sharding
+from . import bpe, chat, dedup, langid, mixing, setjoin, sharding
 from .common import table
 
 SHARDS = 24
@@ -32,6 +32,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op_digests(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = dedup.DigestIndex.open(spark)
@@ -46,7 +50,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_by_bytes, op4_jaccard_join, op5_language_id, op9_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_by_bytes, op4_jaccard_join, op5_language_id, op7_byte_bpe, op9_exact_dedup, op10_chat_format)}
 
 ORACLE_SQL = {
     "op4_jaccard_join": r"""
