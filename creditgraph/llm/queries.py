@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dedup, langid, mixing, setjoin, sharding
-from .common import table
+from . import ann, bpe, chat, dedup, langid, mixing, secret_scan, setjoin, sharding, token_counts
+from .common import staged, table
 
 SHARDS = 24
 
@@ -21,6 +21,11 @@ def op2_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.Index(table(spark, sf_dir, "embeddings"))
+    return index.search(index.own_queries(F.col("vec_id") % 100 == 0))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join_sets(table(spark, sf_dir, "documents"), 90, 100, 3)
 
@@ -32,10 +37,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = staged(secret_scan.candidates(docs), "candidates")
+    scanner = secret_scan.Scanner(secret_scan.learn_language(docs), secret_scan.findings_by_format(found))
+    return scanner.score(found).drop("before", "after")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op_digests(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    content = token_counts.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return token_counts.count_sections(table(spark, sf_dir, "documents"), content, public_tokenizers.PATTERN)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = dedup.DigestIndex.open(spark)
@@ -50,7 +69,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_by_bytes, op4_jaccard_join, op5_language_id, op7_byte_bpe, op9_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_by_bytes, op3_nn_descent, op4_jaccard_join, op5_language_id, op6_secret_scan, op7_byte_bpe, op8_token_counts, op9_exact_dedup, op10_chat_format)}
 
 ORACLE_SQL = {
     "op4_jaccard_join": r"""
