@@ -1,13 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
 The merges are Spark higher-order functions: a word's bytes are an array of pieces, and a fold joins the adjacent pair of
-lowest rank until no pair has a rank. Ranks come from a literal map of the whole vocabulary: SLOTS strings, each the few
-(piece, rank) entries whose checksum falls there. Words are counted over all documents; the fold encodes each of
-the most frequent distinct words once, and their ids are broadcast (at most MOST_WORDS of them). The other words are
-folded once for each document that has them, by the same expression, in the row. No text is shuffled.
-
-Tasks cut texts into words by the vocabulary's pattern and put the words' ids in order. Decoding looks each id's
-bytes up in a literal array and concatenates them.
+lowest rank until no pair has a rank. Ranks come from a literal map of the whole vocabulary: SLOTS small maps, each of the
+pieces whose checksum falls there. Words are counted over all documents, the fold encodes the most frequent distinct ones
+(at most MOST_WORDS, of LONGEST characters at most), and their ids are broadcast. Tasks cut whole texts into words by the vocabulary's
+pattern and put the words' ids in order; a word outside the broadcast is merged where it stands, as there are too many
+such words for the interpreted fold. No text is shuffled. Decoding looks each id's bytes up in a literal array and
+concatenates them.
 
 Defined cases: a null text is encoded as an empty one, to no ids. Texts, words and ids may have any length.
 Ids outside the vocabulary decode to nothing. No rows give no rows.
@@ -17,25 +16,29 @@ from __future__ import annotations
 
 import base64
 import binascii
+import json
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import partitions
 
-SLOTS = 1 << 16
+SLOTS = 1 << 12
 MOST_WORDS = 200_000
-CACHED = 300_000  # chunks that a Python worker remembers
-NONE = 2**31 - 1  # the rank of what has none
+LONGEST = 64  # characters of a word of the dictionary
+MARKS = frozenset(".,;:!?")  # neither letters, numbers nor white space
+NONE = 1 << 62
+CACHED = 500_000  # chunks that a Python worker remembers
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -53,20 +56,19 @@ def splitter(pattern: str) -> regex.Pattern:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal map: an array of SLOTS strings ";hex=rank;hex=rank;"."""
-    slots = [";"] * SLOTS
+    """The literal map from pieces, in hexadecimal, to ranks: an array of SLOTS small maps, chosen by checksum."""
+    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
     for piece, rank in ranks.items():
         key = piece.hex().upper()
-        slots[binascii.crc32(key.encode()) % SLOTS] += f"{key}={rank};"
-    return F.split(F.lit("|".join(slots)), "[|]")
+        slots[binascii.crc32(key.encode()) % SLOTS][key] = rank
+    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string, int>>")
 
 
 def merged(words: Column, ranks: Column) -> Column:
     """The ids of each word in an array of words, by a fold over its bytes."""
 
     def of(slots: Column, piece: Column) -> Column:
-        slot, key = F.get(slots, F.pmod(F.crc32(piece.cast("binary")), F.lit(SLOTS)).cast("int")), F.concat(F.lit(";"), piece, F.lit("="))
-        return F.when(F.instr(slot, key) > 0, F.substring_index(F.call_function("substring_index", slot, key, F.lit(-1)), ";", 1).cast("int")).otherwise(NONE)
+        return F.try_element_at(F.get(slots, (F.crc32(piece.cast("binary")) % SLOTS).cast("int")), piece)
 
     def let(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -87,8 +89,7 @@ def merged(words: Column, ranks: Column) -> Column:
 
             return let(F.concat(F.get(p, k - 1), F.get(p, k)), with_pair)
 
-        best = F.coalesce(F.array_min(r), F.lit(NONE))
-        return F.when(best == NONE, s).otherwise(let(F.array_position(r, F.array_min(r)).cast("int"), join))
+        return let(F.array_min(r), lambda best: F.when(best.isNull(), s).otherwise(let(F.array_position(r, best).cast("int"), join)))
 
     def one(slots: Column, x: Column) -> Column:
         n = (F.length(x) / 2).cast("int")
@@ -107,13 +108,28 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.unhex(F.get(F.transform(F.array(table), lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")), F.lit(0)))
 
 
-#: White space beside a space: there the pattern's matches don't end at every single space.
-MEET = regex.compile(rf" [\s{SPACE}]|[\s{SPACE}] ")
+#: White space other than the space, and what shows in a text that some of it lies beside a space.
+OTHER = [chr(c) for c in (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+MEETINGS = {c: (f" {c}", f"{c} ") for c in OTHER}
 
 
 def chunks(text: str) -> list[str] | None:
-    """text cut before its spaces, where each piece can be matched alone, without those spaces; None if it can't be."""
-    return None if MEET.search(text) else text.split(" ")
+    """text cut at its spaces, where the pieces, each with its space before it, can be matched alone; None if they can't be.
+
+    The pattern's matches end at every space that has no white space beside it, and take that space with what follows.
+    """
+    if "  " in text or any(a in text or b in text for c, (a, b) in MEETINGS.items() if c in text):
+        return None
+    return text.split(" ")
+
+
+def plain_words(chunk: str, find) -> list[str]:
+    """The words of a space and a chunk. Letters, with a mark after them or not, need no pattern: it takes them so."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return find(" " + chunk)
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
@@ -134,7 +150,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
                 for w in find(c):
                     whole[w] += n
             for c, n in seen.items():
-                for w in find(" " + c):
+                for w in plain_words(c, find):
                     whole[w] += n
             yield pd.DataFrame({"word": list(whole), "n": list(whole.values())})
 
@@ -146,69 +162,94 @@ def frequent(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     counts = counts.persist()
     sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).toPandas()
     fits = sizes[sizes["words"].cumsum() <= most]
-    return counts.where(F.col("n") >= int(fits["n"].min() if len(fits) else 2**62)).select("word")
+    return counts.where((F.col("n") >= int(fits["n"].min() if len(fits) else 2**62)) & (F.length("word") <= LONGEST)).select("word")
+
+
+def fold_word(word: bytes, ranks: dict[bytes, int]) -> bytes:
+    """The ids of one word as bytes of 32-bit numbers: the same merges, for a word that is not in the dictionary."""
+    if len(word) > LONGEST:
+        return fold_long_word(word, ranks)
+    get, parts = ranks.get, [word[i : i + 1] for i in range(len(word))]
+    r = [get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
+    while r and (best := min(r)) < NONE:
+        i = r.index(best)
+        pair = parts[i] = parts[i] + parts.pop(i + 1)
+        del r[i]
+        if i:
+            r[i - 1] = get(parts[i - 1] + pair, NONE)
+        if i < len(r):
+            r[i] = get(pair + parts[i + 1], NONE)
+    return array("i", map(ranks.__getitem__, parts)).tobytes()
+
+
+def fold_long_word(word: bytes, ranks: dict[bytes, int]) -> bytes:
+    """fold_word() with a heap of pairs."""
+    n = len(word)
+    parts: list[bytes] = [word[i : i + 1] for i in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    get = ranks.get
+    heap = [(r, i, 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, size = heappop(heap)
+        j = after[i]
+        if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size:
+            continue  # one of the two has been merged since
+        pair = parts[i] = parts[i] + parts[j]
+        parts[j] = b""
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (r := get(pair + parts[k])) is not None:
+                heappush(heap, (r, i, len(pair) + len(parts[k])))
+        h = before[i]
+        if h >= 0 and (r := get(parts[h] + pair)) is not None:
+            heappush(heap, (r, h, len(parts[h]) + len(pair)))
+    return np.array([ranks[p] for p in parts if p], dtype=np.int32).tobytes()
 
 
 class Dictionary:
     """The ids of broadcast words as bytes of 32-bit numbers, and what a Python worker has made of chunks with them."""
 
-    def __init__(self, words: dict[str, bytes], pattern: str):
-        self.words, self.pattern = words, pattern
-        self.cache: dict[str, bytes | list[str]] = {}
-
-    def parts(self, chunk: str, find) -> bytes | list[str]:
-        """The ids of a chunk, or its words if some of them are not here."""
-        got = self.cache.get(chunk)
-        if got is None:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            words = find(chunk)
-            ids = [self.words.get(w) for w in words]
-            got = self.cache[chunk] = words if None in ids else b"".join(ids)
+    def __init__(self, words: dict[str, bytes], ranks: dict[bytes, int], pattern: str):
+        self.words, self.ranks, self.find = words, ranks, splitter(pattern).findall
+        self.cache: dict[str, bytes] = {}
+
+    def word(self, w: str) -> bytes:
+        return self.words.get(w) or fold_word(w.encode("utf-8", "surrogatepass"), self.ranks)
+
+    def chunk(self, c: str) -> bytes:
+        """The ids of a space and a chunk."""
+        if len(self.cache) >= CACHED:
+            self.cache.clear()
+        got = self.cache[c] = b"".join(map(self.word, plain_words(c, self.find)))
         return got
 
-    def cut(self, text: str) -> list[bytes | list[str]]:
-        find = splitter(self.pattern).findall
+    def ids(self, text: str) -> np.ndarray:
         c = chunks(text)
         if c is None:
-            return [[w] if (x := self.words.get(w)) is None else x for w in find(text)]
-        parts, get = self.parts, self.cache.get
-        return [parts(c[0], find), *[get(x) or parts(x, find) for x in map(" ".__add__, c[1:])]]
+            return np.frombuffer(b"".join(map(self.word, self.find(text))), dtype=np.int32)
+        get, new = self.cache.get, self.chunk
+        first = b"".join(map(self.word, self.find(c[0])))
+        return np.frombuffer(b"".join([first, *[get(x) or new(x) for x in c[1:]]]), dtype=np.int32)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of each text."""
-    spark = docs.sparkSession
-    table = rank_map(ranks)
     top = frequent(word_counts(docs.select(F.col(text).alias("text")), pattern))
-    got = top.select("word", F.get(merged(F.array("word"), table), F.lit(0)).alias("ids")).toPandas()
-    known = Dictionary({w: np.asarray(i, dtype=np.int32).tobytes() for w, i in zip(got["word"], got["ids"], strict=True)}, pattern)
-    shared: Broadcast[Dictionary] = spark.sparkContext.broadcast(known)
-
-    kept, a, b = list(docs.columns), free_name(docs, "_rare"), free_name(docs, "_found")
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = shared.value
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            words = [sorted({w for p in d.cut(t or "") if type(p) is list for w in p if w not in d.words}) for t in texts]
-            yield batch.append_column(a, pa.array(words, pa.list_(pa.string())))
+    some = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(512))).agg(F.collect_list("word").alias("words")).repartition(partitions(docs.sparkSession))  # MOST_WORDS / 512 words each
+    got = some.select("words", merged(F.col("words"), rank_map(ranks)).alias("ids")).toPandas()
+    known = {w: np.asarray(i, dtype=np.int32).tobytes() for ws, all_ in zip(got["words"], got["ids"], strict=True) for w, i in zip(ws, all_, strict=True)}
+    shared, kept = docs.sparkSession.sparkContext.broadcast((known, ranks)), list(docs.columns)
 
-    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = Dictionary(*shared.value, pattern)
         for batch in batches:
-            out = []
-            for t, words, found in zip(*(batch.column(c).to_pylist() for c in (text, a)), batch.column(b), strict=True):
-                own = {w: np.asarray(i.values, dtype=np.int32).tobytes() for w, i in zip(words, found.values or [], strict=True)}
-                parts = [p if type(p) is bytes else b"".join([d.words.get(x) or own[x] for x in p]) for p in d.cut(t or "")]
-                out.append(np.frombuffer(b"".join(parts), dtype=np.int32))
-            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *out]), pa.int32())
-            made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), flat)
+            out = [d.ids(t or "") for t in batch.column(text).to_pylist()]
+            made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out]), pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, ids])
 
-    fields = T.StructType(docs.schema.fields)
-    cut = docs.mapInArrow(rare, T.StructType([*fields, T.StructField(a, T.ArrayType(T.StringType()))]))
-    return cut.withColumn(b, merged(F.col(a), table)).mapInArrow(in_order, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:
