@@ -38,7 +38,7 @@ MOST_WORDS = 200_000
 LONGEST = 64  # characters of a word of the dictionary
 MARKS = frozenset(".,;:!?")  # neither letters, numbers nor white space
 NONE = 1 << 62
-CACHED = 500_000  # chunks that a Python worker remembers
+CACHED = 250_000  # chunks that a Python worker remembers
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
