@@ -25,7 +25,7 @@ from .common import partitions, staged
 
 SAMPLE = 20_000  # vectors that the driver fits trees on, at most
 PIVOTS = 512  # nodes that every search may begin at
-TREES, LEAF, DEGREE, ROUNDS = 6, 64, 16, 3
+TREES, LEAF, DEGREE, ROUNDS = 16, 1024, 24, 3
 BEAM, EXPAND, STARTS = 96, 24, 8
 GRAPH = "id long, nbrs array<long>, dists array<float>"
 
@@ -142,10 +142,10 @@ def forest(nodes: DataFrame, n: int, trees: int, leaf: int, k: int) -> DataFrame
     return regrouped(placed.groupBy(F.pmod(F.xxhash64("tree", "leaf"), F.lit(groups)).alias("part")).applyInPandas(inside, GRAPH), k)
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """A round of NN-descent."""
+def descend(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    """A round of NN-descent. Of the nodes that have one as a neighbour, it meets k, by hash."""
     out = graph.select("id", F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select("id", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("d"))
-    back = out.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "d").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "nbr"))).where(F.col("r") <= k).drop("r")
+    back = out.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "d").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("nbr", F.lit(seed))))).where(F.col("r") <= k).drop("r")
     pairs = out.unionByName(back).select(F.col("id").alias("hub"), F.col("nbr").alias("id")).distinct()
     worst = graph.select("id", F.when(F.size("nbrs") < k, float("inf")).otherwise(F.array_max("dists")).cast("float").alias("worst"))
     sent = pairs.join(nodes.select("id", F.col("v").cast("array<float>").alias("v")).join(worst, "id"), "id")
@@ -173,8 +173,8 @@ class Index:
         self.same = same
         n = same.count()
         graph = staged(forest(same, n, trees, leaf, degree), "graph")
-        for _ in range(rounds if n > leaf else 0):
-            graph = staged(descend(graph, same, degree), "graph")
+        for seed in range(rounds if n > leaf else 0):
+            graph = staged(descend(graph, same, degree, seed), "graph")
         out = graph.select("id", F.explode("nbrs").alias("nbr"))
         back = out.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("nbr")))).where(F.col("r") <= degree).drop("r")
         links = out.unionByName(back).groupBy("id").agg(F.collect_set("nbr").alias("nbrs"))  # 2 * degree at most
