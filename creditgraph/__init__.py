@@ -1,0 +1 @@
+"""A PySpark engine for music-credit graphs."""
