@@ -5,11 +5,11 @@ shingles, and a spare one: so linked sets agree in the whole content of a block.
 sizes, block position, block content). A list thus skips, a block at a time, every set of another size, and every
 set that differs at that position; common shingles and shared passages don't make lists long, whole equal blocks do.
 
-Equal sets are one set from the start. In a list every set is compared with the list's leader only. Jaccard distance is
-a metric, so the leader's answers give those of the sets near it: two sets at distances a and b from the leader are
-at least |a - b| apart, and sets linked with the leader are in one component already. Pairs that neither rule settles
-are compared themselves: with a new leader for a few rounds, then each set outside the first leader's component with what
-is left. No pair within a component is compared for its own sake, and no group is expanded into all its pairs.
+Equal sets are one set from the start. In a list every set is compared with the list's leader only, and takes over that
+set's answers where they are linked: it is in the same component as all that the leader is linked with, so no pair of them is
+compared. Lists with a set that is not linked with the leader stay open. The sets of open lists are compared in bounded blocks
+of like sizes, by matrix products that give all intersections of two blocks at once; only the links that connect
+components come out. No group is expanded into its pairs as rows.
 
 Defined cases: null and empty texts have no shingles, and are linked with nothing. Rows that repeat an id
 are one document; a null id has a null component. No rows give no rows.
@@ -32,7 +32,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 20  # bytes of text in a piece of work
 SALTS = 256
 SPARE = 1
-ROUNDS = 3  # with one new leader in each open list; then all that is open is compared
+BLOCK = 100_000  # shingles of the sets that are compared at once with another such block
 EMPTY = U(0x5851F42D4C957F2D)
 
 
@@ -266,33 +266,78 @@ def hashed(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 def linked(lists: DataFrame, own: DataFrame, t: Threshold, k: int) -> DataFrame:
     """(a, b) links that connect all sets which links connect."""
     ok = t.links(F.col("inter"), F.col("na"), F.col("nb"))
-    gap = 1 - t.num / t.den + 1e-9
     ids = lists.select(F.col("leader").alias("doc_id")).unionByName(lists.select(F.col("member").alias("doc_id"))).distinct()
     sets = staged(hashed(own, ids, k), "hashes")
-    known = staged(compared(lists.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), sets), "compared")
-    dist = known.select(F.col("a").alias("leader"), F.col("b").alias("member"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"), ok.alias("linked"))
+    known = staged(compared(lists.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), sets).withColumn("linked", ok), "compared")
+    links = known.where("linked").select("a", "b")
     # lists that their leader has not settled: some member is not linked with it, and there is another one beside
-    spread = lists.join(dist, ["leader", "member"])
-    left = spread.groupBy("list").agg(F.count("*").alias("size"), F.max(~F.col("linked")).alias("open")).where("open and size > 1").select("list")
-    pool = staged(spread.join(left, "list", "left_semi").select("list", "leader", "member", "d"), "pool")
-    last = pool.select("list", F.col("leader").alias("last")).distinct()
-    for round_ in range(ROUNDS + 1):
-        links = known.where(ok).select("a", "b")
-        if pool.isEmpty():
-            return links
-        label = components(links)
-        apart = labelled(labelled(pool, label, "leader"), label, "member")
-        out = apart.where("of_leader != of_member").select("list", F.col("member").alias("next"), F.col("d").alias("d_next"), F.col("of_member").alias("of_next"))
-        if round_ < ROUNDS:
-            least = out.join(last, "list").where("next > last").groupBy("list").agg(F.min(F.struct("next", "d_next", "of_next")).alias("x"))
-            out = least.select("list", "x.*")
-            last = staged(out.select("list", F.col("next").alias("last")), "leaders")
-            pool = staged(pool.join(last, "list", "left_semi"), "pool")
-        pairs = apart.join(out, "list").where(F.col("of_member") != F.col("of_next")).where(F.abs(F.col("d") - F.col("d_next")) <= gap)
-        pairs = pairs.select(F.least("next", "member").alias("a"), F.greatest("next", "member").alias("b")).distinct()
-        known = staged(known.unionByName(compared(pairs.join(known, ["a", "b"], "left_anti"), sets)), "compared")
-    return known.where(ok).select("a", "b")
-
-
-def labelled(pool: DataFrame, label: DataFrame, of: str) -> DataFrame:
-    return pool.join(label.select(F.col("id").alias(of), F.col("component").alias("found")), of, "left").withColumn(f"of_{of}", F.coalesce("found", of)).drop("found")
+    spread = staged(lists.join(known.select(F.col("a").alias("leader"), F.col("b").alias("member"), "linked"), ["leader", "member"]), "spread")
+    left = staged(spread.groupBy("list").agg(F.count("*").alias("size"), F.max(~F.col("linked")).alias("open")).where("open and size > 1").select("list"), "open")
+    rest = staged(spread.join(left.hint("merge"), "list", "left_semi").select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "rest")
+    if rest.isEmpty():
+        return links
+    return links.unionByName(in_blocks(rest, links, sets, t))
+
+
+def in_blocks(rest: DataFrame, links: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """Further links among the sets that open lists (pairs of leader and member) connect to each other.
+
+    Sets of one such cluster lie in blocks of about BLOCK shingles by band of sizes, and a block meets those of its own band
+    and of the next. Only links come out: of a pair of blocks no more than it takes to connect the components they are from.
+    """
+    label = components(links).withColumnRenamed("component", "label")
+    cluster = components(rest).withColumnRenamed("component", "cluster")
+    # sets whose sizes differ by more than the threshold's factor are two bands apart or more
+    band = F.floor(F.log(F.size("hashes").cast("double")) / float(np.log(t.den / t.num)) + 1e-9).cast("int") if t.num < t.den else F.size("hashes")
+    at = cluster.join(label, "id", "left").select(F.col("id").alias("doc_id"), "cluster", F.coalesce("label", "id").alias("label"))
+    placed = staged(sets.join(at, "doc_id").withColumn("band", band), "placed")
+    size = placed.groupBy("cluster", "band").agg(F.ceil(F.sum(F.size("hashes")) / BLOCK).alias("parts"))
+    placed = placed.join(staged(size, "sizes"), ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
+    placed = staged(placed, "placed")
+    blocks = staged(placed.select("cluster", "band", "part").distinct(), "blocks")
+    low = blocks.select("cluster", F.col("band").alias("b1"), F.col("part").alias("p1"))
+    high = blocks.select("cluster", F.col("band").alias("b2"), F.col("part").alias("p2"))
+    meet = low.join(high, "cluster").where("b2 - b1 in (0, 1) and (b1 < b2 or p1 <= p2)").withColumn("meeting", F.xxhash64("cluster", "b1", "p1", "b2", "p2"))
+    sides = meet.select("meeting", "cluster", F.col("b1").alias("band"), F.col("p1").alias("part"), F.lit(0).alias("side")).unionByName(meet.select("meeting", "cluster", F.col("b2").alias("band"), F.col("p2").alias("part"), F.lit(1).alias("side")))
+    sent = placed.join(sides, ["cluster", "band", "part"]).select("meeting", "side", "doc_id", "label", "hashes")
+
+    def meeting(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = (g[g["side"] == i].sort_values("doc_id", ignore_index=True) for i in (0, 1))
+        inter = common(list(x["hashes"]), list(y["hashes"]))
+        na, nb = (np.array([len(h) for h in z["hashes"]], dtype=np.int64) for z in (x, y))
+        hit = t.links(inter, na[:, None], nb[None]) & (x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None])
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.get(v, v) != v:
+                v = root[v]
+            return v
+
+        out = []
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            a, b = find(int(x["label"][i])), find(int(y["label"][j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(x["doc_id"][i]), int(y["doc_id"][j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return staged(sent.groupBy("meeting").applyInPandas(meeting, "a long, b long"), "links")
+
+
+def common(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each of x with each of y, as matrix products over slices of the shingles that both sides have."""
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(fx, fy)
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    rows = [np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y)]
+    at = [np.searchsorted(shared, f) for f in (fx, fy)]
+    live = [(c < len(shared)) & (shared[np.minimum(c, len(shared) - 1)] == f) if len(shared) else np.zeros(len(f), bool) for c, f in zip(at, (fx, fy), strict=True)]
+    for start in range(0, len(shared), width):
+        m = []
+        for side, z in enumerate((x, y)):
+            pick = live[side] & (at[side] >= start) & (at[side] < start + width)
+            one = np.zeros((len(z), min(width, len(shared) - start)), dtype=np.float32)
+            one[rows[side][pick], at[side][pick] - start] = 1
+            m.append(one)
+        out += np.rint(m[0] @ m[1].T).astype(np.int64)
+    return out
