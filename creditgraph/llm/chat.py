@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,11 +75,23 @@ def unescaped_before(s: str, at: int) -> bool:
     return n % 2 == 1
 
 
+def common_prefix(a: str, b: str) -> int:
+    """Length of the longest common prefix, by bisection."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 def text_span(render: Callable[[Turns], str], turns: Turns, k: int, out: str) -> tuple[int, int]:
     """Where the text of turn k lies in out, the rendering of turns."""
     a, b = (render([*turns[:k], (turns[k][0], x), *turns[k + 1 :]]) for x in "AB")
-    head = len(commonprefix([a, b]))
-    tail = len(commonprefix([a[::-1], b[::-1]]))
+    head = common_prefix(a, b)
+    tail = common_prefix(a[head:][::-1], b[head:][::-1])
     return head, max(head, len(out) - tail)
 
 
