@@ -224,17 +224,27 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component), the smallest id reachable, for every id in edges (a, b): least labels spread and jump until none changes."""
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("m"))
-        spread = staged(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component")), "labels")
-        jump = spread.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        new = staged(spread.join(jump, "component", "left").select("id", "old", F.least("component", "far").alias("component")), "labels")
-        if new.where("component != old").isEmpty():
-            return new.select("id", "component")
-        labels = new.select("id", "component")
+    """(id, component), the smallest id reachable, for every id in edges (a, b).
+
+    Each round every node joins the node of least hash among itself and its neighbours, and the edges are contracted to
+    these; a constant share of the nodes goes with every round, however long the paths are.
+    """
+    left = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    labels, seed = None, 0
+    while not left.isEmpty():
+        seed += 1
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "b").alias("h"), F.col("b").alias("to"))).alias("n"))
+        own = F.struct(F.xxhash64(F.lit(seed), "a").alias("h"), F.col("a").alias("to"))
+        step = staged(near.select(F.col("a").alias("id"), F.least("n", own)["to"].alias("to")), "steps")
+        labels = step.select("id", F.col("to").alias("component")) if labels is None else labels.join(step.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        labels = staged(labels, "labels")
+        ends = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+        left = staged(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if labels is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
+    least = staged(labels.groupBy("component").agg(F.min("id").alias("least")), "least")
+    return labels.join(least, "component").select("id", F.col("least").alias("component"))
 
 
 def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
