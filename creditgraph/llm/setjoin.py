@@ -31,6 +31,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 20  # bytes of text in a piece of work
 SALTS = 256
+BROADCAST_IDS = 1_000_000  # more documents in lists than this are joined with their texts by shuffle
 SPARE = 1
 BLOCK = 100_000  # shingles of the sets that are compared at once with another such block
 EMPTY = U(0x5851F42D4C957F2D)
@@ -160,23 +161,33 @@ def signatures(sets: list[np.ndarray], t: Threshold) -> list[np.ndarray]:
     return np.split(s[by].view(np.int64), np.cumsum(np.bincount(o, minlength=len(sets)))[:-1])
 
 
-def described(docs: DataFrame, t: Threshold, k: int) -> DataFrame:
-    """doc_id, n, a 128-bit key of the set, and the set's index lists."""
+def described(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n and a 128-bit key of the set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [x or "" for x in b["text"]]
-            for at, some in pieces(texts):
+            for at, some in pieces([x or "" for x in b["text"]]):
                 sets = sets_of(some, k)
                 yield pd.DataFrame({
                     "doc_id": b["doc_id"].iloc[at : at + len(some)].array,
                     "n": [len(s) for s in sets],
                     "k1": [int(mixed(s + U(1)).sum(dtype=U).view(np.int64)) for s in sets],
                     "k2": [int(mixed(s ^ U(BASE)).sum(dtype=U).view(np.int64)) for s in sets],
-                    "lists": signatures(sets, t),
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, lists array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long")
+
+
+def entries_of(docs: DataFrame, t: Threshold, k: int) -> DataFrame:
+    """(list, member): the index lists that each document is in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at, some in pieces([x or "" for x in b["text"]]):
+                lists = signatures(sets_of(some, k), t)
+                yield pd.DataFrame({"list": np.concatenate(lists), "member": np.repeat(b["doc_id"].to_numpy(dtype=np.int64)[at : at + len(some)], [len(x) for x in lists])})
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "list long, member long")
 
 
 def lists_of(entries: DataFrame) -> DataFrame:
@@ -251,10 +262,9 @@ def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text:
     """doc_id, n_shingles and component_id of every row; documents link when den * intersection >= num * union of their k-word shingles."""
     t = Threshold(num, den)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    told = staged(described(own, t, k), "sets")
+    told = staged(described(own, k), "sets")
     classes = staged(told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    alone = told.select(F.col("doc_id").alias("rep"), F.explode("lists").alias("list")).where("rep is not null")
-    lists = lists_of(alone.select("list", F.col("rep").alias("member")))
+    lists = lists_of(entries_of(own, t, k))
     lists = staged(lists.join(classes.select(F.col("rep").alias("member")), "member", "left_semi"), "lists")
     links = linked(lists, own, t, k)
     found = components(links)
@@ -270,14 +280,15 @@ def hashed(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             for at, some in pieces([x or "" for x in b["text"]]):
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(some)].array, "hashes": [s.view(np.int64) for s in sets_of(some, k)]})
 
-    return own.join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, hashes array<long>")
+    few = ids.count() <= BROADCAST_IDS
+    return own.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, hashes array<long>")
 
 
 def linked(lists: DataFrame, own: DataFrame, t: Threshold, k: int) -> DataFrame:
     """(a, b) links that connect all sets which links connect."""
     ok = t.links(F.col("inter"), F.col("na"), F.col("nb"))
     ids = lists.select(F.col("leader").alias("doc_id")).unionByName(lists.select(F.col("member").alias("doc_id"))).distinct()
-    sets = staged(hashed(own, ids, k), "hashes")
+    sets = staged(hashed(own, staged(ids, "ids"), k), "hashes")
     known = staged(compared(lists.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), sets).withColumn("linked", ok), "compared")
     links = known.where("linked").select("a", "b")
     # lists that their leader has not settled: some member is not linked with it, and there is another one beside
