@@ -54,7 +54,7 @@ def tokenise(text: Column) -> Column:
 
 def split_names(text: Column) -> Column:
     """Distinct trimmed parts between &, comma and slash."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "[&,/]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "[&,/]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def split_country(text: Column) -> Column:

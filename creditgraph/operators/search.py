@@ -17,7 +17,7 @@ NAME_SEPARATORS = ",|&amp;|&|and|/"
 
 def entity_names(entity: DataFrame) -> DataFrame:
     """(id, text): the name, each name variation, and each piece of the real name."""
-    real = F.transform(F.split("entity_metadata.real_name", NAME_SEPARATORS), F.trim)
+    real = F.transform(F.split("entity_metadata.real_name", NAME_SEPARATORS), lambda x: F.trim(x))
     empty = F.array().cast("array<string>")
     names = F.concat(F.array("entity_name"), F.coalesce("entity_metadata.name_variations", empty), F.coalesce(real, empty))
     return entity.select("id", F.explode(names).alias("text")).where("text is not null and text != ''")

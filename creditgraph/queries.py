@@ -247,7 +247,7 @@ def parts(column: str) -> str:
 
 
 ATTRIBUTES = f"""ri AS (SELECT release_id, artist_id AS id FROM g_release UNION SELECT release_id, label_id FROM g_release_label),
-at AS (SELECT DISTINCT * FROM (SELECT id, 'c' AS kind, unnest({parts("country")}) AS name FROM ri JOIN g_release USING (release_id)
+attr AS (SELECT DISTINCT * FROM (SELECT id, 'c' AS kind, unnest({parts("country")}) AS name FROM ri JOIN g_release USING (release_id)
  UNION ALL SELECT id, 'g', unnest({parts("genre")}) FROM ri JOIN g_kind USING (release_id) UNION ALL SELECT id, 's', unnest({parts("style")}) FROM ri JOIN g_kind USING (release_id)) u)"""
 SNAPS = ",\n".join(f"{k} AS ({v})" for k, v in SNAPSHOTS.items())
 STATED = """(SELECT 'Alias' AS role, least(id, other) AS one, greatest(id, other) AS two FROM g_alias UNION SELECT 'Member Of', member, grp FROM g_member UNION SELECT 'Sublabel Of', label, parent FROM g_sublabel)"""
@@ -272,8 +272,8 @@ SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderdate AS DATE) WHE
 SELECT t.id, t.year, o.role_category AS category, t.role, count(*) AS n FROM (SELECT id, role, release_id, max(year) AS year FROM {TOUCH} x GROUP BY id, role, release_id) t
 LEFT JOIN g_role o ON t.role = o.role_name WHERE t.id IN (SELECT id FROM g_entity WHERE entity_type = 2) GROUP BY ALL"""),
     "edges_in_years": with_views("SELECT role, count(*) AS kept, count(*) FILTER (year >= 1995) AS dated FROM g_edge WHERE year IS NULL OR year BETWEEN 1995 AND 1996 GROUP BY role"),
-    "entity_attributes": with_more(ATTRIBUTES, "SELECT id, string_agg(name, ',' ORDER BY name) FILTER (kind = 'c') AS countries, string_agg(name, ',' ORDER BY name) FILTER (kind = 'g') AS genres, string_agg(name, ',' ORDER BY name) FILTER (kind = 's') AS styles FROM at GROUP BY id"),
-    "attribute_dictionary": with_more(ATTRIBUTES, "SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INT) AS id, name FROM (SELECT DISTINCT name FROM at WHERE kind = 's') n"),
+    "entity_attributes": with_more(ATTRIBUTES, "SELECT id, string_agg(name, ',' ORDER BY name) FILTER (kind = 'c') AS countries, string_agg(name, ',' ORDER BY name) FILTER (kind = 'g') AS genres, string_agg(name, ',' ORDER BY name) FILTER (kind = 's') AS styles FROM attr GROUP BY id"),
+    "attribute_dictionary": with_more(ATTRIBUTES, "SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INT) AS id, name FROM (SELECT DISTINCT name FROM attr WHERE kind = 's') n"),
     "table_counts": with_views("SELECT entity_type, count(*) AS rows FROM g_entity GROUP BY entity_type"),
     "roles_by_category": with_views("SELECT role_category, string_agg(role_name, ',' ORDER BY role_name) AS roles FROM g_role GROUP BY role_category"),
     "search_tokens": with_more(TOKENS, "SELECT token, count(*) AS df, round(log10((SELECT count(*) FROM g_name) / count(*)), 6) AS idf FROM tk GROUP BY token"),
