@@ -1,6 +1,6 @@
 """Exact dedup against a persistent digest index, with DataFrame operations only.
 
-The index is a Parquet table (digest, keep_id, group_size), bucketed and sorted by digest.
+The index is a Parquet table (digest, keep_id, group_size, batch), bucketed and sorted by digest.
 A batch is grouped by digest, digests that the index holds are taken away by a sort-merge anti join,
 and the rest is appended. Texts never enter a shuffle; only 32-byte digests do.
 
@@ -33,7 +33,7 @@ class DigestIndex:
         """Register the index at path, new or not, with the bucket count that it was made with."""
         name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets or partitions(spark)} BUCKETS "
             f"LOCATION '{path or new_path(spark, 'digests')}'"
         )
@@ -42,29 +42,31 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, batch: DataFrame, text: str = "text", doc_id: str = "doc_id") -> None:
-        """Append the digests of batch that the index lacks."""
+    def add(self, batch: DataFrame, text: str = "text", doc_id: str = "doc_id") -> str:
+        """Append the digests of batch that the index lacks; returns the name that they bear as a batch."""
+        name = uuid.uuid4().hex
         groups = batch.select(digest(text).alias("digest"), F.col(doc_id).cast("long").alias("id")).groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         fresh = groups.join(self.table().hint("merge"), "digest", "left_anti")
         n = int(self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first()["data_type"])
-        fresh.select("digest", "keep_id", "group_size").repartition(n, "digest").write.insertInto(self.name)
+        fresh.select("digest", "keep_id", "group_size", F.lit(name).alias("batch")).repartition(n, "digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
+        return name
 
     def annotate(self, batch: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-        """batch with columns digest, keep_id, group_size and kept (clashing names get underscores before them).
+        """batch with columns digest, keep_id, group_size, batch (which brought the digest) and kept (clashing names get underscores before them).
 
         Digests of large groups, of which there are few by count, meet the index by broadcast; the others by sort-merge join.
         """
-        names = {c: free_name(batch, c) for c in ("digest", "keep_id", "group_size", "kept")}
+        names = {c: free_name(batch, c) for c in ("digest", "keep_id", "group_size", "batch", "kept")}
         index, rows = self.table(), self.table().agg(F.sum("group_size")).first()[0] or 0
-        hot = index.where(F.col("group_size") >= max(2.0, rows * HOT)).select(F.col("digest").alias("_hot"), F.struct("keep_id", "group_size").alias("_of_hot"))
-        cold = index.select(F.col("digest").alias("_cold"), F.struct("keep_id", "group_size").alias("_of_cold"))
+        hot = index.where(F.col("group_size") >= max(2.0, rows * HOT)).select(F.col("digest").alias("_hot"), F.struct("keep_id", "group_size", "batch").alias("_of_hot"))
+        cold = index.select(F.col("digest").alias("_cold"), F.struct("keep_id", "group_size", "batch").alias("_of_cold"))
         own = batch.withColumn(names["digest"], digest(text))
         mine = F.col(names["digest"])
         # a hot row needs nothing from the sort-merge join: it gets a key of its own there, so that no key is large
         own = own.join(F.broadcast(hot), mine == F.col("_hot"), "left").withColumn("_key", F.when(F.col("_hot").isNull(), mine).otherwise(F.encode(F.concat_ws(":", F.lit("hot"), F.col(doc_id).cast("string"), F.monotonically_increasing_id()), "UTF-8")))
         own = own.join(cold.hint("merge"), F.col("_key") == F.col("_cold"), "left").withColumn("_of", F.coalesce("_of_hot", "_of_cold"))
-        for c in ("keep_id", "group_size"):
+        for c in ("keep_id", "group_size", "batch"):
             own = own.withColumn(names[c], F.col(f"_of.{c}"))
         return own.withColumn(names["kept"], F.col(doc_id).cast("long").eqNullSafe(F.col(names["keep_id"]))).drop("_hot", "_of_hot", "_key", "_cold", "_of_cold", "_of")
 
@@ -76,14 +78,10 @@ def digest(text: str):
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index: DigestIndex | None = None) -> DataFrame:
     """docs with one row of each text, columns as they were; with an index, only rows whose text it did not hold before."""
     index = index or DigestIndex.open(docs.sparkSession)
-    before = index.table().count()
-    new = docs
-    if before:
-        new = docs.withColumn("_digest", digest(text)).join(index.table().select(F.col("digest").alias("_digest")).hint("merge"), "_digest", "left_anti").drop("_digest")
-    index.add(new, text, doc_id)
-    marked = index.annotate(new, text, doc_id)
-    digest_, kept = marked.columns[len(docs.columns)], marked.columns[-1]
-    stay = marked.where(F.col(kept))
-    if stay.select(digest_).count() > index.table().count() - before:  # some rows repeat id and text
+    name = index.add(docs, text, doc_id)
+    marked = index.annotate(docs, text, doc_id)
+    digest_, _, _, batch, kept = marked.columns[len(docs.columns) :]
+    stay = marked.where(F.col(kept) & (F.col(batch) == name))
+    if stay.select(digest_).count() > index.table().where(F.col("batch") == name).count():  # some rows repeat id and text
         stay = stay.dropDuplicates([digest_])
     return stay.select(*docs.columns)
