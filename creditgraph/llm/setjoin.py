@@ -7,7 +7,7 @@ set that differs at that position; common shingles and shared passages don't mak
 
 Equal sets are one set from the start. In a list every set is compared with the list's leader only, and takes over that
 set's answers where they are linked: it is in the same component as all that the leader is linked with, so no pair of them is
-compared. Lists with a set that is not linked with the leader stay open. The sets of open lists are compared in bounded blocks
+compared. Where a set is not linked with the leader, that leader's lists stay open. The sets of open lists are compared in bounded blocks
 of like sizes, by matrix products that give all intersections of two blocks at once; only the links that connect
 components come out. No group is expanded into its pairs as rows.
 
@@ -190,11 +190,11 @@ def entries_of(docs: DataFrame, t: Threshold, k: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "list long, member long")
 
 
-def lists_of(entries: DataFrame) -> DataFrame:
-    """(list, leader, member) for every list of two or more, leaders left out as members.
+def led(entries: DataFrame) -> DataFrame:
+    """Distinct (leader, member) of all lists of two or more, leaders left out as members.
 
     Lists are dealt out by ranges of (list, id), so a long one goes to several tasks, each with a leader of its own;
-    those leaders are then members under the first of them.
+    those leaders are then members under the first of them. A task makes its pairs distinct before it hands them on.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,16 +209,16 @@ def lists_of(entries: DataFrame) -> DataFrame:
             if head is None:
                 edge.append((s[0], leader[0]))
             head = (s[-1], leader[-1])
-            keep = m != leader
-            yield pd.DataFrame({"list": s[keep], "leader": leader[keep], "member": m[keep], "edge": False})
+            pairs = np.unique(np.stack([leader, m], axis=1)[m != leader], axis=0)
+            yield pd.DataFrame({"list": 0, "leader": pairs[:, 0], "member": pairs[:, 1], "edge": False})
         if head is not None:
             edge.append(head)
             yield pd.DataFrame({"list": [e[0] for e in edge], "leader": [e[1] for e in edge], "member": [e[1] for e in edge], "edge": True})
 
-    got = staged(entries.repartitionByRange("list", "member").sortWithinPartitions("list", "member").mapInPandas(run, "list long, leader long, member long, edge boolean"), "set-lists")
+    got = staged(entries.repartitionByRange("list", "member").sortWithinPartitions("list", "member").mapInPandas(run, "list long, leader long, member long, edge boolean").distinct(), "led")
     w = Window.partitionBy("list")  # two rows of each task at most
     edges = got.where("edge").withColumn("leader", F.min("leader").over(w)).where("leader != member")
-    return got.where("not edge").unionByName(edges).select("list", "leader", "member")
+    return got.where("not edge").unionByName(edges).select("leader", "member").distinct()
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,9 +264,9 @@ def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text:
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     told = staged(described(own, k), "sets")
     classes = staged(told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    lists = lists_of(entries_of(own, t, k))
-    lists = staged(lists.join(classes.select(F.col("rep").alias("member")), "member", "left_semi"), "lists")
-    links = linked(lists, own, t, k)
+    stars = led(entries_of(own, t, k))
+    stars = staged(stars.join(classes.select(F.col("rep").alias("member")), "member", "left_semi"), "stars")
+    links = linked(stars, own, t, k)
     found = components(links)
     rep = told.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     return rep.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
@@ -284,17 +284,16 @@ def hashed(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return own.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, hashes array<long>")
 
 
-def linked(lists: DataFrame, own: DataFrame, t: Threshold, k: int) -> DataFrame:
+def linked(stars: DataFrame, own: DataFrame, t: Threshold, k: int) -> DataFrame:
     """(a, b) links that connect all sets which links connect."""
     ok = t.links(F.col("inter"), F.col("na"), F.col("nb"))
-    ids = lists.select(F.col("leader").alias("doc_id")).unionByName(lists.select(F.col("member").alias("doc_id"))).distinct()
+    ids = stars.select(F.col("leader").alias("doc_id")).unionByName(stars.select(F.col("member").alias("doc_id"))).distinct()
     sets = staged(hashed(own, staged(ids, "ids"), k), "hashes")
-    known = staged(compared(lists.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), sets).withColumn("linked", ok), "compared")
+    known = staged(compared(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")), sets).withColumn("linked", ok), "compared")
     links = known.where("linked").select("a", "b")
-    # lists that their leader has not settled: some member is not linked with it, and there is another one beside
-    spread = staged(lists.join(known.select(F.col("a").alias("leader"), F.col("b").alias("member"), "linked"), ["leader", "member"]), "spread")
-    left = staged(spread.groupBy("list").agg(F.count("*").alias("size"), F.max(~F.col("linked")).alias("open")).where("open and size > 1").select("list"), "open")
-    rest = staged(spread.join(left.hint("merge"), "list", "left_semi").select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "rest")
+    # leaders that have not settled all their lists: some member is not linked with them, and there is another one beside
+    left = staged(known.groupBy("a").agg(F.count("*").alias("size"), F.max(~F.col("linked")).alias("open")).where("open and size > 1").select("a"), "open")
+    rest = staged(known.join(left.hint("merge"), "a", "left_semi").select("a", "b"), "rest")
     if rest.isEmpty():
         return links
     return links.unionByName(in_blocks(rest, links, sets, t))
