@@ -32,7 +32,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 20  # bytes of text in a piece of work
 SALTS = 256
 BROADCAST_IDS = 1_000_000  # more documents in lists than this are joined with their texts by shuffle
-SPARE = 1
 BLOCK = 100_000  # shingles of the sets that are compared at once with another such block
 EMPTY = U(0x5851F42D4C957F2D)
 
@@ -125,6 +124,12 @@ class Threshold:
         return 2 * hi * (self.den - self.num) // (self.den + self.num)
 
 
+def spares(d: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Blocks beyond d + 1: as many as a set of a size seldom has empty ones, so that agreeing in empty blocks can be left out."""
+    empty = (d + 2) * np.exp(-size / (d + 2))
+    return 1 + np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64) * (empty > 0.05)
+
+
 def signatures(sets: list[np.ndarray], t: Threshold) -> list[np.ndarray]:
     """The index lists that each set is in: for its own band and for the next, those of its blocks."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -136,7 +141,8 @@ def signatures(sets: list[np.ndarray], t: Threshold) -> list[np.ndarray]:
     for up in (0, 1):
         scheme = band + up
         d = t.differ(edges[scheme + 1] - 1)
-        blocks = np.where((d > 0) & (n > 0), d + 1 + SPARE, 0)
+        spare = spares(d, edges[scheme])
+        blocks = np.where((d > 0) & (n > 0), d + 1 + spare, 0)
         live = blocks[owner] > 0
         o, h = owner[live], flat[live]
         j = ((h >> U(32)) * blocks[o].astype(U)) >> U(32)
@@ -150,7 +156,7 @@ def signatures(sets: list[np.ndarray], t: Threshold) -> list[np.ndarray]:
         found_s.append(mixed(content + mixed((scheme[so].astype(U) << U(32)) + sj)))
         # equal empty blocks tell of nothing; a set with more of them than the spare blocks make up for lists those too
         full = np.bincount(so, minlength=len(sets))
-        for i in np.flatnonzero(blocks - full > SPARE):
+        for i in np.flatnonzero(blocks - full > spare):
             rest = np.setdiff1d(np.arange(blocks[i], dtype=U), sj[so == i])
             found_o.append(np.full(len(rest), i))
             found_s.append(mixed(EMPTY + mixed((U(scheme[i]) << U(32)) + rest)))
