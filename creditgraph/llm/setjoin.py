@@ -270,14 +270,20 @@ def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text:
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     told = staged(described(own, k), "sets")
     classes = staged(told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    stars = led(entries_of(own, t, k))
-    stars = staged(stars.join(classes.select(F.col("rep").alias("member")), "member", "left_semi"), "stars")
-    links = linked(stars, own, t, k)
+    rep = staged(told.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "rep")
+    # only the least of equal sets is listed, so every leader and member stands for its class
+    stars = led(entries_of(joined(own, rep.where("doc_id != rep").select("doc_id").distinct(), "left_anti"), t, k))
+    links = linked(staged(stars, "stars"), own, t, k)
     found = components(links)
-    rep = told.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     return rep.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
+def joined(own: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Texts with ids in ids (doc_id), or without; few ids are broadcast."""
+    ids = staged(ids, "ids")
+    return own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def hashed(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """doc_id and the sets of the documents in ids (doc_id)."""
 
@@ -286,15 +292,14 @@ def hashed(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             for at, some in pieces([x or "" for x in b["text"]]):
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(some)].array, "hashes": [s.view(np.int64) for s in sets_of(some, k)]})
 
-    few = ids.count() <= BROADCAST_IDS
-    return own.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, hashes array<long>")
+    return joined(own, ids, "left_semi").mapInPandas(run, "doc_id long, hashes array<long>")
 
 
 def linked(stars: DataFrame, own: DataFrame, t: Threshold, k: int) -> DataFrame:
     """(a, b) links that connect all sets which links connect."""
     ok = t.links(F.col("inter"), F.col("na"), F.col("nb"))
     ids = stars.select(F.col("leader").alias("doc_id")).unionByName(stars.select(F.col("member").alias("doc_id"))).distinct()
-    sets = staged(hashed(own, staged(ids, "ids"), k), "hashes")
+    sets = staged(hashed(own, ids, k), "hashes")
     known = staged(compared(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")), sets).withColumn("linked", ok), "compared")
     links = known.where("linked").select("a", "b")
     # leaders that have not settled all their lists: some member is not linked with them, and there is another one beside

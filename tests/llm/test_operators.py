@@ -187,6 +187,27 @@ def test_join_sets_odd(spark):
     assert setjoin.join_sets(empty(spark)).count() == 0
 
 
+@pytest.fixture
+def fixed_partitions(spark):
+    """Sets the number of shuffle partitions, and holds Spark to it."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_join_sets_many_copies(spark, fixed_partitions):
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(60)]
+    near = list(base)
+    near[rng.randrange(60)] = "x"
+    rows = list(enumerate([" ".join(base)] * 300 + [" ".join(near)]))
+    fixed_partitions(32)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.join_sets(spark.createDataFrame(rows, "doc_id long, text string"), 90, 100, 3).collect()}
+    assert got == brute_join(rows, 90, 100, 3)
+
+
 def test_open_blocks():
     rng = np.random.default_rng(2)
     x = [np.unique(rng.integers(0, 300, 60)) for _ in range(20)]
