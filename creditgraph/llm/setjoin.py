@@ -196,8 +196,8 @@ def entries_of(docs: DataFrame, t: Threshold, k: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "list long, member long")
 
 
-def led(entries: DataFrame) -> DataFrame:
-    """Distinct (leader, member) of all lists of two or more, leaders left out as members.
+def led(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (leader, member) of all lists of two or more, leaders left out as members; and (list, leader) of cut lists.
 
     Lists are dealt out by ranges of (list, id), so a long one goes to several tasks, each with a leader of its own;
     those leaders are then members under the first of them. A task makes its pairs distinct before it hands them on.
@@ -223,8 +223,9 @@ def led(entries: DataFrame) -> DataFrame:
 
     got = staged(entries.repartitionByRange("list", "member").sortWithinPartitions("list", "member").mapInPandas(run, "list long, leader long, member long, edge boolean").distinct(), "led")
     w = Window.partitionBy("list")  # two rows of each task at most
-    edges = got.where("edge").withColumn("leader", F.min("leader").over(w)).where("leader != member")
-    return got.where("not edge").unionByName(edges).select("leader", "member").distinct()
+    cut = staged(got.where("edge").select("list", "leader", F.min("leader").over(w).alias("first"), F.max("leader").over(w).alias("last")).where("first != last"), "cut")
+    edges = cut.where("leader != first").select(F.col("first").alias("leader"), F.col("leader").alias("member"))
+    return got.where("not edge").select("leader", "member").unionByName(edges).distinct(), cut.select("list", "leader")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,8 +273,8 @@ def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text:
     classes = staged(told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     rep = staged(told.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "rep")
     # only the least of equal sets is listed, so every leader and member stands for its class
-    stars = led(entries_of(joined(own, rep.where("doc_id != rep").select("doc_id").distinct(), "left_anti"), t, k))
-    links = linked(staged(stars, "stars"), own, t, k)
+    stars, cut = led(entries_of(joined(own, rep.where("doc_id != rep").select("doc_id").distinct(), "left_anti"), t, k))
+    links = linked(staged(stars, "stars"), cut, own, t, k)
     found = components(links)
     return rep.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
@@ -295,7 +296,7 @@ def hashed(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return joined(own, ids, "left_semi").mapInPandas(run, "doc_id long, hashes array<long>")
 
 
-def linked(stars: DataFrame, own: DataFrame, t: Threshold, k: int) -> DataFrame:
+def linked(stars: DataFrame, cut: DataFrame, own: DataFrame, t: Threshold, k: int) -> DataFrame:
     """(a, b) links that connect all sets which links connect."""
     ok = t.links(F.col("inter"), F.col("na"), F.col("nb"))
     ids = stars.select(F.col("leader").alias("doc_id")).unionByName(stars.select(F.col("member").alias("doc_id"))).distinct()
@@ -303,7 +304,11 @@ def linked(stars: DataFrame, own: DataFrame, t: Threshold, k: int) -> DataFrame:
     known = staged(compared(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")), sets).withColumn("linked", ok), "compared")
     links = known.where("linked").select("a", "b")
     # leaders that have not settled all their lists: some member is not linked with them, and there is another one beside
-    left = staged(known.groupBy("a").agg(F.count("*").alias("size"), F.max(~F.col("linked")).alias("open")).where("open and size > 1").select("a"), "open")
+    left = known.groupBy("a").agg(F.count("*").alias("size"), F.max(~F.col("linked")).alias("open")).where("open").select("a", "size")
+    # a list that was cut is settled as one: with any of its leaders open, or not linked with the first, all of them are open
+    parts = cut.join(left.select(F.col("a").alias("leader")), "leader", "left_semi").select("list").distinct()
+    beside = cut.join(parts, "list", "left_semi").select(F.col("leader").alias("a"))
+    left = staged(left.where("size > 1").select("a").unionByName(beside).distinct(), "open")
     rest = staged(known.join(left.hint("merge"), "a", "left_semi").select("a", "b"), "rest")
     if rest.isEmpty():
         return links

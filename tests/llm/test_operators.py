@@ -208,6 +208,16 @@ def test_join_sets_many_copies(spark, fixed_partitions):
     assert got == brute_join(rows, 90, 100, 3)
 
 
+@pytest.mark.parametrize("n", [2, 3])
+def test_cut_list_is_settled(spark, fixed_partitions, n):
+    """Of a chain 1-2-4-3 in one list, 2 and 4 are in different tasks and the tasks' leaders are not linked."""
+    own = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(at, at + 20))) for i, at in ((1, 0), (2, 2), (3, 6), (4, 4))], "doc_id long, text string")
+    fixed_partitions(n)
+    stars, cut = setjoin.led(spark.createDataFrame([(7, i) for i in range(1, 5)], "list long, member long"))
+    links = setjoin.linked(stars, cut, own, setjoin.Threshold(80, 100), 1)
+    assert {(r.id, r.component) for r in setjoin.components(links).collect()} == {(i, 1) for i in range(1, 5)}
+
+
 def test_open_blocks():
     rng = np.random.default_rng(2)
     x = [np.unique(rng.integers(0, 300, 60)) for _ in range(20)]
