@@ -1,6 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least eight characters of keys with a digit in it, or a value given to a name such as password.
+A candidate is a run of at least eight characters of keys with a digit in it, or a value given to a name such as password
+or DB_PASSWORD. A value is taken up to a space or quote, in place of the runs in it; unless it is quoted, commas, full stops,
+semicolons and unmatched closing brackets at its end are left out.
 Its features: length, kinds of characters and their transitions, how likely its letters follow each other in the
 corpus's words, how much of it dictionary words cover, whether it lies in a path, and the neighbouring words. The
 dictionary is the corpus's most frequent words, counted over all documents. The forest is fitted on labelled findings.
@@ -13,6 +15,7 @@ there are no labels) as its score. No rows give no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +32,29 @@ DICTIONARY = 20_000  # words at most
 TRAIN_FINDINGS = 50_000  # a forest is fitted on about so many labelled findings at most, chosen by hash
 BEFORE, AFTER = 48, 24  # characters of context
 KEY = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/.@")
-NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"']{6,})")
+ASSIGNED = re.compile(r"(?<![\w-])([\w-]++)[\"']?\s*[=:]\s*[\"']?")
+NAMED = re.compile(r"(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?![^\W_])")
+VALUE = re.compile(r"[^\s\"']{6,}")
 NEAR = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential")
 FAKE = ("example", "sample", "dummy", "test", "fake", "placeholder", "xxx")
 FEATURES = ("length", "digits", "upper", "lower", "marks", "turns", "entropy", "bigrams", "covered", "in_path", "at", "dots", "named", "assigned", "quoted", "near", "fake", "words_before")
 FOUND = "doc_id long, start int, end int, candidate string, before string, after string"
 
 
+def named_values(text: str) -> list[tuple[int, int]]:
+    found, done = [], 0
+    for m in ASSIGNED.finditer(text):
+        if m.start() < done or not NAMED.search(m[1]) or not (v := VALUE.match(text, m.end())):
+            continue
+        a, b = v.span()
+        done = b
+        if text[a - 1] not in "\"'":
+            while b > a + 1 and (text[b - 1] in ".,;" or (i := ")]}>".find(text[b - 1])) >= 0 and text.count("([{<"[i], a, b) < text.count(text[b - 1], a, b)):
+                b -= 1
+        found.append((a, b))
+    return found
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Candidates in order, overlapping ones once."""
     found, done = set(), 0
@@ -54,9 +73,10 @@ def spans(text: str) -> list[tuple[int, int]]:
             found.add((a, b))
     low = text.lower()
     if any(w in low for w in NEAR):
-        for m in NAMED.finditer(text):
-            if not any(a < m.end(1) and m.start(1) < b for a, b in found):
-                found.add(m.span(1))
+        named = named_values(text)
+        ends = [b for _, b in named]
+        # the named value that ends first after a run's start is the only one that can overlap it
+        found = {(a, b) for a, b in found if (i := bisect_right(ends, a)) == len(named) or named[i][0] >= b} | {*named}
     return sorted(found)
 
 
@@ -190,7 +210,7 @@ class Scanner:
 
 def findings_by_format(found: DataFrame) -> DataFrame:
     """Labels where a format is certain: issued keys and named hexadecimal values are secrets; addresses, numbers, versions, mail are none."""
-    named = F.col("before").rlike(rf"(?i)\b({'|'.join(NEAR)})[\"']?\s*[=:]\s*[\"']?$")
+    named = F.col("before").rlike(rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(NEAR)})([_-][0-9a-z]+)*[\"']?\s*[=:]\s*[\"']?$")
     issued = F.col("candidate").rlike(r"^AKIA[0-9A-Z]{16}$")
     valued = named & F.col("candidate").rlike(r"^(?=.*[0-9])[0-9A-Za-z_-]{16,}$")
     plain = F.col("candidate").rlike(r"^[0-9][0-9.\-+/]*$") | F.col("candidate").rlike(r"^[^@]+@[^@]+\.[a-z]+$")
