@@ -95,16 +95,14 @@ def random_rows(df: DataFrame, k: int, seed: int = 0, key: str = "id") -> DataFr
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k)
 
 
-def url_parts(entity: DataFrame, base_url: str, per_file: int = 50_000, max_files: int = 500) -> DataFrame:
-    """(part, place, id, url) of entities that have a URL, by id: place counts from 0 over all, part has per_file of them.
+def url_parts(entity: DataFrame, base_url: str, per_file: int = 50_000) -> DataFrame:
+    """(part, place, id, url) of entities that have a URL, by id: place counts from 0 over all, part has per_file of them; parts grow in number with the rows.
 
     Counts of id ranges give each range its offset, so no task numbers all rows.
     """
     spark = entity.sparkSession
     ids = entity.select("id", entity_url(F.col("id"), base_url).alias("url")).where((F.col("id") != MISSING) & F.col("url").isNotNull()).distinct()
     total = ids.count()
-    if total > per_file * max_files:
-        raise ValueError(f"{total} URLs do not fit into {max_files} files of {per_file}")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = ids.approxQuantile("id", [i / n for i in range(1, n)], 0.01) if total else []
     ranged = ids.withColumn("range", F.size(F.filter(F.array(*(F.lit(int(b)) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col("id"))))
@@ -120,10 +118,10 @@ def url_parts(entity: DataFrame, base_url: str, per_file: int = 50_000, max_file
 
 
 def write_url_lists(entity: DataFrame, path: str, base_url: str, per_file: int = 50_000, max_files: int = 500) -> int:
-    """Writes gzip text, a folder for each part, and an index of the parts with the day; returns the number of URLs."""
+    """Writes gzip text, a folder for each part, and indexes of max_files parts each with the day, by number in folders; returns the number of URLs."""
     spark = entity.sparkSession
-    parts = url_parts(entity, base_url, per_file, max_files)
+    parts = url_parts(entity, base_url, per_file)
     parts.repartition("part").sortWithinPartitions("place").select("part", F.col("url").alias("value")).write.partitionBy("part").option("compression", "gzip").text(f"{path}/parts")
-    index = parts.groupBy("part").agg(F.count("*").alias("urls")).withColumn("lastmod", F.current_date())
-    index.write.json(f"{path}/index")
+    index = parts.groupBy("part").agg(F.count("*").alias("urls")).withColumn("lastmod", F.current_date()).withColumn("index", F.floor(F.col("part") / max_files).cast("int"))
+    index.write.partitionBy("index").json(f"{path}/index")
     return spark.read.json(f"{path}/index").agg(F.coalesce(F.sum("urls"), F.lit(0))).first()[0]
