@@ -23,7 +23,7 @@ from .common import free_name
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 SLICE = 1 << 19  # characters in a piece of work
-TRAIN_ROWS = 20_000  # a model is fitted on about so many labelled rows at most, chosen by hash
+TRAIN_ROWS = 20_000  # a model is fitted on about so many labelled rows at most; large languages are thinned by hash
 SMOOTH = 0.5
 UND = "und"
 
@@ -62,15 +62,27 @@ class Model:
         return out
 
 
+def fair_share(seen: dict[str, int], most_rows: int) -> float:
+    """Rows of a language at most, so that all languages together have most_rows: small ones keep all, large ones share the rest alike."""
+    left = float(most_rows)
+    for i, n in enumerate(sizes := sorted(seen.values())):
+        if n * (len(sizes) - i) >= left:
+            return left / (len(sizes) - i)
+        left -= n
+    return float("inf")
+
+
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of rows with text and language; of more than most_rows, a sample by hash of the id of about most_rows."""
+    """A model of rows with text and language; of more than most_rows, a sample of about most_rows: all rows of small languages, of large ones those chosen by hash of the id."""
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("id")).where("lang is not null and text is not null")
     seen = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not seen:
         return None
     langs, n = sorted(seen), sum(seen.values())
     if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * most_rows / n))
+        share = fair_share(seen, most_rows)
+        rates = [F.lit(x) for name, m in seen.items() for x in (name, int((1 << 30) * min(1.0, share / m)))]
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.create_map(*rates)[F.col("lang")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
