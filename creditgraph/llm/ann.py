@@ -1,7 +1,7 @@
 """Approximate nearest neighbours (Euclidean): a neighbour graph by NN-descent, searched greedily.
 
 Equal vectors are one node. Nodes start with the nearest others in the same leaves of a few random-projection trees,
-fitted on a bounded sample. Each round of NN-descent then joins, for every node, its neighbours and those that have it
+fitted on a bounded sample; leaves that come out overfull are cut further, at medians over all their nodes. Each round of NN-descent then joins, for every node, its neighbours and those that have it
 as a neighbour with their vectors; all pairs of that bounded list are neighbours of neighbours, and each takes those
 nearer than its worst neighbour. A search keeps, for each query, a beam of the nearest nodes found; each round joins the best
 nodes not yet expanded with their neighbours, until every beam is expanded. All queries go together.
@@ -14,7 +14,7 @@ with the same vector are one. No rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ from .common import partitions, staged
 SAMPLE = 20_000  # vectors that the driver fits trees on, at most
 PIVOTS = 512  # nodes that every search may begin at
 TREES, LEAF, DEGREE, ROUNDS = 16, 1024, 24, 3
+OVERFULL = 4  # times LEAF: leaves of more nodes are cut further
+CUTS = 30  # further levels at most; only leaves of equal projections are overfull then
 BEAM, EXPAND, STARTS = 96, 24, 8
 GRAPH = "id long, nbrs array<long>, dists array<float>"
 
@@ -44,16 +46,23 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Hyperplanes of a complete binary tree, level by level, and of further bits that all leaves share."""
+    """Hyperplanes of a complete binary tree, level by level, and of further bits that all leaves share.
+
+    Below, each level of more has a plane, the leaves that it cuts (sorted) and where it cuts each; other leaves get a 0 there.
+    """
 
     planes: list[np.ndarray]
     cuts: list[np.ndarray]
+    more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), dtype=np.int64)
         for p, c in zip(self.planes, self.cuts, strict=True):
             k = at % len(p)
             at = 2 * at + ((x * p[k]).sum(1) > c[k])
+        for p, keys, c in self.more:
+            k = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+            at = 2 * at + ((keys[k] == at) & (x @ p > c[k]))
         return at
 
 
@@ -112,13 +121,56 @@ def regrouped(parts: DataFrame, k: int) -> DataFrame:
     return parts.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("part")).applyInPandas(run, GRAPH)
 
 
+def cut_overfull(nodes: DataFrame, forest: list[Tree], most: int) -> None:
+    """Cuts leaves of more than most nodes, level by level, each at the median of its own nodes' projections on a plane of its tree."""
+    context = nodes.sparkSession.sparkContext
+    full = None
+    for level in range(CUTS):
+        shared = context.broadcast((forest, full))
+
+        def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            trees, among = shared.value  # noqa: B023
+            for b in batches:
+                if len(b):
+                    v = np.stack([*b["v"]])
+                    for t, tree in enumerate(trees):
+                        if among is None or t in among:
+                            leaf, n = np.unique(tree.leaves(v), return_counts=True)
+                            yield pd.DataFrame({"tree": t, "leaf": leaf, "n": n})
+
+        counted = nodes.select("v").mapInPandas(sizes, "tree int, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+        over = counted.where(F.col("n") > most).select("tree", "leaf").toPandas()
+        if not len(over):
+            return
+        full = {int(t): np.sort(g["leaf"].to_numpy()) for t, g in over.groupby("tree")}
+        planes = {t: np.random.default_rng([t, level]).normal(size=forest[t].planes[0].shape[1]) for t in full}
+        shared = context.broadcast((forest, full, planes))
+
+        def projected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            trees, among, normal = shared.value  # noqa: B023
+            for b in batches:
+                if len(b):
+                    v = np.stack([*b["v"]])
+                    for t, keys in among.items():
+                        leaf = trees[t].leaves(v)
+                        own = np.isin(leaf, keys)
+                        yield pd.DataFrame({"tree": t, "leaf": leaf[own], "p": v[own] @ normal[t]})
+
+        found = nodes.select("v").mapInPandas(projected, "tree int, leaf long, p double").groupBy("tree", "leaf").agg(F.percentile_approx("p", 0.5).alias("p")).toPandas()
+        for t, g in found.sort_values("leaf").groupby("tree"):
+            forest[int(t)].more.append((planes[int(t)], g["leaf"].to_numpy(), g["p"].to_numpy()))
+
+
 def forest(nodes: DataFrame, n: int, trees: int, leaf: int, k: int) -> DataFrame:
     """A first graph: the nearest in the same leaves."""
     share = min(1.0, SAMPLE / max(n, 1))
     sample = nodes.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toPandas()["v"]
     x = np.stack([*sample]) if len(sample) else np.zeros((0, 1))
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-    shared = nodes.sparkSession.sparkContext.broadcast([grow(x, depth, s) for s in range(trees if depth else 1)])
+    grown = [grow(x, depth, s) for s in range(trees if depth else 1)]
+    if depth:
+        cut_overfull(nodes, grown, OVERFULL * leaf)
+    shared = nodes.sparkSession.sparkContext.broadcast(grown)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -129,12 +181,14 @@ def forest(nodes: DataFrame, n: int, trees: int, leaf: int, k: int) -> DataFrame
 
     def inside(g: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, one in g.groupby(["tree", "leaf"]):
+        for (tree, _), one in g.groupby(["tree", "leaf"]):
             ids = one["id"].to_numpy()
             v = np.stack([*one["v"]]).astype(float)
             o = np.argsort(ids)
-            for i in range(0, len(o), 4 * leaf):  # a leaf that came out large is taken in pieces
-                found.append(nearest(ids[o[i : i + 4 * leaf]], v[o[i : i + 4 * leaf]], k))
+            if len(o) > OVERFULL * leaf:  # no plane cut it: taken in pieces along one of this tree's own
+                o = np.argsort(v @ np.random.default_rng([tree, CUTS]).normal(size=v.shape[1]), kind="stable")
+            for i in range(0, len(o), OVERFULL * leaf):
+                found.append(nearest(ids[o[i : i + OVERFULL * leaf]], v[o[i : i + OVERFULL * leaf]], k))
         return merge(*(np.concatenate(x) for x in zip(*found, strict=True)), k * trees)
 
     placed = nodes.mapInPandas(place, "tree int, leaf long, id long, v array<float>")
