@@ -1,11 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams of labelled rows in tasks, sums them by (language, bucket) and brings the counts, at most
-languages x BUCKETS numbers, to the driver. The log-probability matrix is broadcast; texts are scored whole, in numpy,
-over slices of bounded length.
+languages x BUCKETS numbers, to the driver; of more than MOST_LANGS languages ValueError is raised. The log-probability matrix
+is broadcast; texts are scored whole, in numpy, some together up to SLICE characters, longer ones slice by slice.
 
 Defined cases: a text that is null or has no letter is `und` with score 0. With nothing to learn from, every text is
 `und`. Texts shorter than an n-gram are decided by the shorter ones and the prior. Ties go to the first language by name.
+Repeated rows are rows of their own, no rows give no rows, and columns that clash with new ones stay as they are: the new ones
+take underscores before their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 SLICE = 1 << 19  # characters in a piece of work
 TRAIN_ROWS = 20_000  # a model is fitted on about so many labelled rows at most; large languages are thinned by hash
+MOST_LANGS = 1000
 SMOOTH = 0.5
 UND = "und"
 
@@ -48,6 +51,19 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield o[:m][same], ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(49)).astype(np.int64)[same]
 
 
+def pieces(texts: pd.Series) -> Iterator[list[str]]:
+    """The texts in runs of about SLICE characters or one text; a null one is empty."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t or "")
+        size += len(some[-1])
+        if size >= SLICE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -75,7 +91,9 @@ def fair_share(seen: dict[str, int], most_rows: int) -> float:
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_rows: int = TRAIN_ROWS) -> Model | None:
     """A model of rows with text and language; of more than most_rows, a sample of about most_rows: all rows of small languages, of large ones those chosen by hash of the id."""
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("id")).where("lang is not null and text is not null")
-    seen = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    seen = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(seen) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not seen:
         return None
     langs, n = sorted(seen), sum(seen.values())
@@ -89,8 +107,8 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         for b in batches:
             for name, g in b.groupby("lang"):
                 c = counts.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
-                for i in range(0, len(g), 256):
-                    for _, h in grams(list(g["text"].iloc[i : i + 256])):
+                for some in pieces(g["text"]):
+                    for _, h in grams(some):
                         c += np.bincount(h, minlength=BUCKETS)
         for name, c in counts.items():
             at = np.flatnonzero(c)
@@ -113,16 +131,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     @F.pandas_udf("struct<lang string, score double>")
     def best(texts: pd.Series) -> pd.DataFrame:
         m, out = shared.value, []
-        for i in range(0, len(texts), 256):
-            s = m.scores([t or "" for t in texts.iloc[i : i + 256]])
+        for some in pieces(texts):
+            s = m.scores(some)
             k = s.argmax(axis=1)
             p = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
             out.append(pd.DataFrame({"lang": [m.langs[j] for j in k], "score": p}))
         return pd.concat(out) if out else pd.DataFrame({"lang": [], "score": []})
 
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    found = docs.withColumn("_found", best(F.col(text))).withColumn("_lettered", lettered)
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("_lettered"), F.col("_found.lang")).otherwise(UND).alias(pred), F.when(F.col("_lettered"), F.col("_found.score")).otherwise(0.0).alias(score))
+    found, lettered = free_name(docs, "_found"), free_name(docs, "_lettered")
+    told = docs.withColumn(found, best(F.col(text))).withColumn(lettered, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    return told.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col(lettered), F.col(f"{found}.lang")).otherwise(UND).alias(pred), F.when(F.col(lettered), F.col(f"{found}.score")).otherwise(0.0).alias(score))
 
 
 def reject(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:

@@ -9,7 +9,8 @@ of that order holds the sources in about their weights.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens and go with their block.
 A source with no tokens at all gets no weight: it is passed once if min_passes is 1 or more, else left out.
-Repeated rows are documents of their own. No rows give no rows.
+Repeated rows are documents of their own. No rows give no rows. Columns that clash with new ones stay as they are: the new
+ones take underscores before their names.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import Scratch, free_name, staged
 
 BLOCKS = 1024
 MOST_SOURCES = 100_000  # totals of so many sources may come to the driver
-BROADCAST_ROWS = 200_000  # a plan of blocks with more rows than this is joined by shuffle
+BROADCAST_ROWS = 200_000  # rows of the plan that are broadcast: the largest sources'; the other sources are joined by shuffle
 NULL_SOURCE = "\x00null"
 
 
@@ -94,29 +95,49 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     """
     spark = docs.sparkSession
     n, weight, epoch, block, rank, at = (free_name(docs, c) for c in ("n_tokens", "weight", "epoch", "block", "block_rank", "at"))
-    own = docs.withColumn(n, tokens if tokens is not None else words(text)).withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(NULL_SOURCE))).withColumn(block, F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(BLOCKS)).cast("int"))
-    blocks = own.groupBy("_source", F.col(block).alias("_block")).agg(F.sum(n).alias("_tokens")).persist()
-    totals = {r[0]: int(r[1]) for r in blocks.groupBy("_source").agg(F.sum("_tokens")).limit(MOST_SOURCES + 1).collect()}
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    if entropy_gain is not None and totals:
-        t = np.array(list(totals.values()), dtype=float)
-        natural = entropy(weights(t, 1.0))
-        target_entropy = natural + entropy_gain * (math.log(max((t > 0).sum(), 1)) - natural)
-    m = fit(totals, sum(totals.values()) if budget is None and not min_passes else budget, target_entropy, max_repeats, min_passes)
-    rows = [(s, t, m.weights[s], m.budgets[s]) if t else (s, 1, 0.0, 1.0 if min_passes >= 1 else 0.0) for s, t in totals.items()]
-    plan = spark.createDataFrame(rows, "_source string, _total long, _weight double, _budget double")
-    each = Window.partitionBy("_source", "_epoch").orderBy("_order", "_block")  # BLOCKS rows at most
-    plan = (
-        blocks.join(F.broadcast(plan), "_source")
-        .withColumn("_passes", F.floor(F.col("_budget") / F.col("_total") + 1e-9).cast("int"))
-        .withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_passes"))))
-        .withColumn("_order", F.xxhash64(F.lit(seed + 1), "_source", "_epoch", "_block"))
-        .withColumn("_rank", F.row_number().over(each) - 1)
-        .withColumn("_before", F.sum("_tokens").over(each.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_tokens"))
-        .where((F.col("_epoch") < F.col("_passes")) | (F.col("_before") + F.col("_tokens") / 2 < F.col("_budget") - F.col("_passes") * F.col("_total")))
-        .select("_source", "_block", "_epoch", "_weight", "_rank", ((F.col("_epoch") * F.col("_total") + F.col("_before")) / F.col("_budget")).alias("_at"))
+    src, blk = free_name(docs, "_source"), free_name(docs, "_block")
+    own = docs.withColumn(n, tokens if tokens is not None else words(text)).withColumn(src, F.coalesce(F.col(source).cast("string"), F.lit(NULL_SOURCE)))
+    own = own.withColumn(blk, F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(BLOCKS)).cast("int"))
+    with Scratch(spark) as s:
+        blocks = s.staged(own.groupBy(F.col(src).alias("source"), F.col(blk).alias("block")).agg(F.sum(n).alias("tokens")), "blocks")
+        totals = {r[0]: int(r[1]) for r in blocks.groupBy("source").agg(F.sum("tokens")).limit(MOST_SOURCES + 1).collect()}
+        if len(totals) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
+        if entropy_gain is not None and totals:
+            t = np.array(list(totals.values()), dtype=float)
+            natural = entropy(weights(t, 1.0))
+            target_entropy = natural + entropy_gain * (math.log(max((t > 0).sum(), 1)) - natural)
+        m = fit(totals, sum(totals.values()) if budget is None and not min_passes else budget, target_entropy, max_repeats, min_passes)
+        rows = [(s_, t, m.weights[s_], m.budgets[s_]) if t else (s_, 1, 0.0, 1.0 if min_passes >= 1 else 0.0) for s_, t in totals.items()]
+        plan = staged(permuted(blocks, spark.createDataFrame(rows, "source string, total long, weight double, budget double"), seed), "mixing-plan")
+    # the largest sources meet their blocks by broadcast, so that no key is hot; the plan of the rest may be of any length
+    large, left = [], BROADCAST_ROWS
+    for s_, t, _, b in sorted(rows, key=lambda r: (-r[1], r[0])):
+        left -= BLOCKS * (int(b / t + 1e-9) + 1)
+        if left < 0:
+            break
+        large.append(s_)
+    def passed(part: DataFrame, plan: DataFrame) -> DataFrame:
+        o, p = part.alias("o"), plan.alias("p")
+        both = o.join(p, [F.col("p.source") == F.col(f"o.{src}"), F.col("p.block") == F.col(f"o.{blk}")])
+        return both.select(*[F.col(f"o.`{c}`") for c in docs.columns], F.col(f"o.{n}"), F.col("p.weight").alias(weight), F.col("p.epoch").alias(epoch), F.col("p.block").alias(block), F.col("p.rank").alias(rank), F.col("p.at").alias(at))
+
+    if len(large) == len(rows):
+        return passed(own, F.broadcast(plan))
+    is_large = F.col(src).isin(large)
+    return passed(own.where(is_large), F.broadcast(plan.where(F.col("source").isin(large)))).union(passed(own.where(~is_large), plan.where(~F.col("source").isin(large)).hint("merge")))
+
+
+def permuted(blocks: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """source, block, epoch, weight, rank and at: in every pass over a source its blocks in an order of their own, up to the budget."""
+    each = Window.partitionBy("source", "epoch").orderBy("order", "block")  # BLOCKS rows at most
+    return (
+        blocks.join(F.broadcast(sources), "source")
+        .withColumn("passes", F.floor(F.col("budget") / F.col("total") + 1e-9).cast("int"))
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes"))))
+        .withColumn("order", F.xxhash64(F.lit(seed + 1), "source", "epoch", "block"))
+        .withColumn("rank", F.row_number().over(each) - 1)
+        .withColumn("before", F.sum("tokens").over(each.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
+        .where((F.col("epoch") < F.col("passes")) | (F.col("before") + F.col("tokens") / 2 < F.col("budget") - F.col("passes") * F.col("total")))
+        .select("source", "block", "epoch", "weight", "rank", ((F.col("epoch") * F.col("total") + F.col("before")) / F.col("budget")).alias("at"))
     )
-    most = sum(BLOCKS * (int(b / t + 1e-9) + 1) for _, t, _, b in rows)
-    out = own.withColumnRenamed(block, "_block").join(F.broadcast(plan) if most <= BROADCAST_ROWS else plan.hint("merge"), ["_source", "_block"])
-    return out.select(*[docs[c] for c in docs.columns], F.col(n), F.col("_weight").alias(weight), F.col("_epoch").alias(epoch), F.col("_block").alias(block), F.col("_rank").alias(rank), F.col("_at").alias(at))
