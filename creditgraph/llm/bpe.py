@@ -5,11 +5,12 @@ lowest rank until no pair has a rank. Ranks come from a literal map of the whole
 pieces whose checksum falls there. Words are counted over all documents, the fold encodes the most frequent distinct ones
 (at most MOST_WORDS, of LONGEST characters at most), and their ids are broadcast. Tasks cut whole texts into words by the vocabulary's
 pattern and put the words' ids in order; a word outside the broadcast is merged where it stands, as there are too many
-such words for the interpreted fold. No text is shuffled. Decoding looks each id's bytes up in a literal array and
+such words for the interpreted fold: the new words of some megabytes of text together, one merge of each at a time. No text is shuffled. Decoding looks each id's bytes up in a literal array and
 concatenates them.
 
 Defined cases: a null text is encoded as an empty one, to no ids. Texts, words and ids may have any length.
-Ids outside the vocabulary decode to nothing. No rows give no rows.
+Ids outside the vocabulary decode to nothing. No rows give no rows. A column that clashes with the new one gets to keep its name:
+the new one takes underscores before its own.
 """
 
 from __future__ import annotations
@@ -17,21 +18,20 @@ from __future__ import annotations
 import base64
 import binascii
 import json
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions
+from .common import Scratch, free_name, partitions, top_words
 
 SLOTS = 1 << 12
 MOST_WORDS = 200_000
@@ -39,6 +39,7 @@ LONGEST = 64  # characters of a word of the dictionary
 MARKS = frozenset(".,;:!?")  # neither letters, numbers nor white space
 NONE = 1 << 62
 CACHED = 250_000  # chunks that a Python worker remembers
+PIECE = 1 << 23  # characters of text in a piece of work, or one text
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -132,58 +133,101 @@ def plain_words(chunk: str, find) -> list[str]:
     return find(" " + chunk)
 
 
+def pieces(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about PIECE characters; a null one is empty."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t.as_py() or "")
+        size += len(some[-1])
+        if size >= PIECE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def after_first(texts: list[str]) -> pa.ListArray:
+    """The chunks of each text but its first one."""
+    return pc.list_slice(pc.split_pattern(pa.array(texts, pa.string()), " "), 1)
+
+
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word, n over all of docs (text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = splitter(pattern).findall
-        for b in batches:
-            seen, first, whole = Counter(), Counter(), Counter()
-            for t in b["text"]:
-                c = chunks(t) if t else None
-                if c is not None:
-                    first[c[0]] += 1
-                    seen.update(c[1:])
-                elif t:
-                    whole.update(find(t))
-            for c, n in first.items():
-                for w in find(c):
-                    whole[w] += n
-            for c, n in seen.items():
-                for w in plain_words(c, find):
-                    whole[w] += n
-            yield pd.DataFrame({"word": list(whole), "n": list(whole.values())})
-
-    return docs.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """The words with the highest counts: as many of these as fit into most."""
-    counts = counts.persist()
-    sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).toPandas()
-    fits = sizes[sizes["words"].cumsum() <= most]
-    return counts.where((F.col("n") >= int(fits["n"].min() if len(fits) else 2**62)) & (F.length("word") <= LONGEST)).select("word")
-
-
-def fold_word(word: bytes, ranks: dict[bytes, int]) -> bytes:
-    """The ids of one word as bytes of 32-bit numbers: the same merges, for a word that is not in the dictionary."""
-    if len(word) > LONGEST:
-        return fold_long_word(word, ranks)
-    get, parts = ranks.get, [word[i : i + 1] for i in range(len(word))]
-    r = [get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
-    while r and (best := min(r)) < NONE:
-        i = r.index(best)
-        pair = parts[i] = parts[i] + parts.pop(i + 1)
-        del r[i]
-        if i:
-            r[i - 1] = get(parts[i - 1] + pair, NONE)
-        if i < len(r):
-            r[i] = get(pair + parts[i + 1], NONE)
-    return array("i", map(ranks.__getitem__, parts)).tobytes()
+        for batch in batches:
+            for some in pieces(batch.column("text")):
+                whole, plain = Counter(), []
+                for t in some:
+                    c = chunks(t)
+                    if c is None:
+                        whole.update(find(t))
+                    else:
+                        plain.append(t)
+                        whole.update(find(c[0]))
+                seen = pc.value_counts(after_first(plain).flatten())
+                for c, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist(), strict=True):
+                    for w in plain_words(c, find):
+                        whole[w] += n
+                yield pa.RecordBatch.from_pydict({"word": pa.array(list(whole), pa.string()), "n": pa.array(list(whole.values()), pa.int64())})
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Pairs:
+    """The pairs of ids that a vocabulary merges, sorted, with the ids that they become; and the ids of single bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = sorted((ranks[p[:i]] << 32 | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks)
+        self.keys, self.ids = (np.array([x[k] for x in found] + [1 << 62], dtype=np.int64) for k in (0, 1))
+        self.ids[-1] = NONE
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ids that a and b become (which are the ranks of their merges), NONE where they don't merge or one is no id."""
+        key = np.where((a >= 0) & (b >= 0), a << 32 | b, 1 << 62)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ids[at], NONE)
+
+
+def fold_words(words: list[bytes], pairs: Pairs) -> list[bytes]:
+    """The ids of words, of LONGEST bytes at most, as bytes of 32-bit numbers: the same merges, for words outside the dictionary.
+
+    Every round makes one merge in each word that has one left, so all of them get shorter by one together.
+    """
+    out: list[bytes] = [b""] * len(words)
+    size = np.array([*map(len, words)], dtype=np.int64)
+    for least, most in ((0, 8), (8, 16), (16, LONGEST)):
+        no = np.flatnonzero((size > least) & (size <= most))
+        if not len(no):
+            continue
+        ids = np.full((len(no), most), -1, dtype=np.int64)
+        ids[np.arange(most) < size[no, None]] = pairs.bytes[np.frombuffer(b"".join([words[i] for i in no]), dtype=np.uint8)]
+        rank = pairs.merge(ids[:, :-1], ids[:, 1:])
+        while len(no):
+            k = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(no), dtype=np.int64)
+            best = rank[np.arange(len(no)), k] if rank.shape[1] else np.full(len(no), NONE)
+            done = best == NONE
+            if done.any():
+                rest, left = ids[done].astype(np.int32), (ids[done] >= 0).sum(axis=1)
+                for i, row, n in zip(no[done], rest, left, strict=True):
+                    out[i] = row[:n].tobytes()
+                no, ids, rank, k, best = no[~done], ids[~done], rank[~done], k[~done], best[~done]
+            rows, width = np.arange(len(no)), ids.shape[1]
+            if not len(no):
+                break
+            col = np.arange(width - 1)
+            ids[rows, k] = best
+            ids = np.take_along_axis(ids, col + (col > k[:, None]), axis=1)
+            rank = np.take_along_axis(rank, col[:-1] + (col[:-1] >= k[:, None]), axis=1)
+            for at, live in ((k - 1, k > 0), (k, k < width - 2)):
+                rank[rows[live], at[live]] = pairs.merge(ids[rows[live], at[live]], ids[rows[live], at[live] + 1])
+    return out
 
 
 def fold_long_word(word: bytes, ranks: dict[bytes, int]) -> bytes:
-    """fold_word() with a heap of pairs."""
+    """The ids of one word of any length, by a heap of pairs."""
     n = len(word)
     parts: list[bytes] = [word[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -211,43 +255,87 @@ def fold_long_word(word: bytes, ranks: dict[bytes, int]) -> bytes:
 class Dictionary:
     """The ids of broadcast words as bytes of 32-bit numbers, and what a Python worker has made of chunks with them."""
 
-    def __init__(self, words: dict[str, bytes], ranks: dict[bytes, int], pattern: str):
-        self.words, self.ranks, self.find = words, ranks, splitter(pattern).findall
+    def __init__(self, words: dict[str, bytes], ranks: dict[bytes, int], pairs: Pairs, pattern: str):
+        self.words, self.ranks, self.pairs, self.find = words, ranks, pairs, splitter(pattern).findall
         self.cache: dict[str, bytes] = {}
 
-    def word(self, w: str) -> bytes:
-        return self.words.get(w) or fold_word(w.encode("utf-8", "surrogatepass"), self.ranks)
-
-    def chunk(self, c: str) -> bytes:
-        """The ids of a space and a chunk."""
-        if len(self.cache) >= CACHED:
-            self.cache.clear()
-        got = self.cache[c] = b"".join(map(self.word, plain_words(c, self.find)))
-        return got
-
-    def ids(self, text: str) -> np.ndarray:
-        c = chunks(text)
-        if c is None:
-            return np.frombuffer(b"".join(map(self.word, self.find(text))), dtype=np.int32)
-        get, new = self.cache.get, self.chunk
-        first = b"".join(map(self.word, self.find(c[0])))
-        return np.frombuffer(b"".join([first, *[get(x) or new(x) for x in c[1:]]]), dtype=np.int32)
+    def fold(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not in the dictionary."""
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        made = fold_words([w if len(w) <= LONGEST else b"" for w in coded], self.pairs)
+        return {w: m or fold_long_word(c, self.ranks) for w, c, m in zip(words, coded, made, strict=True)}
+
+    def joined(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words."""
+        known = self.words
+        new = self.fold([*{w for ws in split for w in ws if w not in known}])
+        return [b"".join([known.get(w) or new[w] for w in ws]) for ws in split]
+
+    def chunk_ids(self, found: list[str]) -> list[bytes]:
+        """The ids of each of distinct chunks, with a space before it."""
+        known, cache, find = self.words, self.cache, self.find
+        out = [known.get(" " + c) if c.isalpha() else cache.get(c) for c in found]
+        new = [i for i, x in enumerate(out) if x is None]
+        made = self.joined([plain_words(found[i], find) for i in new])
+        if len(cache) + len(new) > CACHED:
+            cache.clear()
+        for i, x in zip(new, made, strict=True):
+            out[i] = x
+            if len(cache) < CACHED and not found[i].isalpha():
+                cache[found[i]] = x
+        return out
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has.
+
+        Entries are each distinct chunk's ids, and for every text those of its first chunk, or of all of it if it can't be cut.
+        """
+        cut = [chunks(t) for t in texts]
+        heads = self.joined([self.find(t if c is None else c[0]) for t, c in zip(texts, cut, strict=True)])
+        rest = after_first(["" if c is None else t for t, c in zip(texts, cut, strict=True)])
+        flat = rest.flatten().dictionary_encode()
+        entries = [*self.chunk_ids(flat.dictionary.to_pylist()), *heads]
+        size = np.fromiter((len(e) >> 2 for e in entries), dtype=np.int64, count=len(entries))
+        begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(entries), dtype=np.int32)
+        chunks_of = rest.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.cumsum(chunks_of) - chunks_of
+        order = np.insert(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), at, len(flat.dictionary) + np.arange(len(texts)))
+        take = size[order]
+        ends = np.cumsum(take)
+        place = np.repeat(begin[order] - (ends - take), take) + np.arange(int(take.sum()))
+        bounds = np.concatenate([[0], ends])
+        first = at + np.arange(len(texts))
+        return ids[place], bounds[first + chunks_of + 1] - bounds[first]
+
+
+def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = MOST_WORDS) -> dict[str, bytes]:
+    """The most frequent words of docs (text) with their ids, made by the fold."""
+    spark = docs.sparkSession
+    with Scratch(spark) as s:
+        counts = s.staged(word_counts(docs, pattern), "word-counts")
+        top = top_words(counts.where(F.length("word") <= LONGEST), most)
+        parts = partitions(spark)
+        some = top.select("word").repartition(parts).groupBy(F.pmod(F.xxhash64("word"), F.lit(512))).agg(F.collect_list("word").alias("words")).repartition(parts)  # MOST_WORDS / 512 words each
+        got = some.select("words", merged(F.col("words"), rank_map(ranks)).alias("ids")).toPandas()
+    return {w: np.asarray(i, dtype=np.int32).tobytes() for ws, all_ in zip(got["words"], got["ids"], strict=True) for w, i in zip(ws, all_, strict=True)}
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of each text."""
-    top = frequent(word_counts(docs.select(F.col(text).alias("text")), pattern))
-    some = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(512))).agg(F.collect_list("word").alias("words")).repartition(partitions(docs.sparkSession))  # MOST_WORDS / 512 words each
-    got = some.select("words", merged(F.col("words"), rank_map(ranks)).alias("ids")).toPandas()
-    known = {w: np.asarray(i, dtype=np.int32).tobytes() for ws, all_ in zip(got["words"], got["ids"], strict=True) for w, i in zip(ws, all_, strict=True)}
-    shared, kept = docs.sparkSession.sparkContext.broadcast((known, ranks)), list(docs.columns)
+    """docs with the ids of each text, in a last column."""
+    ids = free_name(docs, ids)
+    known = dictionary(docs.select(F.col(text).alias("text")), ranks, pattern)
+    shared, kept, at = docs.sparkSession.sparkContext.broadcast((known, ranks, Pairs(ranks))), list(docs.columns), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = Dictionary(*shared.value, pattern)
         for batch in batches:
-            out = [d.ids(t or "") for t in batch.column(text).to_pylist()]
-            made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, ids])
+            done = 0
+            for some in pieces(batch.column(at)):
+                made, size = d.ids(some)
+                made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(made, pa.int32()))
+                own = batch.slice(done, len(some))
+                yield pa.RecordBatch.from_arrays([*own.columns, made], names=[*kept, ids])
+                done += len(some)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
