@@ -1,18 +1,24 @@
 """Exact Jaccard self-join of shingle sets that skips by set relations.
 
-A set is kept sorted by shingle hash and cut by hash value into blocks, as many as two linked sets can differ in
-shingles, and a spare one: so linked sets agree in the whole content of a block. The index lists are keyed by (band of set
-sizes, block position, block content). A list thus skips, a block at a time, every set of another size, and every
-set that differs at that position; common shingles and shared passages don't make lists long, whole equal blocks do.
-
-Equal sets are one set from the start. In a list every set is compared with the list's leader only, and takes over that
-set's answers where they are linked: it is in the same component as all that the leader is linked with, so no pair of them is
-compared. Where a set is not linked with the leader, that leader's lists stay open. The sets of open lists are compared in bounded blocks
-of like sizes, by matrix products that give all intersections of two blocks at once; only the links that connect
-components come out. No group is expanded into its pairs as rows.
+Shingles are ordered from rare to frequent, by counts over all documents in a table of SLOTS counters (so roughly, which
+costs time only: any order is right), and by hash where those are alike. The index lists hold a set under its first shingles: so many that
+two linked sets share one of them. An entry has the set's size and the shingle's position in it, lists are sorted by size, and two
+entries meet only where sizes and positions leave room for enough common shingles after them. So a list is skipped through in runs
+of sizes and positions, and frequent shingles have no lists to speak of.
+
+Set relations save the rest. Equal sets are one set from the start. In lists of more than LIGHT entries (of like sizes) a
+set is compared with the list's leader first, which gives the shingles that it differs in from the leader. Where all sets of a leader
+are linked with it, its answers are theirs and no pair of them is compared. Elsewhere their intersections are derived from the leader's
+answers: two sets R and T of leader S have |S| - |S-R| - |S-T| + |RxS and TxS| shingles in common, where RxS are those that R and S differ in,
+so only the few differing shingles are sent and multiplied, as matrices, in bounded blocks. A set that differs from the leader in more than twice what links may
+differ in is compared by its whole set with others like it; one below that and one above three times it are never compared, as they can't be
+linked. Only links that connect components come out of blocks, so no group is expanded into its pairs as rows.
+
+The last step still takes time with the square of the number of sets that are much alike, but not linked with their leader.
+Shingles are told apart by 64-bit hashes; "exact" holds unless two of those collide.
 
 Defined cases: null and empty texts have no shingles, and are linked with nothing. Rows that repeat an id
-are one document; a null id has a null component. No rows give no rows.
+are one document, of which one row is compared; a null id has a null component. No rows give no rows. Other columns of docs play no part.
 """
 
 from __future__ import annotations
@@ -25,15 +31,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch, staged
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 20  # bytes of text in a piece of work
 SALTS = 256
 BROADCAST_IDS = 1_000_000  # more documents in lists than this are joined with their texts by shuffle
-BLOCK = 100_000  # shingles of the sets that are compared at once with another such block
-EMPTY = U(0x5851F42D4C957F2D)
+SLOTS, SLOT_BITS, PART = 1 << 20, 20, 1 << 14  # counters of shingles, and how many of them go in a row
+LIGHT = 16  # lists of so many entries at most are compared entry by entry; in longer ones leaders settle what they can first
+BLOCK, ROWS = 200_000, 2_048  # shingles, and sets, that are compared at once with another such block
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -111,236 +118,293 @@ class Threshold:
     def links(self, inter, a, b):
         return self.den * inter >= self.num * (a + b - inter)
 
-    @lru_cache(4)  # noqa: B019
-    def bands(self, most: int) -> np.ndarray:
+    def need(self, a, b):
+        """The least intersection of linked sets of these sizes."""
+        return -(-self.num * (a + b) // (self.num + self.den))
+
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """So many shingles of a set of n share one with every linked set's first ones."""
+        return n - self.need(n, -(-self.num * n // self.den)) + 1
+
+    def meet(self, na, pa, nb, pb):
+        """Whether sets of sizes na <= nb can be linked if a shingle at these positions is the first that they share."""
+        need = self.need(na, nb)
+        return (self.den * na >= self.num * nb) & (pa <= na - need) & (pb <= nb - need)
+
+    def bands(self) -> list[int]:
         """Least sizes of the bands: a linked set is in a set's own band or in one beside it."""
         e = [1]
-        while e[-1] <= most:
+        while e[-1] < 1 << 40:
             e.append(e[-1] * self.den // self.num + 1)
-        return np.array([*e, e[-1] * self.den // self.num + 1, e[-1] * self.den * self.den // self.num // self.num + 2])
-
-    def differ(self, hi: np.ndarray) -> np.ndarray:
-        """The most shingles that two linked sets of at most hi shingles differ in."""
-        return 2 * hi * (self.den - self.num) // (self.den + self.num)
+        return e
 
-
-def spares(d: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Blocks beyond d + 1: as many as a set of a size seldom has empty ones, so that agreeing in empty blocks can be left out."""
-    empty = (d + 2) * np.exp(-size / (d + 2))
-    return 1 + np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64) * (empty > 0.05)
-
-
-def signatures(sets: list[np.ndarray], t: Threshold) -> list[np.ndarray]:
-    """The index lists that each set is in: for its own band and for the next, those of its blocks."""
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=U)
-    owner = np.repeat(np.arange(len(sets)), n)
-    edges = t.bands(int(n.max(initial=1)))
-    band = np.searchsorted(edges, np.maximum(n, 1), "right") - 1
-    found_o, found_s = [], []
-    for up in (0, 1):
-        scheme = band + up
-        d = t.differ(edges[scheme + 1] - 1)
-        spare = spares(d, edges[scheme])
-        blocks = np.where((d > 0) & (n > 0), d + 1 + spare, 0)
-        live = blocks[owner] > 0
-        o, h = owner[live], flat[live]
-        j = ((h >> U(32)) * blocks[o].astype(U)) >> U(32)
-        cell = o * (int(blocks.max(initial=0)) + 1) + j.astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, int)
-        if not len(start):
-            continue
-        so, sj = o[start], j[start]
-        content = np.add.reduceat(mixed(h + U(11)), start)
-        found_o.append(so)
-        found_s.append(mixed(content + mixed((scheme[so].astype(U) << U(32)) + sj)))
-        # equal empty blocks tell of nothing; a set with more of them than the spare blocks make up for lists those too
-        full = np.bincount(so, minlength=len(sets))
-        for i in np.flatnonzero(blocks - full > spare):
-            rest = np.setdiff1d(np.arange(blocks[i], dtype=U), sj[so == i])
-            found_o.append(np.full(len(rest), i))
-            found_s.append(mixed(EMPTY + mixed((U(scheme[i]) << U(32)) + rest)))
-    if not found_o:
-        return [np.zeros(0, dtype=np.int64)] * len(sets)
-    o, s = np.concatenate(found_o), np.concatenate(found_s)
-    by = np.argsort(o, kind="stable")
-    return np.split(s[by].view(np.int64), np.cumsum(np.bincount(o, minlength=len(sets)))[:-1])
+    def differ(self, n):
+        """The most shingles that two linked sets differ in, if their sizes are at most two bands above n."""
+        return 2 * (n * self.den * self.den / (self.num * self.num) + self.den / self.num + 2) * (self.den - self.num) / (self.den + self.num)
 
 
 def described(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n and a 128-bit key of the set."""
+    """Rows of documents: doc_id, n and a 128-bit key of the set; and rows of counters: part, counts, of the shingles that a task saw."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(SLOTS, dtype=np.int64)
         for b in batches:
             for at, some in pieces([x or "" for x in b["text"]]):
                 sets = sets_of(some, k)
+                seen += np.bincount((np.concatenate(sets) >> U(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
                 yield pd.DataFrame({
                     "doc_id": b["doc_id"].iloc[at : at + len(some)].array,
                     "n": [len(s) for s in sets],
                     "k1": [int(mixed(s + U(1)).sum(dtype=U).view(np.int64)) for s in sets],
                     "k2": [int(mixed(s ^ U(BASE)).sum(dtype=U).view(np.int64)) for s in sets],
+                    "part": pd.array([-1] * len(some), dtype="int32"),
+                    "counts": [None] * len(some),
                 })
+        if seen.any():
+            rows = [(p, seen[p * PART : (p + 1) * PART]) for p in range(SLOTS // PART)]
+            yield pd.DataFrame({"doc_id": pd.array([None] * len(rows), dtype="Int64"), "n": 0, "k1": 0, "k2": 0, "part": [p for p, _ in rows], "counts": [c for _, c in rows]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, part int, counts array<long>")
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long")
+def ranks(counted: DataFrame) -> np.ndarray:
+    """For every slot the bit length of its count, from the tasks' counters: SLOTS bytes, whatever the input."""
 
+    def total(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [g["part"].iloc[0]], "counts": [np.sum(np.stack([*g["counts"]]), axis=0)]})
 
-def entries_of(docs: DataFrame, t: Threshold, k: int) -> DataFrame:
-    """(list, member): the index lists that each document is in."""
+    rows = counted.where("part >= 0").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("some"))
+    some = rows.groupBy("part", "some").applyInPandas(total, "part int, counts array<long>")
+    out = np.zeros(SLOTS, dtype=np.int64)
+    for r in some.groupBy("part").applyInPandas(total, "part int, counts array<long>").toLocalIterator():
+        out[r["part"] * PART : (r["part"] + 1) * PART] = r["counts"]
+    return np.ceil(np.log2(out + 1)).astype(np.uint8)
+
+
+def first_shingles(sets: list[np.ndarray], rank: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(list, size, position, number of the set) of the shingles that sets are listed under."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=U)
+    owner = np.repeat(np.arange(len(sets)), n)
+    o = np.lexsort((flat, rank[(flat >> U(64 - SLOT_BITS)).astype(np.int64)], owner))
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    keep = at < np.repeat(t.prefix(n), n)
+    return flat[o][keep].view(np.int64), n[owner[keep]], at[keep], owner[keep]
+
+
+def entries_of(docs: DataFrame, rank: np.ndarray, t: Threshold, k: int) -> DataFrame:
+    """(list, n, at, member): the index lists that each document is in."""
+    shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            ids = b["doc_id"].to_numpy(dtype=np.int64)
             for at, some in pieces([x or "" for x in b["text"]]):
-                lists = signatures(sets_of(some, k), t)
-                yield pd.DataFrame({"list": np.concatenate(lists), "member": np.repeat(b["doc_id"].to_numpy(dtype=np.int64)[at : at + len(some)], [len(x) for x in lists])})
+                lists, n, place, owner = first_shingles(sets_of(some, k), shared.value, t)
+                yield pd.DataFrame({"list": lists, "n": n.astype(np.int32), "at": place.astype(np.int32), "member": ids[at + owner]})
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "list long, n int, at int, member long")
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "list long, member long")
 
+def meetings(lists: np.ndarray, n: np.ndarray, at: np.ndarray, ids: np.ndarray, t: Threshold, most: int) -> np.ndarray:
+    """Distinct pairs (less id, greater id) of entries that can be linked; they are sorted by list and size, and a list has most of them at most."""
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    i = np.arange(len(lists))
+    for lag in range(1, most):
+        i = i[i + lag < len(lists)]
+        i = i[lists[i] == lists[i + lag]]  # an entry with no partner at a lag has none at greater ones
+        if not len(i):
+            break
+        j = i + lag
+        hit = t.meet(n[i], at[i], n[j], at[j]) & (ids[i] != ids[j])
+        found.append(np.stack([np.minimum(ids[i[hit]], ids[j[hit]]), np.maximum(ids[i[hit]], ids[j[hit]])], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
-def led(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct (leader, member) of all lists of two or more, leaders left out as members; and (list, leader) of cut lists.
 
-    Lists are dealt out by ranges of (list, id), so a long one goes to several tasks, each with a leader of its own;
-    those leaders are then members under the first of them. A task makes its pairs distinct before it hands them on.
+def light_pairs(entries: DataFrame, t: Threshold, most: int = LIGHT) -> DataFrame:
+    """Pairs (a, b) from lists of `most` entries at most; and rows (list, n, at, a) of the other lists, and of those at the edge of a task.
+
+    Lists are dealt out by ranges of (list, size, position, id), so a long one goes to several tasks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, edge = None, []
-        for b in batches:
-            s, m = b["list"].to_numpy(), b["member"].to_numpy()
-            if not len(s):
+        columns = ("list", "n", "at", "member")
+        tail = [np.zeros(0, dtype=np.int64)] * 4
+        first = last = None  # the task's first list, and one that is known to be long
+
+        def left(rows: list[np.ndarray]) -> pd.DataFrame:
+            return pd.DataFrame({"list": rows[0], "n": rows[1].astype(np.int32), "at": rows[2].astype(np.int32), "a": rows[3], "b": pd.array([None] * len(rows[0]), dtype="Int64")})
+
+        for batch in batches:
+            rows = [np.concatenate([x, batch[c].to_numpy(dtype=np.int64)]) for x, c in zip(tail, columns, strict=True)]
+            if not len(rows[0]):
                 continue
-            new = np.concatenate([[head is None or s[0] != head[0]], s[1:] != s[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            leader = np.where(at >= 0, m[np.maximum(at, 0)], head[1] if head else 0)
-            if head is None:
-                edge.append((s[0], leader[0]))
-            head = (s[-1], leader[-1])
-            pairs = np.unique(np.stack([leader, m], axis=1)[m != leader], axis=0)
-            yield pd.DataFrame({"list": 0, "leader": pairs[:, 0], "member": pairs[:, 1], "edge": False})
-        if head is not None:
-            edge.append(head)
-            yield pd.DataFrame({"list": [e[0] for e in edge], "leader": [e[1] for e in edge], "member": [e[1] for e in edge], "edge": True})
-
-    got = staged(entries.repartitionByRange("list", "member").sortWithinPartitions("list", "member").mapInPandas(run, "list long, leader long, member long, edge boolean").distinct(), "led")
-    w = Window.partitionBy("list")  # two rows of each task at most
-    cut = staged(got.where("edge").select("list", "leader", F.min("leader").over(w).alias("first"), F.max("leader").over(w).alias("last")).where("first != last"), "cut")
-    edges = cut.where("leader != first").select(F.col("first").alias("leader"), F.col("leader").alias("member"))
-    return got.where("not edge").select("leader", "member").unionByName(edges).distinct(), cut.select("list", "leader")
-
-
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) with the size of the intersection and of both sets. The set of a goes along once for each salt of its pairs."""
-
-    @F.pandas_udf("int")
-    def common(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype="int32")
+            lists = rows[0]
+            first = lists[0] if first is None else first
+            start = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+            size = np.diff([*start, len(lists)])
+            long = (size > most) | (lists[start] == first) | ((lists[start] == last) if last is not None else False)
+            if long[-1]:
+                last = lists[-1]
+            long, ends = np.repeat(long, size), lists == lists[-1]
+            out, now = long, ~long & ~ends
+            tail = [x[~long & ends] for x in rows]  # may go on in the next batch
+            if out.any():
+                yield left([x[out] for x in rows])
+            pairs = meetings(*(x[now] for x in rows), t, most)
+            yield pd.DataFrame({"list": 0, "n": np.int32(0), "at": np.int32(0), "a": pairs[:, 0], "b": pd.array(pairs[:, 1], dtype="Int64")})
+        if len(tail[0]):
+            yield left(tail)
+
+    by = ("list", "n", "at", "member")
+    return entries.repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(run, "list long, n int, at int, a long, b long").distinct()
+
+
+def rest_pairs(left: DataFrame, t: Threshold, s: Scratch, most: int = LIGHT) -> DataFrame:
+    """(a, b, star) of the lists in left (list, n, at, member): all pairs of short ones, and of long ones those of a leader and a member.
+
+    Entries of a long list are taken by band of sizes, and meet those of their own band and of the next ones to it.
+    """
+    size = left.groupBy("list").agg(F.count("*").alias("entries"))
+    own = s.staged(left.join(size, "list"), "left")
+    short = own.where(F.col("entries") <= most)
+    x, y = (short.select("list", F.col("n").alias(f"n{i}"), F.col("at").alias(f"p{i}"), F.col("member").alias(f"m{i}")) for i in (1, 2))
+    need = F.ceil(t.num * (F.col("n1") + F.col("n2")) / F.lit(t.num + t.den))
+    both = x.join(y, "list").where((F.col("m1") < F.col("m2")) & (F.col("p1") <= F.col("n1") - need) & (F.col("p2") <= F.col("n2") - need))
+    pairs = both.select(F.col("m1").alias("a"), F.col("m2").alias("b"), F.lit(False).alias("star")).distinct()
+    band = F.size(F.filter(F.lit(t.bands()), lambda e: e <= F.col("n")))
+    long = own.where(F.col("entries") > most).select("list", "member", F.explode(F.array(band, band + 1)).alias("scheme"))
+    led = long.groupBy("list", "scheme").agg(F.min("member").alias("leader"), F.max("member").alias("other")).where("leader != other").drop("other")
+    stars = long.join(led, ["list", "scheme"]).where("leader != member").select(F.col("leader").alias("a"), F.col("member").alias("b"), F.lit(True).alias("star")).distinct()
+    return pairs.unionByName(stars)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b, star) with the sizes of both sets and of their intersection. For stars, items is what b differs in from a, if that is no more than three times what links may differ in.
+
+    The set of a goes along once for each salt of its pairs.
+    """
+
+    @F.pandas_udf("struct<inter int, items array<long>>")
+    def common(x: pd.Series, y: pd.Series, star: pd.Series) -> pd.DataFrame:
+        inter = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype=np.int32)
+        near = [s and len(a) + len(b) - 2 * i <= 3 * t.differ(len(a)) for a, b, i, s in zip(x, y, inter, star, strict=True)]
+        return pd.DataFrame({"inter": inter, "items": [np.setxor1d(a, b, assume_unique=True) if s else None for a, b, s in zip(x, y, near, strict=True)]})
 
     p = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     left = p.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
     right = p.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    return right.join(left, ["a", "salt"]).select("a", "b", common("x", "y").alias("inter"), F.size("x").alias("na"), F.size("y").alias("nb"))
+    return right.join(left, ["a", "salt"]).select("a", "b", "star", common("x", "y", "star").alias("c"), F.size("x").alias("na"), F.size("y").alias("nb")).select("a", "b", "star", "na", "nb", "c.*")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """(id, component), the smallest id reachable, for every id in edges (a, b).
 
     Each round every node joins the node of least hash among itself and its neighbours, and the edges are contracted to
     these; a constant share of the nodes goes with every round, however long the paths are.
     """
-    left = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    labels, seed = None, 0
-    while not left.isEmpty():
-        seed += 1
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "b").alias("h"), F.col("b").alias("to"))).alias("n"))
-        own = F.struct(F.xxhash64(F.lit(seed), "a").alias("h"), F.col("a").alias("to"))
-        step = staged(near.select(F.col("a").alias("id"), F.least("n", own)["to"].alias("to")), "steps")
-        labels = step.select("id", F.col("to").alias("component")) if labels is None else labels.join(step.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        labels = staged(labels, "labels")
-        ends = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
-        left = staged(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    if labels is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
-    least = staged(labels.groupBy("component").agg(F.min("id").alias("least")), "least")
-    return labels.join(least, "component").select("id", F.col("least").alias("component"))
-
-
-def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    with Scratch(edges.sparkSession) as s:
+        left = s.staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
+        labels, seed = None, 0
+        while not left.isEmpty():
+            seed += 1
+            both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "b").alias("h"), F.col("b").alias("to"))).alias("n"))
+            own = F.struct(F.xxhash64(F.lit(seed), "a").alias("h"), F.col("a").alias("to"))
+            step = s.staged(near.select(F.col("a").alias("id"), F.least("n", own)["to"].alias("to")), "steps")
+            labels = step.select("id", F.col("to").alias("component")) if labels is None else labels.join(step.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+            labels = s.staged(labels, "labels")
+            ends = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+            left = s.staged(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if labels is None:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
+        least = labels.groupBy("component").agg(F.min("id").alias("least"))
+        return keep.staged(labels.join(least, "component").select("id", F.col("least").alias("component")), "components")
+
+
+def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text: str = "text", doc_id: str = "doc_id", light: int = LIGHT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; documents link when den * intersection >= num * union of their k-word shingles."""
     t = Threshold(num, den)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    told = staged(described(own, k), "sets")
-    classes = staged(told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    rep = staged(told.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "rep")
-    # only the least of equal sets is listed, so every leader and member stands for its class
-    stars, cut = led(entries_of(joined(own, rep.where("doc_id != rep").select("doc_id").distinct(), "left_anti"), t, k))
-    links = linked(staged(stars, "stars"), cut, own, t, k)
-    found = components(links)
-    return rep.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-
-
-def joined(own: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    with Scratch(docs.sparkSession) as s:
+        told = s.staged(described(own, k), "sets")
+        rank = ranks(told)
+        told = told.where("part < 0")
+        classes = s.staged(told.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+        rep = told.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+        rep = s.staged(rep, "rep")
+        # only the least of equal sets is listed: it stands for its class
+        copies = rep.where("doc_id != rep").select("doc_id").distinct()
+        if not rep.where("doc_id = rep").groupBy("doc_id").count().where("count > 1").isEmpty():
+            own = own.dropDuplicates(["doc_id"])
+        found = components(linked(joined(own, copies, "left_anti", s), rank, t, k, s, light), s)
+        return staged(rep.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "joined")
+
+
+def joined(own: DataFrame, ids: DataFrame, how: str, s: Scratch) -> DataFrame:
     """Texts with ids in ids (doc_id), or without; few ids are broadcast."""
-    ids = staged(ids, "ids")
+    ids = s.staged(ids, "ids")
     return own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def hashed(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def hashed(own: DataFrame, ids: DataFrame, k: int, s: Scratch) -> DataFrame:
     """doc_id and the sets of the documents in ids (doc_id)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at, some in pieces([x or "" for x in b["text"]]):
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(some)].array, "hashes": [s.view(np.int64) for s in sets_of(some, k)]})
-
-    return joined(own, ids, "left_semi").mapInPandas(run, "doc_id long, hashes array<long>")
-
-
-def linked(stars: DataFrame, cut: DataFrame, own: DataFrame, t: Threshold, k: int) -> DataFrame:
-    """(a, b) links that connect all sets which links connect."""
-    ok = t.links(F.col("inter"), F.col("na"), F.col("nb"))
-    ids = stars.select(F.col("leader").alias("doc_id")).unionByName(stars.select(F.col("member").alias("doc_id"))).distinct()
-    sets = staged(hashed(own, ids, k), "hashes")
-    known = staged(compared(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")), sets).withColumn("linked", ok), "compared")
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(some)].array, "hashes": [x.view(np.int64) for x in sets_of(some, k)]})
+
+    return joined(own, ids, "left_semi", s).mapInPandas(run, "doc_id long, hashes array<long>")
+
+
+def linked(own: DataFrame, rank: np.ndarray, t: Threshold, k: int, s: Scratch, most: int = LIGHT) -> DataFrame:
+    """(a, b) links that connect all sets of own which links connect."""
+    if t.num == t.den:  # equal sets only
+        return own.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+    light = s.staged(light_pairs(entries_of(own, rank, t, k), t, most), "light")
+    rest = rest_pairs(light.where("b is null").select("list", "n", "at", F.col("a").alias("member")), t, s, most)
+    every = light.where("b is not null").select("a", "b", F.lit(False).alias("star")).unionByName(rest)
+    pairs = s.staged(every.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = s.staged(hashed(own, ids, k, s), "hashes")
+    known = s.staged(compared(pairs, sets, t).withColumn("linked", t.links(F.col("inter"), F.col("na"), F.col("nb"))), "compared")
     links = known.where("linked").select("a", "b")
-    # leaders that have not settled all their lists: some member is not linked with them, and there is another one beside
-    left = known.groupBy("a").agg(F.count("*").alias("size"), F.max(~F.col("linked")).alias("open")).where("open").select("a", "size")
-    # a list that was cut is settled as one: with any of its leaders open, or not linked with the first, all of them are open
-    parts = cut.join(left.select(F.col("a").alias("leader")), "leader", "left_semi").select("list").distinct()
-    beside = cut.join(parts, "list", "left_semi").select(F.col("leader").alias("a"))
-    left = staged(left.where("size > 1").select("a").unionByName(beside).distinct(), "open")
-    rest = staged(known.join(left.hint("merge"), "a", "left_semi").select("a", "b"), "rest")
-    if rest.isEmpty():
+    # a leader whose members are not all linked with it has not settled its lists, if it has more than one
+    left = s.staged(known.where("star").groupBy("a").agg(F.count("*").alias("size"), F.max(~F.col("linked")).alias("open")).where("open and size > 1").select("a"), "open")
+    if left.isEmpty():
         return links
-    return links.unionByName(in_blocks(rest, links, sets, t))
+    stars = known.where("star").join(left, "a")
+    near = stars.where("items is not null").select(F.col("a").alias("leader"), F.lit(0).alias("kind"), F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.col("na").alias("base"), (F.col("na") - F.col("inter")).alias("gone"), "items")
+    far = stars.where(F.col("na") + F.col("nb") - 2 * F.col("inter") > 2 * t.differ(F.col("na"))).select(F.col("a").alias("leader"), F.col("b").alias("doc_id"))
+    far = far.join(sets, "doc_id").select("leader", F.lit(1).alias("kind"), "doc_id", F.size("hashes").alias("n"), F.lit(0).alias("base"), F.lit(0).alias("gone"), F.col("hashes").alias("items"))
+    return links.unionByName(in_blocks(near.unionByName(far), links, t, s))
 
 
-def in_blocks(rest: DataFrame, links: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """Further links among the sets that open lists (pairs of leader and member) connect to each other.
+def in_blocks(groups: DataFrame, links: DataFrame, t: Threshold, s: Scratch) -> DataFrame:
+    """Further links among the sets of each group (leader, kind), told by what they differ in (items) from a base that lacks gone of their shingles.
 
-    Sets of one such cluster lie in blocks of about BLOCK shingles by band of sizes, and a block meets those of its own band
+    Sets of a group lie in blocks of about BLOCK items and ROWS sets by band of sizes, and a block meets those of its own band
     and of the next. Only links come out: of a pair of blocks no more than it takes to connect the components they are from.
     """
-    label = components(links).withColumnRenamed("component", "label")
-    cluster = components(rest).withColumnRenamed("component", "cluster")
-    # sets whose sizes differ by more than the threshold's factor are two bands apart or more
-    band = F.floor(F.log(F.size("hashes").cast("double")) / float(np.log(t.den / t.num)) + 1e-9).cast("int") if t.num < t.den else F.size("hashes")
-    at = cluster.join(label, "id", "left").select(F.col("id").alias("doc_id"), "cluster", F.coalesce("label", "id").alias("label"))
-    placed = staged(sets.join(at, "doc_id").withColumn("band", band), "placed")
-    size = placed.groupBy("cluster", "band").agg(F.ceil(F.sum(F.size("hashes")) / BLOCK).alias("parts"))
-    placed = placed.join(staged(size, "sizes"), ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
-    placed = staged(placed, "placed")
-    blocks = staged(placed.select("cluster", "band", "part").distinct(), "blocks")
-    low = blocks.select("cluster", F.col("band").alias("b1"), F.col("part").alias("p1"))
-    high = blocks.select("cluster", F.col("band").alias("b2"), F.col("part").alias("p2"))
-    meet = low.join(high, "cluster").where("b2 - b1 in (0, 1) and (b1 < b2 or p1 <= p2)").withColumn("meeting", F.xxhash64("cluster", "b1", "p1", "b2", "p2"))
-    sides = meet.select("meeting", "cluster", F.col("b1").alias("band"), F.col("p1").alias("part"), F.lit(0).alias("side")).unionByName(meet.select("meeting", "cluster", F.col("b2").alias("band"), F.col("p2").alias("part"), F.lit(1).alias("side")))
-    sent = placed.join(sides, ["cluster", "band", "part"]).select("meeting", "side", "doc_id", "label", "hashes")
+    label = components(links, s).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+    key = ["leader", "kind", "band"]
+    placed = groups.withColumn("band", F.size(F.filter(F.lit(t.bands()), lambda e: e <= F.col("n")))).join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    placed = s.staged(placed, "placed")
+    size = s.staged(placed.groupBy(*key).agg(F.greatest(F.ceil(F.sum(F.size("items")) / BLOCK), F.ceil(F.count("*") / ROWS), F.lit(1)).alias("parts")), "sizes")
+    placed = s.staged(placed.join(size, key).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts"), "placed")
+    blocks = s.staged(placed.select(*key, "part").distinct(), "blocks")
+    low = blocks.select("leader", "kind", F.col("band").alias("b1"), F.col("part").alias("p1"))
+    high = blocks.select("leader", "kind", F.col("band").alias("b2"), F.col("part").alias("p2"))
+    meet = low.join(high, ["leader", "kind"]).where("b2 - b1 in (0, 1) and (b1 < b2 or p1 <= p2)").withColumn("meeting", F.xxhash64("leader", "kind", "b1", "p1", "b2", "p2"))
+    sides = meet.select("meeting", "leader", "kind", F.col("b1").alias("band"), F.col("p1").alias("part"), F.lit(0).alias("side")).unionByName(meet.select("meeting", "leader", "kind", F.col("b2").alias("band"), F.col("p2").alias("part"), F.lit(1).alias("side")))
+    sent = placed.join(sides, [*key, "part"]).select("meeting", "side", "doc_id", "label", "n", "base", "gone", "items")
 
     def meeting(g: pd.DataFrame) -> pd.DataFrame:
         x, y = (g[g["side"] == i].sort_values("doc_id", ignore_index=True) for i in (0, 1))
-        inter = common(list(x["hashes"]), list(y["hashes"]))
-        na, nb = (np.array([len(h) for h in z["hashes"]], dtype=np.int64) for z in (x, y))
+        inter = common(list(x["items"]), list(y["items"]))
+        inter += int(g["base"].iloc[0]) - x["gone"].to_numpy(dtype=np.int64)[:, None] - y["gone"].to_numpy(dtype=np.int64)[None]
+        na, nb = (z["n"].to_numpy(dtype=np.int64) for z in (x, y))
         hit = t.links(inter, na[:, None], nb[None]) & (x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None])
         root: dict[int, int] = {}
 
@@ -357,7 +421,7 @@ def in_blocks(rest: DataFrame, links: DataFrame, sets: DataFrame, t: Threshold)
                 out.append((int(x["doc_id"][i]), int(y["doc_id"][j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return staged(sent.groupBy("meeting").applyInPandas(meeting, "a long, b long"), "links")
+    return s.staged(sent.groupBy("meeting").applyInPandas(meeting, "a long, b long"), "links")
 
 
 def common(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:

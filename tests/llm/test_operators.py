@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from creditgraph.llm import ann, bpe, chat, dedup, langid, mixing, secret_scan, setjoin, sharding, token_counts
+from creditgraph.llm import ann, bpe, chat, common, dedup, langid, mixing, secret_scan, setjoin, sharding, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -24,6 +24,16 @@ def empty(spark):
     return documents(spark, [])
 
 
+@pytest.fixture
+def fixed_partitions(spark):
+    """Sets the number of shuffle partitions, and holds Spark to it."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 # dedup
 
 
@@ -53,6 +63,40 @@ def test_dedup_drops_and_grows(spark):
     assert dedup.drop_copies(empty(spark)).count() == 0
 
 
+def test_index_opens_again(spark, tmp_path, fixed_partitions):
+    docs = documents(spark, [(i, f"text {i}", None, None) for i in range(100)])
+    path = str(tmp_path / "index")
+    assert dedup.drop_copies(docs, index=dedup.DigestIndex.open(spark, path, 8)).count() == 100
+    fixed_partitions(4)
+    for session in (spark, spark.newSession()):
+        index = dedup.DigestIndex.open(session, path)
+        assert index.buckets == 8
+        assert dedup.drop_copies(session.createDataFrame(docs.collect(), DOCS), index=index).count() == 0 and index.table().count() == 100
+        index.close()
+    with pytest.raises(ValueError):
+        dedup.DigestIndex.open(spark, path, 4)
+    (tmp_path / "other").mkdir()
+    with pytest.raises(ValueError):
+        dedup.DigestIndex.open(spark, str(tmp_path / "other"))
+
+
+def test_index_compacts(spark):
+    index = dedup.DigestIndex.open(spark, buckets=2)
+    for k in range(3):
+        index.add(documents(spark, [(i, f"text {i}", None, None) for i in range(10 * k, 10 * k + 20)]))
+    small = index.compact()
+    assert sorted(map(tuple, small.table().collect())) == sorted(map(tuple, index.table().collect())) and len(small.table().inputFiles()) == 2
+    assert dedup.drop_copies(documents(spark, [(1, "text 5", None, None), (2, "new", None, None)]), index=small).count() == 1
+
+
+def test_hot_digest_is_combined_before_it_moves(spark, fixed_partitions):
+    """The plan of grouped() aggregates by digest and id, then by digest, each time before its exchange."""
+    fixed_partitions(4)
+    plan = dedup.grouped(documents(spark, ODD))._jdf.queryExecution().executedPlan().toString()
+    steps = [line.split("(")[0].strip(" +-:*0123456789()") if "Exchange" in line else "Aggregate" for line in plan.splitlines() if "Exchange" in line or "Aggregate" in line]
+    assert steps == ["Aggregate", "Exchange hashpartitioning", "Aggregate", "Aggregate", "Exchange hashpartitioning", "Aggregate"]
+
+
 # sharding
 
 
@@ -162,22 +206,25 @@ def brute_join(rows, num, den, k):
     return {i: (len(s[i]), find(i)) for i in s}
 
 
-@pytest.mark.parametrize(("num", "k"), [(90, 3), (80, 5), (50, 2)])
-def test_join_sets(spark, num, k):
-    rng = random.Random(num)
+@pytest.mark.parametrize(("num", "k", "light"), [(90, 3, 16), (80, 5, 1), (50, 2, 3), (90, 3, 1)])
+def test_join_sets(spark, fixed_partitions, num, k, light):
+    """Families of near copies, some short of links with their least one, that share passages; with short lists and with long ones, cut over tasks."""
+    rng = random.Random(num + light)
     words = [f"w{i}" for i in range(500)]
+    passage = [rng.choice(words) for _ in range(30)]
     texts = ["", None, "a", "A", "A b", "a b", "x y z", "X  Y\tz", " \n", "É x y", "é x y"]
-    for _ in range(5):
-        base = [rng.choice(words) for _ in range(rng.choice([12, 40, 90, 250]))]
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(rng.choice([12, 40, 90, 250]))] + passage * (rng.random() < 0.5)
         for _ in range(40):
             t = list(base)
-            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            for _ in range(rng.choice([0, 1, 1, 2, 4, 8])):
                 t[rng.randrange(len(t))] = rng.choice(words)
             texts.append(" ".join(t))
     rng.shuffle(texts)
     rows = list(enumerate(texts))
+    fixed_partitions(rng.choice([2, 5]))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit(1))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.join_sets(df, num, 100, k).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.join_sets(df, num, 100, k, light=light).collect()}
     assert got == brute_join(rows, num, 100, k)
 
 
@@ -187,16 +234,6 @@ def test_join_sets_odd(spark):
     assert setjoin.join_sets(empty(spark)).count() == 0
 
 
-@pytest.fixture
-def fixed_partitions(spark):
-    """Sets the number of shuffle partitions, and holds Spark to it."""
-    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    for k, v in old.items():
-        spark.conf.set(k, v)
-
-
 def test_join_sets_many_copies(spark, fixed_partitions):
     rng = random.Random(10)
     base = [f"w{i}" for i in range(60)]
@@ -210,12 +247,30 @@ def test_join_sets_many_copies(spark, fixed_partitions):
 
 @pytest.mark.parametrize("n", [2, 3])
 def test_cut_list_is_settled(spark, fixed_partitions, n):
-    """Of a chain 1-2-4-3 in one list, 2 and 4 are in different tasks and the tasks' leaders are not linked."""
-    own = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(at, at + 20))) for i, at in ((1, 0), (2, 2), (3, 6), (4, 4))], "doc_id long, text string")
+    """Of a chain 1-2-4-3 in one list, 2 and 4 are in different tasks and not linked with the leader."""
+    rows = [(i, " ".join(f"w{j}" for j in range(at, at + 20))) for i, at in ((1, 0), (2, 2), (3, 6), (4, 4))]
     fixed_partitions(n)
-    stars, cut = setjoin.led(spark.createDataFrame([(7, i) for i in range(1, 5)], "list long, member long"))
-    links = setjoin.linked(stars, cut, own, setjoin.Threshold(80, 100), 1)
-    assert {(r.id, r.component) for r in setjoin.components(links).collect()} == {(i, 1) for i in range(1, 5)}
+    got = setjoin.join_sets(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100, 1, light=1).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 1) for i in range(1, 5)}
+
+
+def test_rank_counts_all(spark):
+    """Counters of all tasks are added up."""
+    df = spark.range(0, 64, 1, 4).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    rank = setjoin.ranks(setjoin.described(df, 3))
+    assert rank.sum() == rank.max() == 7
+
+
+def test_short_sets_in_bounded_blocks(spark):
+    """10,000 short near copies: no block has more than ROWS sets."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(10)]
+    rows = [(i, " ".join(base[:j] + [f"x{rng.randrange(4000)}"] + base[j + 1 :])) for i in range(10_000) for j in [rng.randrange(10)]]
+    got = {r.doc_id: r.component_id for r in setjoin.join_sets(spark.createDataFrame(rows, "doc_id long, text string"), 90, 100, 1).collect()}
+    same = {}
+    for i, t in rows:
+        same.setdefault(frozenset(t.split()), i)
+    assert got == {i: same[frozenset(t.split())] for i, t in rows}
 
 
 def test_open_blocks():
@@ -302,10 +357,36 @@ def test_bpe_is_exact(spark, vocabulary):
 def test_rare_words_merge_alike(vocabulary):
     ranks, _, enc = vocabulary
     rng = random.Random(7)
-    for _ in range(300):
-        w = "".join(rng.choice("abcdeéß日thing") for _ in range(rng.randrange(1, 90))).encode()
+    words = ["".join(rng.choice("abcdeéß日thing") for _ in range(rng.randrange(1, 90))).encode() for _ in range(300)] + [bytes([i]) for i in range(256)]
+    short = [w if len(w) <= bpe.LONGEST else b"" for w in words]
+    for w, made in zip(words, bpe.fold_words(short, bpe.Pairs(ranks)), strict=True):
         want = enc._encode_single_piece(w)
-        assert np.frombuffer(bpe.fold_word(w, ranks), dtype=np.int32).tolist() == want == np.frombuffer(bpe.fold_long_word(w, ranks), dtype=np.int32).tolist()
+        assert np.frombuffer(bpe.fold_long_word(w, ranks), dtype=np.int32).tolist() == want
+        assert np.frombuffer(made, dtype=np.int32).tolist() == (want if len(w) <= bpe.LONGEST else [])
+
+
+def test_rare_and_frequent_words_alike(spark, vocabulary, monkeypatch):
+    """The same ids with hardly any word in the dictionary, a small cache and small pieces."""
+    ranks, pattern, enc = vocabulary
+    for name, n in (("MOST_WORDS", 3), ("CACHED", 5), ("PIECE", 50)):
+        monkeypatch.setattr(bpe, name, n)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["stone", "river", "x1!", "don't", "(a)", "b\nc", "日本", "y" * 80]) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    assert len(bpe.dictionary(spark.createDataFrame([(t,) for t in texts], "text string"), ranks, pattern, 3)) == 3
+    d = bpe.Dictionary({}, ranks, bpe.Pairs(ranks), pattern)
+    ids, sizes = d.ids(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [enc.encode_ordinary(t) for t in texts]
+    out = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks, pattern)
+    assert all(list(r.ids) == enc.encode_ordinary(r.text) for r in out.collect())
+
+
+@pytest.mark.parametrize("most", [0, 1, 4, 5, 6, 7, 100, 5000])
+def test_top_words(spark, most):
+    """Ties at the top and at the cut: always as many words as asked for, and none before one with a clearly lower count."""
+    rows = [(f"top{i}", 1_000_000) for i in range(6)] + [(f"w{i}", 1 + i % 9) for i in range(300)]
+    got = {r.word: r.n for r in common.top_words(spark.createDataFrame(rows, "word string, n long"), most).collect()}
+    assert len(got) == min(most, len(rows)) and sorted(got.values(), reverse=True) == sorted((n for _, n in rows), reverse=True)[:most]
+    assert got.items() <= dict(rows).items()
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
