@@ -1,6 +1,6 @@
 """A training corpus from raw documents: language ID, exact dedup, near-copy removal, mixing, tokens.
 
-Each stage is written to the shared folder and read again before the next one runs.
+Each stage is written to the shared folder and read again before the next one runs; it is deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditgraph.llm import bpe, dedup, langid, mixing, setjoin
-from creditgraph.llm.common import staged, table
+from creditgraph.llm.common import delete, new_path, staged, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, with their count and a digest of the bytes that they decode to."""
     ranks, pattern = bpe.public_vocabulary()
     out = bpe.encode(docs, ranks, pattern)
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    ids = F.col(out.columns[-1])
+    return out.select(*docs.columns, ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"), F.sha2(bpe.decoded(ids, ranks), 256).alias("decoded_sha256"))
 
 
 STAGES = [("language ID", known_language), ("exact dedup", one_of_each_text), ("near copies", one_of_each_group), ("mixing", mixed_sources), ("tokens", tokens)]
@@ -49,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, path = path, new_path(spark, name.replace(" ", "-"))
+        docs = staged(stage(spark, docs, sf_dir), name, path)
+        if before:
+            delete(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
