@@ -31,11 +31,23 @@ ALTERNATIVES = {
 MACHINES = {"303": "TB", "606": "TR", "707": "TR", "808": "TR", "909": "TR"}
 STRING_NUMBERS = {20: "Twenty", 10: "Ten", 11: "Eleven", 12: "Twelve", 13: "Thirteen", 17: "Seventeen", 18: "Eighteen", 1: "One", 2: "Two", 3: "Three", 4: "Four", 5: "Five", 6: "Six", 7: "Seven", 8: "Eight", 9: "Nine"}
 BIT_NUMBERS = {8: "Eight", 12: "Twelve", 16: "Sixteen", 24: "TwentyFour", 32: "ThirtyTwo"}
-STRING_WORDING = [
+STRING_SHORT_FORMS = [
     (r"[- ]+Sting", "-String"), (r"[- ]+Str ", "-String"), (r"[- ]+Str$", "-String Guitar"), (r"[- ]+String-$", "-String Guitar"), (r"[- ]+Stringed-", "-Stringed "),
-    (r"^(?!(?i:.*(?:Roland|Solina|Arp)))(.*?)[- ]+String ", r"\1-String "), (r"[sS]tring-Guitar", "String Guitar"), (r"^(.*-String )*Acoustic$", r"\1Acoustic Guitar"),
-    (r"-Strings", "-String"), (r"\bGuitars\b", "Guitar"), (r"^(\d+) *[sS]tring(?: Guitar)?$", r"\1-String Guitar"),
 ]
+STRING_MACHINES = r"(?i)Roland|Solina|Arp"
+STRING_HYPHEN = (r"[- ]+String ", "-String ")
+STRING_ENDINGS = [
+    (r"[sS]tring-Guitar", "String Guitar"), (r"^(.*-String )*Acoustic$", r"\1Acoustic Guitar"), (r"-Strings", "-String"), (r"\bGuitars\b", "Guitar"),
+    (r"^(\d+) *[sS]tring(?: Guitar)?$", r"\1-String Guitar"),
+]
+STRINGS_LAST = (r"^(.*) \((Six|Twelve)-String\)$", r"\2-String \1")
+CAPITALS, NOT_CAPITALS = r"[A-Z]+", ("ANR", "FX")
+SMALL_WORDS, SHORT_WORDS = ("By", "To", "At", "With"), ("DJ", "VJ", "CGI")
+FIRST_CLEANUP = [(r"\bCo- ", "Co-"), (r"^[A-Z]\d+$", ""), (r"^Track(s)*\sA*\d*-*\d+", "")]
+COUNTED = (r"^\d+[^\d-] +(.*)$", r"\1")
+LEADING_NUMBER = r"^\d+[ :]+(.*)$"
+NUMBERED_TERMS = {"Tone Row": (r"12[- ]", "Twelve-"), "Track Recording": (r"16[- ]", "Sixteen-")}
+INITIALS = r"^((?:\S\.){2,4}) *$"
 ABBREVIATIONS = [
     (r"\bMus[. ]", "Musicians "), (r"\bArr[. ]", "Arranged "), (r"\bDir[. ]", "Director "), (r"\bFea[. ]", "Featuring "), (r"\bFeat[. ]", "Featuring "), (r"\bTrad[. ]", "Traditional "),
     (r"\bProd[. ]+By", " Produced By"), (r"\bProd[. ]", " Producer "), (r"\bAcc[. ]", "Acoustic "), (r"\bAdd[. ]", "Additional "), (r"\bAssoc[. ]", "Associate "), (r"\bAsst[. ]", "Assistant "),
@@ -89,10 +101,18 @@ def apply(rules: list[tuple[str, str]], s: str) -> str:
     return s
 
 
+def string_wording(s: str) -> str:
+    """Strings are joined to their number by a hyphen, everywhere in s, unless it names one of the machines."""
+    s = apply(STRING_SHORT_FORMS, s)
+    if not re.search(STRING_MACHINES, s):
+        s = re.sub(*STRING_HYPHEN, s)
+    return apply(STRING_ENDINGS, s)
+
+
 def words_for_numbers(s: str) -> str:
     if "String" in s:
         s = apply([(rf"{n}[- ]String", f"{w}-String") for n, w in STRING_NUMBERS.items()], s)
-    s = re.sub(r"^(.*) \((Six|Twelve)-String\)$", r"\2-String \1", s)
+    s = re.sub(*STRINGS_LAST, s)
     return apply([(rf"{n}[- ]Bit ", f"{w}-Bit ") for n, w in BIT_NUMBERS.items()], s)
 
 
@@ -107,27 +127,26 @@ def cased(s: str) -> str:
 
 
 def normalise_role(text: str) -> str:
-    if re.fullmatch("[A-Z]+", text) and text not in ("ANR", "FX"):
+    if re.fullmatch(CAPITALS, text) and text not in NOT_CAPITALS:
         return text
     s = re.sub(BRACKETS, "", text)
-    for small in ("By", "To", "At", "With"):
+    for small in SMALL_WORDS:
         s = re.sub(rf"(?i)-{small}\b", f" {small}", s)
     number = s.lower().removeprefix("tb-").removeprefix("tr-")
     if s in MACHINES or (number in MACHINES and s.lower() == f"{MACHINES[number].lower()}-{number}"):
         s = f"Roland {MACHINES[number]}-{number}"
     s = cased(s).replace("_", " ")
-    for short in ("DJ", "VJ", "CGI"):
+    for short in SHORT_WORDS:
         s = re.sub(rf"(?i)\b{short}\b", short, s)
-    s = apply([(r"\bCo- ", "Co-"), (r"^[A-Z]\d+$", ""), (r"^Track(s)*\sA*\d*-*\d+", "")], s)
+    s = apply(FIRST_CLEANUP, s)
     if re.match(NO_NAME, s):
         return ""
-    s = re.sub(r"^\d+[^\d-] +(.*)$", r"\1", s)
-    s = words_for_numbers(apply(STRING_WORDING, s))
-    if m := re.search(r"^\d+[ :]+(.*)$", s):
-        special = {"Tone Row": (r"12[- ]", "Twelve-"), "Track Recording": (r"16[- ]", "Sixteen-")}.get(m[1])
+    s = words_for_numbers(string_wording(re.sub(*COUNTED, s)))
+    if m := re.search(LEADING_NUMBER, s):
+        special = NUMBERED_TERMS.get(m[1])
         s = re.sub(*special, s) if special else m[1]
     s = apply(ABBREVIATIONS, apply(NUMBERS_AND_DATES, s))
-    if m := re.search(r"^((?:\S\.){2,4}) *$", s):
+    if m := re.search(INITIALS, s):
         s = m[1].replace(".", "").upper()
     return apply(ENDINGS, s).strip()
 
@@ -186,17 +205,17 @@ def role_ratio(a: str, b: str) -> float:
 
 
 def read_role_texts(credits: DataFrame, column: str = "raw") -> DataFrame:
-    """(raw, pos, name): the normalised names in each distinct raw text."""
+    """(raw, pos, name): the normalised names in each distinct raw text, which may list several roles with details in brackets."""
 
     @F.pandas_udf("array<string>")
     def names(texts: pd.Series) -> pd.Series:
-        return texts.map(normalise_roles)
+        return texts.map(lambda t: [n for part in parse_roles(t) for n in normalise_roles(part["name"])])
 
     return credits.select(F.col(column).alias("raw")).where("raw is not null").distinct().select("raw", F.posexplode(names("raw")).alias("pos", "name"))
 
 
 def resolve_roles(credits: DataFrame, role: DataFrame, column: str = "raw") -> DataFrame:
-    """(raw, role_name, score) for distinct raw role texts of credits.
+    """(raw, pos, role_name, score) for distinct raw role texts of credits; pos is where a text names the role first.
 
     Each name is looked up exactly, in any case, as an alternative spelling, then as the best of its shortened variants over
     CUTOFF, the first variant with the best score, of several roles the smallest. Role names are a dictionary of some thousands.
@@ -206,7 +225,7 @@ def resolve_roles(credits: DataFrame, role: DataFrame, column: str = "raw") -> D
     exact = role.select(F.col("role_name").alias("name"), "role_name")
     lower = role.groupBy(F.lower("role_name").alias("low")).agg(F.min("role_name").alias("of_lower"))
     spelled = F.create_map(*(F.lit(x) for kv in ALTERNATIVES.items() for x in kv))
-    step = names.join(F.broadcast(exact), "name", "left").withColumn("low", F.lower("name")).join(F.broadcast(lower), "low", "left")
+    step = names.join(exact, "name", "left").withColumn("low", F.lower("name")).join(lower, "low", "left")
     step = step.withColumn("hit", F.coalesce("role_name", "of_lower", F.try_element_at(spelled, F.col("low"))))
     sure = step.where("hit is not null").select("name", F.col("hit").alias("role_name"), F.lit(100.0).alias("score"))
     known = sorted(r[0] for r in role.select("role_name").distinct().collect())
@@ -226,7 +245,7 @@ def resolve_roles(credits: DataFrame, role: DataFrame, column: str = "raw") -> D
             yield pd.DataFrame(rows, columns=["name", "role_name", "score"])
 
     near = step.where("hit is null").select("name").mapInPandas(best, "name string, role_name string, score double")
-    return found.join(sure.unionByName(near), "name").select("raw", "role_name", "score").groupBy("raw", "role_name").agg(F.max("score").alias("score"))
+    return found.join(sure.unionByName(near), "name").groupBy("raw", "role_name").agg(F.min("pos").alias("pos"), F.max("score").alias("score")).select("raw", "pos", "role_name", "score")
 
 
 def instrument_subcategory(kind):

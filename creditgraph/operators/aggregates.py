@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import split_country, split_names
 
 
+MOST_NAMES = 1_000_000  # a dictionary of countries, genres or styles has some thousands
+
+
 def table_counts(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.groupBy(*([by] if by else [])).agg(F.count("*").alias("rows"))
 
@@ -35,26 +38,34 @@ def fold_edges(edges: DataFrame) -> DataFrame:
 def edges_of(edges: DataFrame, wanted: DataFrame, roles: DataFrame | None = None) -> DataFrame:
     """Edges that touch an id of wanted (id), with that id as `id`, once for each; roles (role) limits them."""
     if roles is not None:
-        edges = edges.join(F.broadcast(roles), "role", "left_semi")
+        edges = edges.join(roles, "role", "left_semi")
     w = wanted.select("id").distinct()
     return edges.join(w.withColumnRenamed("id", "subject").withColumn("id", F.col("subject")), "subject").unionByName(edges.join(w.withColumnRenamed("id", "object").withColumn("id", F.col("object")), "object")).distinct()
 
 
-def edges_by_key(edges: DataFrame, keys: DataFrame) -> DataFrame:
-    return edges.join(keys.select("subject", "role", "object").distinct(), ["subject", "role", "object"])
+def edges_by_key(edges: DataFrame, keys: DataFrame, role: DataFrame | None = None) -> DataFrame:
+    """Edges with the keys (subject, role, object); with role (role_id, role_name), a key's role may be a name or an id."""
+    if role is not None:
+        names = role.select(F.col("role_id").cast("string").alias("role"), "role_name").unionByName(role.select(F.col("role_name").alias("role"), "role_name"))
+        keys = keys.withColumn("role", F.col("role").cast("string")).join(names, "role").withColumn("role", F.col("role_name"))
+    return edges.join(keys.select("subject", "role", "object").distinct(), ["subject", "role", "object"]).select(*edges.columns)
+
+
+def releases_by_role(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, role, release_id, year) over edges on either side, a row for each release, however many an entity has."""
+    return edges_of(edges, wanted).groupBy("id", "role", "release_id").agg(F.max("year").alias("year"))
 
 
 def relations_by_role(edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, role, releases map<release_id, year>) over edges on either side."""
-    once = edges_of(edges, wanted).groupBy("id", "role", "release_id").agg(F.max("year").alias("year"))
-    return once.groupBy("id", "role").agg(F.map_from_entries(F.collect_list(F.struct("release_id", "year"))).alias("releases"))
+    """(id, role, releases map<release_id, year>): releases_by_role() as maps, for entities whose releases fit into a row."""
+    return releases_by_role(edges, wanted).groupBy("id", "role").agg(F.map_from_entries(F.collect_list(F.struct("release_id", "year"))).alias("releases"))
 
 
 def relations_by_year(edges: DataFrame, wanted: DataFrame, role: DataFrame) -> DataFrame:
     """(id, year, category, role, n): releases of each entity by year, role category and role."""
-    got = relations_by_role(edges, wanted).select("id", "role", F.explode("releases").alias("release_id", "year"))
+    got = releases_by_role(edges, wanted)
     cats = role.select(F.col("role_name").alias("role"), F.col("role_category").alias("category"))
-    return got.join(F.broadcast(cats), "role", "left").groupBy("id", "year", "category", "role").agg(F.count("*").alias("n"))
+    return got.join(cats, "role", "left").groupBy("id", "year", "category", "role").agg(F.count("*").alias("n"))
 
 
 def roles_by_category(role: DataFrame) -> DataFrame:
@@ -91,8 +102,10 @@ def entity_attributes(release: DataFrame) -> DataFrame:
 
 
 def attribute_dictionary(attributes: DataFrame, name: str) -> DataFrame:
-    """(id, name): sorted distinct names with dense ids from 0. A dictionary is some thousand rows."""
+    """(id, name): sorted distinct names with dense ids from 0. They are numbered in one task, so of more than MOST_NAMES ValueError is raised."""
     names = attributes.select(F.explode(F.split(name, ",")).alias("name")).distinct()
+    if names.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} {name}")
     return names.select((F.row_number().over(Window.orderBy("name")) - 1).alias("id"), "name")
 
 

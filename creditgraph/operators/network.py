@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,10 +25,15 @@ EXCLUDED_PREFIX = "Various Artists"
 ALIAS_CUTOFF, PRUNE_DIVISOR, STOP_MULTIPLIER = 3, 4, 3
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{round_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{round_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,9 +42,13 @@ _own: list[str] = []
 
 
 def round_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own, and a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return _own[0]
@@ -271,6 +281,45 @@ def network_json(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return n.join(e, "center_id", "left").select("center_id", F.to_json(F.struct("center", "nodes", F.coalesce("links", F.array().cast(e.schema["links"].dataType)).alias("links"))).alias("json"))
 
 
+def tree_edges(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(center_id, id, other, up): linked nodes of each network; up tells whether other is nearer to the centre (1), as near (0) or farther (-1)."""
+    at = nodes.select("center_id", "id", "distance")
+    ends = links.select("center_id", F.col("one").alias("id"), F.col("two").alias("other")).unionByName(links.select("center_id", F.col("two").alias("id"), F.col("one").alias("other"))).where("id != other").distinct()
+    both = ends.join(at, ["center_id", "id"]).join(at.select("center_id", F.col("id").alias("other"), F.col("distance").alias("d")), ["center_id", "other"])
+    return both.select("center_id", "id", "other", F.signum(F.col("distance") - F.col("d")).cast("int").alias("up"))
+
+
+def neighbours(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(center_id, id, neighbour): parents, children and siblings of each node."""
+    return tree_edges(nodes, links).select("center_id", "id", F.col("other").alias("neighbour"))
+
+
+def ancestors(nodes: DataFrame, links: DataFrame, degree: int = 5) -> DataFrame:
+    """(center_id, id, ancestor): each node, its parents, theirs, and so on up to the centre."""
+    up = kept(tree_edges(nodes, links).where("up = 1").select("center_id", F.col("id").alias("ancestor"), F.col("other").alias("next")), "parents")
+    found = front = kept(nodes.select("center_id", "id", F.col("id").alias("ancestor")), "ancestors")
+    for _ in range(degree + 1):
+        step = front.join(up, ["center_id", "ancestor"]).select("center_id", "id", F.col("next").alias("ancestor")).distinct()
+        front = kept(step.join(found, ["center_id", "id", "ancestor"], "left_anti"), "ancestors")
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found
+
+
+def pick_depth(sizes: DataFrame, threshold: float) -> DataFrame:
+    """(center_id, depth) from sizes (center_id, distance, n; null n: not measured).
+
+    Of the distances whose nth root of the sum of n sizes is under threshold, the one where it is greatest (ties: the greater distance), 0 if there is
+    none; one more, if that is still in the first half of the distances.
+    """
+    mean = sizes.where("n is not null").groupBy("center_id", "distance").agg(F.pow(F.sum("n").cast("double"), 1.0 / F.count("*")).alias("mean"))
+    levels = mean.groupBy("center_id").agg(F.count("*").alias("levels"), F.max(F.when(F.col("mean") < threshold, F.struct("mean", "distance")))["distance"].alias("best"))
+    depth = F.coalesce("best", F.lit(0))
+    every = sizes.select("center_id").distinct().join(levels, "center_id", "left")
+    return every.select("center_id", (depth + F.when(depth + 1 < F.coalesce("levels", F.lit(0)) / 2, 1).otherwise(0)).cast("int").alias("depth"))
+
+
 def subgraph_sizes(nodes: DataFrame, links: DataFrame, degree: int = 5) -> DataFrame:
     """(center_id, id, n): distinct nodes that a node reaches by links to greater distances, itself included."""
     at = nodes.select("center_id", "id", "distance")
@@ -313,13 +362,25 @@ def reduce_network(nodes: DataFrame, links: DataFrame, max_nodes: int = 600, max
 
 
 def alias_components(serving: DataFrame) -> DataFrame:
-    """(id, component): the smallest id among all that aliases connect, by spreading least labels until none changes."""
+    """(id, component): the smallest id among all that aliases connect.
+
+    Every round each node joins the node of least hash among itself and its neighbours, and the edges shrink to those between the joined ones, so
+    the number of rounds grows with the logarithm of the longest path.
+    """
     pairs = serving.select(F.col("id").alias("a"), F.explode(F.map_values("aliases")).alias("b")).where("b is not null and a != b")
-    both = kept(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "aliases")
-    labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("m"))
-        new = kept(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component")), "labels")
-        labels = new.select("id", "component")
-        if new.where("old != component").isEmpty():
-            return labels
+    edges = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "aliases")
+    labels, seed = None, 0
+    while not edges.isEmpty():
+        seed += 1
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(F.xxhash64(F.lit(seed), "b"), "b")).alias("near"))
+        own = F.struct(F.xxhash64(F.lit(seed), "id"), F.col("id").alias("b"))
+        joined = kept(best.select("id", F.least("near", own)["b"].alias("to")), "joined")
+        moved = joined.select(F.col("id").alias("component"), "to")
+        labels = joined.select("id", F.col("to").alias("component")) if labels is None else labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        labels = kept(labels, "labels")
+        a, b = (joined.select(F.col("id").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
+        edges = kept(edges.join(a, "a").join(b, "b").where("to_a != to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "aliases")
+    if labels is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return labels.join(labels.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))

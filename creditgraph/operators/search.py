@@ -12,7 +12,7 @@ from ..functions.ids import LABEL_OFFSET, entity_key
 from ..functions.text import search_normalise, tokenise, without_stop_words
 
 # What real names are cut at.
-NAME_SEPARATORS = ",|&amp;|&|and|/"
+NAME_SEPARATORS = ",|&|&amp;|and|/"
 
 
 def entity_names(entity: DataFrame) -> DataFrame:

@@ -52,6 +52,17 @@ def serving_entities(entity: DataFrame, attributes: DataFrame, keep_sublabels: b
     return flat.join(attributes, "id", "left")
 
 
+def write_attributes(attributes: DataFrame, root: str) -> None:
+    """(id, countries, genres, styles) for lookups by id."""
+    attributes.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{root}/entity_attributes")
+
+
+def serving_tables(entity: DataFrame, edges: DataFrame, role: DataFrame, tokens: DataFrame, attributes: DataFrame, keep_sublabels: bool = False) -> dict[str, DataFrame]:
+    """The build tables as the serving copy has them: entities with flat maps and attributes, edges with role ids, the role list, tokens."""
+    numbered = edges.join(role.select("role_id", F.col("role_name").alias("role")), "role").select("subject", "role_id", "object", "release_id", "year")
+    return {"entity": serving_entities(entity, attributes, keep_sublabels), "relation": numbered, "role": role_list(role), "token": tokens.select("token", "id").distinct()}
+
+
 def entity_details(serving: DataFrame, keys: DataFrame) -> DataFrame:
     return lookup(serving, keys, ["entity_id", "entity_type"])
 

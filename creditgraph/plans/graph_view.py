@@ -32,7 +32,7 @@ VIEWS = {
     "g_kind": "SELECT DISTINCT l_orderkey + 1 AS release_id, p_type AS genre, p_brand AS style FROM lineitem JOIN part ON l_partkey = p_partkey",
     "g_alias": """
         SELECT a.c_custkey + 1 AS id, b.c_custkey + 1 AS other FROM customer a JOIN customer b
-          ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey WHERE a.c_custkey % 5 = 0 AND b.c_custkey % 5 = 0""",
+          ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey - a.c_custkey % 20000 = b.c_custkey - b.c_custkey % 20000 AND a.c_custkey <> b.c_custkey WHERE a.c_custkey % 5 = 0 AND b.c_custkey % 5 = 0""",
     "g_member": "SELECT c_custkey + 1 AS member, c_custkey - c_custkey % 10 + 1 AS grp FROM customer WHERE c_custkey % 10 <> 0",
     "g_sublabel": "SELECT s_suppkey + 1000000001 AS label, s_suppkey - s_suppkey % 3 + 1000000001 AS parent FROM supplier WHERE s_suppkey % 3 <> 0",
     "g_name": "SELECT p_partkey + 1 AS id, p_name AS text FROM part",
@@ -89,10 +89,42 @@ class GraphView:
         none = F.array().cast("array<struct<id: bigint, entity_type_name: string>>").alias("companies")
         return r.join(labels, "release_id", "left").join(credits, "release_id", "left").join(kinds, "release_id", "left").withColumn("companies", none)
 
+    def write_artist_dump(self, path: str) -> None:
+        """Artists as dump XML, with their groups by name."""
+        groups = self.sql("SELECT m.member AS id, e.entity_name AS name FROM g_member m JOIN g_entity e ON m.grp = e.id").groupBy("id").agg(F.struct(F.array_sort(F.collect_list("name")).alias("name")).alias("groups"))
+        a = self.sql("SELECT c_custkey + 1 AS id, c_name AS name, concat(c_mktsegment, ' & Sons') AS realname, CASE WHEN c_custkey % 3 = 0 THEN 'NULL' ELSE concat('Profile of ', c_name) END AS profile FROM customer")
+        a.join(groups, "id", "left").write.format("xml").option("rowTag", "artist").option("rootTag", "artists").option("compression", "gzip").save(path)
+
+    def write_release_dump(self, path: str) -> None:
+        """Releases as dump XML: labels by name, and roles with details in brackets."""
+        names = self["g_entity"].select(F.col("id").alias("label_id"), "entity_name")
+        labels = self["g_release_label"].join(names, "label_id").groupBy("release_id").agg(F.struct(F.collect_list(F.struct(F.col("entity_name").alias("_name"), F.lit("C1").alias("_catno"))).alias("label")).alias("labels"))
+        r = self.releases().drop("labels").join(labels, "release_id", "left")
+
+        def credits(c):
+            return F.when(F.size(c) > 0, F.struct(F.transform(c, lambda x: F.struct(x["id"].alias("id"), F.lit("N").alias("name"), F.concat(x["roles"][0]["name"], F.lit(" [Lead, Solo]")).alias("role"))).alias("artist")))
+
+        tracks = F.transform("tracklist", lambda t: F.struct(t["position"].alias("position"), F.lit("T").alias("title"), credits(t["extra_artists"]).alias("extraartists")))
+        out = r.select(
+            F.col("release_id").alias("_id"), F.lit("Title").alias("title"), "country", F.date_format("release_date", "yyyy-MM-dd").alias("released"), "master_id",
+            F.struct(F.col("artists").alias("artist")).alias("artists"), credits(F.col("extra_artists")).alias("extraartists"), "labels",
+            F.when(F.size("tracklist") > 0, F.struct(tracks.alias("track"))).alias("tracklist"),
+        )
+        out.write.format("xml").option("rowTag", "release").option("rootTag", "releases").option("compression", "gzip").save(path)
+
     def role_map(self) -> DataFrame:
         """Raw role text to role name: here both are the same."""
         return self["g_role"].select(F.col("role_name").alias("raw"), "role_name", "is_aggregate")
 
+    def entities(self) -> DataFrame:
+        """Entities as the dump readers give them, with their role counts."""
+        from ..operators.aggregates import role_counts
+
+        none = F.lit(None).cast("map<string,bigint>")
+        maps = F.struct(*(none.alias(c) for c in ("aliases", "groups", "members", "parent_label", "sublabels")))
+        meta = F.struct(F.lit(None).cast("string").alias("profile"), F.lit(None).cast("string").alias("real_name"), F.lit(None).cast("array<string>").alias("name_variations"))
+        return self["g_entity"].withColumn("entity_metadata", meta).withColumn("entities", maps).join(role_counts(self["g_edge"]), "id", "left")
+
     def serving(self) -> DataFrame:
         """Entities with their maps of aliases, groups, members, parent and sublabels, and their role counts."""
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ids, text
-from .operators import aggregates, changes, network, relations, resolve, search, serving
+from .functions import ids, roles, text
+from .operators import aggregates, changes, network, relations, resolve, role_sets, search, serving
 from .plans.graph_view import GraphView, with_views
+from .sources import dumps
 
 ROLES = ["Alias", "Member Of", "Sublabel Of", "Released On"]
 
@@ -54,13 +55,12 @@ def fold_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relations_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphView(spark, sf_dir)
-    r = aggregates.relations_by_role(g["g_edge"], g["g_entity"].where("id % 10 = 1"))
-    return r.select("id", "role", F.size("releases").cast("long").alias("n_releases"))
+    return aggregates.releases_by_role(g["g_edge"], g["g_entity"]).groupBy("id", "role").agg(F.count("*").alias("n_releases"))
 
 
 def relations_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphView(spark, sf_dir)
-    return aggregates.relations_by_year(g["g_edge"], g["g_entity"].where("entity_type = 2"), g["g_role"])
+    return aggregates.relations_by_year(g["g_edge"], g["g_entity"], g["g_role"])
 
 
 def edges_in_years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,16 +92,16 @@ def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth name as a query against all names."""
+    """Names with ids divisible by 20 as queries against all names."""
     names = GraphView(spark, sf_dir)["g_name"]
-    queries = names.where("id % 100 = 1").select(F.col("text").alias("query"))
+    queries = names.where("id % 20 = 0").select(F.col("text").alias("query"))
     found = search.search(queries, search.build_tokens(names), names.select("id", F.col("text").alias("entity_name")))
     return found.select("query", "rank", "id", "key", "name", F.round("score", 6).alias("score"))
 
 
 def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = GraphView(spark, sf_dir)["g_name"]
-    queries = names.where("id % 100 = 1").select(F.col("text").alias("query"))
+    queries = names.where("id % 20 = 0").select(F.col("text").alias("query"))
     found = search.tfidf_search(queries, search.build_tokens(names), names)
     return found.select("query", "id", F.round("score", 6).alias("score"))
 
@@ -117,10 +117,11 @@ def expected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Searches from the entities with ids divisible by 20, in all edges, within the default limits."""
     g = GraphView(spark, sf_dir)
-    centers = g["g_entity"].where("entity_type = 1 and id % 500 = 1").select(F.col("id").alias("center_id"))
     s = network.kept(g.serving(), "serving")
-    return network.network(centers, s, network.kept(g["g_edge"], "edges"), ROLES, degree=2, max_nodes=100, lo=1992, hi=1997)
+    centers = s.where("id % 20 = 0").select(F.col("id").alias("center_id"))
+    return network.network(centers, s, network.kept(g["g_edge"], "edges"), ROLES, lo=1992, hi=1997)
 
 
 def network_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,16 +134,16 @@ def network_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, _ = network.reduce_network(*network_tables(spark, sf_dir), max_nodes=60, max_links=120)
+    n, _ = network.reduce_network(*network_tables(spark, sf_dir))
     return n.select("center_id", "id", "distance", "missing")
 
 
 def first_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the first hop around artists, capped for each centre."""
+    """Edges of the first hop around entities with ids divisible by 20, up to 4,000 for each centre."""
     g = GraphView(spark, sf_dir)
-    front = g["g_entity"].where("entity_type = 1 and id % 50 = 1").select(F.col("id").alias("center_id"), "id")
+    front = g["g_entity"].where("id % 20 = 0").select(F.col("id").alias("center_id"), "id")
     roles = front.select("center_id", F.lit("Released On").alias("role"))
-    return network.expand_frontier(g["g_edge"], front, roles, 20, 1993, 1996)
+    return network.expand_frontier(g["g_edge"], front, roles, 4000, 1993, 1996)
 
 
 def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +196,7 @@ def match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in other case, with numbers in brackets, or cut, matched in tiers."""
     g = GraphView(spark, sf_dir)
     e = g["g_entity"]
-    asked = e.where("id % 7 = 1").select("entity_type", F.when(F.col("id") % 3 == 0, F.upper("entity_name")).when(F.col("id") % 3 == 1, F.concat("entity_name", F.lit(" (2)"))).otherwise(F.col("entity_name")).alias("name"))
+    asked = e.select("entity_type", F.when(F.col("id") % 3 == 0, F.upper("entity_name")).when(F.col("id") % 3 == 1, F.concat("entity_name", F.lit(" (2)"))).otherwise(F.col("entity_name")).alias("name"))
     return resolve.match_names(asked, e, search.build_tokens(e.select("id", F.col("entity_name").alias("text"))))
 
 
@@ -211,6 +212,69 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.url_parts(GraphView(spark, sf_dir)["g_entity"], "https://example.org", 500)
 
 
+def role_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each entity: a role, a category or neither, beside an unknown name."""
+    g = GraphView(spark, sf_dir)
+    asked = g["g_entity"].select(F.col("id").alias("request_id"), "entity_type", F.when(F.col("entity_id") % 3 == 0, F.concat(F.lit("Nobody,"), (F.col("entity_id") % 14 + 1).cast("string"))).when(F.col("entity_id") % 3 == 1, F.lit("Brand#11,Nobody")).otherwise("Nobody").alias("roles"))
+    return role_sets.expand_roles(asked, g["g_role"])
+
+
+def edges_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge of a label's own number found again by its key, the role given as id."""
+    g = GraphView(spark, sf_dir)
+    keys = g.sql("SELECT e.subject, o.role_id AS role, e.object FROM g_edge e JOIN g_role o ON e.role = o.role_name")
+    return aggregates.edges_by_key(g["g_edge"], keys, g["g_role"]).groupBy("role").agg(F.count("*").alias("edges"))
+
+
+def dump_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artists written as dump XML and read back, with all their names."""
+    path = network.new_path(spark, "artists")
+    GraphView(spark, sf_dir).write_artist_dump(path)
+    a = dumps.read_artists(spark, path)
+    n = search.entity_names(a).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("text")), "|").alias("names"))
+    return a.join(n, "id").select("id", "entity_id", "entity_type", "entity_name", "entity_metadata.profile", "entity_metadata.real_name", F.coalesce(F.size("entities.groups"), F.lit(0)).cast("int").alias("n_groups"), "names")
+
+
+def dump_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of releases written as dump XML and read back: labels are resolved by name, role texts parsed and matched."""
+    g, path = GraphView(spark, sf_dir), network.new_path(spark, "releases")
+    g.write_release_dump(path)
+    release = network.kept(resolve.resolve_release_labels(dumps.read_releases(spark, path), g["g_entity"]), "releases")
+    role = g["g_role"]
+    return relations.relations_of_dump(release, g["g_master"], role, role.where("is_aggregate"))
+
+
+def role_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Role texts made of brand names in several spellings, matched with the brands."""
+    g = GraphView(spark, sf_dir)
+    texts = g.sql("SELECT p_partkey + 1 AS id, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN lower(p_brand) WHEN 2 THEN concat(p_brand, ' [Lead, Solo], Qqq Zzz') ELSE concat(p_brand, ' & ', p_brand) END AS raw FROM part")
+    return texts.join(roles.resolve_roles(texts, g["g_role"]), "raw").select("id", "role_name", "pos", "score")
+
+
+def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ancestors and neighbours each node of the networks has."""
+    n, links = (network.kept(x, "network") for x in network_tables(spark, sf_dir))
+    up = network.ancestors(n, links).groupBy("center_id", "id").agg(F.count("*").alias("ancestors"))
+    near = network.neighbours(n, links).groupBy("center_id", "id").agg(F.count("*").alias("neighbours"))
+    return up.join(near, ["center_id", "id"], "left")
+
+
+def network_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, links = (network.kept(x, "network") for x in network_tables(spark, sf_dir))
+    sizes = network.subgraph_sizes(n, links).join(n.select("center_id", "id", "distance"), ["center_id", "id"])
+    return network.pick_depth(sizes, 10.0)
+
+
+def serving_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The serving copy's relations, written and read back: edges of known roles, with the roles' ids."""
+    g, root = GraphView(spark, sf_dir), network.new_path(spark, "serving")
+    e = g["g_edge"]
+    named = g["g_entity"].select("id", F.col("entity_name").alias("text"))
+    tables = serving.serving_tables(g.entities(), e, g["g_role"], search.build_tokens(named), aggregates.entity_attributes(g.releases()))
+    serving.build_serving(tables, root)
+    return serving.read_table(spark, root, "relation").groupBy("role_id").agg(F.count("*").alias("edges"))
+
+
 def random_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten artists; the others' number is the feature's limit."""
     return serving.random_connected(GraphView(spark, sf_dir).serving(), 10, 7).select("id", "entity_name")
@@ -225,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         id_functions, search_text, release_dates, extract_relations, role_counts, fold_edges, relations_by_role, relations_by_year, edges_in_years, entity_attributes, attribute_dictionary, table_counts, roles_by_category,
-        search_tokens, name_search, tfidf_search, structural_edges, expected_links, network_nodes, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, insert_ignore,
+        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, ancestors, network_depth, serving_relations, search_tokens, name_search, tfidf_search, structural_edges, expected_links, network_nodes, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, insert_ignore,
         resolve_labels, match_names, profile_links, url_list, random_connected, subgraph_sizes,
     )
 }
@@ -234,7 +298,7 @@ TOUCH = "(SELECT subject AS id, role, subject, object, release_id, year FROM g_e
 STOP = "('the', 'and', 'a', 'of', 'studio', 'studios', 'productions', 'music', 'records', 'recordings', 'entertainment')"
 NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\(\d+\)|[(]?not on label[)]?|[(]?self[\s\- ]+released[)]?', '', 'g'), ', ', ' ', 'g'), ',\s*$', ''), ' +', ' ', 'g'))"
 TOKENS = f"""tk AS (SELECT DISTINCT id, token FROM (SELECT id, unnest(list_concat(string_split_regex(n, '\\s+'), string_split_regex(replace(n, '-', ' '), '\\s+'))) AS token FROM (SELECT id, {NORMAL.format("text")} AS n FROM g_name) x) y WHERE token <> '' AND token NOT IN {STOP})"""
-ASKED = f"""qt AS (SELECT DISTINCT query, token FROM (SELECT text AS query, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM g_name WHERE id % 100 = 1) z WHERE token <> '' AND token NOT IN {STOP}),
+ASKED = f"""qt AS (SELECT DISTINCT query, token FROM (SELECT text AS query, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM g_name WHERE id % 20 = 0) z WHERE token <> '' AND token NOT IN {STOP}),
 hit AS (SELECT query, id FROM qt JOIN tk USING (token) GROUP BY query, id HAVING count(*) = (SELECT count(*) FROM qt q2 WHERE q2.query = qt.query))"""
 
 
@@ -267,10 +331,10 @@ SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderdate AS DATE) WHE
     "extract_relations": with_views("SELECT subject, role, object, release_id, year FROM g_edge"),
     "role_counts": with_views(f"SELECT id, role, count(*) AS n FROM (SELECT DISTINCT id, role, subject, object FROM {TOUCH} t) d GROUP BY id, role"),
     "fold_edges": with_views("SELECT subject, role, object, count(DISTINCT release_id) AS n_releases, coalesce(string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)), '') AS years FROM g_edge GROUP BY ALL"),
-    "relations_by_role": with_views(f"SELECT id, role, count(DISTINCT release_id) AS n_releases FROM {TOUCH} t WHERE id IN (SELECT id FROM g_entity WHERE id % 10 = 1) GROUP BY id, role"),
+    "relations_by_role": with_views(f"SELECT id, role, count(DISTINCT release_id) AS n_releases FROM {TOUCH} t WHERE id IN (SELECT id FROM g_entity) GROUP BY id, role"),
     "relations_by_year": with_views(f"""
 SELECT t.id, t.year, o.role_category AS category, t.role, count(*) AS n FROM (SELECT id, role, release_id, max(year) AS year FROM {TOUCH} x GROUP BY id, role, release_id) t
-LEFT JOIN g_role o ON t.role = o.role_name WHERE t.id IN (SELECT id FROM g_entity WHERE entity_type = 2) GROUP BY ALL"""),
+LEFT JOIN g_role o ON t.role = o.role_name WHERE t.id IN (SELECT id FROM g_entity) GROUP BY ALL"""),
     "edges_in_years": with_views("SELECT role, count(*) AS kept, count(*) FILTER (year >= 1995) AS dated FROM g_edge WHERE year IS NULL OR year BETWEEN 1995 AND 1996 GROUP BY role"),
     "entity_attributes": with_more(ATTRIBUTES, "SELECT id, string_agg(name, ',' ORDER BY name) FILTER (kind = 'c') AS countries, string_agg(name, ',' ORDER BY name) FILTER (kind = 'g') AS genres, string_agg(name, ',' ORDER BY name) FILTER (kind = 's') AS styles FROM attr GROUP BY id"),
     "attribute_dictionary": with_more(ATTRIBUTES, "SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INT) AS id, name FROM (SELECT DISTINCT name FROM attr WHERE kind = 's') n"),
@@ -296,14 +360,26 @@ LEFT JOIN (SELECT grp AS id, count(*) AS n FROM g_member GROUP BY grp) k USING (
 SELECT center_id, subject, role, object, release_id, year FROM (
   SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY role, subject, object, release_id) AS r FROM (
     SELECT DISTINCT c.id AS center_id, e.* FROM g_edge e JOIN g_entity c ON (e.subject = c.id OR e.object = c.id)
-    WHERE c.entity_type = 1 AND c.id % 50 = 1 AND e.role = 'Released On' AND (e.year IS NULL OR e.year BETWEEN 1993 AND 1996)) x) y WHERE r <= 20"""),
+    WHERE c.id % 20 = 0 AND e.role = 'Released On' AND (e.year IS NULL OR e.year BETWEEN 1993 AND 1996)) x) y WHERE r <= 4000"""),
     "alias_components": with_views("SELECT id, least(id, min(other)) AS component FROM g_alias GROUP BY id"),
     "snapshot_diff": f"WITH {SNAPS} SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' WHEN o.name IS NOT DISTINCT FROM n.name AND o.balance IS NOT DISTINCT FROM n.balance THEN 'unchanged' ELSE 'update' END AS change_type FROM snap_old o FULL JOIN snap_new n ON o.id = n.id",
     "snapshot_apply": f"WITH {SNAPS} SELECT n.id, n.name, coalesce(o.balance, n.balance) AS balance FROM snap_new n LEFT JOIN snap_old o ON o.id = n.id",
     "cascade_delete": with_more(SNAPS, "SELECT role, count(*) AS edges FROM g_edge WHERE subject NOT IN (SELECT id FROM snap_old WHERE id NOT IN (SELECT id FROM snap_new)) AND object NOT IN (SELECT id FROM snap_old WHERE id NOT IN (SELECT id FROM snap_new)) GROUP BY role"),
     "insert_ignore": f"WITH {SNAPS} SELECT id, name, balance FROM snap_old UNION ALL SELECT id, name, balance FROM snap_new WHERE id NOT IN (SELECT id FROM snap_old)",
     "resolve_labels": with_views("SELECT l.release_id, CASE WHEN l.label_id % 5 = 0 THEN e.entity_name || '?' ELSE e.entity_name END AS name, CASE WHEN l.label_id % 5 = 0 THEN -2000000000 ELSE l.label_id END AS id FROM g_release_label l JOIN g_entity e ON l.label_id = e.id"),
-    "match_names": with_views("SELECT entity_type, CASE id % 3 WHEN 0 THEN upper(entity_name) WHEN 1 THEN entity_name || ' (2)' ELSE entity_name END AS name, id AS found, CAST(CASE id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INT) AS tier FROM g_entity WHERE id % 7 = 1"),
+    "match_names": with_views("SELECT entity_type, CASE id % 3 WHEN 0 THEN upper(entity_name) WHEN 1 THEN entity_name || ' (2)' ELSE entity_name END AS name, id AS found, CAST(CASE id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INT) AS tier FROM g_entity"),
     "profile_links": "SELECT c_custkey + 1 AS id, 'see [a' || (c_custkey + 1) || '=' || c_name || '] and [l' || (s_suppkey + 1) || '=' || s_name || '], not [a999999999] or [x1]' AS profile FROM customer JOIN supplier ON c_custkey % 10 = s_suppkey",
+    "role_expansion": with_views("""
+SELECT DISTINCT e.id AS request_id, CASE WHEN e.entity_id % 3 = 0 AND o.role_name IS NOT NULL THEN o.role_name WHEN e.entity_id % 3 = 1 AND b.role_name IS NOT NULL THEN b.role_name ELSE d.role_name END AS role_name
+FROM g_entity e LEFT JOIN g_role o ON e.entity_id % 3 = 0 AND o.role_category = e.entity_id % 14 + 1 LEFT JOIN g_role b ON e.entity_id % 3 = 1 AND b.role_name = 'Brand#11'
+LEFT JOIN (SELECT 1 AS kind, 'Alias' AS role_name UNION ALL SELECT 1, 'Member Of' UNION ALL SELECT 2, 'Released On') d ON d.kind = e.entity_type"""),
+    "edges_by_key": with_views("SELECT role, count(*) AS edges FROM g_edge WHERE role IN (SELECT role_name FROM g_role) GROUP BY role"),
+    "dump_artists": with_views("""
+SELECT e.id, e.entity_id, e.entity_type, e.entity_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Profile of ' || c_name END AS profile, c_mktsegment || ' & Sons' AS real_name, CASE WHEN m.member IS NULL THEN 0 ELSE 1 END AS n_groups,
+  array_to_string(list_sort([e.entity_name, c_mktsegment, 'Sons']), '|') AS names
+FROM g_entity e JOIN customer ON e.id = c_custkey + 1 LEFT JOIN g_member m ON m.member = e.id WHERE e.entity_type = 1"""),
+    "dump_relations": with_views("SELECT subject, role, object, release_id, year FROM g_edge"),
+    "role_texts": "SELECT p_partkey + 1 AS id, p_brand AS role_name, 0 AS pos, CAST(100 AS DOUBLE) AS score FROM part",
+    "serving_relations": with_views("SELECT o.role_id, count(*) AS edges FROM g_edge e JOIN g_role o ON e.role = o.role_name GROUP BY o.role_id"),
     "url_list": with_views("SELECT CAST((row_number() OVER (ORDER BY id) - 1) // 500 AS INT) AS part, row_number() OVER (ORDER BY id) - 1 AS place, id, 'https://example.org/' || CASE WHEN entity_type = 1 THEN 'artist/' ELSE 'label/' END || entity_id AS url FROM g_entity"),
 }

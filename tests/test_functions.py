@@ -41,7 +41,7 @@ def test_search_text(spark):
     [
         ("Mastered-by", ["Mastered By"]), ("tam-tam", ["Tam-Tam"]), ("Oboe D'amore", ["Oboe d'Amore"]), ("MC", ["MC"]), ("Dj mix", ["DJ Mix"]), ("Tar (lute)", ["Tar"]), ("A&r", ["A&R"]),
         ("Artwork & Package Design By", ["Artwork", "Package Design By"]), ("Something and Something Else and More & more", ["Something", "Something Else", "More", "More"]),
-        ("Written by & vibes", ["Written By", "Vibes"]), ("303", ["Roland TB-303"]), ("12 String Guitar", ["Twelve-String Guitar"]), ("", []), (None, []),
+        ("Written by & vibes", ["Written By", "Vibes"]), ("303", ["Roland TB-303"]), ("12 String Guitar", ["Twelve-String Guitar"]), ("6 String 12 String Bass", ["Six-String Twelve-String Bass"]), ("Arp String Machine", ["Arp String Machine"]), ("", []), (None, []),
     ],
 )
 def test_role_names(given, want):
@@ -61,6 +61,6 @@ def test_ratio():
 
 def test_resolve_roles(spark):
     role = spark.createDataFrame([("Guitar",), ("Vocals",), ("Mixed By",), ("Saxophone",)], "role_name string")
-    raw = spark.createDataFrame([("guitar & sax",), ("Mixed-by",), ("Saxophones",), ("Nothing Like It",), (None,)], "raw string")
-    got = {(r.raw, r.role_name) for r in roles.resolve_roles(raw, role).collect()}
-    assert got == {("guitar & sax", "Guitar"), ("guitar & sax", "Saxophone"), ("Mixed-by", "Mixed By"), ("Saxophones", "Saxophone")}
+    raw = spark.createDataFrame([("guitar & sax",), ("Mixed-by",), ("Saxophones",), ("Nothing Like It",), (None,), ("Guitar [Lead], Vocals",), ("Producer [Co, Add.], Mixed By",)], "raw string")
+    got = {(r.raw, r.pos, r.role_name) for r in roles.resolve_roles(raw, role).collect()}
+    assert got == {("guitar & sax", 0, "Guitar"), ("guitar & sax", 1, "Saxophone"), ("Mixed-by", 0, "Mixed By"), ("Saxophones", 0, "Saxophone"), ("Guitar [Lead], Vocals", 0, "Guitar"), ("Guitar [Lead], Vocals", 1, "Vocals"), ("Producer [Co, Add.], Mixed By", 1, "Mixed By")}
