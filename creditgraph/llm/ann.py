@@ -1,14 +1,15 @@
 """Approximate nearest neighbours (Euclidean): a neighbour graph by NN-descent, searched greedily.
 
 Equal vectors are one node. Nodes start with the nearest others in the same leaves of a few random-projection trees,
-fitted on a bounded sample; leaves that come out overfull are cut further, at medians over all their nodes. Each round of NN-descent then joins, for every node, its neighbours and those that have it
-as a neighbour with their vectors; all pairs of that bounded list are neighbours of neighbours, and each takes those
-nearer than its worst neighbour. A search keeps, for each query, a beam of the nearest nodes found; each round joins the best
-nodes not yet expanded with their neighbours, until every beam is expanded. All queries go together.
+fitted on a bounded sample; leaves that come out overfull are cut further, at medians over all their nodes. Each round of NN-descent then joins, for
+every node, its neighbours and those that have it as a neighbour; all pairs of that bounded list are neighbours of neighbours, and each takes those
+nearer than its worst neighbour. Rounds end when few neighbours change. What goes around by node are ids and distances: nodes are dealt out in blocks, the
+leaves of the first tree, and a vector is sent once to each block that asks for it. A search keeps, for each query, a beam of the nearest nodes
+found; each round joins the best nodes not yet expanded with their neighbours, until every beam is expanded. All queries go together.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite numbers take no
 part. Ties go to the smaller id. With fewer candidates than k all are returned. Rows that repeat an id
-with the same vector are one. No rows give no rows.
+are one: of several vectors the least counts. No rows give no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged
+from .common import Scratch, partitions, staged
 
 SAMPLE = 20_000  # vectors that the driver fits trees on, at most
 PIVOTS = 512  # nodes that every search may begin at
-TREES, LEAF, DEGREE, ROUNDS = 16, 1024, 24, 3
+TREES, LEAF, DEGREE, ROUNDS = 4, 512, 24, 8
+CHANGED = 0.01  # rounds end when less than this share of all neighbours is new
 OVERFULL = 4  # times LEAF: leaves of more nodes are cut further
 CUTS = 30  # further levels at most; only leaves of equal projections are overfull then
 BEAM, EXPAND, STARTS = 96, 24, 8
@@ -111,7 +113,7 @@ def nearest(ids: np.ndarray, x: np.ndarray, k: int, worst: np.ndarray | None = N
 
 
 def regrouped(parts: DataFrame, k: int) -> DataFrame:
-    """One row for each id out of many with some neighbours each."""
+    """One row for each id, with its k nearest, out of many with some neighbours each."""
     n = 4 * partitions(parts.sparkSession)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -161,8 +163,8 @@ def cut_overfull(nodes: DataFrame, forest: list[Tree], most: int) -> None:
             forest[int(t)].more.append((planes[int(t)], g["leaf"].to_numpy(), g["p"].to_numpy()))
 
 
-def forest(nodes: DataFrame, n: int, trees: int, leaf: int, k: int) -> DataFrame:
-    """A first graph: the nearest in the same leaves."""
+def plant(nodes: DataFrame, n: int, trees: int, leaf: int) -> list[Tree]:
+    """Trees fitted on a sample of nodes, and cut further where leaves come out overfull."""
     share = min(1.0, SAMPLE / max(n, 1))
     sample = nodes.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toPandas()["v"]
     x = np.stack([*sample]) if len(sample) else np.zeros((0, 1))
@@ -170,7 +172,12 @@ def forest(nodes: DataFrame, n: int, trees: int, leaf: int, k: int) -> DataFrame
     grown = [grow(x, depth, s) for s in range(trees if depth else 1)]
     if depth:
         cut_overfull(nodes, grown, OVERFULL * leaf)
-    shared = nodes.sparkSession.sparkContext.broadcast(grown)
+    return grown
+
+
+def first_graph(nodes: DataFrame, trees: list[Tree], leaf: int, k: int) -> DataFrame:
+    """The nearest in the same leaves."""
+    shared = nodes.sparkSession.sparkContext.broadcast(trees)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -189,51 +196,81 @@ def forest(nodes: DataFrame, n: int, trees: int, leaf: int, k: int) -> DataFrame
                 o = np.argsort(v @ np.random.default_rng([tree, CUTS]).normal(size=v.shape[1]), kind="stable")
             for i in range(0, len(o), OVERFULL * leaf):
                 found.append(nearest(ids[o[i : i + OVERFULL * leaf]], v[o[i : i + OVERFULL * leaf]], k))
-        return merge(*(np.concatenate(x) for x in zip(*found, strict=True)), k * trees)
+        return merge(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
 
     placed = nodes.mapInPandas(place, "tree int, leaf long, id long, v array<float>")
     groups = 4 * partitions(nodes.sparkSession)
     return regrouped(placed.groupBy(F.pmod(F.xxhash64("tree", "leaf"), F.lit(groups)).alias("part")).applyInPandas(inside, GRAPH), k)
 
 
+def in_blocks(nodes: DataFrame, tree: Tree, leaf: int) -> DataFrame:
+    """nodes (id, v as floats) with block: a leaf of tree, or a part by hash of one that no plane could cut."""
+    shared = nodes.sparkSession.sparkContext.broadcast(tree)
+
+    @F.pandas_udf("long")
+    def at(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.leaves(np.stack([*v])) if len(v) else np.zeros(0, np.int64))
+
+    placed = nodes.select("id", F.col("v").cast("array<float>").alias("v"), at("v").alias("leaf"))
+    sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / (OVERFULL * leaf)).alias("parts"))
+    return placed.join(sizes, "leaf").select("id", "v", F.xxhash64("leaf", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+
+
 def descend(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
-    """A round of NN-descent. Of the nodes that have one as a neighbour, it meets k, by hash."""
-    out = graph.select("id", F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select("id", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("d"))
-    back = out.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "d").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("nbr", F.lit(seed))))).where(F.col("r") <= k).drop("r")
-    pairs = out.unionByName(back).select(F.col("id").alias("hub"), F.col("nbr").alias("id")).distinct()
+    """A round of NN-descent over nodes (id, v, block). Of the nodes that have one as a neighbour, it meets k, by hash."""
+    out = graph.select("id", F.explode("nbrs").alias("nbr"))
+    back = out.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("nbr", F.lit(seed))))).where(F.col("r") <= k).drop("r")
+    met = back.groupBy("id").agg(F.collect_list("nbr").alias("more"))  # k at most
+    hubs = graph.join(met, "id", "left").join(nodes.select("id", "block"), "id").select("block", "id", F.array_distinct(F.concat("nbrs", F.coalesce("more", F.array().cast("array<long>")))).alias("met"))
     worst = graph.select("id", F.when(F.size("nbrs") < k, float("inf")).otherwise(F.array_max("dists")).cast("float").alias("worst"))
-    sent = pairs.join(nodes.select("id", F.col("v").cast("array<float>").alias("v")).join(worst, "id"), "id")
+    asked = hubs.select(F.col("block").alias("by"), F.explode("met").alias("id")).distinct()
+    sent = asked.join(nodes.select("id", "v").join(worst, "id"), "id")
 
-    def local(g: pd.DataFrame) -> pd.DataFrame:
+    def local(hubs: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-        g = g.sort_values(["hub", "id"], ignore_index=True)
-        v, ids, w, hub = np.stack([*g["v"]]).astype(float), g["id"].to_numpy(), g["worst"].to_numpy(), g["hub"].to_numpy()
-        start = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]]))
-        for a, b in zip(start, [*start[1:], len(g)], strict=True):
-            found.append(nearest(ids[a:b], v[a:b], k, w[a:b]))
+        if not len(hubs) or not len(sent):
+            return merge(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+        sent = sent.sort_values("id", ignore_index=True)
+        ids, w, v = sent["id"].to_numpy(), sent["worst"].to_numpy(), np.stack([*sent["v"]]).astype(float)
+        for met in hubs["met"]:
+            at = np.searchsorted(ids, np.sort(met))
+            found.append(nearest(ids[at], v[at], k, w[at]))
         return merge(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
 
-    groups = 16 * partitions(nodes.sparkSession)
-    more = sent.groupBy(F.pmod(F.xxhash64("hub"), F.lit(groups)).alias("part")).applyInPandas(local, GRAPH)
+    more = hubs.groupBy("block").cogroup(sent.groupBy("by")).applyInPandas(local, GRAPH)
     return regrouped(graph.unionByName(more), k)
 
 
+def changed(old: DataFrame, new: DataFrame) -> float:
+    """The share of new's neighbours that old lacks."""
+    both = new.select("id", "nbrs").join(old.select("id", F.col("nbrs").alias("had")), "id")
+    n, fresh = both.agg(F.sum(F.size("nbrs")), F.sum(F.size(F.array_except("nbrs", "had")))).first()
+    return (fresh or 0) / max(n or 0, 1)
+
+
 class Index:
     """nodes(id, v, nbrs): a vector, its nearest neighbours and nodes that it is near to; members(id, vec_id): rows of each node."""
 
     def __init__(self, rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, leaf: int = LEAF):
-        self.rows = staged(clean(rows, vec_id, vector).distinct(), "vectors")
-        same = staged(self.rows.groupBy("v").agg(F.min("vec_id").alias("id")), "nodes")
-        self.same = same
-        n = same.count()
-        graph = staged(forest(same, n, trees, leaf, degree), "graph")
-        for seed in range(rounds if n > leaf else 0):
-            graph = staged(descend(graph, same, degree, seed), "graph")
-        out = graph.select("id", F.explode("nbrs").alias("nbr"))
-        back = out.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("nbr")))).where(F.col("r") <= degree).drop("r")
-        links = out.unionByName(back).groupBy("id").agg(F.collect_set("nbr").alias("nbrs"))  # 2 * degree at most
-        self.nodes = staged(same.join(links, "id", "left"), "nodes")
-        self.members = staged(self.rows.join(same, "v").select("id", "vec_id"), "members")
+        spark = rows.sparkSession
+        self.rows = staged(clean(rows, vec_id, vector).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+        with Scratch(spark) as s:
+            same = s.staged(self.rows.groupBy("v").agg(F.min("vec_id").alias("id")), "nodes")
+            n = same.count()
+            grown = plant(same, n, trees, leaf)
+            blocks = s.staged(in_blocks(same, grown[0], leaf), "blocks")
+            graph = s.staged(first_graph(same, grown, leaf, degree), "graph")
+            self.rounds = 0
+            for seed in range(rounds if n > 1 else 0):
+                before, graph = graph, s.staged(descend(graph, blocks, degree, seed), "graph")
+                self.rounds += 1
+                if changed(before, graph) < CHANGED:
+                    break
+            out = graph.select("id", F.explode("nbrs").alias("nbr"))
+            back = out.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("nbr")))).where(F.col("r") <= degree).drop("r")
+            links = out.unionByName(back).groupBy("id").agg(F.collect_set("nbr").alias("nbrs"))  # 2 * degree at most
+            self.nodes = staged(same.join(links, "id", "left"), "nodes")
+            self.members = staged(self.rows.join(same, "v").select("id", "vec_id"), "members")
 
     def search(self, queries: DataFrame, k: int = 10, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
         """(query_id, rank, vec_id, score) for queries(query_id, v, node); node: where the query is itself in the index, or null.
@@ -271,14 +308,15 @@ class Index:
                     rows.append((q, v, ids, dists, done, ids[now]))
                 yield pd.DataFrame(rows, columns=["query_id", "v", "ids", "dists", "done", "next"])
 
-        state = staged(queries.select("query_id", "v", F.col("node").cast("double").alias("node")).mapInPandas(begin, state_of), "beam")
+        s = Scratch(spark)
+        state = s.staged(queries.select("query_id", "v", F.col("node").cast("double").alias("node")).mapInPandas(begin, state_of), "beam")
         first = True
         while True:
             asked = state.select("query_id", F.explode("next").alias("id"))
             if not first:
                 asked = asked.join(self.nodes.select("id", "nbrs"), "id").select("query_id", F.explode("nbrs").alias("id")).distinct()
             got = asked.join(self.nodes.select("id", "v"), "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "v")).alias("got"))
-            state = staged(state.drop("next").join(got, "query_id", "left").mapInPandas(advance, state_of), "beam")
+            state = s.staged(state.drop("next").join(got, "query_id", "left").mapInPandas(advance, state_of), "beam")
             first = False
             if state.where(F.size("next") > 0).isEmpty():
                 break
@@ -288,7 +326,8 @@ class Index:
         few = self.members.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
         out = found.join(few, "id").where("vec_id != query_id")
         ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        with s:
+            return staged(out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
 
     def own_queries(self, condition) -> DataFrame:
         """The index's own rows that meet condition, as queries."""

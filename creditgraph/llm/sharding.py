@@ -1,13 +1,13 @@
 """Sharding by sampled splitters, so that all shards hold nearly the same number of bytes.
 
-Records are ordered by (hash of the text, id, checksum): equal texts lie together, and a group of them that is
-larger than a shard is cut by id. Size-weighted samples of these keys give the boundaries of many small ranges;
+Records are ordered by (hash of the text, id, checksum): equal texts lie together, and a group of them that lies across
+a boundary of shards is cut there, by id. Size-weighted samples of these keys give the boundaries of many small ranges;
 ranges that come out overfull are sampled again and subdivided. Within its range each record gets a running sum,
 the exact sums of the ranges before are added, and the byte position found so decides the shard. Samples thus
 decide only how the work is split, never which shard a record goes to.
 
-Defined cases: a null text has no bytes and checksum 0; a null id comes first among equal texts. Records alike in
-text and id are interchangeable, and take neighbouring places in any order. No rows give no rows.
+Defined cases: a null text has no bytes and checksum 0; null ids come first among equal texts, in any order. Records alike in
+text and id are interchangeable, and take neighbouring places in any order. No rows give no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ RANGE_ROWS = 500_000  # rows that a range is aimed at, at scale
 MOST_RANGES = 16_384  # what the driver holds: so many boundaries, and SAMPLES samples for each
 SAMPLES = 32
 NULL_ID = -(2**63)
+NULLS = 1 << 40  # rows without an id get keys of their own, so that many of them are no single key
 
 
 @dataclass
@@ -47,7 +48,7 @@ class Splitters:
 def keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32 and the key (h, i) of each record."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("h"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("i"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("h"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID) + F.monotonically_increasing_id() % NULLS).alias("i"))
 
 
 def draw(rows: DataFrame, chance) -> np.ndarray:

@@ -11,7 +11,10 @@ sorted, and a token that crosses a boundary is allocated by rule:
 A token of part of a character has that character. Characters outside all sections belong to none; their tokens are counted
 under section -1, where there are any. Over all sections and -1, the counts add up to the document's tokens under every rule.
 
-Defined cases: a null text is empty; an empty text has one section, without tokens. Texts may have any length.
+Sections may be given in any order, and are numbered as given. Of two that overlap, the one that begins later (ties: the later one given) begins where
+the other ends. One that is null, or has a null bound, or ends before it begins, is empty; bounds outside the text are moved to its ends.
+
+Defined cases: a null text is empty; an empty text has one section, without tokens; null sections are none. Texts may have any length.
 Repeated rows are counted each. No rows give no rows.
 """
 
@@ -95,10 +98,21 @@ def allocate(begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, r
     return counts, crossing
 
 
+def settled(given: list, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, starts and ends of the sections with characters, sorted and apart."""
+    whole = [(x["start"], x["end"]) if x is not None and x["start"] is not None and x["end"] is not None else (0, 0) for x in given]
+    s = np.clip(np.array(whole, dtype=np.int64).reshape(-1, 2), 0, length)
+    o = np.argsort(s[:, 0], kind="stable")
+    a, b = s[o, 0], s[o, 1]
+    a = np.maximum(a, np.concatenate([[0], np.maximum.accumulate(b)[:-1]])) if len(a) else a
+    live = a < b
+    return o[live], a[live], b[live]
+
+
 def count_sections(docs: DataFrame, content: bytes, pattern: str, rule: str = "most", text: str = "text", doc_id: str = "doc_id", sections: Column | None = None) -> DataFrame:
     """doc_id, section, start, end, n_tokens (double), n_crossing for every section.
 
-    sections: array<struct<start: int, end: int>> of each document, sorted and apart; None: its lines.
+    sections: array<struct<start: int, end: int>> of each document; None: its lines.
     """
     if rule not in RULES:
         raise ValueError(f"the rule must be one of {RULES}")
@@ -114,10 +128,14 @@ def count_sections(docs: DataFrame, content: bytes, pattern: str, rule: str = "m
                 begin, end = token_spans(t, enc.encode_ordinary(t), size)
                 if given:
                     s = batch.column("spans")[k].as_py() or []
-                    a, b = (np.array([x[e] for x in s], dtype=np.int64) for e in ("start", "end"))
+                    own, *bounds = settled(s, len(t))
+                    some = allocate(begin, end, *bounds, rule)
+                    counts, crossing = np.zeros(len(s) + 1), np.zeros(len(s) + 1)
+                    counts[[*own, -1]], crossing[[*own, -1]] = some
+                    a, b = (np.array([-1 if x is None or x[e] is None else x[e] for x in s], dtype=np.int64) for e in ("start", "end"))
                 else:
                     a, b = line_spans(t)
-                counts, crossing = allocate(begin, end, a, b, rule)
+                    counts, crossing = allocate(begin, end, a, b, rule)
                 n = len(a) + bool(counts[-1])
                 out.append((np.where(np.arange(n) < len(a), np.arange(n), -1), np.append(a, -1)[:n], np.append(b, -1)[:n], counts[:n], crossing[:n]))
                 row.append(np.full(n, k))

@@ -258,7 +258,17 @@ def test_rank_counts_all(spark):
     """Counters of all tasks are added up."""
     df = spark.range(0, 64, 1, 4).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
     rank = setjoin.ranks(setjoin.described(df, 3))
-    assert rank.sum() == rank.max() == 7
+    assert rank.sum() == rank.max() == int(np.ceil(np.log(65) / np.log(setjoin.GRADE)))
+
+
+def test_counts_bound_what_sets_differ_in():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 5), (30, 30), (400, 380), (400, 4000), (9000, 9000)):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, m).astype(np.uint64)]))
+        apart = len(np.setxor1d(x, y))
+        assert setjoin.apart_at_least(setjoin.counted(x), setjoin.counted(x)) == 0 <= setjoin.apart_at_least(setjoin.counted(x), setjoin.counted(y)) <= apart
+    assert setjoin.apart_at_least(setjoin.counted(np.arange(1000, dtype=np.uint64)), setjoin.counted(x)) == 0
 
 
 def test_short_sets_in_bounded_blocks(spark):
@@ -321,7 +331,7 @@ def test_secrets(spark):
             truth.add(i)
     docs = documents(spark, rows)
     found = secret_scan.candidates(docs)
-    labelled = secret_scan.findings_by_format(found)
+    labelled = found.withColumn("label", (F.col("doc_id") % 4 < 2).cast("int"))
     lang = secret_scan.learn_language(docs)
     assert "stone" in lang.words and lang.covered("stoneriver") == 1 and lang.covered("zz9") == 0
     scanner = secret_scan.Scanner(lang, labelled.where("doc_id < 200"))
@@ -418,6 +428,27 @@ def test_token_counts(spark, vocabulary, rule):
         assert np.allclose([n for _, _, n in got[i]], [want[k] for k in range(len(lines))]), (rule, t)
 
 
+def test_given_sections(spark, vocabulary):
+    """Unsorted, overlapping, null and too long sections; the counts add up to the document's tokens."""
+    _, pattern, enc = vocabulary
+    content = token_counts.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    text = "alpha beta gamma delta epsilon"
+    cases = {
+        1: ([(11, 16), (0, 5)], None), 2: ([(0, 16), (6, 22)], [(0, 16), (16, 22)]), 3: ([None, (None, 4), (5, 2), (23, 99)], [(0, 0), (0, 0), (0, 0), (23, 30)]), 4: (None, []), 5: ([(0, 30), (0, 30)], [(0, 30), (0, 0)]),
+    }
+    df = spark.createDataFrame([(i, text, given) for i, (given, _) in cases.items()], "doc_id long, text string, spans array<struct<start: int, end: int>>")
+    got = defaultdict(dict)
+    for r in token_counts.count_sections(df, content, pattern, "first", sections=F.col("spans")).collect():
+        got[r.doc_id][r.section] = r.n_tokens
+    starts, at = [], 0
+    for tok in enc.encode_ordinary(text):
+        starts.append(at)
+        at += len(enc.decode([tok]))
+    for i, (given, plain) in cases.items():
+        want = [sum(a <= s < b for s in starts) for a, b in (given if plain is None else plain)]
+        assert [got[i][k] for k in range(len(want))] == want and sum(got[i].values()) == len(starts)
+
+
 def test_field_counts(spark, vocabulary):
     _, pattern, enc = vocabulary
     content = token_counts.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

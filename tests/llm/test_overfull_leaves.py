@@ -10,7 +10,7 @@ def test_overfull_leaves_are_cut(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(10, 8))[rng.integers(0, 10, 3000)] + 0.001 * rng.normal(size=(3000, 8))
     nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").cache()
-    got = {r.id: set(r.nbrs) for r in ann.forest(nodes, len(x), 8, 16, 10).collect()}
+    got = {r.id: set(r.nbrs) for r in ann.first_graph(nodes, ann.plant(nodes, len(x), 8, 16), 16, 10).collect()}
     d = ann.distances(x, x)
     np.fill_diagonal(d, np.inf)
     best = np.argsort(d, axis=1)[:, :10]
