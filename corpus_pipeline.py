@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditgraph.llm import bpe, dedup, langid, mixing, setjoin
-from creditgraph.llm.common import delete, new_path, staged, table
+from creditgraph.llm.common import delete, free_name, new_path, staged, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, with their count and a digest of the bytes that they decode to."""
     ranks, pattern = bpe.public_vocabulary()
     out = bpe.encode(docs, ranks, pattern)
-    ids = F.col(out.columns[-1])
-    return out.select(*docs.columns, ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"), F.sha2(bpe.decoded(ids, ranks), 256).alias("decoded_sha256"))
+    ids, n, sha = out.columns[-1], free_name(docs, "n_tokens"), free_name(docs, "decoded_sha256")
+    return out.select("*", F.size(ids).cast("long").alias(n), F.sha2(bpe.decoded(F.col(ids), ranks), 256).alias(sha))
 
 
 STAGES = [("language ID", known_language), ("exact dedup", one_of_each_text), ("near copies", one_of_each_group), ("mixing", mixed_sources), ("tokens", tokens)]
