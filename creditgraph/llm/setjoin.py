@@ -23,6 +23,7 @@ are one document, of which one row is compared; a null id has a null component.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,15 +32,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, staged
+from .common import Scratch, free_name, short_batches, staged
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 20  # bytes of text in a piece of work
+CHUNK = 1 << 18  # characters of text in a piece of work, or one text
 SALTS = 256
 BROADCAST_IDS = 1_000_000  # more documents in lists than this are joined with their texts by shuffle
-SLOTS, SLOT_BITS, PART = 1 << 20, 20, 1 << 14  # counters of shingles, and how many of them go in a row
+SLOTS, SLOT_BITS, PART = 1 << 24, 24, 1 << 18  # counters of shingles, and how many of them go in a row
+GRADE = 1.15  # counts that differ by less than this factor are taken as alike
 LIGHT = 16  # lists of so many entries at most are compared entry by entry; in longer ones leaders settle what they can first
+FEW = 5_000  # edges that one task connects
 BLOCK, ROWS = 200_000, 2_048  # shingles, and sets, that are compared at once with another such block
 
 
@@ -143,15 +146,30 @@ class Threshold:
         return 2 * (n * self.den * self.den / (self.num * self.num) + self.den / self.num + 2) * (self.den - self.num) / (self.den + self.num)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counters as bytes: the distances of those that are not 0, and their values."""
+    at = np.flatnonzero(counts)
+    gaps = np.diff(at, prepend=0).astype(np.int32)
+    return zlib.compress(gaps.tobytes() + counts[at].astype(np.int64).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of packed() counters."""
+    data = zlib.decompress(data)
+    n = len(data) // 12
+    return np.cumsum(np.frombuffer(data, dtype=np.int32, count=n)), np.frombuffer(data[4 * n :], dtype=np.int64)
+
+
 def described(docs: DataFrame, k: int) -> DataFrame:
     """Rows of documents: doc_id, n and a 128-bit key of the set; and rows of counters: part, counts, of the shingles that a task saw."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(SLOTS, dtype=np.int64)
+        seen = np.zeros(SLOTS, dtype=np.int32)
         for b in batches:
             for at, some in pieces([x or "" for x in b["text"]]):
                 sets = sets_of(some, k)
-                seen += np.bincount((np.concatenate(sets) >> U(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+                slots, n = np.unique(np.concatenate(sets) >> U(64 - SLOT_BITS), return_counts=True)
+                seen[slots.astype(np.int64)] += n
                 yield pd.DataFrame({
                     "doc_id": b["doc_id"].iloc[at : at + len(some)].array,
                     "n": [len(s) for s in sets],
@@ -161,24 +179,34 @@ def described(docs: DataFrame, k: int) -> DataFrame:
                     "counts": [None] * len(some),
                 })
         if seen.any():
-            rows = [(p, seen[p * PART : (p + 1) * PART]) for p in range(SLOTS // PART)]
+            rows = [(p, packed(seen[p * PART : (p + 1) * PART])) for p in range(SLOTS // PART)]
             yield pd.DataFrame({"doc_id": pd.array([None] * len(rows), dtype="Int64"), "n": 0, "k1": 0, "k2": 0, "part": [p for p, _ in rows], "counts": [c for _, c in rows]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, part int, counts array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, part int, counts binary")
 
 
 def ranks(counted: DataFrame) -> np.ndarray:
-    """For every slot the bit length of its count, from the tasks' counters: SLOTS bytes, whatever the input."""
-
-    def total(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [g["part"].iloc[0]], "counts": [np.sum(np.stack([*g["counts"]]), axis=0)]})
-
-    rows = counted.where("part >= 0").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("some"))
-    some = rows.groupBy("part", "some").applyInPandas(total, "part int, counts array<long>")
-    out = np.zeros(SLOTS, dtype=np.int64)
-    for r in some.groupBy("part").applyInPandas(total, "part int, counts array<long>").toLocalIterator():
-        out[r["part"] * PART : (r["part"] + 1) * PART] = r["counts"]
-    return np.ceil(np.log2(out + 1)).astype(np.uint8)
+    """For every slot the grade of its count, from the tasks' counters: SLOTS bytes, whatever the input."""
+
+    def total(g: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(PART, dtype=np.int64)
+        for c in g["counts"]:
+            at, n = unpacked(c)
+            out[at] += n
+        return out
+
+    def some(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [g["part"].iloc[0]], "counts": [packed(total(g))]})
+
+    def all_(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [g["part"].iloc[0]], "counts": [np.ceil(np.log(total(g) + 1) / np.log(GRADE)).astype(np.uint8).tobytes()]})
+
+    rows = counted.where("part >= 0").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("some"))
+    sums = rows.groupBy("part", "some").applyInPandas(some, "part int, counts binary")
+    out = np.zeros(SLOTS, dtype=np.uint8)
+    for r in sums.groupBy("part").applyInPandas(all_, "part int, counts binary").toLocalIterator():
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return out
 
 
 def first_shingles(sets: list[np.ndarray], rank: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -279,10 +307,51 @@ def rest_pairs(left: DataFrame, t: Threshold, s: Scratch, most: int = LIGHT) ->
     return pairs.unionByName(stars)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b, star) with the sizes of both sets and of their intersection. For stars, items is what b differs in from a, if that is no more than three times what links may differ in.
+def counted(s: np.ndarray) -> bytes:
+    """How many of the sorted hashes begin with which bits: a byte for each of about n / 4 values; none if a count exceeds a byte."""
+    bits = max(6, (len(s) // 4).bit_length())
+    c = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles that two sets differ in, from their counted()."""
+    if not x or not y:
+        return 0
+    c, d = (np.frombuffer(z, dtype=np.uint8).astype(np.int64) for z in (x, y))
+    n = min(len(c), len(d))
+    return int(np.abs(c.reshape(n, -1).sum(axis=1) - d.reshape(n, -1).sum(axis=1)).sum())
+
+
+def beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b, ...) with the column of sets for both, as x and y. That of a goes along once for each salt of its pairs, so a leader of many is no hot key."""
+    p = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    left = p.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col(column).alias("x")), "a")
+    right = p.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y")), "b")
+    return right.join(left, ["a", "salt"]).select(*pairs.columns, "na", "nb", "x", "y")
+
+
+def told_apart(pairs: DataFrame, counts: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b, star, na, nb, least, close) of the pairs (a, b, star) that counts (doc_id, n, counts) do not tell too far apart, and of all stars.
+
+    least: a lower bound of the number of shingles that the sets differ in. close: whether the sets themselves must be compared.
+    """
+
+    @F.pandas_udf("int")
+    def least(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([apart_at_least(a, b) for a, b in zip(x, y, strict=True)], dtype="int32")
+
+    told = beside(pairs, counts, "counts").select("a", "b", "star", "na", "nb", least("x", "y").alias("least"))
+    most = F.col("na") + F.col("nb") - 2 * F.ceil(t.num * (F.col("na") + F.col("nb")) / F.lit(t.num + t.den))
+    close = (F.col("least") <= most) | (F.col("star") & (F.col("least") <= 3 * t.differ(F.col("na"))))
+    return told.where(F.col("star") | close).withColumn("close", close)
+
+
+def compared(told: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b, star, na, nb, inter, apart, items, linked) of told_apart()'s pairs.
 
-    The set of a goes along once for each salt of its pairs.
+    inter: the size of the intersection; apart: in how many shingles they differ. items, for stars: what b differs in from a, if that
+    is no more than three times what links may differ in. For pairs that are not close inter is null and apart a lower bound.
     """
 
     @F.pandas_udf("struct<inter int, items array<long>>")
@@ -291,40 +360,65 @@ def compared(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
         near = [s and len(a) + len(b) - 2 * i <= 3 * t.differ(len(a)) for a, b, i, s in zip(x, y, inter, star, strict=True)]
         return pd.DataFrame({"inter": inter, "items": [np.setxor1d(a, b, assume_unique=True) if s else None for a, b, s in zip(x, y, near, strict=True)]})
 
-    p = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    left = p.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
-    right = p.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    return right.join(left, ["a", "salt"]).select("a", "b", "star", common("x", "y", "star").alias("c"), F.size("x").alias("na"), F.size("y").alias("nb")).select("a", "b", "star", "na", "nb", "c.*")
+    near = beside(told.where("close").select("a", "b", "star"), sets, "hashes").withColumn("c", common("x", "y", "star")).select("a", "b", "star", "na", "nb", "c.inter", (F.col("na") + F.col("nb") - 2 * F.col("c.inter")).alias("apart"), "c.items")
+    far = told.where("not close").select("a", "b", "star", "na", "nb", F.lit(None).cast("int").alias("inter"), F.col("least").alias("apart"), F.lit(None).cast("array<long>").alias("items"))
+    return near.withColumn("linked", t.links(F.col("inter"), F.col("na"), F.col("nb"))).unionByName(far.withColumn("linked", F.lit(False)))
 
 
 def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """(id, component), the smallest id reachable, for every id in edges (a, b).
 
     Each round every node joins the node of least hash among itself and its neighbours, and the edges are contracted to
-    these; a constant share of the nodes goes with every round, however long the paths are.
+    these; a constant share of the nodes goes with every round, however long the paths are. The last FEW edges are connected in one task.
     """
     with Scratch(edges.sparkSession) as s:
         left = s.staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
-        labels, seed = None, 0
-        while not left.isEmpty():
+        labels, seed, n = None, 0, left.count()
+
+        def moved(step: DataFrame) -> DataFrame:
+            """labels after their components have moved by step (id, to)."""
+            if labels is None:
+                return step.select("id", F.col("to").alias("component"))
+            return labels.join(step.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+
+        while n > FEW:
             seed += 1
             both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
             near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "b").alias("h"), F.col("b").alias("to"))).alias("n"))
             own = F.struct(F.xxhash64(F.lit(seed), "a").alias("h"), F.col("a").alias("to"))
             step = s.staged(near.select(F.col("a").alias("id"), F.least("n", own)["to"].alias("to")), "steps")
-            labels = step.select("id", F.col("to").alias("component")) if labels is None else labels.join(step.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-            labels = s.staged(labels, "labels")
+            labels = s.staged(moved(step), "labels")
             ends = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
             left = s.staged(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+            n = left.count()
+        if n:
+            labels = s.staged(moved(left.groupBy(F.lit("all")).applyInPandas(connected, "id long, to long")), "labels")
         if labels is None:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
         least = labels.groupBy("component").agg(F.min("id").alias("least"))
         return keep.staged(labels.join(least, "component").select("id", F.col("least").alias("component")), "components")
 
 
+def connected(edges: pd.DataFrame) -> pd.DataFrame:
+    """(id, to): for every id in edges (a, b) the least one that it is connected with."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (p := root.setdefault(v, v)) != v:
+            root[v] = root[p]
+            v = p
+        return v
+
+    for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return pd.DataFrame({"id": [*root], "to": [find(v) for v in root]}, dtype="int64")
+
+
 def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text: str = "text", doc_id: str = "doc_id", light: int = LIGHT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; documents link when den * intersection >= num * union of their k-word shingles."""
     t = Threshold(num, den)
+    short_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with Scratch(docs.sparkSession) as s:
         told = s.staged(described(own, k), "sets")
@@ -341,21 +435,32 @@ def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text:
         return staged(rep.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "joined")
 
 
+def drop_near_copies(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs without those that links connect with a smaller id; empty texts and rows without an id stay. Few ids are broadcast, so that no texts are shuffled."""
+    name = free_name(docs, "gone")
+    found = join_sets(docs, num, den, k, text, doc_id)
+    gone = staged(found.where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs[doc_id].cast("long") == F.col(name), "left_anti")
+
+
 def joined(own: DataFrame, ids: DataFrame, how: str, s: Scratch) -> DataFrame:
     """Texts with ids in ids (doc_id), or without; few ids are broadcast."""
     ids = s.staged(ids, "ids")
     return own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def hashed(own: DataFrame, ids: DataFrame, k: int, s: Scratch) -> DataFrame:
-    """doc_id and the sets of the documents in ids (doc_id)."""
+def hashed(own: DataFrame, pairs: DataFrame, k: int, s: Scratch, column: str) -> DataFrame:
+    """doc_id, n and the column (counts: counted() of the set; hashes: the set) of the documents in pairs (a, b)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at, some in pieces([x or "" for x in b["text"]]):
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(some)].array, "hashes": [x.view(np.int64) for x in sets_of(some, k)]})
+                sets = sets_of(some, k)
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(some)].array, "n": [len(x) for x in sets], column: [counted(x) if column == "counts" else x.view(np.int64) for x in sets]})
 
-    return joined(own, ids, "left_semi", s).mapInPandas(run, "doc_id long, hashes array<long>")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return s.staged(joined(own, ids, "left_semi", s).mapInPandas(run, f"doc_id long, n int, {column} {'binary' if column == 'counts' else 'array<long>'}"), column)
 
 
 def linked(own: DataFrame, rank: np.ndarray, t: Threshold, k: int, s: Scratch, most: int = LIGHT) -> DataFrame:
@@ -366,9 +471,10 @@ def linked(own: DataFrame, rank: np.ndarray, t: Threshold, k: int, s: Scratch, m
     rest = rest_pairs(light.where("b is null").select("list", "n", "at", F.col("a").alias("member")), t, s, most)
     every = light.where("b is not null").select("a", "b", F.lit(False).alias("star")).unionByName(rest)
     pairs = s.staged(every.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = s.staged(hashed(own, ids, k, s), "hashes")
-    known = s.staged(compared(pairs, sets, t).withColumn("linked", t.links(F.col("inter"), F.col("na"), F.col("nb"))), "compared")
+    # counts of hashes tell of most pairs that they are too far apart, and of those no sets are sent
+    told = s.staged(told_apart(pairs, hashed(own, pairs, k, s, "counts"), t), "told")
+    sets = hashed(own, told, k, s, "hashes")
+    known = s.staged(compared(told, sets, t), "compared")
     links = known.where("linked").select("a", "b")
     # a leader whose members are not all linked with it has not settled its lists, if it has more than one
     left = s.staged(known.where("star").groupBy("a").agg(F.count("*").alias("size"), F.max(~F.col("linked")).alias("open")).where("open and size > 1").select("a"), "open")
@@ -376,21 +482,20 @@ def linked(own: DataFrame, rank: np.ndarray, t: Threshold, k: int, s: Scratch, m
         return links
     stars = known.where("star").join(left, "a")
     near = stars.where("items is not null").select(F.col("a").alias("leader"), F.lit(0).alias("kind"), F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.col("na").alias("base"), (F.col("na") - F.col("inter")).alias("gone"), "items")
-    far = stars.where(F.col("na") + F.col("nb") - 2 * F.col("inter") > 2 * t.differ(F.col("na"))).select(F.col("a").alias("leader"), F.col("b").alias("doc_id"))
-    far = far.join(sets, "doc_id").select("leader", F.lit(1).alias("kind"), "doc_id", F.size("hashes").alias("n"), F.lit(0).alias("base"), F.lit(0).alias("gone"), F.col("hashes").alias("items"))
-    return links.unionByName(in_blocks(near.unionByName(far), links, t, s))
+    far = stars.where(F.col("apart") > 2 * t.differ(F.col("na"))).select(F.col("a").alias("leader"), F.col("b").alias("doc_id"))
+    far = s.staged(far, "far")
+    far = sets.join(F.broadcast(far) if far.count() <= BROADCAST_IDS else far, "doc_id").select("leader", F.lit(1).alias("kind"), "doc_id", "n", F.lit(0).alias("base"), F.lit(0).alias("gone"), F.col("hashes").alias("items"))
+    return links.unionByName(in_blocks(near.unionByName(far), t, s))
 
 
-def in_blocks(groups: DataFrame, links: DataFrame, t: Threshold, s: Scratch) -> DataFrame:
+def in_blocks(groups: DataFrame, t: Threshold, s: Scratch) -> DataFrame:
     """Further links among the sets of each group (leader, kind), told by what they differ in (items) from a base that lacks gone of their shingles.
 
     Sets of a group lie in blocks of about BLOCK items and ROWS sets by band of sizes, and a block meets those of its own band
-    and of the next. Only links come out: of a pair of blocks no more than it takes to connect the components they are from.
+    and of the next. Only links come out: of a pair of blocks no more than it takes to connect the sets that its links connect.
     """
-    label = components(links, s).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
     key = ["leader", "kind", "band"]
-    placed = groups.withColumn("band", F.size(F.filter(F.lit(t.bands()), lambda e: e <= F.col("n")))).join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    placed = s.staged(placed, "placed")
+    placed = groups.withColumn("band", F.size(F.filter(F.lit(t.bands()), lambda e: e <= F.col("n"))))
     size = s.staged(placed.groupBy(*key).agg(F.greatest(F.ceil(F.sum(F.size("items")) / BLOCK), F.ceil(F.count("*") / ROWS), F.lit(1)).alias("parts")), "sizes")
     placed = s.staged(placed.join(size, key).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts"), "placed")
     blocks = s.staged(placed.select(*key, "part").distinct(), "blocks")
@@ -398,14 +503,15 @@ def in_blocks(groups: DataFrame, links: DataFrame, t: Threshold, s: Scratch) ->
     high = blocks.select("leader", "kind", F.col("band").alias("b2"), F.col("part").alias("p2"))
     meet = low.join(high, ["leader", "kind"]).where("b2 - b1 in (0, 1) and (b1 < b2 or p1 <= p2)").withColumn("meeting", F.xxhash64("leader", "kind", "b1", "p1", "b2", "p2"))
     sides = meet.select("meeting", "leader", "kind", F.col("b1").alias("band"), F.col("p1").alias("part"), F.lit(0).alias("side")).unionByName(meet.select("meeting", "leader", "kind", F.col("b2").alias("band"), F.col("p2").alias("part"), F.lit(1).alias("side")))
-    sent = placed.join(sides, [*key, "part"]).select("meeting", "side", "doc_id", "label", "n", "base", "gone", "items")
+    sent = placed.join(sides, [*key, "part"]).select("meeting", "side", "doc_id", "n", "base", "gone", "items")
 
     def meeting(g: pd.DataFrame) -> pd.DataFrame:
         x, y = (g[g["side"] == i].sort_values("doc_id", ignore_index=True) for i in (0, 1))
         inter = common(list(x["items"]), list(y["items"]))
         inter += int(g["base"].iloc[0]) - x["gone"].to_numpy(dtype=np.int64)[:, None] - y["gone"].to_numpy(dtype=np.int64)[None]
         na, nb = (z["n"].to_numpy(dtype=np.int64) for z in (x, y))
-        hit = t.links(inter, na[:, None], nb[None]) & (x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None])
+        ids, others = x["doc_id"].to_numpy(), y["doc_id"].to_numpy()
+        hit = t.links(inter, na[:, None], nb[None]) & (ids[:, None] != others[None])
         root: dict[int, int] = {}
 
         def find(v: int) -> int:
@@ -415,10 +521,10 @@ def in_blocks(groups: DataFrame, links: DataFrame, t: Threshold, s: Scratch) ->
 
         out = []
         for i, j in zip(*np.nonzero(hit), strict=True):
-            a, b = find(int(x["label"][i])), find(int(y["label"][j]))
+            a, b = find(int(ids[i])), find(int(others[j]))
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((int(x["doc_id"][i]), int(y["doc_id"][j])))
+                out.append((int(ids[i]), int(others[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return s.staged(sent.groupBy("meeting").applyInPandas(meeting, "a long, b long"), "links")
