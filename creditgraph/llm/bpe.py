@@ -31,15 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, partitions, top_words
+from .common import Scratch, free_name, partitions, short_batches, top_words
 
 SLOTS = 1 << 12
 MOST_WORDS = 200_000
 LONGEST = 64  # characters of a word of the dictionary
 MARKS = frozenset(".,;:!?")  # neither letters, numbers nor white space
-NONE = 1 << 62
-CACHED = 250_000  # chunks that a Python worker remembers
-PIECE = 1 << 23  # characters of text in a piece of work, or one text
+NONE = (1 << 31) - 1
+CACHED = 100_000  # chunks that a Python worker remembers
+PIECE = 1 << 21  # characters of text in a piece of work, or one text
+TOGETHER = 1 << 14  # words that are merged together
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -180,52 +181,56 @@ class Pairs:
 
     def __init__(self, ranks: dict[bytes, int]):
         found = sorted((ranks[p[:i]] << 32 | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks)
-        self.keys, self.ids = (np.array([x[k] for x in found] + [1 << 62], dtype=np.int64) for k in (0, 1))
-        self.ids[-1] = NONE
-        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+        self.keys = np.array([x[0] for x in found] + [1 << 62], dtype=np.int64)
+        self.ids = np.array([x[1] for x in found] + [NONE], dtype=np.int32)
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
 
     def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ids that a and b become (which are the ranks of their merges), NONE where they don't merge or one is no id."""
-        key = np.where((a >= 0) & (b >= 0), a << 32 | b, 1 << 62)
+        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) << 32 | b, 1 << 62)
         at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ids[at], NONE)
+        return np.where(self.keys[at] == key, self.ids[at], np.int32(NONE))
 
 
 def fold_words(words: list[bytes], pairs: Pairs) -> list[bytes]:
-    """The ids of words, of LONGEST bytes at most, as bytes of 32-bit numbers: the same merges, for words outside the dictionary.
-
-    Every round makes one merge in each word that has one left, so all of them get shorter by one together.
-    """
+    """The ids of words, of LONGEST bytes at most, as bytes of 32-bit numbers: the same merges, for words outside the dictionary."""
     out: list[bytes] = [b""] * len(words)
     size = np.array([*map(len, words)], dtype=np.int64)
     for least, most in ((0, 8), (8, 16), (16, LONGEST)):
-        no = np.flatnonzero((size > least) & (size <= most))
-        if not len(no):
-            continue
-        ids = np.full((len(no), most), -1, dtype=np.int64)
-        ids[np.arange(most) < size[no, None]] = pairs.bytes[np.frombuffer(b"".join([words[i] for i in no]), dtype=np.uint8)]
-        rank = pairs.merge(ids[:, :-1], ids[:, 1:])
-        while len(no):
-            k = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(no), dtype=np.int64)
-            best = rank[np.arange(len(no)), k] if rank.shape[1] else np.full(len(no), NONE)
-            done = best == NONE
-            if done.any():
-                rest, left = ids[done].astype(np.int32), (ids[done] >= 0).sum(axis=1)
-                for i, row, n in zip(no[done], rest, left, strict=True):
-                    out[i] = row[:n].tobytes()
-                no, ids, rank, k, best = no[~done], ids[~done], rank[~done], k[~done], best[~done]
-            rows, width = np.arange(len(no)), ids.shape[1]
-            if not len(no):
-                break
-            col = np.arange(width - 1)
-            ids[rows, k] = best
-            ids = np.take_along_axis(ids, col + (col > k[:, None]), axis=1)
-            rank = np.take_along_axis(rank, col[:-1] + (col[:-1] >= k[:, None]), axis=1)
-            for at, live in ((k - 1, k > 0), (k, k < width - 2)):
-                rank[rows[live], at[live]] = pairs.merge(ids[rows[live], at[live]], ids[rows[live], at[live] + 1])
+        every = np.flatnonzero((size > least) & (size <= most))
+        for begin in range(0, len(every), TOGETHER):
+            no = every[begin : begin + TOGETHER]
+            ids = np.full((len(no), most), -1, dtype=np.int32)
+            ids[np.arange(most) < size[no, None]] = pairs.bytes[np.frombuffer(b"".join([words[i] for i in no]), dtype=np.uint8)]
+            for i, made in fold_together(no, ids, pairs):
+                out[i] = made
     return out
 
 
+def fold_together(no: np.ndarray, ids: np.ndarray, pairs: Pairs) -> Iterator[tuple[int, bytes]]:
+    """(number, ids) of words of about the same length, a row of ids each, filled up with -1.
+
+    Every round makes one merge in each word that has one left, so all of them get shorter by one together.
+    """
+    rank = pairs.merge(ids[:, :-1], ids[:, 1:])
+    while len(no):
+        rows, width = np.arange(len(no)), ids.shape[1]
+        k = rank.argmin(axis=1) if width > 1 else np.zeros(len(no), dtype=np.int64)
+        best = rank[rows, k] if width > 1 else np.full(len(no), NONE)
+        done = best == NONE
+        for i, row, n in zip(no[done], ids[done], (ids[done] >= 0).sum(axis=1), strict=True):
+            yield i, row[:n].tobytes()
+        no, ids, rank, k, best = no[~done], ids[~done], rank[~done], k[~done], best[~done]
+        if not len(no):
+            return
+        rows, col = np.arange(len(no)), np.arange(width - 1)
+        ids[rows, k] = best
+        ids = np.take_along_axis(ids, col + (col > k[:, None]), axis=1)
+        rank = np.take_along_axis(rank, col[:-1] + (col[:-1] >= k[:, None]), axis=1)
+        for at, live in ((k - 1, k > 0), (k, k < width - 2)):
+            rank[rows[live], at[live]] = pairs.merge(ids[rows[live], at[live]], ids[rows[live], at[live] + 1])
+
+
 def fold_long_word(word: bytes, ranks: dict[bytes, int]) -> bytes:
     """The ids of one word of any length, by a heap of pairs."""
     n = len(word)
@@ -274,14 +279,14 @@ class Dictionary:
     def chunk_ids(self, found: list[str]) -> list[bytes]:
         """The ids of each of distinct chunks, with a space before it."""
         known, cache, find = self.words, self.cache, self.find
-        out = [known.get(" " + c) if c.isalpha() else cache.get(c) for c in found]
+        out = [(c.isalpha() and known.get(" " + c)) or cache.get(c) for c in found]
         new = [i for i, x in enumerate(out) if x is None]
         made = self.joined([plain_words(found[i], find) for i in new])
         if len(cache) + len(new) > CACHED:
             cache.clear()
         for i, x in zip(new, made, strict=True):
             out[i] = x
-            if len(cache) < CACHED and not found[i].isalpha():
+            if len(cache) < CACHED:
                 cache[found[i]] = x
         return out
 
@@ -323,6 +328,7 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of each text, in a last column."""
     ids = free_name(docs, ids)
+    short_batches(docs.sparkSession)
     known = dictionary(docs.select(F.col(text).alias("text")), ranks, pattern)
     shared, kept, at = docs.sparkSession.sparkContext.broadcast((known, ranks, Pairs(ranks))), list(docs.columns), docs.columns.index(text)
 

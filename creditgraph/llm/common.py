@@ -9,6 +9,7 @@ from typing import Self
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 1_000
 _own: dict[str, str] = {}
 
 
@@ -77,6 +78,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Send Python workers at most BATCH rows of text at once, unless the session says otherwise: Spark's default of 10,000 texts is held several times over by each of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column (compared as Spark does, without case)."""
     taken = {c.lower() for c in df.columns}

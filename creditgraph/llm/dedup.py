@@ -2,8 +2,8 @@
 
 The index is a Parquet table (digest, keep_id, group_size, batch), bucketed and sorted by digest.
 A batch is grouped by digest and written as groups; digests that the index holds are taken away from these by a sort-merge
-anti join, and the rest is appended. Texts never enter a shuffle; only 32-byte digests do, and a digest's rows are combined
-where they lie before they are shuffled by digest, so a hot one is no large key.
+anti join, and the rest is appended. To the index go only 32-byte digests, and a digest's rows are combined
+where they lie before they are shuffled by digest, so a hot one is no large key. annotate() joins whole rows with the index.
 
 Defined cases: a null text counts as empty. Of equal texts in one batch the largest id stays (null ids are
 the smallest). A digest that an earlier batch brought keeps that batch's id. Rows that repeat both id and text

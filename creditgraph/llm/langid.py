@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, short_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -90,6 +90,7 @@ def fair_share(seen: dict[str, int], most_rows: int) -> float:
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_rows: int = TRAIN_ROWS) -> Model | None:
     """A model of rows with text and language; of more than most_rows, a sample of about most_rows: all rows of small languages, of large ones those chosen by hash of the id."""
+    short_batches(rows.sparkSession)
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("id")).where("lang is not null and text is not null")
     seen = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
     if len(seen) > MOST_LANGS:

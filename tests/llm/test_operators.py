@@ -254,6 +254,16 @@ def test_cut_list_is_settled(spark, fixed_partitions, n):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, 1) for i in range(1, 5)}
 
 
+@pytest.mark.parametrize("few", [0, 30, 5000])
+def test_components(spark, monkeypatch, few):
+    """A long path, a star and a pair, by rounds, by both, and in one task."""
+    monkeypatch.setattr(setjoin, "FEW", few)
+    pairs = [(i + 1, i) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 20)] + [(301, 300)]
+    with common.Scratch(spark) as s:
+        got = {r.id: r.component for r in setjoin.components(spark.createDataFrame(pairs, "a long, b long"), s).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, **{100 + i: 100 for i in range(20)}, 300: 300, 301: 300}
+
+
 def test_rank_counts_all(spark):
     """Counters of all tasks are added up."""
     df = spark.range(0, 64, 1, 4).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))

@@ -38,3 +38,15 @@ def test_stages(spark, tmp_path):
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     assert len(fifth) == sum(times.values()) and all(list(r.ids) == enc.encode_ordinary(r.text) for r in fifth)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == set(times)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, a null id, an extra column, a very long text; and no rows at all."""
+    long_ = " ".join(f"word{i % 97}" for i in range(40_000))
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, "same text here", "en", "a"), (4, "same text here", None, "b"), (4, "same text here", None, "b"), (None, "no id here", "en", None), (5, long_, "en", "a"), (6, "!!! 123", "en", "a"), (6, "!!! 123", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as ids", "'x' as _source")
+    docs.write.parquet(str(tmp_path / "a/documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "a")).select("doc_id", "text").collect()
+    assert {(r.doc_id, r.text) for r in out} == {(4, "same text here"), (None, "no id here"), (5, long_)} and max(Counter(r.text for r in out).values()) <= 2
+    docs.where("false").write.parquet(str(tmp_path / "b/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
