@@ -24,9 +24,7 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by similarities of 0.8 or more on five words, the one with the smallest id; empty texts stay."""
-    groups = setjoin.join_sets(docs, 80, 100, 5)
-    gone = groups.where("component_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return setjoin.drop_near_copies(docs, 80, 100, 5)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
