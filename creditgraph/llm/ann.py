@@ -26,11 +26,11 @@ from .common import Scratch, partitions, staged
 
 SAMPLE = 20_000  # vectors that the driver fits trees on, at most
 PIVOTS = 512  # nodes that every search may begin at
-TREES, LEAF, DEGREE, ROUNDS = 4, 512, 24, 8
+TREES, LEAF, DEGREE, ROUNDS = 16, 1024, 24, 4
 CHANGED = 0.01  # rounds end when less than this share of all neighbours is new
 OVERFULL = 4  # times LEAF: leaves of more nodes are cut further
 CUTS = 30  # further levels at most; only leaves of equal projections are overfull then
-BEAM, EXPAND, STARTS = 96, 24, 8
+BEAM, EXPAND, STARTS = 256, 32, 8
 GRAPH = "id long, nbrs array<long>, dists array<float>"
 
 
