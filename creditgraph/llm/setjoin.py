@@ -43,7 +43,7 @@ SLOTS, SLOT_BITS, PART = 1 << 24, 24, 1 << 18  # counters of shingles, and how m
 GRADE = 1.15  # counts that differ by less than this factor are taken as alike
 LIGHT = 16  # lists of so many entries at most are compared entry by entry; in longer ones leaders settle what they can first
 FEW = 5_000  # edges that one task connects
-BLOCK, ROWS = 200_000, 2_048  # shingles, and sets, that are compared at once with another such block
+BLOCK, ROWS = 200_000, 512  # shingles, and sets, that are compared at once with another such block
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
