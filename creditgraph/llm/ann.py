@@ -97,7 +97,8 @@ def merge(ids: np.ndarray, nbrs: np.ndarray, dists: np.ndarray, k: int) -> pd.Da
     rank = np.arange(len(ids)) - np.repeat(start, np.diff([*start, len(ids)]))
     ids, nbrs, dists = ids[rank < k], nbrs[rank < k], dists[rank < k]
     start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else start
-    return pd.DataFrame({"id": ids[start], "nbrs": np.split(nbrs, start[1:]), "dists": np.split(dists, start[1:])} if len(ids) else {"id": [], "nbrs": [], "dists": []})
+    lists = (np.split(nbrs, start[1:]), np.split(dists, start[1:])) if len(ids) else ([], [])
+    return pd.DataFrame({"id": pd.Series(ids[start], dtype="int64"), **{c: pd.Series(x, dtype=object) for c, x in zip(("nbrs", "dists"), lists, strict=True)}})
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, k: int, worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
