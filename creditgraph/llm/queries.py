@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, dedup, langid, mixing, secret_scan, setjoin, sharding, token_counts
+from . import alignment, ann, bpe, chat, codes, dedup, langid, lines, mixing, secret_scan, setjoin, sharding, token_counts
 from .common import staged, table
 
 SHARDS = 24
@@ -70,7 +70,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_by_bytes, op3_nn_descent, op4_jaccard_join, op5_language_id, op6_secret_scan, op7_byte_bpe, op8_token_counts, op9_exact_dedup, op10_chat_format)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=3, least_chars=20)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *alignment.public_tokenizers())
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_by_bytes, op3_nn_descent, op4_jaccard_join, op5_language_id, op6_secret_scan, op7_byte_bpe, op8_token_counts, op9_exact_dedup, op10_chat_format, op11_line_dedup, op12_vector_codes, op13_token_alignment)}
 
 ORACLE_SQL = {
     "op4_jaccard_join": r"""
@@ -92,6 +106,16 @@ FROM g JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON g.doc_
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""",
+    "op11_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l
+), c AS (SELECT k, max(doc_id) AS keep_id FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keep_id <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep_id IS NULL OR keep_id = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN c USING (k) GROUP BY doc_id
 """,
     "op10_chat_format": r"""
 WITH c AS (
