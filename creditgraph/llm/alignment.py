@@ -17,6 +17,7 @@ length. Repeated rows are documents of their own. No rows give no rows.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,10 +33,12 @@ from .common import Scratch, partitions, staged
 
 RANGE = 1 << 16  # bytes of a range of a long text
 FAN = 8  # ranges that one task composes
-TOGETHER = 1 << 23  # bytes of texts whose distinct words are encoded together
-BLOCK_PAIRS = 1 << 22  # pairs of a block's documents, but for one document
+TOGETHER = 1 << 22  # bytes of texts whose distinct words are encoded together
+BLOCK_PAIRS = 1 << 20  # pairs of a block's documents, but for one document
 LARGE = 1 << 12  # links of a group above which its distinct ids are paired, not its tokens
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: how byte-level BPE cuts texts.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARK = "▁"  # what pieces have for a space
 FRAGMENT = "k int, begin long, ok boolean, cut boolean, pa array<int>, pb array<int>, sa array<int>, sb array<int>, n_a long, n_b long, n_groups long, n_links long, spelled string, keys array<bigint>, times array<bigint>"
 
@@ -47,27 +50,67 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def piece_bytes(piece: str, letters: dict[str, int]) -> bytes:
+    return bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
+
+
+def as_ranks(a: str) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level BPE by bytes, if its merges are no more than the order of the ids, so that the faster library, which knows ids only, gives the same.
+
+    That is so when the ith merge makes the ith id after the single bytes, every id is reached from its own bytes by the merges,
+    and texts are cut by the usual pattern without more ado.
+    """
+    import public_tokenizers as public
+
+    told = json.loads(a)
+    cut, model = told["pre_tokenizer"] or {}, told["model"]
+    usual = told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and public.PATTERN == PATTERN
+    if not usual or model["dropout"] or model["continuing_subword_prefix"] or model["end_of_word_suffix"] or model["ignore_merges"]:
+        return None
+    merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    vocabulary, order = model["vocab"], {m: i for i, m in enumerate(merges)}
+    if any(vocabulary.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)) or len(vocabulary) != 256 + len(merges):
+        return None
+    for piece in vocabulary:
+        parts = [*piece]
+        while len(parts) > 1:
+            rank, k = min((order.get(p, len(order)), k) for k, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == len(order):
+                return None
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    letters = byte_letters()
+    return {piece_bytes(p, letters): i for p, i in vocabulary.items()}
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of their tokens."""
 
-    def __init__(self, a: str, b: bytes):
+    def __init__(self, a: str, b: bytes, ranks: dict[bytes, int] | None = None):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_str(a), SentencePieceProcessor(model_proto=b)
-        self.a.encode_special_tokens = True
-        letters = byte_letters()
-        vocabulary = self.a.get_vocab()
+        self.b, letters = SentencePieceProcessor(model_proto=b), byte_letters()
+        if ranks:
+            import tiktoken
+
+            vocabulary = ranks
+            self.a_ids = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_str(a)
+            own.encode_special_tokens = True
+            vocabulary = {piece_bytes(p, letters): i for p, i in own.get_vocab().items()}
+            self.a_ids = lambda text: own.encode(text, add_special_tokens=False).ids
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
-            self.a_bytes[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
+            self.a_bytes[i] = piece
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in pieces]
         self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of a space and text, None if their bytes are others."""
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        a, b = self.a_ids(" " + text), self.b.encode(text)
         data = b" " + text.encode()
         if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
             return None
@@ -265,7 +308,7 @@ def short_texts(t: Tokenizers, ids: pa.Array, texts: pa.Array, block: Block) ->
     word_of, keys, times = [none()], [none()], [none()]
     inner = [i for i in live.tolist() if words[i].strip() == words[i]]
     edges = [i for i in live.tolist() if words[i].strip() != words[i]]  # beside white space a space ends no token: these stand alone
-    for some in [*(inner[k : k + (1 << 16)] for k in range(0, len(inner), 1 << 16)), *([i] for i in edges)]:
+    for some in [*(inner[k : k + (1 << 14)] for k in range(0, len(inner), 1 << 14)), *([i] for i in edges)]:
         own = [words[i] for i in some]
         made = t.words(own)
         starts = sorted(made)
@@ -438,7 +481,7 @@ def align(docs: DataFrame, a: str, b: bytes, text: str = "text", doc_id: str = "
     a: a byte-level BPE of the tokenizers library, as JSON; b: a sentencepiece model with byte fallback, whose pieces have spaces in front only.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((a, b))
+    shared = spark.sparkContext.broadcast((a, b, as_ranks(a)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
