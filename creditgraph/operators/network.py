@@ -1,8 +1,9 @@
 """Bounded networks around many centres at once.
 
-The state is keyed by (center_id, id): nodes with their distance, links, and a control row per centre with its stop flag. Each of
-at most degree + 1 rounds is one plan over all centres; its results are written to a folder that driver and executors
-share, so no plan grows with the rounds and a lost executor costs one round.
+A round takes two steps over all centres: the nodes at a distance, each with what its entity says of it and with its centre's state (stop, pruned, nodes so far),
+and the links that they have. Each step's rows are kept before the next one, so no plan grows with the rounds: those of a few centres, which the
+limits bound, on the driver, and others in a folder that driver and executors share; a lost executor costs one step. Edges and entities
+may be given as stores, which are not moved: what is asked goes to them.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ import tempfile
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import ARTIST, LABEL, LABEL_OFFSET, entity_key, external_id, link_key
-from .aggregates import expected_links, in_years, node_size
+from .aggregates import expected_links, in_years, node_size, relation_volume
+from .stores import LITERAL, Store, matched
 
 # Fixed values of the network's rules.
 STRUCTURAL = ("Alias", "Member Of", "Sublabel Of")
@@ -23,6 +26,9 @@ PRUNED_ROLES = ("Released On", "Compiled On", "Producer", "Remix", "DJ Mix", "Wr
 EXCLUDED_NAMES = ("Various", "Not On Label", "Self Released", "Self-Released")
 EXCLUDED_PREFIX = "Various Artists"
 ALIAS_CUTOFF, PRUNE_DIVISOR, STOP_MULTIPLIER = 3, 4, 3
+PROFILES = {"large": {"degree": 5, "max_nodes": 400, "link_ratio": 10}, "small": {"degree": 3, "max_nodes": 25, "link_ratio": 10}}
+FEW = 8  # centres whose steps are kept on the driver,
+FEW_ROWS = 100_000  # if one has no more rows than this
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,6 +44,31 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Where the steps of networks are kept."""
+
+    def __init__(self, few: bool):
+        self.few, self.paths = few, []
+
+    def keep(self, df: DataFrame, name: str) -> tuple[DataFrame, pa.Table | None]:
+        """df, without its lineage; also as a table, if that is on the driver."""
+        spark = df.sparkSession
+        if self.few:
+            table = df.limit(FEW_ROWS + 1).toArrow()
+            if table.num_rows <= FEW_ROWS:
+                return spark.createDataFrame(table, df.schema), table
+        self.paths.append(new_path(spark, name))
+        df.write.parquet(self.paths[-1])
+        return spark.read.schema(df.schema).parquet(self.paths[-1]), None
+
+    def clear(self, spark: SparkSession) -> None:
+        """Deletes what was written."""
+        for path in self.paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
 _own: list[str] = []
 
 
@@ -58,37 +89,52 @@ def is_excluded(entity_id: Column, name: Column) -> Column:
     return F.coalesce(entity_id, F.lit(0)).eqNullSafe(F.lit(0)) | F.coalesce(name, F.lit("")).isin("", *EXCLUDED_NAMES) | F.coalesce(F.startswith(name, F.lit(EXCLUDED_PREFIX)), F.lit(False))
 
 
-def structural_edges(serving: DataFrame, roles: tuple[str, ...] = STRUCTURAL) -> DataFrame:
-    """(id, role, one, two): links that an entity's own maps state, with the id of the entity that states them."""
+def stated_links(roles: tuple[str, ...], columns: list[str]) -> Column:
+    """array<struct<role, one, two>>: links that an entity's own maps state. An alias has the smaller external id first."""
 
     def of(c: str) -> Column:
         return F.coalesce(F.filter(F.map_values(c), lambda x: x.isNotNull() & (x != 0)), F.array().cast("array<bigint>"))
 
-    e = external_id(F.col("other"))
-    low = e["entity_id"] <= F.col("entity_id")
+    def alias(other: Column) -> tuple[Column, Column]:
+        low = external_id(other)["entity_id"] <= F.col("entity_id")
+        return F.when(low, other).otherwise(me), F.when(low, me).otherwise(other)
+
     me = F.col("id")
     kinds = [
-        ("Alias", ARTIST, "aliases", F.when(low, F.col("other")).otherwise(me), F.when(low, me).otherwise(F.col("other"))),
-        ("Member Of", ARTIST, "groups", me, F.col("other")),
-        ("Member Of", ARTIST, "members", F.col("other"), me),
-        ("Sublabel Of", LABEL, "parent_label", me, F.col("other")),
-        ("Sublabel Of", LABEL, "sublabels", F.col("other"), me),
+        ("Alias", ARTIST, "aliases", alias),
+        ("Member Of", ARTIST, "groups", lambda x: (me, x)),
+        ("Member Of", ARTIST, "members", lambda x: (x, me)),
+        ("Sublabel Of", LABEL, "parent_label", lambda x: (me, x)),
+        ("Sublabel Of", LABEL, "sublabels", lambda x: (x, me)),
     ]
-    parts = [serving.where(F.col("entity_type") == t).select("id", "entity_id", F.explode(of(c)).alias("other")).select("id", F.lit(role).alias("role"), one.alias("one"), two.alias("two")) for role, t, c, one, two in kinds if role in roles and c in serving.columns]
-    out = parts[0] if parts else serving.select("id", F.lit("").alias("role"), me.alias("one"), me.alias("two")).limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    none = F.array().cast("array<struct<role:string,one:bigint,two:bigint>>")
+
+    def links(role: str, c: str, ends) -> Column:
+        def link(x: Column) -> Column:
+            one, two = ends(x)
+            return F.struct(F.lit(role).alias("role"), one.cast("bigint").alias("one"), two.cast("bigint").alias("two"))
 
+        return F.transform(of(c), link)
 
-def expand_frontier(edges: DataFrame, frontier: DataFrame, roles: DataFrame, cap: int, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    return F.array_distinct(F.concat(none, *(F.when(F.col("entity_type") == t, links(role, c, ends)).otherwise(none) for role, t, c, ends in kinds if role in roles and c in columns)))
+
+
+def structural_edges(serving: DataFrame, roles: tuple[str, ...] = STRUCTURAL) -> DataFrame:
+    """(id, role, one, two): links that an entity's own maps state, with the id of the entity that states them."""
+    return serving.select("id", F.explode(stated_links(roles, serving.columns)).alias("x")).select("id", "x.*").distinct()
+
+
+def expand_frontier(edges: DataFrame | Store, frontier: DataFrame, roles: DataFrame, cap: int, lo: int | None = None, hi: int | None = None, names: list[str] | None = None, ids: list[int] | None = None) -> DataFrame:
     """(center_id, subject, role, object, release_id, year): edges that touch a centre's frontier (center_id, id) in that centre's
     roles (center_id, role); of each centre the first cap x (ids asked) by role, subject, object, release.
 
-    Two equi joins and a distinct union; an OR condition would be a nested loop.
+    Two equi joins and a distinct union; an OR condition would be a nested loop. names: all roles that any centre asks for; ids: the frontier's, if few.
     """
-    own = edges.where(in_years(F.col("year"), lo, hi))
-    touch = own.join(frontier.withColumnRenamed("id", "subject"), "subject").unionByName(own.join(frontier.withColumnRenamed("id", "object"), "object")).distinct()
+    size = frontier.count() if isinstance(edges, Store) and ids is None else None
+    sides = [matched(edges, side, frontier, "id", size, ids) for side in ("subject", "object")]
+    columns = ["center_id", "subject", "role", "object", "release_id", "year"]
+    wanted = in_years(F.col("year"), lo, hi) & (F.col("role").isin(names) if names is not None else F.lit(True))
+    touch = sides[0].where(wanted).select(*columns).unionByName(sides[1].where(wanted).select(*columns)).distinct()
     touch = touch.join(roles, ["center_id", "role"], "left_semi")
     asked = frontier.groupBy("center_id").agg((F.count("*") * cap).alias("most"))
     w = Window.partitionBy("center_id").orderBy("role", "subject", "object", "release_id")
@@ -101,22 +147,25 @@ def links_inside(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def layer(nodes: DataFrame, links: DataFrame, degree: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Nodes that the centre reaches by links from a distance to a greater one, and the links between them."""
-    links = links_inside(links, nodes)
-    at = nodes.select("center_id", "id", "distance")
-    ends = links.join(at.select("center_id", F.col("id").alias("one"), F.col("distance").alias("d1")), ["center_id", "one"]).join(at.select("center_id", F.col("id").alias("two"), F.col("distance").alias("d2")), ["center_id", "two"])
-    down = ends.where("d1 != d2").select("center_id", F.when(F.col("d1") < F.col("d2"), F.col("one")).otherwise(F.col("two")).alias("parent"), F.when(F.col("d1") < F.col("d2"), F.col("two")).otherwise(F.col("one")).alias("child")).distinct()
-    down = kept(down, "down")
-    seen = kept(at.where("distance = 0").select("center_id", "id"), "seen")
-    front = seen
-    for _ in range(degree + 1):
-        step = front.join(down, (front["center_id"] == down["center_id"]) & (front["id"] == down["parent"])).select(front["center_id"], F.col("child").alias("id")).distinct().join(seen, ["center_id", "id"], "left_anti")
-        front = kept(step, "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    reached = nodes.join(seen, ["center_id", "id"], "left_semi")
-    return reached, links_inside(links, reached)
+    """Nodes that the centre reaches by links from a distance to a greater one, and the links between them. A network has a bounded number of both."""
+
+    def reached(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        at, down = dict(zip(n["id"], n["distance"], strict=True)), {}
+        for a, b in zip(e["one"], e["two"], strict=True):
+            if at[a] != at[b]:
+                far, near = (a, b) if at[a] > at[b] else (b, a)
+                down.setdefault(near, []).append(far)
+        seen = front = {i for i, d in at.items() if d == 0}
+        for _ in range(degree + 1):
+            front = {x for i in front for x in down.get(i, ())} - seen
+            seen = seen | front
+        return pd.DataFrame({"center_id": pd.Series([n["center_id"].iloc[0]] * len(seen) if len(n) else [], dtype="int64"), "id": pd.Series([*seen], dtype="int64")})
+
+    inside = links_inside(links, nodes)
+    own = nodes.select(F.col("center_id").alias("of"), F.col("center_id"), "id", "distance").groupBy("of")
+    found = own.cogroup(inside.select(F.col("center_id").alias("at"), "one", "two").groupBy("at")).applyInPandas(reached, "center_id long, id long")
+    kept_ = nodes.join(found, ["center_id", "id"], "left_semi")
+    return kept_, links_inside(links, kept_)
 
 
 def merged_years(a: Column, b: Column) -> Column:
@@ -144,15 +193,23 @@ def same_ends_years(links: DataFrame, found: DataFrame) -> DataFrame:
     return own.withColumn("releases", F.when(F.col("more").isNotNull(), merged_years(F.col("releases"), F.col("more"))).otherwise(F.col("releases"))).drop("low", "high", "more")
 
 
-def cross_role_years(links: DataFrame, serving: DataFrame, edges: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """Undated links at the centre take the dated releases of any role between the same two entities."""
-    volume = serving.select("id", F.aggregate(F.coalesce(F.map_values("relation_counts"), F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("volume"))
-    asked = links.where(F.col("releases").isNull() & ((F.col("one") == F.col("center_id")) | (F.col("two") == F.col("center_id"))) & (F.col("one") != F.col("two")))
-    pairs = asked.select(*unordered(F.col("one"), F.col("two"))).distinct()
-    live = pairs.join(volume.select(F.col("id").alias("low"), F.col("volume").alias("v1")), "low").join(volume.select(F.col("id").alias("high"), F.col("volume").alias("v2")), "high").where("v1 > 0 or v2 > 0").select("low", "high")
-    dated = edges.where(F.col("year").isNotNull() & in_years(F.col("year"), lo, hi)).select(*unordered(F.col("subject"), F.col("object")), "release_id", "year").join(live, ["low", "high"], "left_semi")
-    by = dated.groupBy("low", "high", "release_id").agg(F.max("year").alias("year")).groupBy("low", "high").agg(F.map_from_entries(F.collect_list(F.struct("release_id", "year"))).alias("more"))
+def cross_role_years(links: DataFrame, nodes: DataFrame, edges: DataFrame | Store, lo: int | None = None, hi: int | None = None, few: list[int] | None = None) -> DataFrame:
+    """Undated links at the centre take the dated releases of any role between the same two entities, unless neither of them (nodes: id, volume) has any.
+
+    few: the centres, if they are few.
+    """
     at_center = (F.col("one") == F.col("center_id")) | (F.col("two") == F.col("center_id"))
+    volume = nodes.groupBy("id").agg(F.max("volume").alias("volume"))
+    asked = links.where(F.col("releases").isNull() & at_center & (F.col("one") != F.col("two"))).select("center_id", F.when(F.col("one") == F.col("center_id"), F.col("two")).otherwise(F.col("one")).alias("other")).distinct()
+    live = asked.join(volume.select(F.col("id").alias("center_id"), F.col("volume").alias("v1")), "center_id").join(volume.select(F.col("id").alias("other"), F.col("volume").alias("v2")), "other").where("v1 > 0 or v2 > 0").select("center_id", "other")
+    pairs = live.unionByName(live.select(F.col("other").alias("center_id"), F.col("center_id").alias("other"))) if few is None else live
+    size = live.count() * 2 if isinstance(edges, Store) and few is None else None
+    dated = None
+    for side, end in (("subject", "object"), ("object", "subject")) if few is not None else (("subject", "object"),):
+        met = matched(edges, side, pairs, "center_id", size, few).where(F.col("year").isNotNull() & in_years(F.col("year"), lo, hi) & (F.col(end) == F.col("other")))
+        met = met.select(*unordered(F.col("subject"), F.col("object")), "release_id", "year")
+        dated = met if dated is None else dated.unionByName(met)
+    by = dated.groupBy("low", "high", "release_id").agg(F.max("year").alias("year")).groupBy("low", "high").agg(F.map_from_entries(F.collect_list(F.struct("release_id", "year"))).alias("more"))
     own = links.select("*", *unordered(F.col("one"), F.col("two"))).join(by, ["low", "high"], "left")
     return own.withColumn("releases", F.when(F.col("releases").isNull() & at_center, F.col("more")).otherwise(F.col("releases"))).drop("low", "high", "more")
 
@@ -174,8 +231,12 @@ def drop_undated_members(links: DataFrame, lo: int | None, hi: int | None) -> Da
     return links.where(~((F.col("role") == "Member Of") & ((F.col("one") == F.col("center_id")) | (F.col("two") == F.col("center_id"))) & undated))
 
 
+def alias_ids() -> Column:
+    return F.coalesce(F.filter(F.map_values("aliases"), lambda x: x.isNotNull()), F.array().cast("array<bigint>"))
+
+
 def alias_clusters(nodes: DataFrame) -> DataFrame:
-    """nodes (center_id, id, aliases map) with a cluster number: most aliases first, ties by id; a new cluster takes a node's aliases."""
+    """nodes (center_id, id, and aliases, a map, or alias_ids) with a cluster number: most aliases first, ties by id; a new cluster takes a node's aliases."""
 
     def number(g: pd.DataFrame) -> pd.DataFrame:
         known: dict[int, int] = {}
@@ -191,86 +252,143 @@ def alias_clusters(nodes: DataFrame) -> DataFrame:
             out.append(known[i])
         return pd.DataFrame({"center_id": g["center_id"], "id": g["id"], "cluster": pd.array(out, dtype="Int32")})
 
-    ids = nodes.select("center_id", "id", F.coalesce(F.filter(F.map_values("aliases"), lambda x: x.isNotNull()), F.array().cast("array<bigint>")).alias("alias_ids"))
+    own = F.col("alias_ids") if "alias_ids" in nodes.columns else alias_ids()
+    ids = nodes.select("center_id", "id", own.alias("alias_ids"))
     return nodes.join(ids.groupBy("center_id").applyInPandas(number, "center_id long, id long, cluster int"), ["center_id", "id"], "left")
 
 
 def missing_links(nodes: DataFrame, links: DataFrame, roles: list[str]) -> DataFrame:
-    """nodes with `links` (sorted keys) and `missing`, the expected number of links less those."""
+    """nodes with `links` (sorted keys) and `missing`, the expected number of links (in column expected, or from the maps) less those."""
     ends = links.select("center_id", F.explode(F.array_distinct(F.array("one", "two"))).alias("id"), "key")
     own = ends.groupBy("center_id", "id").agg(F.array_sort(F.collect_set("key")).alias("links"))
     out = nodes.join(own, ["center_id", "id"], "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
-    return out.withColumn("missing", expected_links(roles) - F.size("links"))
+    expected = F.col("expected") if "expected" in nodes.columns else expected_links(roles)
+    return out.withColumn("missing", expected - F.size("links"))
+
+
+def unknown_roles(roles: list[str], known: DataFrame) -> list[str]:
+    """Those of roles that are neither structural nor a role_name of known."""
+    found = {r["role_name"] for r in known.where(F.col("role_name").isin(roles)).select("role_name").distinct().collect()}
+    return [r for r in roles if r not in found and r not in STRUCTURAL]
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def nodes_at(frontier: DataFrame, serving: DataFrame | Store, roles: list[str], distance: int, max_nodes: int, ids: list[int] | None) -> DataFrame:
+    """The first max_nodes of each centre's frontier (center_id, id, stop, pruned, n_nodes), with what is known of them, whether they are accepted, and the centre's state.
+
+    ids: those of the frontier, if few.
+    """
+    capped = frontier.withColumn("r", F.row_number().over(Window.partitionBy("center_id").orderBy("id"))).where(F.col("r") <= max_nodes).drop("r")
+    if isinstance(serving, Store):
+        own = about_nodes(serving.of("id", capped.select("id").distinct(), "id", keys=ids), roles)
+    else:
+        own = about_nodes(serving, roles)
+    met = capped.join(own, "id", "left").withColumn("accepted", F.col("entity_id").isNotNull() & ~F.coalesce("excluded", F.lit(True)))
+    center = Window.partitionBy("center_id")
+    total = F.col("n_nodes") + F.sum(F.col("accepted").cast("bigint")).over(center)
+    alive = F.max(F.col("entity_id").isNull() | ~F.coalesce("excluded", F.lit(True))).over(center)
+    met = met.withColumn("n_nodes", total).withColumn("stop", F.col("stop") | ~alive | (F.col("n_nodes") == 0) | ((F.lit(distance) > 0) & (F.col("n_nodes") >= max_nodes)))
+    return met.withColumn("pruned", F.col("pruned") | ((F.lit(distance) > 0) & (F.col("n_nodes") > max_nodes / PRUNE_DIVISOR))).withColumn("distance", F.lit(distance)).drop("entity_id", "excluded")
+
+
+def next_frontier(now: DataFrame, nodes: list[DataFrame], distance: int, max_links: int) -> DataFrame:
+    """(center_id, id, stop, pruned, n_nodes): ends of a round's links that are no nodes yet, and their centres' state."""
+    n = F.col("n")
+    state = now.groupBy("center_id").agg(F.count("*").alias("n"), F.max("pruned").alias("pruned"), F.max("n_nodes").alias("n_nodes"))
+    state = state.select("center_id", ((n >= max_links * STOP_MULTIPLIER) | ((F.lit(distance) > 1) & (n >= max_links))).alias("stop"), "pruned", "n_nodes")
+    ends = now.where(named_ends()).select("center_id", F.explode(F.array("one", "two")).alias("id")).distinct()
+    known = union([x.where("accepted").select("center_id", "id") for x in nodes])
+    return ends.join(known, ["center_id", "id"], "left_anti").join(state, "center_id")
+
+
+def named_ends() -> Column:
+    return (F.col("one") % LABEL_OFFSET != 0) & (F.col("two") % LABEL_OFFSET != 0)
+
+
+def merged_links(rounds: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """One link for each key: of those with dates the last, else the last of all."""
+    if not rounds:
+        return spark.createDataFrame([], "center_id long, key string, role string, one long, two long, releases map<bigint,int>")
+    good = union(rounds).where(named_ends() & (F.col("one") != F.col("two")))
+    best = good.groupBy("center_id", "key").agg(F.max_by(F.struct("role", "one", "two", "releases"), F.struct(F.col("releases").isNotNull(), F.col("round"))).alias("x"))
+    return best.select("center_id", "key", "x.*")
+
+
+def about_nodes(serving: DataFrame, roles: list[str]) -> DataFrame:
+    """What a network needs to know of each entity: a few numbers, its aliases and the links that it states."""
+    structural, relational = [r for r in roles if r in STRUCTURAL], [r for r in roles if r not in STRUCTURAL]
+    narrow = [r for r in relational if r not in PRUNED_ROLES]
+    excluded = is_excluded(F.col("entity_id"), F.col("entity_name"))
+    return serving.select(
+        "id", "entity_id", "entity_type", F.col("entity_name").alias("name"), excluded.alias("excluded"), expected_links(relational).alias("wide"), expected_links(narrow).alias("narrow"), expected_links(roles).alias("expected"),
+        node_size(F.col("entity_type")).alias("size"), relation_volume(F.col("relation_counts")).alias("volume"), alias_ids().alias("alias_ids"), stated_links(tuple(structural), serving.columns).alias("stated"),
+    )
 
 
-def network(centers: DataFrame, serving: DataFrame, edges: DataFrame, roles: list[str], degree: int = 5, max_nodes: int = 400, link_ratio: int = 10, lo: int | None = None, hi: int | None = None) -> tuple[DataFrame, DataFrame]:
+def network(
+    centers: DataFrame, serving: DataFrame | Store, edges: DataFrame | Store, roles: list[str], degree: int = 5, max_nodes: int = 400, link_ratio: int = 10, lo: int | None = None, hi: int | None = None, known_roles: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Nodes (center_id, id, key, name, type, size, distance, cluster, links, missing) and links (center_id, key, role, one, two,
-    releases) around each of centers (center_id)."""
-    spark = centers.sparkSession
-    max_links = max_nodes * link_ratio
+    releases) around each of centers (center_id).
+
+    Stores are by id (serving) and by subject and object (edges). known_roles (role_name): a role of neither it nor the structural ones is an error.
+    """
+    if known_roles is not None and (unknown := unknown_roles(roles, known_roles)):
+        raise ValueError(f"unknown roles: {', '.join(unknown)}")
+    spark, max_links = centers.sparkSession, max_nodes * link_ratio
     structural, relational = [r for r in roles if r in STRUCTURAL], [r for r in roles if r not in STRUCTURAL]
-    frontier = kept(centers.select("center_id", F.col("center_id").alias("id")).distinct(), "frontier")
-    control = frontier.select("center_id", F.lit(False).alias("stop"), F.lit(False).alias("pruned"))
-    nodes = links = None
+    narrow = [r for r in relational if r not in PRUNED_ROLES]
+    some = [r["center_id"] for r in centers.select("center_id").distinct().limit(FEW + 1).collect()]
+    steps, few = Steps(len(some) <= FEW), some if len(some) <= FEW else None
+    frontier = centers.select("center_id", F.col("center_id").alias("id"), F.lit(False).alias("stop"), F.lit(False).alias("pruned"), F.lit(0).cast("bigint").alias("n_nodes")).distinct()
+    asked_ids, all_nodes, all_links = few, [], []
     for distance in range(degree + 1):
-        w = Window.partitionBy("center_id").orderBy("id")
-        capped = frontier.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_nodes).drop("r")
-        met = capped.join(serving.select("id", "entity_id", "entity_name"), "id", "left")
-        accepted = met.where(F.col("entity_id").isNotNull() & ~is_excluded(F.col("entity_id"), F.col("entity_name"))).select("center_id", "id", F.lit(distance).alias("distance"))
-        fresh = accepted if nodes is None else accepted.join(nodes.select("center_id", "id"), ["center_id", "id"], "left_anti")
-        nodes = kept(fresh if nodes is None else nodes.unionByName(fresh), "nodes")
-        counts = nodes.groupBy("center_id").agg(F.count("*").alias("n"))
-        left = met.where(F.col("entity_id").isNull() | ~is_excluded(F.col("entity_id"), F.col("entity_name"))).select("center_id").distinct()
-        live = control.where("not stop").join(left, "center_id", "left_semi").join(counts, "center_id")
-        live = live.withColumn("stop", (F.lit(distance) > 0) & (F.col("n") >= max_nodes)).withColumn("pruned", F.col("pruned") | ((F.lit(distance) > 0) & (F.col("n") > max_nodes / PRUNE_DIVISOR)))
-        control = kept(live.select("center_id", "stop", "pruned"), "control")
-        open_ = control.where("not stop")
-        if open_.isEmpty():
+        here, table = steps.keep(nodes_at(frontier, serving, roles, distance, max_nodes, asked_ids), "nodes")
+        all_nodes.append(here)
+        active = here.where("accepted and not stop")
+        if (not any(a and not s for a, s in zip(table["accepted"].to_pylist(), table["stop"].to_pylist(), strict=True))) if table is not None else active.isEmpty():
             break
-        here = nodes.where(F.col("distance") == distance).join(open_, "center_id", "left_semi").join(serving, "id")
         visible = [r for r in structural if r != "Alias" or distance < ALIAS_CUTOFF]
-        stated = structural_edges(here.drop("center_id", "distance").dropDuplicates(["id"]), tuple(visible)).join(here.select("center_id", "id"), "id").select("center_id", "role", "one", "two").distinct().withColumn("releases", F.lit(None).cast("map<bigint,int>"))
+        stated = active.select("center_id", F.explode(F.filter("stated", lambda x: x["role"].isin(visible))).alias("x")).select("center_id", "x.*").distinct().withColumn("releases", F.lit(None).cast("map<bigint,int>"))
         if distance < degree and roles:
             # hubs past the centre are not asked for
-            active = here.join(control.select("center_id", "pruned"), "center_id")
-            narrow = [r for r in relational if r not in PRUNED_ROLES]
-            size = F.when(F.col("pruned"), expected_links(narrow)).otherwise(expected_links(relational))
-            asked = kept(active.where((F.lit(distance) == 0) | (size <= max_links)).select("center_id", "id"), "asked")
-            all_, few = (F.array(*(F.lit(r) for r in [*x, *structural])) for x in (relational, narrow))
-            by_center = control.where("not stop").select("center_id", F.explode(F.when(F.col("pruned"), few).otherwise(all_)).alias("role"))
-            found = kept(folded(expand_frontier(edges, asked, by_center, max_links, lo, hi)), "found")
+            size = F.when(F.col("pruned"), F.col("narrow")).otherwise(F.col("wide"))
+            asked = active.where((F.lit(distance) == 0) | (size <= max_links)).select("center_id", "id")
+            all_, less = (F.array(*(F.lit(r) for r in [*x, *structural])) for x in (relational, narrow))
+            by_center = active.select("center_id", "pruned").distinct().select("center_id", F.explode(F.when(F.col("pruned"), less).otherwise(all_)).alias("role"))
+            ids = None
+            if table is not None:
+                rows = zip(*(table[c].to_pylist() for c in ("id", "accepted", "stop", "pruned", "narrow", "wide")), strict=True)
+                ids = [*{i for i, ok, stop, less_, n, w in rows if ok and not stop and (distance == 0 or (n if less_ else w) <= max_links)}]
+            found = folded(expand_frontier(edges, asked, by_center, max_links, lo, hi, [*relational, *structural], ids if ids is None or len(ids) <= LITERAL else None))
             credits = found.where(~F.col("role").isin([*structural, ""])).select("center_id", "role", F.col("subject").alias("one"), F.col("object").alias("two"), "releases")
-            now = same_ends_years(stated, found).unionByName(credits)
+            now = same_ends_years(stated, found.where(F.col("role").isin([*structural]))).select(*stated.columns).unionByName(credits) if structural else credits
         else:
             now = stated
-        now = kept(now.withColumn("key", link_key(F.col("one"), F.col("role"), F.col("two"))), "relations")
-        sizes = now.groupBy("center_id").agg(F.count("*").alias("n"))
-        n = F.coalesce("n", F.lit(0))
-        control = kept(control.join(sizes, "center_id", "left").select("center_id", (F.col("stop") | (n == 0) | (n >= max_links * STOP_MULTIPLIER) | ((F.lit(distance) > 1) & (n >= max_links))).alias("stop"), "pruned"), "control")
-        zero = (F.col("one") % LABEL_OFFSET == 0) | (F.col("two") % LABEL_OFFSET == 0)
-        good = now.where(~zero)
-        links = kept(merge_links(links, good.where("one != two")), "links")
-        ends = good.select("center_id", F.explode(F.array("one", "two")).alias("id")).distinct()
-        frontier = kept(ends.join(nodes.select("center_id", "id"), ["center_id", "id"], "left_anti"), "frontier")
-    if links is None:
-        links = spark.createDataFrame([], "center_id long, key string, role string, one long, two long, releases map<bigint,int>")
-    nodes, links = (kept(x, "layered") for x in layer(nodes, links, degree))
-    links = drop_undated_members(restrict_years(cross_role_years(links, serving, edges, lo, hi), lo, hi), lo, hi)
-    nodes, links = (kept(x, "layered") for x in layer(nodes, kept(links, "dated"), degree))
-    full = missing_links(alias_clusters(nodes.join(serving, "id")), links, roles)
-    own = full.select("center_id", "id", entity_key(F.col("id")).alias("key"), F.col("entity_name").alias("name"), "entity_type", node_size(F.col("entity_type")).alias("size"), "distance", "cluster", "links", "missing")
-    return own, links.select("center_id", "key", "role", "one", "two", "releases")
-
-
-def merge_links(links: DataFrame | None, new: DataFrame) -> DataFrame:
-    """The union by key: a new link replaces the earlier one, unless it is undated and that one is not."""
-    new = new.select("center_id", "key", "role", "one", "two", "releases")
-    if links is None:
-        return new.dropDuplicates(["center_id", "key"])
-    old = links.select("center_id", "key", *(F.col(c).alias(f"old_{c}") for c in ("role", "one", "two", "releases")))
-    both = old.join(new.dropDuplicates(["center_id", "key"]), ["center_id", "key"], "full_outer")
-    use_old = F.col("one").isNull() | (F.col("releases").isNull() & F.col("old_releases").isNotNull())
-    return both.select("center_id", "key", *(F.when(use_old, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c in ("role", "one", "two", "releases")))
+        state = active.select("center_id", "pruned", "n_nodes").distinct()
+        now, _ = steps.keep(now.withColumn("key", link_key(F.col("one"), F.col("role"), F.col("two"))).join(state, "center_id"), "links")
+        all_links.append(now.withColumn("round", F.lit(distance)))
+        frontier, asked_ids = next_frontier(now, all_nodes, distance, max_links), None
+        if few is not None and isinstance(serving, Store):
+            frontier, table = steps.keep(frontier, "frontier")
+            asked_ids = table["id"].unique().to_pylist() if table is not None else None
+    nodes, _ = steps.keep(layer(union(all_nodes).where("accepted").drop("stop", "pruned", "n_nodes", "accepted", "stated"), links := merged_links(all_links, spark), degree)[0], "layered")
+    dated = drop_undated_members(restrict_years(cross_role_years(links_inside(links, nodes), nodes, edges, lo, hi, few), lo, hi), lo, hi)
+    dated, _ = steps.keep(dated, "dated")
+    nodes, _ = steps.keep(layer(nodes, dated, degree)[0], "layered")
+    links = links_inside(dated, nodes).select("center_id", "key", "role", "one", "two", "releases")
+    nodes = missing_links(alias_clusters(nodes), links, roles).select("center_id", "id", entity_key(F.col("id")).alias("key"), "name", "entity_type", "size", "distance", "cluster", "links", "missing")
+    if steps.paths:
+        nodes, links = kept(nodes, "network"), kept(links, "network-links")
+        steps.clear(spark)
+    return nodes, links
+
 
 
 def network_json(nodes: DataFrame, links: DataFrame) -> DataFrame:

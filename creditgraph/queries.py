@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, roles, text
-from .operators import aggregates, changes, network, relations, resolve, role_sets, search, serving
+from .operators import aggregates, changes, network, relations, resolve, role_sets, search, serving, stores
 from .plans.graph_view import GraphView, with_views
 from .sources import dumps
 
@@ -121,7 +121,8 @@ def network_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     g = GraphView(spark, sf_dir)
     s = network.kept(g.serving(), "serving")
     centers = s.where("id % 20 = 0").select(F.col("id").alias("center_id"))
-    return network.network(centers, s, network.kept(g["g_edge"], "edges"), ROLES, lo=1992, hi=1997)
+    known = g.sql("SELECT DISTINCT role AS role_name FROM g_edge")
+    return network.network(centers, s, network.kept(g["g_edge"], "edges"), ROLES, lo=1992, hi=1997, known_roles=known)
 
 
 def network_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +130,26 @@ def network_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("center_id", "id", "key", "name", "entity_type", "size", "distance", "cluster", "missing", F.size("links").alias("n_links"))
 
 
+def network_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of all roles in the limits of the small profile, from stores."""
+    g = GraphView(spark, sf_dir)
+    serving_ = stores.Store.write(g.serving(), network.new_path(spark, "serving-store"), ["id"])
+    edges = stores.Store.write(g["g_edge"], network.new_path(spark, "edge-store"), ["subject", "object"])
+    roles_ = [r["role"] for r in g.sql("SELECT DISTINCT role FROM g_edge ORDER BY role").collect()]
+    centers = serving_.table().where("id % 20 = 0").select(F.col("id").alias("center_id"))
+    n, _ = network.network(centers, serving_, edges, [*network.STRUCTURAL, *roles_], **network.PROFILES["small"])
+    return n.select("center_id", "id", "distance", "missing", F.size("links").alias("n_links"))
+
+
+def store_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edges of each role touch the entities with ids divisible by 20, by an edge store."""
+    g = GraphView(spark, sf_dir)
+    edges = stores.Store.write(g["g_edge"], network.new_path(spark, "edge-store"), ["subject", "object"])
+    asked = network.kept(g["g_entity"].where("id % 20 = 0").select("id"), "asked")
+    touch = edges.of("subject", asked, "id").withColumn("id", F.col("subject")).unionByName(edges.of("object", asked, "id").withColumn("id", F.col("object"))).distinct()
+    return touch.groupBy("id", "role").agg(F.count("*").alias("edges"))
+
+
 def network_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.network_json(*network_tables(spark, sf_dir))
 
@@ -289,7 +310,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         id_functions, search_text, release_dates, extract_relations, role_counts, fold_edges, relations_by_role, relations_by_year, edges_in_years, entity_attributes, attribute_dictionary, table_counts, roles_by_category,
-        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, ancestors, network_depth, serving_relations, search_tokens, name_search, tfidf_search, structural_edges, expected_links, network_nodes, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, insert_ignore,
+        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, ancestors, network_depth, serving_relations, search_tokens, name_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, insert_ignore,
         resolve_labels, match_names, profile_links, url_list, random_connected, subgraph_sizes,
     )
 }
@@ -361,6 +382,7 @@ SELECT center_id, subject, role, object, release_id, year FROM (
   SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY role, subject, object, release_id) AS r FROM (
     SELECT DISTINCT c.id AS center_id, e.* FROM g_edge e JOIN g_entity c ON (e.subject = c.id OR e.object = c.id)
     WHERE c.id % 20 = 0 AND e.role = 'Released On' AND (e.year IS NULL OR e.year BETWEEN 1993 AND 1996)) x) y WHERE r <= 4000"""),
+    "store_lookups": with_views(f"SELECT id, role, count(*) AS edges FROM {TOUCH} t WHERE id % 20 = 0 AND id IN (SELECT id FROM g_entity) GROUP BY id, role"),
     "alias_components": with_views("SELECT id, least(id, min(other)) AS component FROM g_alias GROUP BY id"),
     "snapshot_diff": f"WITH {SNAPS} SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' WHEN o.name IS NOT DISTINCT FROM n.name AND o.balance IS NOT DISTINCT FROM n.balance THEN 'unchanged' ELSE 'update' END AS change_type FROM snap_old o FULL JOIN snap_new n ON o.id = n.id",
     "snapshot_apply": f"WITH {SNAPS} SELECT n.id, n.name, coalesce(o.balance, n.balance) AS balance FROM snap_new n LEFT JOIN snap_old o ON o.id = n.id",
