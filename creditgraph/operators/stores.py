@@ -43,7 +43,8 @@ class Store:
             name = f"store_{uuid.uuid4().hex}"
             df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
             spark.sql(f"DROP TABLE {name}")  # open() names the files
-            spark.range(1).select(F.lit(FORMAT).alias("format"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/{MARK}")
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+            spark.range(1).select(F.lit(FORMAT).alias("format"), F.lit(buckets).alias("buckets"), F.lit(columns).alias("columns")).write.parquet(f"{path}/{MARK}")
         return cls.open(spark, root, keys)
 
     @classmethod
@@ -57,8 +58,7 @@ class Store:
             if made["format"] != FORMAT:
                 raise ValueError(f"{path} has format {made['format']}")
             buckets, names[key] = made["buckets"], f"store_{uuid.uuid4().hex}"
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
-            spark.sql(f"CREATE TABLE {names[key]} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+            spark.sql(f"CREATE TABLE {names[key]} ({made['columns']}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
         return cls(spark, root, names, buckets)
 
     def table(self, key: str | None = None) -> DataFrame:

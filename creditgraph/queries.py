@@ -9,6 +9,7 @@ from .functions import ids, roles, text
 from .operators import aggregates, changes, network, relations, resolve, role_sets, search, serving, stores
 from .plans.graph_view import GraphView, with_views
 from .sources import dumps
+from .streaming.credit_view import CreditView
 
 ROLES = ["Alias", "Member Of", "Sublabel Of", "Released On"]
 
@@ -199,6 +200,31 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("role").agg(F.count("*").alias("edges"))
 
 
+def followed_snapshots(spark: SparkSession, sf_dir: str) -> CreditView:
+    """A view that has followed three snapshots: releases and entities come, change, go and come back."""
+    g, view = GraphView(spark, sf_dir), CreditView(spark, network.new_path(spark, "credit-view"))
+    release, entity = network.kept(g.releases(), "releases"), g["g_entity"].select("id")
+    none = F.array().cast(release.schema["extra_artists"].dataType), F.array().cast(release.schema["tracklist"].dataType)
+    later = F.when(F.col("release_id") % 17 == 0, F.add_months("release_date", 12)).otherwise(F.col("release_date"))
+    bare = [F.when(F.col("release_id") % 19 == 0, empty).otherwise(F.col(c)).alias(c) for c, empty in zip(("extra_artists", "tracklist"), none, strict=True)]
+    taken = [
+        (entity.where("id % 11 != 0"), release.where("release_id % 11 != 0")),
+        (entity.where("id % 13 != 0"), release.where("release_id % 13 != 0").withColumn("release_date", later)),
+        (entity.where("id % 6 != 0"), release.where("release_id % 7 != 0").select(*(c for c in release.columns if c not in ("extra_artists", "tracklist")), *bare)),
+    ]
+    for k, (e, r) in enumerate(taken):
+        view.load(f"2024-0{k + 1}", e, r, g["g_master"], g.role_map())
+    return view
+
+
+def followed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return followed_snapshots(spark, sf_dir).edges()
+
+
+def followed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return followed_snapshots(spark, sf_dir).role_counts()
+
+
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = snapshots(spark, sf_dir)
     return changes.insert_ignore(old, new, ["id"])
@@ -310,7 +336,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         id_functions, search_text, release_dates, extract_relations, role_counts, fold_edges, relations_by_role, relations_by_year, edges_in_years, entity_attributes, attribute_dictionary, table_counts, roles_by_category,
-        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, ancestors, network_depth, serving_relations, search_tokens, name_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, insert_ignore,
+        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, ancestors, network_depth, serving_relations, search_tokens, name_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, followed_edges, followed_counts, insert_ignore,
         resolve_labels, match_names, profile_links, url_list, random_connected, subgraph_sizes,
     )
 }
@@ -337,7 +363,14 @@ attr AS (SELECT DISTINCT * FROM (SELECT id, 'c' AS kind, unnest({parts("country"
 SNAPS = ",\n".join(f"{k} AS ({v})" for k, v in SNAPSHOTS.items())
 STATED = """(SELECT 'Alias' AS role, least(id, other) AS one, greatest(id, other) AS two FROM g_alias UNION SELECT 'Member Of', member, grp FROM g_member UNION SELECT 'Sublabel Of', label, parent FROM g_sublabel)"""
 
+#: The third snapshot's edges, without entities that the first two had and it lacks.
+FOLLOWED = """fe AS (SELECT subject, role, object, release_id, year FROM g_edge
+  WHERE release_id % 7 <> 0 AND (release_id % 19 <> 0 OR role IN ('Released On', 'Compiled On')) AND NOT (subject IN (SELECT id FROM dead) OR object IN (SELECT id FROM dead))),"""
+DEAD = "dead AS (SELECT id FROM g_entity WHERE id % 6 = 0 AND (id % 11 <> 0 OR id % 13 <> 0)),"
+
 ORACLE_SQL = {
+    "followed_edges": with_more(f"{DEAD} {FOLLOWED}"[:-1], "SELECT * FROM fe"),
+    "followed_counts": with_more(f"{DEAD} {FOLLOWED}"[:-1], "SELECT id, role, count(*) AS n FROM (SELECT DISTINCT id, role, subject, object FROM (SELECT subject AS id, role, subject, object FROM fe UNION ALL SELECT object, role, subject, object FROM fe) u) d GROUP BY id, role"),
     "id_functions": with_views("""
 SELECT id, id AS encoded, entity_id AS external, entity_type AS kind, CASE WHEN entity_type = 2 THEN id ELSE -2000000000 END AS label_id,
   CASE WHEN entity_type = 1 THEN 'artist-' ELSE 'label-' END || entity_id AS entity_key,
