@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import LABEL, MISSING, label_internal_id
 from ..functions.text import drop_stop_words, profile_refs, search_normalise, without_stop_words
+from .search import division, posting_lists
+from .stores import Store
 
 
 def ids_by_name(entity: DataFrame) -> DataFrame:
@@ -14,7 +16,7 @@ def ids_by_name(entity: DataFrame) -> DataFrame:
     return entity.groupBy("entity_type", F.col("entity_name").alias("name")).agg(F.min("id").alias("found"))
 
 
-def match_names(names: DataFrame, entity: DataFrame, tokens: DataFrame) -> DataFrame:
+def match_names(names: DataFrame, entity: DataFrame, tokens: DataFrame | Store) -> DataFrame:
     """(entity_type, name, found, tier) of distinct names (entity_type, name).
 
     Exact names first (tier 0); the rest meet the entities that have all their tokens, and the lowest tier wins: 1 normalised
@@ -24,8 +26,8 @@ def match_names(names: DataFrame, entity: DataFrame, tokens: DataFrame) -> DataF
     exact = names.join(ids_by_name(entity), ["entity_type", "name"]).withColumn("tier", F.lit(0))
     rest = names.join(exact.select("entity_type", "name"), ["entity_type", "name"], "left_anti")
     words = F.array_distinct(without_stop_words(F.split(search_normalise(F.col("name")), r"\s+")))
-    asked = rest.select("entity_type", "name", F.explode(words).alias("token"), F.size(words).alias("n"))
-    found = asked.join(tokens, "token").groupBy("entity_type", "name", "n", "id").agg(F.count("*").alias("hits")).where("hits = n")
+    asked = rest.select("name").distinct().select(F.col("name").alias("query"), F.explode(words).alias("token"), F.size(words).alias("n"))
+    found = division(asked, tokens if isinstance(tokens, Store) else posting_lists(tokens)).withColumnRenamed("query", "name").join(rest.select("entity_type", "name"), "name")
     c = found.join(entity.select("id", F.col("entity_type").alias("own_type"), F.col("entity_name").alias("other")), "id").where("own_type = entity_type")
     a, b = F.col("name"), F.col("other")
     na, nb = search_normalise(a), search_normalise(b)

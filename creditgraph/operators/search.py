@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import LABEL_OFFSET, entity_key
 from ..functions.text import search_normalise, tokenise, without_stop_words
+from .stores import Store, matched
 
 # What real names are cut at.
 NAME_SEPARATORS = ",|&|&amp;|and|/"
@@ -45,10 +46,64 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query").distinct().select("query", F.explode(words).alias("token"), F.size(words).alias("n"))
 
 
-def matches(queries: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query, id) of entities that have every token of a query."""
-    hits = query_tokens(queries).join(tokens, "token").groupBy("query", "n", "id").agg(F.count("*").alias("found"))
-    return hits.where("found = n").select("query", "id")
+SLICE = 8192  # about as many ids does a row of a posting list hold
+HOT_TOKENS = 100_000  # tokens with more than one slice that are broadcast
+
+
+def posting_lists(tokens: DataFrame) -> DataFrame:
+    """(cell, token, df, slices, ids): the sorted ids of each token, of a frequent one in slices by hash of id; df is their number over all slices.
+
+    cell names a token's slice. tokens: distinct (token, id). Frequent tokens are dealt to their slices before they are grouped, so that none is one task's work.
+    """
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    stats = df.select("token", "df", F.ceil(F.col("df") / SLICE).cast("int").alias("slices"))
+    hot = stats.where("slices > 1")
+    some = hot.limit(HOT_TOKENS + 1).count() <= HOT_TOKENS
+    sliced = tokens.join(F.broadcast(hot.select("token", "slices")) if some else hot.select("token", "slices"), "token", "left").select("token", "id", F.coalesce("slices", F.lit(1)).alias("slices"))
+    lists = sliced.groupBy("token", "slices", slice_of(F.col("id"), F.col("slices")).alias("slice")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    large = lists.where("slices > 1").join(hot.select("token", "df"), "token").select("token", "df", "slices", "slice", "ids")
+    small = lists.where("slices = 1").select("token", F.size("ids").cast("long").alias("df"), "slices", "slice", "ids")
+    return small.unionByName(large).select(cell_of(F.col("token"), F.col("slice")).alias("cell"), "token", "df", "slices", "ids")
+
+
+def slice_of(id_: Column, slices: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), slices).cast("int")
+
+
+def cell_of(token: Column, slice_: Column) -> Column:
+    return F.concat_ws(":", slice_.cast("string"), token)
+
+
+def write_postings(tokens: DataFrame, root: str, buckets: int | None = None) -> Store:
+    """The posting lists of tokens as a store by cell; what is asked of it goes to its buckets."""
+    return Store.write(posting_lists(tokens), root, ["cell"], buckets)
+
+
+def matches(queries: DataFrame, tokens: DataFrame | Store) -> DataFrame:
+    """(query, id) of entities that have every token of a query. tokens: (token, id), distinct, or a store of posting lists."""
+    postings = tokens if isinstance(tokens, Store) else posting_lists(tokens)
+    return division(query_tokens(queries), postings)
+
+
+def division(asked: DataFrame, postings: DataFrame | Store) -> DataFrame:
+    """(query, id) of ids that have every one of a query's tokens: asked (query, token, n), of n tokens each.
+
+    The ids of a query's rarest token are its candidates; its other tokens' lists only take some away. Each of these meets the candidates that can be in the
+    same slice, so no list is met as a whole unless it is a query's rarest.
+    """
+    lists = postings.table() if isinstance(postings, Store) else postings
+    known = asked.join(lists.select("token", "df", "slices").distinct(), "token")
+    of_query = Window.partitionBy("query")
+    rank = F.row_number().over(of_query.orderBy("df", "token"))
+    ranked = known.withColumn("known", F.count("*").over(of_query)).withColumn("rank", rank).where("known = n").drop("known")
+    first = ranked.where("rank = 1").select("query", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: cell_of(F.col("token"), k))).alias("cell"))
+    candidates = matched(postings, "cell", first, "cell").select("query", "n", F.explode("ids").alias("id"))
+    others = ranked.where("rank > 1").select("query", "token", "slices")
+    probes = candidates.where("n > 1").join(others, "query").groupBy("query", "n", "token", slice_of(F.col("id"), F.col("slices")).alias("slice")).agg(F.collect_list("id").alias("asked"))
+    probes = probes.select("query", "n", cell_of(F.col("token"), F.col("slice")).alias("cell"), "asked")
+    hits = matched(postings, "cell", probes, "cell").select("query", "n", F.explode(F.array_intersect("asked", "ids")).alias("id"))
+    left = hits.groupBy("query", "n", "id").agg(F.count("*").alias("found")).where("found = n - 1")
+    return candidates.where("n = 1").select("query", "id").unionByName(left.select("query", "id"))
 
 
 def jaro_winkler(a: str, b: str) -> float:

@@ -100,6 +100,16 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "rank", "id", "key", "name", F.round("score", 6).alias("score"))
 
 
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold every word of a benchmark item, by written posting lists of all documents' words; every item is a query."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.split(text.search_normalise(F.col("text")), r"\s+")).alias("token")).where("token != ''").distinct()
+    postings = search.write_postings(words, network.new_path(spark, "postings"))
+    tokens = F.filter(F.array_distinct(F.split(text.search_normalise(F.col("text")), r"\s+")), lambda x: x != "")
+    asked = items.select(F.col("item_id").alias("query"), tokens.alias("tokens")).select("query", F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
+    return search.division(asked, postings).select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"))
+
+
 def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = GraphView(spark, sf_dir)["g_name"]
     queries = names.where("id % 20 = 0").select(F.col("text").alias("query"))
@@ -298,6 +308,33 @@ def role_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(roles.resolve_roles(texts, g["g_role"]), "raw").select("id", "role_name", "pos", "score")
 
 
+SIZES = "('small', 'medium', 'large', 'economy', 'standard', 'promo')"  # words that are kinds of parts too
+MISSPELT = f"""SELECT id, role_name, CASE k WHEN 0 THEN substr(role_name, 1, length(role_name) - 1) WHEN 1 THEN if(other, concat(initcap(p_name), ' ', initcap(p_type)), role_name) WHEN 2 THEN concat('Lead ', role_name)
+  ELSE concat(role_name, right(role_name, 1)) END AS raw
+FROM (SELECT p_partkey + 1 AS id, p_partkey % 4 AS k, p_name, p_type, initcap(concat(p_type, ' ', p_name)) AS role_name, split_part(p_name, ' ', 1) NOT IN {SIZES} AND p_type NOT IN ('LARGE', 'SMALL') AS other FROM part) p"""
+
+
+def misspelt_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds and names of parts as roles, named with a letter too few or too many, with words in another order, or with a word too many."""
+    texts = GraphView(spark, sf_dir).sql(MISSPELT)
+    found = roles.resolve_roles(texts, texts.select("role_name").distinct())
+    return texts.select("id", "raw").join(found, "raw").select("id", "role_name", F.round("score", 6).alias("score"))
+
+
+def role_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortened forms of the kinds and names of parts."""
+    kinds = GraphView(spark, sf_dir).sql("SELECT DISTINCT concat(p_type, ' ', p_name) AS name FROM part")
+    return kinds.lateralJoin(roles.RoleVariants(F.col("name").outer())).select("name", "pos", "variant")
+
+
+def match_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with other punctuation, without their last word, or with other stop words, matched in tiers 3 to 5."""
+    e = GraphView(spark, sf_dir).sql("SELECT p_partkey + 1 AS id, 1 AS entity_type, concat(p_partkey, ' ', p_name, ' Records') AS entity_name FROM part")
+    short = F.regexp_replace("entity_name", " Records$", "")
+    asked = e.select("entity_type", F.when(F.col("id") % 3 == 0, F.concat("entity_name", F.lit(","))).when(F.col("id") % 3 == 1, short).otherwise(F.concat(F.lit("The "), short, F.lit(" Studio"))).alias("name"))
+    return resolve.match_names(asked, e, search.build_tokens(e.select("id", F.col("entity_name").alias("text"))))
+
+
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many ancestors and neighbours each node of the networks has."""
     n, links = (network.kept(x, "network") for x in network_tables(spark, sf_dir))
@@ -336,7 +373,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         id_functions, search_text, release_dates, extract_relations, role_counts, fold_edges, relations_by_role, relations_by_year, edges_in_years, entity_attributes, attribute_dictionary, table_counts, roles_by_category,
-        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, ancestors, network_depth, serving_relations, search_tokens, name_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, followed_edges, followed_counts, insert_ignore,
+        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, misspelt_roles, role_variants, match_variants, ancestors, network_depth, serving_relations, search_tokens, name_search, passage_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, followed_edges, followed_counts, insert_ignore,
         resolve_labels, match_names, profile_links, url_list, random_connected, subgraph_sizes,
     )
 }
@@ -402,6 +439,11 @@ FROM (SELECT query, id, text, 1 - jaro_winkler_similarity(query, text) + CASE WH
     "tfidf_search": with_more(TOKENS + ",\n" + ASKED + f""",
 tf AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM g_name) a GROUP BY id, token),
 st AS (SELECT token, log10((SELECT count(*) FROM g_name) / count(*)) AS idf FROM tk GROUP BY token)""", "SELECT query, id, round(sum(coalesce(tf, 0) * idf), 6) AS score FROM hit JOIN qt USING (query) LEFT JOIN tf USING (id, token) JOIN st USING (token) GROUP BY query, id"),
+    "passage_search": f"""
+WITH dw AS (SELECT DISTINCT doc_id, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM documents),
+  iw AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM benchmark) t WHERE token <> ''),
+  n AS (SELECT item_id, count(*) AS n FROM iw GROUP BY item_id)
+SELECT item_id, doc_id FROM iw JOIN dw USING (token) JOIN n USING (item_id) GROUP BY item_id, doc_id, n HAVING count(*) = n""",
     "structural_edges": with_views(f"SELECT role, one, two FROM {STATED} s"),
     "expected_links": with_views(f"""
 SELECT e.id, coalesce(a.n, 0) + coalesce(m.n, 0) + coalesce(r.n, 0) AS expected, coalesce(v.n, 0) AS volume, CASE WHEN e.entity_type = 1 THEN coalesce(k.n, 0) ELSE coalesce(c.n, 0) END AS size
@@ -435,6 +477,17 @@ SELECT e.id, e.entity_id, e.entity_type, e.entity_name, CASE WHEN c_custkey % 3
 FROM g_entity e JOIN customer ON e.id = c_custkey + 1 LEFT JOIN g_member m ON m.member = e.id WHERE e.entity_type = 1"""),
     "dump_relations": with_views("SELECT subject, role, object, release_id, year FROM g_edge"),
     "role_texts": "SELECT p_partkey + 1 AS id, p_brand AS role_name, 0 AS pos, CAST(100 AS DOUBLE) AS score FROM part",
+    "misspelt_roles": f"""
+WITH t AS (SELECT p_partkey, split_part(p_name, ' ', 1) NOT IN {SIZES} AND p_type NOT IN ('LARGE', 'SMALL') AS other, array_to_string([upper(x[1]) || lower(substr(x, 2)) for x in string_split(p_type || ' ' || p_name, ' ')], ' ') AS role_name FROM part)
+SELECT p_partkey + 1 AS id, role_name,
+  round(CASE p_partkey % 4 WHEN 0 THEN 200.0 * (length(role_name) - 1) / (2 * length(role_name) - 1) WHEN 1 THEN CASE WHEN other THEN 95 ELSE 100 END WHEN 2 THEN 100 ELSE 200.0 * length(role_name) / (2 * length(role_name) + 1) END, 6) AS score FROM t""",
+    "role_variants": """
+WITH t AS (SELECT DISTINCT p_type || ' ' || p_name AS name, string_split(p_type || ' ' || p_name, ' ') AS w FROM part)
+SELECT name, CAST(unnest([0, 1, 2, 3, 4, 5, 6]) AS INT) AS pos,
+  unnest([name, w[2] || ' ' || w[3], w[1] || ' ' || w[3], w[1] || ' ' || w[2], w[3], w[2], w[1]]) AS variant FROM t""",
+    "match_variants": """
+SELECT 1 AS entity_type, CASE (p_partkey + 1) % 3 WHEN 0 THEN p_partkey || ' ' || p_name || ' Records,' WHEN 1 THEN p_partkey || ' ' || p_name ELSE 'The ' || p_partkey || ' ' || p_name || ' Studio' END AS name, p_partkey + 1 AS found,
+  CAST(CASE (p_partkey + 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 5 END AS INT) AS tier FROM part""",
     "serving_relations": with_views("SELECT o.role_id, count(*) AS edges FROM g_edge e JOIN g_role o ON e.role = o.role_name GROUP BY o.role_id"),
     "url_list": with_views("SELECT CAST((row_number() OVER (ORDER BY id) - 1) // 500 AS INT) AS part, row_number() OVER (ORDER BY id) - 1 AS place, id, 'https://example.org/' || CASE WHEN entity_type = 1 THEN 'artist/' ELSE 'label/' END || entity_id AS url FROM g_entity"),
 }
