@@ -66,7 +66,7 @@ def fit(tokens: dict[str, int], budget: float | None = None, target_entropy: flo
     """The exponent, weights and budgets.
 
     target_entropy (nats): weights no more even than this; the natural shares, if they are more even already, are sharpened.
-    max_repeats: no budget is more than so many passes. budget: tokens in all; None: the least with which each source
+    max_repeats: no budget is more than so many passes; ValueError if the budget (or a target entropy under the natural shares') asks for more. budget: tokens in all; None: the least with which each source
     gets min_passes passes (at least 1).
     """
     names, t = list(tokens), np.array(list(tokens.values()), dtype=float)
@@ -84,6 +84,8 @@ def fit(tokens: dict[str, int], budget: float | None = None, target_entropy: flo
         x = bisect(lambda e: entropy(weights(t, e)) <= target_entropy, 0.0, 64.0)
     if max_repeats is not None and x < 1:
         x = max(x, bisect(lambda e: repeats(e) <= max_repeats * (1 + 1e-12), 0.0, 1.0))
+    if max_repeats is not None and repeats(x) > max_repeats * (1 + 1e-9):
+        raise ValueError(f"no weights meet the limit: a source would be passed {repeats(x):.4g} times, more than {max_repeats:g}")
     w = weights(t, x)
     return Mixture(x, dict(zip(names, w.tolist(), strict=True)), dict(zip(names, (total(w) * w).tolist(), strict=True)))
 
