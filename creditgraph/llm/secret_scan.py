@@ -43,7 +43,7 @@ KEY = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/.@"
 ASSIGNED = re.compile(r"(?<![\w-])([\w-]++)[\"']?\s*[=:]\s*[\"']?")
 NAMED = re.compile(r"(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?![^\W_])")
 LETTERS = re.compile(r"(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z]*[a-z][A-Z][A-Za-z]*[a-z][A-Z])[A-Za-z]{20,}(?![A-Za-z0-9_+/.@-])")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
+BLOCK_MARK = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
 VALUE = re.compile(r"[^\s\"']{6,}")
 NEAR = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential")
 FAKE = ("example", "sample", "dummy", "test", "fake", "placeholder", "xxx")
@@ -59,12 +59,27 @@ def named_values(text: str) -> list[tuple[int, int]]:
         a, b = v.span()
         done = b
         if text[a - 1] not in "\"'":
-            while b > a + 1 and (text[b - 1] in ".,;" or (i := ")]}>".find(text[b - 1])) >= 0 and text.count("([{<"[i], a, b) < text.count(text[b - 1], a, b)):
+            opened = {c: text.count(o, a, b) - text.count(c, a, b) for o, c in zip("([{<", ")]}>", strict=True)}
+            while b > a + 1 and (text[b - 1] in ".,;" or opened.get(text[b - 1], 0) < 0):
                 b -= 1
+                if text[b] in opened:
+                    opened[text[b]] += 1
         found.append((a, b))
     return found
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """From each BEGIN mark to the first END mark after it, in one pass over the marks."""
+    found, begin = [], None
+    for m in BLOCK_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m.start() if begin is None else begin
+        elif begin is not None:
+            found.append((begin, m.end()))
+            begin = None
+    return found
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Candidates in order, overlapping ones once."""
     found, done = set(), 0
@@ -82,8 +97,9 @@ def spans(text: str) -> list[tuple[int, int]]:
         if b - a >= 8:
             found.add((a, b))
     found |= {m.span() for m in LETTERS.finditer(text)}
-    if "-----BEGIN " in text and (blocks := [m.span() for m in BLOCK.finditer(text)]):
-        found = {(a, b) for a, b in found if not any(a < d and c < b for c, d in blocks)} | {*blocks}
+    if "-----BEGIN " in text and (blocks := key_blocks(text)):
+        after = [d for _, d in blocks]
+        found = {(a, b) for a, b in found if (i := bisect_right(after, a)) == len(blocks) or blocks[i][0] >= b} | {*blocks}
     low = text.lower()
     if any(w in low for w in NEAR):
         named = named_values(text)
