@@ -86,12 +86,14 @@ class DigestIndex:
     def annotate(self, batch: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """batch with columns digest, keep_id, group_size, batch (which brought the digest) and kept (clashing names get underscores before them).
 
-        Digests of large groups, of which there are few by count, meet the index by broadcast; the others by sort-merge join.
+        Digests of large groups of this batch, of which there are few by count, meet the index by broadcast; the others by sort-merge join.
+        group_size counts the rows of the batch that brought the digest, not later copies.
         """
         names = {c: free_name(batch, c) for c in ("digest", "keep_id", "group_size", "batch", "kept")}
         hot_, of_hot, cold_, of_cold, key, of = (free_name(batch, c) for c in ("_hot", "_of_hot", "_cold", "_of_cold", "_key", "_of"))
-        index, rows = self.table(), self.table().agg(F.sum("group_size")).first()[0] or 0
-        hot = index.where(F.col("group_size") >= max(2.0, rows * HOT)).select(F.col("digest").alias(hot_), F.struct("keep_id", "group_size", "batch").alias(of_hot))
+        index, most = self.table(), max(2.0, batch.count() * HOT)
+        own_groups = batch.select(digest(text).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("digest")
+        hot = index.join(F.broadcast(own_groups), "digest", "left_semi").select(F.col("digest").alias(hot_), F.struct("keep_id", "group_size", "batch").alias(of_hot))
         cold = index.select(F.col("digest").alias(cold_), F.struct("keep_id", "group_size", "batch").alias(of_cold))
         own = batch.withColumn(names["digest"], digest(text))
         mine = F.col(names["digest"])
