@@ -19,7 +19,7 @@ import base64
 import binascii
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -31,8 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, partitions, short_batches, top_words
+from .common import Scratch, free_name, partitions, short_batches, tidy, top_words
 
+#: Fixed value: the usual pattern, whose matches chunks() and plain_words() know; texts are matched whole by any other.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SLOTS = 1 << 12
 MOST_WORDS = 200_000
 LONGEST = 64  # characters of a word of the dictionary
@@ -110,6 +112,17 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.unhex(F.get(F.transform(F.array(table), lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")), F.lit(0)))
 
 
+@lru_cache(8)
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """The matches of pattern in a text, whole and in order."""
+    compiled = splitter(pattern)
+    return compiled.findall if pattern == USUAL else lambda text: [m[0] for m in compiled.finditer(text) if m[0]]
+
+
+def cutter(pattern: str) -> Callable[[str], list[str] | None]:
+    return chunks if pattern == USUAL else lambda text: None
+
+
 #: White space other than the space, and what shows in a text that some of it lies beside a space.
 OTHER = [chr(c) for c in (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 MEETINGS = {c: (f" {c}", f"{c} ") for c in OTHER}
@@ -156,12 +169,12 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word, n over all of docs (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern).findall
+        find, cut = finder(pattern), cutter(pattern)
         for batch in batches:
             for some in pieces(batch.column("text")):
                 whole, plain = Counter(), []
                 for t in some:
-                    c = chunks(t)
+                    c = cut(t)
                     if c is None:
                         whole.update(find(t))
                     else:
@@ -173,7 +186,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
                         whole[w] += n
                 yield pa.RecordBatch.from_pydict({"word": pa.array(list(whole), pa.string()), "n": pa.array(list(whole.values()), pa.int64())})
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Pairs:
@@ -261,7 +274,7 @@ class Dictionary:
     """The ids of broadcast words as bytes of 32-bit numbers, and what a Python worker has made of chunks with them."""
 
     def __init__(self, words: dict[str, bytes], ranks: dict[bytes, int], pairs: Pairs, pattern: str):
-        self.words, self.ranks, self.pairs, self.find = words, ranks, pairs, splitter(pattern).findall
+        self.words, self.ranks, self.pairs, self.find, self.cut = words, ranks, pairs, finder(pattern), cutter(pattern)
         self.cache: dict[str, bytes] = {}
 
     def fold(self, words: list[str]) -> dict[str, bytes]:
@@ -295,7 +308,7 @@ class Dictionary:
 
         Entries are each distinct chunk's ids, and for every text those of its first chunk, or of all of it if it can't be cut.
         """
-        cut = [chunks(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         heads = self.joined([self.find(t if c is None else c[0]) for t, c in zip(texts, cut, strict=True)])
         rest = after_first(["" if c is None else t for t, c in zip(texts, cut, strict=True)])
         flat = rest.flatten().dictionary_encode()
@@ -343,7 +356,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 yield pa.RecordBatch.from_arrays([*own.columns, made], names=[*kept, ids])
                 done += len(some)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from typing import Self
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,24 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which gives memory back to the machine when its task ends: Python workers live on, and would hold what the stages before them used."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column (compared as Spark does, without case)."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, short_batches
+from .common import free_name, short_batches, tidy
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -115,7 +115,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": c[at]})
 
-    sums = rows.select("lang", "text").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.select("lang", "text").mapInPandas(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     m = np.full((BUCKETS, len(langs)), SMOOTH)
     m[sums["bucket"], [langs.index(x) for x in sums["lang"]]] += sums["n"].to_numpy()
     prior = np.log(np.array([seen[x] for x in langs], dtype=float) / n)

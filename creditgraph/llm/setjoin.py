@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, short_batches, staged
+from .common import Scratch, free_name, short_batches, staged, tidy
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -182,7 +182,7 @@ def described(docs: DataFrame, k: int) -> DataFrame:
             rows = [(p, packed(seen[p * PART : (p + 1) * PART])) for p in range(SLOTS // PART)]
             yield pd.DataFrame({"doc_id": pd.array([None] * len(rows), dtype="Int64"), "n": 0, "k1": 0, "k2": 0, "part": [p for p, _ in rows], "counts": [c for _, c in rows]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, part int, counts binary")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, n long, k1 long, k2 long, part int, counts binary")
 
 
 def ranks(counted: DataFrame) -> np.ndarray:
@@ -231,7 +231,7 @@ def entries_of(docs: DataFrame, rank: np.ndarray, t: Threshold, k: int) -> DataF
                 lists, n, place, owner = first_shingles(sets_of(some, k), shared.value, t)
                 yield pd.DataFrame({"list": lists, "n": n.astype(np.int32), "at": place.astype(np.int32), "member": ids[at + owner]})
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "list long, n int, at int, member long")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(tidy(run), "list long, n int, at int, member long")
 
 
 def meetings(lists: np.ndarray, n: np.ndarray, at: np.ndarray, ids: np.ndarray, t: Threshold, most: int) -> np.ndarray:
@@ -285,7 +285,7 @@ def light_pairs(entries: DataFrame, t: Threshold, most: int = LIGHT) -> DataFram
             yield left(tail)
 
     by = ("list", "n", "at", "member")
-    return entries.repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(run, "list long, n int, at int, a long, b long").distinct()
+    return entries.repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(tidy(run), "list long, n int, at int, a long, b long").distinct()
 
 
 def rest_pairs(left: DataFrame, t: Threshold, s: Scratch, most: int = LIGHT) -> DataFrame:
