@@ -137,15 +137,44 @@ def jaro_winkler_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.array([1 - jaro_winkler(x, y) for x, y in zip(a, b, strict=True)]), dtype=float)
 
 
+PREFIX = 24  # characters of a common beginning that the bounds look at
+
+
+def distance_bounds(a: Column, b: Column) -> tuple[Column, Column]:
+    """Bounds of the names' Jaro-Winkler distance, from lengths, letter counts and the common beginning; of equal names both are 0.
+
+    No more characters match than the names have in common, and no fewer than they begin with alike: of those, each takes a place up to its own. At most half of the matching ones
+    are out of order.
+    """
+    n, m = F.length(a), F.length(b)
+    letters = F.array_distinct(F.split(a, ""))
+    common = F.aggregate(F.transform(letters, lambda c: F.least(n - F.length(F.replace(a, c, F.lit(""))), m - F.length(F.replace(b, c, F.lit(""))))), F.lit(0), lambda x, y: x + y)
+    begin = F.size(F.filter(F.sequence(F.lit(1), F.least(n, m, F.lit(PREFIX))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
+
+    def similar(jaro: Column) -> Column:
+        return F.when(jaro > 0.7, jaro + F.least(begin, F.lit(4)) * 0.1 * (1 - jaro)).otherwise(jaro)
+
+    most = F.when(common > 0, similar((common / n + common / m + 1) / 3)).otherwise(0.0)
+    least = F.when(begin > 0, similar((begin / n + begin / m + 0.5) / 3)).otherwise(0.0)
+    blank = (n == 0) | (m == 0)
+    low = F.when(a == b, 0.0).when(blank, 1.0).otherwise(1 - most)
+    return low, F.when(a == b, 0.0).when(blank, 1.0).otherwise(1 - least)
+
+
 def score(query, name, id_):
-    """Distance of the names, with a bonus for low numbers in brackets, for beginning alike and for equality, and
+    """Distance of the names, with what bonus() adds."""
+    return jaro_winkler_distance(query, name) + bonus(query, name, id_)
+
+
+def bonus(query: Column, name: Column, id_: Column) -> Column:
+    """A bonus for low numbers in brackets, for beginning alike and for equality, and
     deductions for other lengths and for labels."""
     suffix = F.regexp_extract(name, r"^(.*) \((\d+)\)", 2)
     stem = F.regexp_extract(name, r"^(.*) \((\d+)\)", 1)
     numbered = F.when(suffix != "", F.when(stem == query, 1.0).otherwise(0.0) + (1000.0 - suffix.cast("double")) / 1000.0).otherwise(0.0)
     begins = F.when(F.startswith(F.lower(name), F.lower(query)), 1.0).otherwise(0.0)
     equal = F.when(F.lower(name) == F.lower(query), 100.0).otherwise(0.0)
-    return jaro_winkler_distance(query, name) + numbered + begins + equal - F.abs(F.length(name) - F.length(query)) / 100.0 - F.when(id_ >= LABEL_OFFSET, 10.0).otherwise(0.0)
+    return numbered + begins + equal - F.abs(F.length(name) - F.length(query)) / 100.0 - F.when(id_ >= LABEL_OFFSET, 10.0).otherwise(0.0)
 
 
 def search(queries: DataFrame, tokens: DataFrame, entity: DataFrame) -> DataFrame:
@@ -156,6 +185,29 @@ def search(queries: DataFrame, tokens: DataFrame, entity: DataFrame) -> DataFram
     return scored.select("query", F.row_number().over(ranked).alias("rank"), "id", entity_key(F.col("id")).alias("key"), "name", "score")
 
 
+def top_search(queries: DataFrame, tokens: DataFrame | Store, entity: DataFrame, k: int) -> DataFrame:
+    """The first k of search() for each query, with `measured` names (those of a query whose exact distance was needed).
+
+    Names are bounded first, each distinct one of a query once; the exact distance is measured only for those whose upper bound reaches the kth best lower bound.
+    """
+    found = matches(queries, tokens).join(entity.select("id", F.col("entity_name").alias("name")), "id").withColumn("label", F.col("id") >= LABEL_OFFSET)
+    names = found.groupBy("query", "name", "label").agg(F.count("*").alias("n"))
+    low, high = distance_bounds(F.col("query"), F.col("name"))
+    rest = bonus(F.col("query"), F.col("name"), F.when(F.col("label"), LABEL_OFFSET).otherwise(0))
+    bounded = names.withColumn("rest", rest).withColumn("low", F.col("rest") + low).withColumn("high", F.col("rest") + high)
+    best = Window.partitionBy("query").orderBy(F.desc("low"))
+    sure = bounded.withColumn("upto", F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kth = F.max(F.when(F.col("upto") >= k, F.col("low"))).over(Window.partitionBy("query"))
+    alive = sure.withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("high") >= F.col("kth") - 1e-6))
+    known = alive.where("query = name").select("query", "name", "label", F.col("rest").alias("score"), F.lit(0).alias("exact"))
+    measured = jaro_winkler_distance.asNondeterministic()
+    open_ = alive.where("query != name").select("query", "name", "label", (measured("query", "name") + F.col("rest")).alias("score"), F.lit(1).alias("exact"))
+    scored = known.unionByName(open_)
+    scored = scored.withColumn("measured", F.sum("exact").over(Window.partitionBy("query")))
+    ranked = found.join(scored.drop("exact"), ["query", "name", "label"]).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")))
+    return ranked.where(F.col("rank") <= k).select("query", "rank", "id", entity_key(F.col("id")).alias("key"), "name", "score", "measured")
+
+
 def tfidf_search(queries: DataFrame, tokens: DataFrame, names: DataFrame) -> DataFrame:
     """(query, id, score): for entities with every token, the sum over its names of how often a token is in them, times idf."""
     own = matches(queries, tokens).join(query_tokens(queries).select("query", "token"), "query")

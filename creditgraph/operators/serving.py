@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import MISSING, entity_url
 from .aggregates import attribute_dictionary
+from .stores import file_exists
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -71,12 +72,18 @@ def role_list(role: DataFrame) -> DataFrame:
     return role.select("role_id", "role_name", "role_category")
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether path holds a whole table: Spark's _SUCCESS is written last."""
+    return file_exists(spark, f"{path}/_SUCCESS")
+
+
 def build_serving(tables: dict[str, DataFrame], root: str) -> None:
-    """Writes each table that is not there yet; country, genre and style dictionaries come from the entities."""
+    """Writes each table that is not there yet, or whose write was killed; country, genre and style dictionaries come from the entities."""
     entity = tables["entity"]
     dictionaries = {n: attribute_dictionary(entity.where(F.col(c).isNotNull()), c) for n, c in (("country", "countries"), ("genre", "genres"), ("style", "styles"))}
     for name, df in {**tables, **dictionaries}.items():
-        write_table(df, root, name, "ignore")
+        if not committed(df.sparkSession, f"{root}/{name}"):
+            write_table(df, root, name, "overwrite")
 
 
 def first_row(df: DataFrame, by: str) -> DataFrame:

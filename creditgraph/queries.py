@@ -100,6 +100,30 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "rank", "id", "key", "name", F.round("score", 6).alias("score"))
 
 
+def top_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all names for the first words of the names with ids divisible by 20."""
+    names = GraphView(spark, sf_dir)["g_name"]
+    queries = names.where("id % 20 = 0").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("query")).distinct()
+    found = search.top_search(queries, search.build_tokens(names), names.select("id", F.col("text").alias("entity_name")), 10)
+    return found.select("query", "rank", "id", "key", "name", F.round("score", 6).alias("score"))
+
+
+def edge_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by role and unordered ends."""
+    e = GraphView(spark, sf_dir)["g_edge"].select(ids.ends_key(F.col("subject"), F.col("role"), F.col("object")).alias("k"))
+    return e.groupBy("k").agg(F.count("*").alias("edges")).select("k.role", F.col("k.low.type").alias("low_type"), F.col("k.low.id").alias("low_id"), F.col("k.high.type").alias("high_type"), F.col("k.high.id").alias("high_id"), "edges")
+
+
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The serving rows of labels, looked up by number and type, and the roles beside."""
+    g = GraphView(spark, sf_dir)
+    attributes = aggregates.entity_attributes(g.releases())
+    rows = serving.serving_entities(g.entities(), attributes)
+    keys = serving.by_type(g["g_entity"], 2).select("entity_id", "entity_type")
+    found = serving.entity_details(rows, keys).select(F.lit("entity").alias("kind"), "id", F.col("entity_name").alias("name"), "countries")
+    return found.unionByName(serving.role_list(g["g_role"]).select(F.lit("role").alias("kind"), F.col("role_id").cast("long").alias("id"), F.col("role_name").alias("name"), F.lit(None).cast("string").alias("countries")))
+
+
 def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold every word of a benchmark item, by written posting lists of all documents' words; every item is a query."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
@@ -373,7 +397,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         id_functions, search_text, release_dates, extract_relations, role_counts, fold_edges, relations_by_role, relations_by_year, edges_in_years, entity_attributes, attribute_dictionary, table_counts, roles_by_category,
-        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, misspelt_roles, role_variants, match_variants, ancestors, network_depth, serving_relations, search_tokens, name_search, passage_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, followed_edges, followed_counts, insert_ignore,
+        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, misspelt_roles, role_variants, match_variants, ancestors, network_depth, serving_relations, search_tokens, name_search, top_search, edge_ends, details, passage_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, followed_edges, followed_counts, insert_ignore,
         resolve_labels, match_names, profile_links, url_list, random_connected, subgraph_sizes,
     )
 }
@@ -439,6 +463,17 @@ FROM (SELECT query, id, text, 1 - jaro_winkler_similarity(query, text) + CASE WH
     "tfidf_search": with_more(TOKENS + ",\n" + ASKED + f""",
 tf AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM g_name) a GROUP BY id, token),
 st AS (SELECT token, log10((SELECT count(*) FROM g_name) / count(*)) AS idf FROM tk GROUP BY token)""", "SELECT query, id, round(sum(coalesce(tf, 0) * idf), 6) AS score FROM hit JOIN qt USING (query) LEFT JOIN tf USING (id, token) JOIN st USING (token) GROUP BY query, id"),
+    "top_search": with_more(TOKENS + """,
+qt AS (SELECT DISTINCT split_part(text, ' ', 1) AS query, split_part(text, ' ', 1) AS token FROM g_name WHERE id % 20 = 0), hit AS (SELECT query, id FROM qt JOIN tk USING (token))""", """
+SELECT * FROM (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, id) AS INT) AS rank, id, 'artist-' || id AS key, text AS name, round(s, 6) AS score
+FROM (SELECT query, id, text, 1 - jaro_winkler_similarity(query, text) + CASE WHEN starts_with(lower(text), lower(query)) THEN 1 ELSE 0 END + CASE WHEN lower(text) = lower(query) THEN 100 ELSE 0 END - abs(length(text) - length(query)) / 100.0 AS s
+  FROM hit JOIN g_name USING (id)) x) y WHERE rank <= 10"""),
+    "edge_ends": with_views("""
+SELECT role, CASE WHEN least(subject, object) < 1000000000 THEN 'artist' ELSE 'label' END AS low_type, least(subject, object) % 1000000000 AS low_id,
+  CASE WHEN greatest(subject, object) < 1000000000 THEN 'artist' ELSE 'label' END AS high_type, greatest(subject, object) % 1000000000 AS high_id, count(*) AS edges FROM g_edge GROUP BY ALL"""),
+    "details": with_more(ATTRIBUTES, """
+SELECT 'entity' AS kind, e.id, e.entity_name AS name, a.countries FROM g_entity e LEFT JOIN (SELECT id, string_agg(name, ',' ORDER BY name) AS countries FROM attr WHERE kind = 'c' GROUP BY id) a USING (id) WHERE e.entity_type = 2
+UNION ALL SELECT 'role', role_id, role_name, NULL FROM g_role"""),
     "passage_search": f"""
 WITH dw AS (SELECT DISTINCT doc_id, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM documents),
   iw AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM benchmark) t WHERE token <> ''),
