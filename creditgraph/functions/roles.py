@@ -2,162 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values, which decide what a role is called: separators, removals, alternative spellings, words for numbers and
-# abbreviations, and clean-up patterns, each list in the order in which it is applied.
-SEPARATORS = r" & |&|＆| and | And |/|; |\+| - |・| Und | Et "
-A_AND_R = r"\b[aA] ?(&|and|And|\+) ?[rR]\b"
-BRACKETS = r"[({\[［].*[)}\]］]"
-QUOTES = r"\".*\"|\s+'.*'\s+|\s*'.*'$"
-OPEN_BRACKET = r"\([^)]*$"
-NO_NAME = r"^\d+[-.)]*$|^[-*+.?/!`—•]+$"
-ALTERNATIVES = {
-    "accordeon": "Accordion", "accordian": "Accordion", "acordeon": "Accordion", "acordeón": "Accordion", "agogo": "Agogô",
-    "arranger": "Arranged By", "arrangements": "Arranged By", "art": "Artwork", "bassguitar": "Bass Guitar", "bateria": "Drums",
-    "batterie": "Drums", "beat": "Beats", "bodhran": "Bodhrán", "bongo": "Bongos", "cajon": "Cajón", "celeste": "Celesta",
-    "cgi": "CGI", "cgi artist": "CGI Artist", "composer": "Composed By", "conducted by": "Conductor", "darbouka": "Darbuka",
-    "dj": "DJ", "dj mix": "DJ Mix", "ft": "Featuring", "lyrics": "Lyrics By", "mixed": "Mixed By", "keys": "Keyboards",
-    "mix": "Mixed By", "mixer": "Mixed By", "mixing": "Mixed By", "music": "Music By", "programmer": "Programmed By",
-    "remiz": "Remix", "remixer": "Remixed By", "rythm": "Rhythm", "singer": "Vocals", "sax": "Saxophone", "synths": "Synthesizers",
-    "vocalist": "Vocals", "vocal": "Vocals", "vibes": "Vibraphone", "voices": "Vocals", "vox": "Vocals", "writer": "Written By",
-    "writing": "Written By", "words": "Words By",
-}
-MACHINES = {"303": "TB", "606": "TR", "707": "TR", "808": "TR", "909": "TR"}
-STRING_NUMBERS = {20: "Twenty", 10: "Ten", 11: "Eleven", 12: "Twelve", 13: "Thirteen", 17: "Seventeen", 18: "Eighteen", 1: "One", 2: "Two", 3: "Three", 4: "Four", 5: "Five", 6: "Six", 7: "Seven", 8: "Eight", 9: "Nine"}
-BIT_NUMBERS = {8: "Eight", 12: "Twelve", 16: "Sixteen", 24: "TwentyFour", 32: "ThirtyTwo"}
-STRING_SHORT_FORMS = [
-    (r"[- ]+Sting", "-String"), (r"[- ]+Str ", "-String"), (r"[- ]+Str$", "-String Guitar"), (r"[- ]+String-$", "-String Guitar"), (r"[- ]+Stringed-", "-Stringed "),
-]
-STRING_MACHINES = r"(?i)Roland|Solina|Arp"
-STRING_HYPHEN = (r"[- ]+String ", "-String ")
-STRING_ENDINGS = [
-    (r"[sS]tring-Guitar", "String Guitar"), (r"^(.*-String )*Acoustic$", r"\1Acoustic Guitar"), (r"-Strings", "-String"), (r"\bGuitars\b", "Guitar"),
-    (r"^(\d+) *[sS]tring(?: Guitar)?$", r"\1-String Guitar"),
-]
-STRINGS_LAST = (r"^(.*) \((Six|Twelve)-String\)$", r"\2-String \1")
-CAPITALS, NOT_CAPITALS = r"[A-Z]+", ("ANR", "FX")
-SMALL_WORDS, SHORT_WORDS = ("By", "To", "At", "With"), ("DJ", "VJ", "CGI")
-FIRST_CLEANUP = [(r"\bCo- ", "Co-"), (r"^[A-Z]\d+$", ""), (r"^Track(s)*\sA*\d*-*\d+", "")]
-COUNTED = (r"^\d+[^\d-] +(.*)$", r"\1")
-LEADING_NUMBER = r"^\d+[ :]+(.*)$"
-NUMBERED_TERMS = {"Tone Row": (r"12[- ]", "Twelve-"), "Track Recording": (r"16[- ]", "Sixteen-")}
-INITIALS = r"^((?:\S\.){2,4}) *$"
-ABBREVIATIONS = [
-    (r"\bMus[. ]", "Musicians "), (r"\bArr[. ]", "Arranged "), (r"\bDir[. ]", "Director "), (r"\bFea[. ]", "Featuring "), (r"\bFeat[. ]", "Featuring "), (r"\bTrad[. ]", "Traditional "),
-    (r"\bProd[. ]+By", " Produced By"), (r"\bProd[. ]", " Producer "), (r"\bAcc[. ]", "Acoustic "), (r"\bAdd[. ]", "Additional "), (r"\bAssoc[. ]", "Associate "), (r"\bAsst[. ]", "Assistant "),
-    (r"\bExec[. ]", "Executive "), (r"\bOrc[. ]", "Orchestral "), (r"\bBck[. ]", "Backing "), (r"\bBkg[. ]", "Backing "), (r"\bBk[. ]", "Backing "), (r"\bMod[. ]", "Moderno "),
-    (r"\bMisc([. ]|$)", "Miscellaneous "), (r"(?i)\bFx([. ]|$)", "Effects "), ("作曲", "Composition"), ("編曲", "Arrangement"), ("作詞", "Lyrics"), ("譜本", "Music"),
-]
-NUMBERS_AND_DATES = [
-    (r"^\(\d+[- ]*\d*\)", ""), (r"^\(\d+[- ]*Present\)", ""), (r"^\d\d\d\d[- ]+\d\d\d\d", ""), (r"^\d\d\d\d[- ]+\d\d[- ]\d\d", ""), (r"©\s*\d\d\d\d", ""), (r"℗\s*\d\d\d\d", ""),
-    (r"(?i)^1st\s*", ""), (r"(?i)^2nd\s*", ""), (r"(?i)^3rd\s*", ""), (r"(?i)^4th\s*", ""), (r"(?i)^.*Recorded By", "Recorded By"), (r"(?i)^.*Written By", "Written By"),
-]
-ENDINGS = [
-    (r" {2}", " "), (r" , ", ", "), (r"[:`.]+$", ""), (r" Etc$", ""), (r"-$", ""), (r"–$", ""), (r"^\*", ""), (r"\*$", ""), (r";$", ""), (r"\)$", ""), (r"]$", ""), (r"],", ","), (r"] ", " "), (r"\bANR\b", "A&R"),
-]
-INSTRUMENT_CLASSES = {"idiophones": "Drums & Percussion", "membranophones": "Drums & Percussion", "chordophones": "Stringed Instruments", "aerophones": "Wind Instruments", "electrophones": "Technical Musical"}
-OTHER_INSTRUMENTS = "Other Musical"
-CUTOFF = 90.0
-
-
-def parse_roles(text: str | None) -> list[dict]:
-    """Roles between commas outside square brackets; each has a name and the details of its brackets."""
-    depth, parts, at = 0, [], 0
-    text = text or ""
-    for i, c in enumerate(text):
-        depth += (c == "[") - (c == "]")
-        if c == "," and not depth:
-            parts.append(text[at:i])
-            at = i + 1
-    parts.append(text[at:])
-    return [one_role(p.strip()) for p in parts if p.strip()]
-
-
-def one_role(text: str) -> dict:
-    """The name before the first bracket, and the outermost brackets' contents."""
-    name, _, _ = text.partition("[")
-    details, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        if c == "[":
-            depth += 1
-            if depth == 1:
-                start = i + 1
-        elif c == "]":
-            depth -= 1
-            if depth == 0:
-                details.append(text[start:i].strip())
-    return {"name": name.strip(), "detail": ", ".join(details) or None}
-
-
-def apply(rules: list[tuple[str, str]], s: str) -> str:
-    for pattern, to in rules:
-        s = re.sub(pattern, to, s)
-    return s
-
-
-def string_wording(s: str) -> str:
-    """Strings are joined to their number by a hyphen, everywhere in s, unless it names one of the machines."""
-    s = apply(STRING_SHORT_FORMS, s)
-    if not re.search(STRING_MACHINES, s):
-        s = re.sub(*STRING_HYPHEN, s)
-    return apply(STRING_ENDINGS, s)
-
-
-def words_for_numbers(s: str) -> str:
-    if "String" in s:
-        s = apply([(rf"{n}[- ]String", f"{w}-String") for n, w in STRING_NUMBERS.items()], s)
-    s = re.sub(*STRINGS_LAST, s)
-    return apply([(rf"{n}[- ]Bit ", f"{w}-Bit ") for n, w in BIT_NUMBERS.items()], s)
-
-
-def cased(s: str) -> str:
-    """Words begin with a capital, unless they are all capitals; so do parts after a hyphen and after an apostrophe that opens
-    a word or follows a single d."""
-    s = " ".join(w if w.isupper() else w.capitalize() for w in s.split(" "))
-    s = re.sub(r"-[a-z]", lambda m: m[0].upper(), s)
-    s = re.sub(r"(?:\A| )'[a-zA-Z]", lambda m: m[0].upper(), s)
-    s = re.sub(r"(\w)('[a-zA-Z])", lambda m: m[1] + m[2].lower(), s)
-    return re.sub(r"( [dD])('[a-zA-Z])", lambda m: m[1].lower() + m[2].upper(), s)
-
-
-def normalise_role(text: str) -> str:
-    if re.fullmatch(CAPITALS, text) and text not in NOT_CAPITALS:
-        return text
-    s = re.sub(BRACKETS, "", text)
-    for small in SMALL_WORDS:
-        s = re.sub(rf"(?i)-{small}\b", f" {small}", s)
-    number = s.lower().removeprefix("tb-").removeprefix("tr-")
-    if s in MACHINES or (number in MACHINES and s.lower() == f"{MACHINES[number].lower()}-{number}"):
-        s = f"Roland {MACHINES[number]}-{number}"
-    s = cased(s).replace("_", " ")
-    for short in SHORT_WORDS:
-        s = re.sub(rf"(?i)\b{short}\b", short, s)
-    s = apply(FIRST_CLEANUP, s)
-    if re.match(NO_NAME, s):
-        return ""
-    s = words_for_numbers(string_wording(re.sub(*COUNTED, s)))
-    if m := re.search(LEADING_NUMBER, s):
-        special = NUMBERED_TERMS.get(m[1])
-        s = re.sub(*special, s) if special else m[1]
-    s = apply(ABBREVIATIONS, apply(NUMBERS_AND_DATES, s))
-    if m := re.search(INITIALS, s):
-        s = m[1].replace(".", "").upper()
-    return apply(ENDINGS, s).strip()
-
-
-def normalise_roles(text: str | None) -> list[str]:
-    """The names in a role text: cut at separators, normalised, cut at full stops, normalised again."""
-    s = re.sub(OPEN_BRACKET, "", re.sub(QUOTES, "", re.sub(BRACKETS, "", text or "")))
-    once = [normalise_role(p) for p in re.split(SEPARATORS, re.sub(A_AND_R, "ANR", s)) if p]
-    parts = [p for o in once for p in o.split(". ")]
-    return [n for p in parts if p and (n := normalise_role(p))]
-
+from .role_grammar import role_names
+from .role_rules import ALTERNATIVES, CUTOFF, INSTRUMENT_CLASSES, OTHER_INSTRUMENTS
 
 def variants(name: str) -> list[str]:
     """A name and its shortened forms, breadth first: without one word of fewer than five, else its halves."""
@@ -208,12 +59,7 @@ def role_ratio(a: str, b: str) -> float:
 
 def read_role_texts(credits: DataFrame, column: str = "raw") -> DataFrame:
     """(raw, pos, name): the normalised names in each distinct raw text, which may list several roles with details in brackets."""
-
-    @F.pandas_udf("array<string>")
-    def names(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [n for part in parse_roles(t) for n in normalise_roles(part["name"])])
-
-    return credits.select(F.col(column).alias("raw")).where("raw is not null").distinct().select("raw", F.posexplode(names("raw")).alias("pos", "name"))
+    return credits.select(F.col(column).alias("raw")).where("raw is not null").distinct().select("raw", F.posexplode(role_names(F.col("raw"))).alias("pos", "name"))
 
 
 MOST_ROLES = 50_000  # a dictionary of roles that is broadcast; a larger one is joined as Spark sees fit

@@ -6,10 +6,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ids import ARTIST, LABEL, internal_id
-from ..functions.roles import instrument_subcategory, normalise_roles, parse_roles
+from ..functions.role_grammar import normalise_roles, parse_roles
+from ..functions.roles import instrument_subcategory
 from ..functions.text import clean_text, release_date
 
 # Names and layouts of dump files.
@@ -82,11 +82,6 @@ def packed(raw: DataFrame, kind: int, meta, entities) -> DataFrame:
     return named.select(internal_id(F.col("id"), F.lit(kind)).alias("id"), F.col("id").alias("entity_id"), F.lit(kind).alias("entity_type"), "entity_name", F.lit(None).cast("map<string,bigint>").alias("relation_counts"), meta.alias("entity_metadata"), entities.alias("entities"))
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("detail", T.StringType())])), useArrow=True)
-def role_structs(text: str):
-    return parse_roles(text)
-
-
 def with_roles(credits):
     """Credits with the role text beside; the roles themselves are parsed once for each distinct text, see role_table()."""
     return F.transform(credits, lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["anv"].alias("anv"), c["join"].alias("join"), F.when(c["role"].isNotNull(), F.array(F.struct(c["role"].alias("name")))).alias("roles"), c["tracks"].alias("tracks")))
@@ -94,7 +89,7 @@ def with_roles(credits):
 
 def role_table(texts: DataFrame) -> DataFrame:
     """(raw, name, detail) of distinct role texts (raw)."""
-    return texts.select("raw").distinct().select("raw", F.explode(role_structs("raw")).alias("r")).select("raw", "r.name", "r.detail")
+    return texts.select("raw").distinct().select("raw", F.explode(parse_roles(F.col("raw"))).alias("r")).select("raw", "r.name", "r.detail")
 
 
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
@@ -135,15 +130,10 @@ def dump_dates(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(1).select(F.explode(days).alias("d")).select(F.trunc("d", "MM").cast("date").alias("date"))
 
 
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def role_names(text: str):
-    return normalise_roles(text)
-
-
 def read_roles(spark: SparkSession, folder: str) -> DataFrame:
     """(role_name, category, subcategory) of all role tables in a folder."""
     raw = spark.read.option("header", True).schema("name STRING, category STRING, subcategory STRING").csv(f"{folder}/*.csv")
-    return raw.select(F.explode(role_names("name")).alias("role_name"), "category", F.coalesce("subcategory", F.lit("NONE")).alias("subcategory")).distinct()
+    return raw.select(F.explode(normalise_roles(F.col("name"))).alias("role_name"), "category", F.coalesce("subcategory", F.lit("NONE")).alias("subcategory")).distinct()
 
 
 def read_instruments(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -152,7 +142,7 @@ def read_instruments(spark: SparkSession, paths: list[str]) -> DataFrame:
     for p in paths:
         t = spark.read.option("header", True).csv(p).select("Instrument", F.lit(re.sub(r".*/|\.csv$", "", p)).alias("kind"))
         out = t if out is None else out.unionByName(t)
-    named = out.select(F.explode(role_names("Instrument")).alias("role_name"), F.lit("INSTRUMENTS").alias("category"), instrument_subcategory(F.col("kind")).alias("subcategory"))
+    named = out.select(F.explode(normalise_roles(F.col("Instrument"))).alias("role_name"), F.lit("INSTRUMENTS").alias("category"), instrument_subcategory(F.col("kind")).alias("subcategory"))
     return named.distinct()
 
 
@@ -162,4 +152,4 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     nodes = text.select(F.explode(F.from_json("value", "MAP<STRING, STRUCT<Label: STRING, Instruments: ARRAY<STRING>, Description: STRING>>")).alias("key", "n"))
     top = nodes.select(F.col("key").alias("top"), F.col("n.Label").alias("kind"))
     each = nodes.select(F.substring("key", 1, 1).alias("top"), F.explode("n.Instruments").alias("name")).join(F.broadcast(top), "top", "left").withColumn("kind", F.coalesce("kind", F.lit("Unknown")))
-    return each.select(F.explode(role_names("name")).alias("role_name"), F.lit("INSTRUMENTS").alias("category"), instrument_subcategory(F.col("kind")).alias("subcategory")).distinct()
+    return each.select(F.explode(normalise_roles(F.col("name"))).alias("role_name"), F.lit("INSTRUMENTS").alias("category"), instrument_subcategory(F.col("kind")).alias("subcategory")).distinct()

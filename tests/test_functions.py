@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from creditgraph.functions import ids, roles, text
 
+from . import role_model
+
 
 def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first()["y"]
@@ -45,12 +47,12 @@ def test_search_text(spark):
     ],
 )
 def test_role_names(given, want):
-    assert roles.normalise_roles(given) == want
+    assert role_model.normalise_roles(given) == want
 
 
 def test_parse_roles():
-    assert roles.parse_roles("Producer [Co, Add.], Mixed By") == [{"name": "Producer", "detail": "Co, Add."}, {"name": "Mixed By", "detail": None}]
-    assert roles.parse_roles(None) == []
+    assert role_model.parse_roles("Producer [Co, Add.], Mixed By") == [{"name": "Producer", "detail": "Co, Add."}, {"name": "Mixed By", "detail": None}]
+    assert role_model.parse_roles(None) == []
 
 
 def test_ratio():
