@@ -95,6 +95,30 @@ class GraphView:
         a = self.sql("SELECT c_custkey + 1 AS id, c_name AS name, concat(c_mktsegment, ' & Sons') AS realname, CASE WHEN c_custkey % 3 = 0 THEN 'NULL' ELSE concat('Profile of ', c_name) END AS profile FROM customer")
         a.join(groups, "id", "left").write.format("xml").option("rowTag", "artist").option("rootTag", "artists").option("compression", "gzip").save(path)
 
+    def write_label_dump(self, path: str) -> None:
+        """Labels as dump XML, with their parents and sublabels by name."""
+        names = self["g_entity"].select("id", "entity_name")
+        pairs = self["g_sublabel"].join(names.select(F.col("id").alias("label"), F.col("entity_name").alias("own")), "label").join(names.select(F.col("id").alias("parent"), F.col("entity_name").alias("above")), "parent")
+        above = pairs.select(F.col("label").alias("of"), F.col("above").alias("parentLabel"))
+        below = pairs.groupBy(F.col("parent").alias("of")).agg(F.struct(F.array_sort(F.collect_list("own")).alias("label")).alias("sublabels"))
+        own = self.sql("SELECT s_suppkey + 1000000001 AS of, s_suppkey + 1 AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'NULL' ELSE concat('Label ', s_name) END AS profile FROM supplier")
+        own.join(above, "of", "left").join(below, "of", "left").drop("of").write.format("xml").option("rowTag", "label").option("rootTag", "labels").option("compression", "gzip").save(path)
+
+    def write_master_dump(self, path: str) -> None:
+        """Masters as dump XML, with a video each."""
+        video = F.struct(F.concat(F.lit("http://v/"), F.col("master_id").cast("string")).alias("_src"), (F.col("master_id") % 300).alias("_duration"), (F.col("master_id") % 2 == 0).alias("_embed"), F.lit("V").alias("title"))
+        title = F.when(F.col("master_id") % 11 != 0, F.concat(F.lit("M "), F.col("master_id").cast("string")))
+        m = self["g_master"].select(F.col("master_id").alias("_id"), title.alias("title"), "year", F.struct(F.array(video).alias("video")).alias("videos"))
+        m.write.format("xml").option("rowTag", "master").option("rootTag", "masters").option("compression", "gzip").save(path)
+
+    def released_by_firms(self) -> DataFrame:
+        """releases() with an artist on each track, and a firm on every third release."""
+        artists, labels = self["g_entity"].where("entity_type = 1").count(), self["g_entity"].where("entity_type = 2").count()
+        tracks = F.transform("tracklist", lambda t: t.withField("artists", F.array(F.struct(((F.col("release_id") * 7 + t["position"].cast("bigint")) % artists + 1).alias("id"), F.lit("T").alias("name")))))
+        firm = F.struct((F.col("release_id") % labels + 1_000_000_001).alias("id"), F.concat(F.lit("Brand#"), (F.col("release_id") % 25 + 1).cast("string")).alias("entity_type_name"))
+        r = self.releases()
+        return r.withColumn("tracklist", tracks).withColumn("companies", F.when(F.col("release_id") % 3 == 0, F.array(firm)).otherwise(F.col("companies")))
+
     def write_release_dump(self, path: str) -> None:
         """Releases as dump XML: labels by name, and roles with details in brackets."""
         names = self["g_entity"].select(F.col("id").alias("label_id"), "entity_name")

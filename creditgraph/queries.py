@@ -325,6 +325,28 @@ def dump_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.relations_of_dump(release, g["g_master"], role, role.where("is_aggregate"))
 
 
+def firm_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of releases whose tracks have artists, and of which some have firms."""
+    g = GraphView(spark, sf_dir)
+    return relations.extract_relations(g.released_by_firms(), g["g_master"], g.role_map())
+
+
+def dump_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written as dump XML and read back: those nested in others are no rows."""
+    path = network.new_path(spark, "labels")
+    GraphView(spark, sf_dir).write_label_dump(path)
+    e = dumps.read_labels(spark, path)
+    return e.select("id", "entity_name", "entity_metadata.profile", F.get(F.map_keys("entities.parent_label"), F.lit(0)).alias("parent"), F.coalesce(F.size("entities.sublabels"), F.lit(0)).alias("sublabels"))
+
+
+def dump_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masters written as dump XML and read back; those without a title are dropped."""
+    path = network.new_path(spark, "masters")
+    GraphView(spark, sf_dir).write_master_dump(path)
+    m = dumps.read_masters(spark, path)
+    return m.select("master_id", "title", "year", F.explode("videos").alias("v")).select("master_id", "title", "year", "v.src", "v.embed", "v.duration")
+
+
 def role_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role texts made of brand names in several spellings, matched with the brands."""
     g = GraphView(spark, sf_dir)
@@ -397,7 +419,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         id_functions, search_text, release_dates, extract_relations, role_counts, fold_edges, relations_by_role, relations_by_year, edges_in_years, entity_attributes, attribute_dictionary, table_counts, roles_by_category,
-        role_expansion, edges_by_key, dump_artists, dump_relations, role_texts, misspelt_roles, role_variants, match_variants, ancestors, network_depth, serving_relations, search_tokens, name_search, top_search, edge_ends, details, passage_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, followed_edges, followed_counts, insert_ignore,
+        role_expansion, edges_by_key, dump_artists, dump_relations, dump_labels, dump_masters, firm_relations, role_texts, misspelt_roles, role_variants, match_variants, ancestors, network_depth, serving_relations, search_tokens, name_search, top_search, edge_ends, details, passage_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, followed_edges, followed_counts, insert_ignore,
         resolve_labels, match_names, profile_links, url_list, random_connected, subgraph_sizes,
     )
 }
@@ -511,6 +533,22 @@ SELECT e.id, e.entity_id, e.entity_type, e.entity_name, CASE WHEN c_custkey % 3
   array_to_string(list_sort([e.entity_name, c_mktsegment, 'Sons']), '|') AS names
 FROM g_entity e JOIN customer ON e.id = c_custkey + 1 LEFT JOIN g_member m ON m.member = e.id WHERE e.entity_type = 1"""),
     "dump_relations": with_views("SELECT subject, role, object, release_id, year FROM g_edge"),
+    "dump_labels": with_views("""
+SELECT e.id, e.entity_name, CASE WHEN (e.entity_id - 1) % 3 = 0 THEN NULL ELSE 'Label ' || e.entity_name END AS profile, p.entity_name AS parent, CAST(coalesce(k.n, 0) AS INT) AS sublabels
+FROM g_entity e LEFT JOIN g_sublabel s ON s.label = e.id LEFT JOIN g_entity p ON s.parent = p.id LEFT JOIN (SELECT parent, count(*) AS n FROM g_sublabel GROUP BY parent) k ON k.parent = e.id WHERE e.entity_type = 2"""),
+    "dump_masters": with_views("SELECT master_id, 'M ' || master_id AS title, year, 'http://v/' || master_id AS src, master_id % 2 = 0 AS embed, CAST(master_id % 300 AS INT) AS duration FROM g_master WHERE master_id % 11 <> 0"),
+    "firm_relations": with_more("""
+tr AS (SELECT release_id, (release_id * 7 + track) % (SELECT count(*) FROM customer) + 1 AS artist, credit_id, role_name FROM g_credit WHERE NOT of_release),
+ta AS (SELECT DISTINCT release_id, artist FROM tr),
+ob AS (SELECT release_id, artist_id AS object FROM g_release WHERE NOT is_comp UNION SELECT l.release_id, l.label_id FROM g_release_label l JOIN g_release r USING (release_id) WHERE r.is_comp),
+x AS (
+  SELECT r.artist_id AS subject, 'Released On' AS role, l.label_id AS object, r.release_id FROM g_release r JOIN g_release_label l USING (release_id) WHERE NOT r.is_comp
+  UNION SELECT ta.artist, 'Compiled On', l.label_id, r.release_id FROM g_release r JOIN ta USING (release_id) JOIN g_release_label l USING (release_id) WHERE r.is_comp
+  UNION SELECT c.credit_id, c.role_name, ob.object, c.release_id FROM g_credit c JOIN g_role o USING (role_name) JOIN ob USING (release_id) WHERE c.of_release AND NOT o.is_aggregate
+  UNION SELECT c.credit_id, c.role_name, ta.artist, c.release_id FROM g_credit c JOIN g_role o USING (role_name) JOIN ta USING (release_id) WHERE c.of_release AND o.is_aggregate
+  UNION SELECT tr.credit_id, tr.role_name, tr.artist, tr.release_id FROM tr JOIN g_role USING (role_name)
+  UNION SELECT ob.object, o.role_name, ob.release_id % (SELECT count(*) FROM supplier) + 1000000001, ob.release_id FROM ob JOIN g_role o ON o.role_name = 'Brand#' || (ob.release_id % 25 + 1) WHERE ob.release_id % 3 = 0)""",
+        "SELECT x.subject, x.role, x.object, x.release_id, coalesce(CAST(year(r.release_date) AS INT), m.year) AS year FROM x JOIN g_release r USING (release_id) LEFT JOIN g_master m ON r.master_id = m.master_id"),
     "role_texts": "SELECT p_partkey + 1 AS id, p_brand AS role_name, 0 AS pos, CAST(100 AS DOUBLE) AS score FROM part",
     "misspelt_roles": f"""
 WITH t AS (SELECT p_partkey, split_part(p_name, ' ', 1) NOT IN {SIZES} AND p_type NOT IN ('LARGE', 'SMALL') AS other, array_to_string([upper(x[1]) || lower(substr(x, 2)) for x in string_split(p_type || ' ' || p_name, ' ')], ' ') AS role_name FROM part)
