@@ -41,7 +41,7 @@ LONGEST = 64  # characters of a word of the dictionary
 MARKS = frozenset(".,;:!?")  # neither letters, numbers nor white space
 NONE = (1 << 31) - 1
 CACHED = 100_000  # chunks that a Python worker remembers
-PIECE = 1 << 21  # characters of text in a piece of work, or one text
+PIECE = 1 << 20  # characters of text in a piece of work, or one text
 TOGETHER = 1 << 14  # words that are merged together
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
