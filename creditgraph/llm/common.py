@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from typing import Self
+from typing import TYPE_CHECKING, Self
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 BATCH = 1_000
+BATCH_BYTES = 8 << 20
 _own: dict[str, str] = {}
 
 
@@ -80,10 +84,31 @@ def partitions(spark: SparkSession) -> int:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Send Python workers at most BATCH rows of text at once, unless the session says otherwise: Spark's default of 10,000 texts is held several times over by each of them."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH))
+    """Send Python workers at most BATCH rows or about BATCH_BYTES at once, unless the session says otherwise: of Spark's default of 10,000 rows or 64 MB an executor and each of its workers hold several copies."""
+    for key, usual, own in (("maxRecordsPerBatch", "10000", BATCH), ("maxBytesPerBatch", f"{64 << 20}b", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, str(own))
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of key together, from batches that are sorted by it."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1), len(values)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[-1].column(key)[0].as_py() != values[begin]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

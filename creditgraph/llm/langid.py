@@ -12,13 +12,16 @@ take underscores before their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name, short_batches, tidy
 
@@ -51,7 +54,7 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield o[:m][same], ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(49)).astype(np.int64)[same]
 
 
-def pieces(texts: pd.Series) -> Iterator[list[str]]:
+def pieces(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """The texts in runs of about SLICE characters or one text; a null one is empty."""
     some, size = [], 0
     for t in texts:
@@ -103,19 +106,22 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         rates = [F.lit(x) for name, m in seen.items() for x in (name, int((1 << 30) * min(1.0, share / m)))]
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.create_map(*rates)[F.col("lang")])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for b in batches:
-            for name, g in b.groupby("lang"):
+            by_lang = defaultdict(list)
+            for name, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                by_lang[name].append(t)
+            for name, texts in by_lang.items():
                 c = counts.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
-                for some in pieces(g["text"]):
+                for some in pieces(texts):
                     for _, h in grams(some):
                         c += np.bincount(h, minlength=BUCKETS)
         for name, c in counts.items():
             at = np.flatnonzero(c)
-            yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": c[at]})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(c[at], pa.int64())})
 
-    sums = rows.select("lang", "text").mapInPandas(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.select("lang", "text").mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     m = np.full((BUCKETS, len(langs)), SMOOTH)
     m[sums["bucket"], [langs.index(x) for x in sums["lang"]]] += sums["n"].to_numpy()
     prior = np.log(np.array([seen[x] for x in langs], dtype=float) / n)
@@ -127,21 +133,23 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
     if model is None:
         return docs.withColumn(pred, F.lit(UND)).withColumn(score, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("struct<lang string, score double>")
-    def best(texts: pd.Series) -> pd.DataFrame:
-        m, out = shared.value, []
-        for some in pieces(texts):
-            s = m.scores(some)
-            k = s.argmax(axis=1)
-            p = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-            out.append(pd.DataFrame({"lang": [m.langs[j] for j in k], "score": p}))
-        return pd.concat(out) if out else pd.DataFrame({"lang": [], "score": []})
-
-    found, lettered = free_name(docs, "_found"), free_name(docs, "_lettered")
-    told = docs.withColumn(found, best(F.col(text))).withColumn(lettered, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return told.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col(lettered), F.col(f"{found}.lang")).otherwise(UND).alias(pred), F.when(F.col(lettered), F.col(f"{found}.score")).otherwise(0.0).alias(score))
+    shared, at, lettered = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text), free_name(docs, "lettered")
+    names = [*docs.columns, pred, score]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            done = 0
+            for some in pieces(batch.column(at).to_pylist()):
+                s = m.scores(some)
+                k = s.argmax(axis=1)
+                p = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
+                *own, told = batch.slice(done, len(some)).columns
+                yield pa.RecordBatch.from_arrays([*own, pc.if_else(told, pa.array([m.langs[j] for j in k], pa.string()), UND), pc.if_else(told, pa.array(p, pa.float64()), 0.0)], names=names)
+                done += len(some)
+
+    rows = docs.withColumn(lettered, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    return rows.mapInArrow(tidy(best), T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def reject(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:

@@ -26,13 +26,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, short_batches, staged, tidy
+from .common import Scratch, by_key, free_name, short_batches, staged, tidy
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -40,6 +41,7 @@ CHUNK = 1 << 18  # characters of text in a piece of work, or one text
 SALTS = 256
 BROADCAST_IDS = 1_000_000  # more documents in lists than this are joined with their texts by shuffle
 SLOTS, SLOT_BITS, PART = 1 << 24, 24, 1 << 18  # counters of shingles, and how many of them go in a row
+FULL = (1 << 16) - 1  # a task writes its counters and begins anew before one exceeds this
 GRADE = 1.15  # counts that differ by less than this factor are taken as alike
 LIGHT = 16  # lists of so many entries at most are compared entry by entry; in longer ones leaders settle what they can first
 FEW = 5_000  # edges that one task connects
@@ -163,48 +165,61 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def described(docs: DataFrame, k: int) -> DataFrame:
     """Rows of documents: doc_id, n and a 128-bit key of the set; and rows of counters: part, counts, of the shingles that a task saw."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(SLOTS, dtype=np.int32)
+    def counters(seen: np.ndarray) -> pa.RecordBatch:
+        rows = [(p, packed(seen[p * PART : (p + 1) * PART])) for p in range(SLOTS // PART)]
+        zeros = pa.array([0] * len(rows), pa.int64())
+        return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(rows), pa.int64()), "n": zeros, "k1": zeros, "k2": zeros, "part": pa.array([p for p, _ in rows], pa.int32()), "counts": pa.array([c for _, c in rows], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, most = np.zeros(SLOTS, dtype=np.uint16), 0  # most: what no counter exceeds
         for b in batches:
-            for at, some in pieces([x or "" for x in b["text"]]):
+            for at, some in pieces([x or "" for x in b.column("text").to_pylist()]):
                 sets = sets_of(some, k)
                 slots, n = np.unique(np.concatenate(sets) >> U(64 - SLOT_BITS), return_counts=True)
-                seen[slots.astype(np.int64)] += n
-                yield pd.DataFrame({
-                    "doc_id": b["doc_id"].iloc[at : at + len(some)].array,
-                    "n": [len(s) for s in sets],
-                    "k1": [int(mixed(s + U(1)).sum(dtype=U).view(np.int64)) for s in sets],
-                    "k2": [int(mixed(s ^ U(BASE)).sum(dtype=U).view(np.int64)) for s in sets],
-                    "part": pd.array([-1] * len(some), dtype="int32"),
-                    "counts": [None] * len(some),
+                n = np.minimum(n, FULL)
+                top = int(n.max(initial=0))
+                if most + top > FULL:
+                    yield counters(seen)
+                    seen[:], most = 0, 0
+                seen[slots.astype(np.int64)] += n.astype(np.uint16)
+                most += top
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": b.column("doc_id").slice(at, len(some)),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "k1": pa.array([int(mixed(s + U(1)).sum(dtype=U).view(np.int64)) for s in sets], pa.int64()),
+                    "k2": pa.array([int(mixed(s ^ U(BASE)).sum(dtype=U).view(np.int64)) for s in sets], pa.int64()),
+                    "part": pa.array([-1] * len(some), pa.int32()),
+                    "counts": pa.nulls(len(some), pa.binary()),
                 })
-        if seen.any():
-            rows = [(p, packed(seen[p * PART : (p + 1) * PART])) for p in range(SLOTS // PART)]
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(rows), dtype="Int64"), "n": 0, "k1": 0, "k2": 0, "part": [p for p, _ in rows], "counts": [c for _, c in rows]})
+        if most:
+            yield counters(seen)
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, n long, k1 long, k2 long, part int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, k1 long, k2 long, part int, counts binary")
 
 
 def ranks(counted: DataFrame) -> np.ndarray:
     """For every slot the grade of its count, from the tasks' counters: SLOTS bytes, whatever the input."""
 
-    def total(g: pd.DataFrame) -> np.ndarray:
-        out = np.zeros(PART, dtype=np.int64)
-        for c in g["counts"]:
-            at, n = unpacked(c)
-            out[at] += n
-        return out
+    def totals(finish):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("part", "some", "counts")), strict=True))
+            for (part, _), same in groupby(rows, key=lambda r: r[:2]):
+                out = np.zeros(PART, dtype=np.int64)
+                for *_, c in same:
+                    at, n = unpacked(c)
+                    out[at] += n
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "some": pa.array([0], pa.int32()), "counts": pa.array([finish(out)], pa.binary())})
 
-    def some(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [g["part"].iloc[0]], "counts": [packed(total(g))]})
+        return tidy(run)
 
-    def all_(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [g["part"].iloc[0]], "counts": [np.ceil(np.log(total(g) + 1) / np.log(GRADE)).astype(np.uint8).tobytes()]})
+    def grades(total: np.ndarray) -> bytes:
+        return np.ceil(np.log(total + 1) / np.log(GRADE)).astype(np.uint8).tobytes()
 
-    rows = counted.where("part >= 0").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("some"))
-    sums = rows.groupBy("part", "some").applyInPandas(some, "part int, counts binary")
+    rows = counted.where("part >= 0").select("part", F.pmod(F.xxhash64("counts"), F.lit(16)).cast("int").alias("some"), "counts")
+    by, schema = ("part", "some"), "part int, some int, counts binary"
+    sums = rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(totals(packed), schema)
     out = np.zeros(SLOTS, dtype=np.uint8)
-    for r in sums.groupBy("part").applyInPandas(all_, "part int, counts binary").toLocalIterator():
+    for r in sums.repartition("part").sortWithinPartitions("part").mapInArrow(totals(grades), schema).toLocalIterator():
         out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], dtype=np.uint8)
     return out
 
@@ -224,14 +239,24 @@ def entries_of(docs: DataFrame, rank: np.ndarray, t: Threshold, k: int) -> DataF
     """(list, n, at, member): the index lists that each document is in."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b["doc_id"].to_numpy(dtype=np.int64)
-            for at, some in pieces([x or "" for x in b["text"]]):
+            ids = whole(b.column("doc_id"))
+            for at, some in pieces([x or "" for x in b.column("text").to_pylist()]):
                 lists, n, place, owner = first_shingles(sets_of(some, k), shared.value, t)
-                yield pd.DataFrame({"list": lists, "n": n.astype(np.int32), "at": place.astype(np.int32), "member": ids[at + owner]})
+                yield pa.RecordBatch.from_pydict({"list": pa.array(lists), "n": pa.array(n, pa.int32()), "at": pa.array(place, pa.int32()), "member": pa.array(ids[at + owner])})
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(run), "list long, n int, at int, member long")
+
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(tidy(run), "list long, n int, at int, member long")
+def whole(column: pa.Array) -> np.ndarray:
+    """A column of numbers without nulls."""
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """A column of arrays of numbers without nulls."""
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(whole(column.value_lengths()))[:-1]) if len(column) else []
 
 
 def meetings(lists: np.ndarray, n: np.ndarray, at: np.ndarray, ids: np.ndarray, t: Threshold, most: int) -> np.ndarray:
@@ -255,16 +280,19 @@ def light_pairs(entries: DataFrame, t: Threshold, most: int = LIGHT) -> DataFram
     Lists are dealt out by ranges of (list, size, position, id), so a long one goes to several tasks.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ("list", "n", "at", "member")
         tail = [np.zeros(0, dtype=np.int64)] * 4
         first = last = None  # the task's first list, and one that is known to be long
 
-        def left(rows: list[np.ndarray]) -> pd.DataFrame:
-            return pd.DataFrame({"list": rows[0], "n": rows[1].astype(np.int32), "at": rows[2].astype(np.int32), "a": rows[3], "b": pd.array([None] * len(rows[0]), dtype="Int64")})
+        def rows_of(lists, n, at, a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"list": pa.array(lists), "n": pa.array(n, pa.int32()), "at": pa.array(at, pa.int32()), "a": pa.array(a), "b": b})
+
+        def left(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return rows_of(*rows, pa.nulls(len(rows[0]), pa.int64()))
 
         for batch in batches:
-            rows = [np.concatenate([x, batch[c].to_numpy(dtype=np.int64)]) for x, c in zip(tail, columns, strict=True)]
+            rows = [np.concatenate([x, whole(batch.column(c))]) for x, c in zip(tail, columns, strict=True)]
             if not len(rows[0]):
                 continue
             lists = rows[0]
@@ -280,12 +308,13 @@ def light_pairs(entries: DataFrame, t: Threshold, most: int = LIGHT) -> DataFram
             if out.any():
                 yield left([x[out] for x in rows])
             pairs = meetings(*(x[now] for x in rows), t, most)
-            yield pd.DataFrame({"list": 0, "n": np.int32(0), "at": np.int32(0), "a": pairs[:, 0], "b": pd.array(pairs[:, 1], dtype="Int64")})
+            none = np.zeros(len(pairs), dtype=np.int64)
+            yield rows_of(none, none, none, pairs[:, 0], pa.array(pairs[:, 1]))
         if len(tail[0]):
             yield left(tail)
 
     by = ("list", "n", "at", "member")
-    return entries.repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(tidy(run), "list long, n int, at int, a long, b long").distinct()
+    return entries.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(tidy(run), "list long, n int, at int, a long, b long").distinct()
 
 
 def rest_pairs(left: DataFrame, t: Threshold, s: Scratch, most: int = LIGHT) -> DataFrame:
@@ -337,11 +366,13 @@ def told_apart(pairs: DataFrame, counts: DataFrame, t: Threshold) -> DataFrame:
     least: a lower bound of the number of shingles that the sets differ in. close: whether the sets themselves must be compared.
     """
 
-    @F.pandas_udf("int")
-    def least(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([apart_at_least(a, b) for a, b in zip(x, y, strict=True)], dtype="int32")
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, x, y = batch.columns
+            found = [apart_at_least(a, b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.int32())], names=["a", "b", "star", "na", "nb", "least"])
 
-    told = beside(pairs, counts, "counts").select("a", "b", "star", "na", "nb", least("x", "y").alias("least"))
+    told = beside(pairs, counts, "counts").mapInArrow(tidy(least), "a long, b long, star boolean, na int, nb int, least int")
     most = F.col("na") + F.col("nb") - 2 * F.ceil(t.num * (F.col("na") + F.col("nb")) / F.lit(t.num + t.den))
     close = (F.col("least") <= most) | (F.col("star") & (F.col("least") <= 3 * t.differ(F.col("na"))))
     return told.where(F.col("star") | close).withColumn("close", close)
@@ -354,13 +385,16 @@ def compared(told: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     is no more than three times what links may differ in. For pairs that are not close inter is null and apart a lower bound.
     """
 
-    @F.pandas_udf("struct<inter int, items array<long>>")
-    def common(x: pd.Series, y: pd.Series, star: pd.Series) -> pd.DataFrame:
-        inter = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype=np.int32)
-        near = [s and len(a) + len(b) - 2 * i <= 3 * t.differ(len(a)) for a, b, i, s in zip(x, y, inter, star, strict=True)]
-        return pd.DataFrame({"inter": inter, "items": [np.setxor1d(a, b, assume_unique=True) if s else None for a, b, s in zip(x, y, near, strict=True)]})
-
-    near = beside(told.where("close").select("a", "b", "star"), sets, "hashes").withColumn("c", common("x", "y", "star")).select("a", "b", "star", "na", "nb", "c.inter", (F.col("na") + F.col("nb") - 2 * F.col("c.inter")).alias("apart"), "c.items")
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, x, y = batch.columns
+            x, y, star = arrays(x), arrays(y), own[2].to_pylist()
+            inter = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype=np.int32)
+            size = np.array([len(a) + len(b) for a, b in zip(x, y, strict=True)], dtype=np.int32)
+            items = [np.setxor1d(a, b, assume_unique=True) if s and d <= 3 * t.differ(len(a)) else None for a, b, d, s in zip(x, y, size - 2 * inter, star, strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(inter, pa.int32()), pa.array(size - 2 * inter, pa.int32()), pa.array(items, pa.list_(pa.int64()))], names=["a", "b", "star", "na", "nb", "inter", "apart", "items"])
+
+    near = beside(told.where("close").select("a", "b", "star"), sets, "hashes").mapInArrow(tidy(common), "a long, b long, star boolean, na int, nb int, inter int, apart int, items array<long>")
     far = told.where("not close").select("a", "b", "star", "na", "nb", F.lit(None).cast("int").alias("inter"), F.col("least").alias("apart"), F.lit(None).cast("array<long>").alias("items"))
     return near.withColumn("linked", t.links(F.col("inter"), F.col("na"), F.col("nb"))).unionByName(far.withColumn("linked", F.lit(False)))
 
@@ -392,15 +426,15 @@ def components(edges: DataFrame, keep: Scratch) -> DataFrame:
             left = s.staged(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
             n = left.count()
         if n:
-            labels = s.staged(moved(left.groupBy(F.lit("all")).applyInPandas(connected, "id long, to long")), "labels")
+            labels = s.staged(moved(left.select("a", "b").coalesce(1).mapInArrow(connected, "id long, to long")), "labels")
         if labels is None:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
         least = labels.groupBy("component").agg(F.min("id").alias("least"))
         return keep.staged(labels.join(least, "component").select("id", F.col("least").alias("component")), "components")
 
 
-def connected(edges: pd.DataFrame) -> pd.DataFrame:
-    """(id, to): for every id in edges (a, b) the least one that it is connected with."""
+def connected(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, to): for every id in edges (a, b), of one task, the least one that it is connected with."""
     root: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -409,10 +443,11 @@ def connected(edges: pd.DataFrame) -> pd.DataFrame:
             v = p
         return v
 
-    for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    return pd.DataFrame({"id": [*root], "to": [find(v) for v in root]}, dtype="int64")
+    for batch in edges:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_pydict({"id": pa.array([*root], pa.int64()), "to": pa.array([find(v) for v in root], pa.int64())})
 
 
 def join_sets(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, text: str = "text", doc_id: str = "doc_id", light: int = LIGHT) -> DataFrame:
@@ -453,14 +488,17 @@ def joined(own: DataFrame, ids: DataFrame, how: str, s: Scratch) -> DataFrame:
 def hashed(own: DataFrame, pairs: DataFrame, k: int, s: Scratch, column: str) -> DataFrame:
     """doc_id, n and the column (counts: counted() of the set; hashes: the set) of the documents in pairs (a, b)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.binary() if column == "counts" else pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, some in pieces([x or "" for x in b["text"]]):
+            for at, some in pieces([x or "" for x in b.column("text").to_pylist()]):
                 sets = sets_of(some, k)
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(some)].array, "n": [len(x) for x in sets], column: [counted(x) if column == "counts" else x.view(np.int64) for x in sets]})
+                made = [counted(x) if column == "counts" else x.view(np.int64) for x in sets]
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(at, len(some)), "n": pa.array([len(x) for x in sets], pa.int32()), column: pa.array(made, kind)})
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return s.staged(joined(own, ids, "left_semi", s).mapInPandas(run, f"doc_id long, n int, {column} {'binary' if column == 'counts' else 'array<long>'}"), column)
+    return s.staged(joined(own, ids, "left_semi", s).select("doc_id", "text").mapInArrow(tidy(run), f"doc_id long, n int, {column} {'binary' if column == 'counts' else 'array<long>'}"), column)
 
 
 def linked(own: DataFrame, rank: np.ndarray, t: Threshold, k: int, s: Scratch, most: int = LIGHT) -> DataFrame:
@@ -505,12 +543,13 @@ def in_blocks(groups: DataFrame, t: Threshold, s: Scratch) -> DataFrame:
     sides = meet.select("meeting", "leader", "kind", F.col("b1").alias("band"), F.col("p1").alias("part"), F.lit(0).alias("side")).unionByName(meet.select("meeting", "leader", "kind", F.col("b2").alias("band"), F.col("p2").alias("part"), F.lit(1).alias("side")))
     sent = placed.join(sides, [*key, "part"]).select("meeting", "side", "doc_id", "n", "base", "gone", "items")
 
-    def meeting(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = (g[g["side"] == i].sort_values("doc_id", ignore_index=True) for i in (0, 1))
-        inter = common(list(x["items"]), list(y["items"]))
-        inter += int(g["base"].iloc[0]) - x["gone"].to_numpy(dtype=np.int64)[:, None] - y["gone"].to_numpy(dtype=np.int64)[None]
-        na, nb = (z["n"].to_numpy(dtype=np.int64) for z in (x, y))
-        ids, others = x["doc_id"].to_numpy(), y["doc_id"].to_numpy()
+    def meeting(g: pa.RecordBatch) -> list[tuple[int, int]]:
+        side, base = whole(g.column("side")), int(g.column("base")[0].as_py())
+        items, (ids, n, gone) = arrays(g.column("items")), (whole(g.column(c)) for c in ("doc_id", "n", "gone"))
+        x, y = (np.flatnonzero(side == i) for i in (0, 1))
+        inter = common([items[i] for i in x], [items[i] for i in y])
+        inter += base - gone[x][:, None] - gone[y][None]
+        na, nb, ids, others = n[x], n[y], ids[x], ids[y]
         hit = t.links(inter, na[:, None], nb[None]) & (ids[:, None] != others[None])
         root: dict[int, int] = {}
 
@@ -525,9 +564,15 @@ def in_blocks(groups: DataFrame, t: Threshold, s: Scratch) -> DataFrame:
             if a != b:
                 root[max(a, b)] = min(a, b)
                 out.append((int(ids[i]), int(others[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in by_key(batches, "meeting"):
+            out = np.array(meeting(g), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
-    return s.staged(sent.groupBy("meeting").applyInPandas(meeting, "a long, b long"), "links")
+    met = sent.repartition("meeting").sortWithinPartitions("meeting", "side", "doc_id")
+    return s.staged(met.mapInArrow(tidy(run), "a long, b long"), "links")
 
 
 def common(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
