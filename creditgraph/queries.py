@@ -124,6 +124,13 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(serving.role_list(g["g_role"]).select(F.lit("role").alias("kind"), F.col("role_id").cast("long").alias("id"), F.col("role_name").alias("name"), F.lit(None).cast("string").alias("countries")))
 
 
+def frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words in more than 100 of all documents, with how many documents hold them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = F.array_distinct(F.split(text.search_normalise(F.col("text")), r"\s+"))
+    return search.frequent_tokens(docs.select(F.explode(words).alias("token")).where("token != ''"), 100)
+
+
 def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold every word of a benchmark item, by written posting lists of all documents' words; every item is a query."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
@@ -419,7 +426,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         id_functions, search_text, release_dates, extract_relations, role_counts, fold_edges, relations_by_role, relations_by_year, edges_in_years, entity_attributes, attribute_dictionary, table_counts, roles_by_category,
-        role_expansion, edges_by_key, dump_artists, dump_relations, dump_labels, dump_masters, firm_relations, role_texts, misspelt_roles, role_variants, match_variants, ancestors, network_depth, serving_relations, search_tokens, name_search, top_search, edge_ends, details, passage_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, followed_edges, followed_counts, insert_ignore,
+        role_expansion, edges_by_key, dump_artists, dump_relations, dump_labels, dump_masters, firm_relations, role_texts, misspelt_roles, role_variants, match_variants, ancestors, network_depth, serving_relations, search_tokens, name_search, top_search, edge_ends, details, frequent_words, passage_search, tfidf_search, structural_edges, expected_links, network_nodes, network_small, store_lookups, network_payload, network_reduced, first_hop, alias_components, snapshot_diff, snapshot_apply, cascade_delete, followed_edges, followed_counts, insert_ignore,
         resolve_labels, match_names, profile_links, url_list, random_connected, subgraph_sizes,
     )
 }
@@ -496,6 +503,7 @@ SELECT role, CASE WHEN least(subject, object) < 1000000000 THEN 'artist' ELSE 'l
     "details": with_more(ATTRIBUTES, """
 SELECT 'entity' AS kind, e.id, e.entity_name AS name, a.countries FROM g_entity e LEFT JOIN (SELECT id, string_agg(name, ',' ORDER BY name) AS countries FROM attr WHERE kind = 'c' GROUP BY id) a USING (id) WHERE e.entity_type = 2
 UNION ALL SELECT 'role', role_id, role_name, NULL FROM g_role"""),
+    "frequent_words": f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(string_split_regex({NORMAL.format('text')}, '\\s+'))) AS token FROM documents) t WHERE token <> '' GROUP BY token HAVING count(*) > 100",
     "passage_search": f"""
 WITH dw AS (SELECT DISTINCT doc_id, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM documents),
   iw AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest(string_split_regex({NORMAL.format("text")}, '\\s+')) AS token FROM benchmark) t WHERE token <> ''),

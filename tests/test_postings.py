@@ -1,6 +1,7 @@
 """Posting lists and relational division against plain sets."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -43,3 +44,15 @@ def test_the_list_is_not_moved(spark, tmp_path):
     plan = store.of("cell", asked, "cell")
     assert sum(len(x.ids) for x in plan.collect()) == 40
     assert "hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("min_df", [0, 1, 40, 400, 3_000, 20_000])
+def test_frequent_tokens(spark, min_df):
+    """Counts of a few hot tokens, some at the threshold and many rare ones, dealt over tasks that each see a part."""
+    r = random.Random(3)
+    seen = ["hot"] * 9_000 + ["warm"] * 400 + ["warmer"] * 401 + [f"r{r.randrange(4_000)}" for _ in range(8_000)] + [f"once{i}" for i in range(3_000)] + [None] * 50
+    r.shuffle(seen)
+    want = {t: n for t, n in Counter(seen).items() if n > min_df and t is not None}
+    tokens = spark.createDataFrame([(t,) for t in seen], "token string").repartition(7)
+    assert {x.token: x.df for x in search.frequent_tokens(tokens, min_df).collect()} == want
+    assert search.frequent_tokens(tokens.limit(0), min_df).count() == 0
