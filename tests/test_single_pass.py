@@ -38,3 +38,16 @@ def test_releases_of_an_entity_read_edges_once(spark):
     got = aggregates.releases_by_role(edges, spark.createDataFrame([(1,), (1,)], "id long"))
     assert {tuple(r) for r in got.collect()} == {(1, "a", 10, 1991), (1, "a", 11, None)}
     assert sum("edges-once" in x for x in plan(got).splitlines()) == 1
+
+
+def test_walks_of_a_network_write_no_levels(spark, monkeypatch):
+    nodes = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 2), (9, 9, 0)], "center_id long, id long, distance int")
+    links = spark.createDataFrame([(1, 1, 2), (1, 3, 1), (1, 2, 3), (1, 2, 4), (1, 4, 3), (1, 7, 4)], "center_id long, one long, two long")
+
+    def no_write(*_):
+        raise AssertionError("a level was written")
+
+    monkeypatch.setattr(network, "kept", no_write)
+    assert {tuple(r) for r in network.subgraph_sizes(nodes, links).collect()} == {(1, 1, 4), (1, 2, 2), (1, 3, 2), (1, 4, 1), (1, 5, 1), (9, 9, 1)}
+    assert {tuple(r) for r in network.ancestors(nodes, links).collect()} == {(1, 1, 1), (1, 2, 2), (1, 2, 1), (1, 3, 3), (1, 3, 1), (1, 4, 4), (1, 4, 2), (1, 4, 3), (1, 4, 1), (1, 5, 5), (9, 9, 9)}
+    assert {tuple(r) for r in network.subgraph_sizes(nodes, links, 0).collect()} == {(1, 1, 3), (1, 2, 2), (1, 3, 2), (1, 4, 1), (1, 5, 1), (9, 9, 1)}
