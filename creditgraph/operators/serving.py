@@ -78,12 +78,15 @@ def committed(spark: SparkSession, path: str) -> bool:
 
 
 def build_serving(tables: dict[str, DataFrame], root: str) -> None:
-    """Writes each table that is not there yet, or whose write was killed; country, genre and style dictionaries come from the entities."""
-    entity = tables["entity"]
-    dictionaries = {n: attribute_dictionary(entity.where(F.col(c).isNotNull()), c) for n, c in (("country", "countries"), ("genre", "genres"), ("style", "styles"))}
-    for name, df in {**tables, **dictionaries}.items():
-        if not committed(df.sparkSession, f"{root}/{name}"):
+    """Writes each table that is not there yet, or whose write was killed; country, genre and style dictionaries come from the entities as they are written."""
+    spark = tables["entity"].sparkSession
+    for name, df in tables.items():
+        if not committed(spark, f"{root}/{name}"):
             write_table(df, root, name, "overwrite")
+    entity = read_table(spark, root, "entity")
+    for name, column in (("country", "countries"), ("genre", "genres"), ("style", "styles")):
+        if not committed(spark, f"{root}/{name}"):
+            write_table(attribute_dictionary(entity.where(F.col(column).isNotNull()), column), root, name, "overwrite")
 
 
 def first_row(df: DataFrame, by: str) -> DataFrame:

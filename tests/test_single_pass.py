@@ -1,6 +1,7 @@
 """What a query is made from is read and dealt once, and gives the rows that the view's SQL gives."""
 
-from creditgraph.operators import aggregates, network, relations
+from creditgraph import queries
+from creditgraph.operators import aggregates, network, relations, serving
 from creditgraph.plans.graph_view import GraphView
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,33 @@ def test_walks_of_a_network_write_no_levels(spark, monkeypatch):
     assert {tuple(r) for r in network.subgraph_sizes(nodes, links).collect()} == {(1, 1, 4), (1, 2, 2), (1, 3, 2), (1, 4, 1), (1, 5, 1), (9, 9, 1)}
     assert {tuple(r) for r in network.ancestors(nodes, links).collect()} == {(1, 1, 1), (1, 2, 2), (1, 2, 1), (1, 3, 3), (1, 3, 1), (1, 4, 4), (1, 4, 2), (1, 4, 3), (1, 4, 1), (1, 5, 5), (9, 9, 9)}
     assert {tuple(r) for r in network.subgraph_sizes(nodes, links, 0).collect()} == {(1, 1, 3), (1, 2, 2), (1, 3, 2), (1, 4, 1), (1, 5, 1), (9, 9, 1)}
+
+
+def counted_edges(monkeypatch) -> list[int]:
+    """Grows with each time that the view's edges are made."""
+    made, edges = [], GraphView.edges
+    monkeypatch.setattr(GraphView, "edges", lambda self: made.append(1) or edges(self))
+    return made
+
+
+def test_serving_copy_makes_edges_and_entities_once(spark, tmp_path, monkeypatch):
+    made, taken = counted_edges(monkeypatch), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            taken.add(len(b))
+            yield b
+
+    assert queries.serving_relations(spark, SF).count() == 25 and len(made) == 1
+    entity = spark.createDataFrame([(1, "US", "Rock", "Pop,Soul"), (2, None, "Jazz", None)], "id long, countries string, genres string, styles string")
+    serving.build_serving({"entity": entity.mapInPandas(count, entity.schema)}, str(tmp_path))
+    assert taken.value == 2
+    assert [[tuple(r) for r in serving.read_table(spark, str(tmp_path), t).orderBy("id").collect()] for t in ("country", "genre", "style")] == [[(0, "US")], [(0, "Jazz"), (1, "Rock")], [(0, "Pop"), (1, "Soul")]]
+
+
+def test_networks_and_stores_make_edges_once(spark, monkeypatch):
+    made = counted_edges(monkeypatch)
+    queries.network_tables(spark, SF)
+    assert len(made) == 1
+    queries.store_lookups(spark, SF)
+    assert len(made) == 2
