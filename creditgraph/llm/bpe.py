@@ -18,9 +18,10 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -165,6 +166,28 @@ def after_first(texts: list[str]) -> pa.ListArray:
     return pc.list_slice(pc.split_pattern(pa.array(texts, pa.string()), " "), 1)
 
 
+def chunk_words(seen: pa.StructArray, whole: Counter, find: Callable[[str], list[str]]) -> pa.RecordBatch:
+    """word, n: the words of counted chunks, as plain_words() takes them, and those of whole. Most chunks are letters, with a mark or not: Arrow takes these together."""
+    chunk, n = seen.field(0), seen.field(1)
+    plain = pc.utf8_is_alpha(chunk)
+    words, counts = [chunk.filter(plain)], [n.filter(plain)]
+    chunk, n = (x.filter(pc.invert(plain)) for x in (chunk, n))
+    stem, mark = pc.utf8_slice_codeunits(chunk, 0, -1), pc.utf8_slice_codeunits(chunk, -1)
+    marked = pc.and_(pc.utf8_is_alpha(stem), pc.is_in(mark, pa.array(sorted(MARKS))))
+    words.append(stem.filter(marked))
+    counts.append(n.filter(marked))
+    for m, k in zip(mark.filter(marked).to_pylist(), n.filter(marked).to_pylist(), strict=True):
+        whole[m] += k
+    rest = pc.invert(marked)
+    for c, k in zip(chunk.filter(rest).to_pylist(), n.filter(rest).to_pylist(), strict=True):
+        for w in plain_words(c, find):
+            whole[w] += k
+    spaced = pc.binary_join_element_wise("", pa.concat_arrays(words), " ")
+    both = pa.table({"word": pa.concat_arrays([spaced, pa.array(list(whole), pa.string())]), "n": pa.concat_arrays([*counts, pa.array(list(whole.values()), pa.int64())])})
+    sums = both.group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.RecordBatch.from_pydict({"word": sums["word"].combine_chunks(), "n": sums["n_sum"].combine_chunks()})
+
+
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word, n over all of docs (text)."""
 
@@ -180,11 +203,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
                     else:
                         plain.append(t)
                         whole.update(find(c[0]))
-                seen = pc.value_counts(after_first(plain).flatten())
-                for c, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist(), strict=True):
-                    for w in plain_words(c, find):
-                        whole[w] += n
-                yield pa.RecordBatch.from_pydict({"word": pa.array(list(whole), pa.string()), "n": pa.array(list(whole.values()), pa.int64())})
+                yield chunk_words(pc.value_counts(after_first(plain).flatten()), whole, find)
 
     return docs.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -193,9 +212,16 @@ class Pairs:
     """The pairs of ids that a vocabulary merges, sorted, with the ids that they become; and the ids of single bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        found = sorted((ranks[p[:i]] << 32 | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks)
-        self.keys = np.array([x[0] for x in found] + [1 << 62], dtype=np.int64)
-        self.ids = np.array([x[1] for x in found] + [NONE], dtype=np.int32)
+        keys, ids = array("q"), array("i")
+        for p, r in ranks.items():
+            for i in range(1, len(p)):
+                if p[:i] in ranks and p[i:] in ranks:
+                    keys.append(ranks[p[:i]] << 32 | ranks[p[i:]])
+                    ids.append(r)
+        keys.append(1 << 62)
+        ids.append(NONE)
+        order = np.argsort(np.frombuffer(keys, dtype=np.int64), kind="stable")
+        self.keys, self.ids = np.frombuffer(keys, dtype=np.int64)[order], np.frombuffer(ids, dtype=np.int32)[order]
         self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
 
     def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -326,27 +352,52 @@ class Dictionary:
         return ids[place], bounds[first + chunks_of + 1] - bounds[first]
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = MOST_WORDS) -> dict[str, bytes]:
-    """The most frequent words of docs (text) with their ids, made by the fold."""
+def dictionary_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = MOST_WORDS) -> pa.Table:
+    """The most frequent words of docs (text) with their ids, made by the fold: words, ids, a list of them in each row."""
     spark = docs.sparkSession
     with Scratch(spark) as s:
         counts = s.staged(word_counts(docs, pattern), "word-counts")
         top = top_words(counts.where(F.length("word") <= LONGEST), most)
         parts = partitions(spark)
         some = top.select("word").repartition(parts).groupBy(F.pmod(F.xxhash64("word"), F.lit(512))).agg(F.collect_list("word").alias("words")).repartition(parts)  # MOST_WORDS / 512 words each
-        got = some.select("words", merged(F.col("words"), rank_map(ranks)).alias("ids")).toPandas()
-    return {w: np.asarray(i, dtype=np.int32).tobytes() for ws, all_ in zip(got["words"], got["ids"], strict=True) for w, i in zip(ws, all_, strict=True)}
+        return some.select("words", merged(F.col("words"), rank_map(ranks)).alias("ids")).toArrow()
+
+
+class Words:
+    """dictionary_rows(), sent as columns; a Python worker makes objects of them once."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+
+    @cached_property
+    def known(self) -> dict[str, bytes]:
+        """The words with their ids as bytes."""
+        known = {}
+        for batch in self.rows.to_batches():
+            ids = batch.column("ids").flatten()
+            ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) * 4).tolist()
+            raw, begin = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), 0
+            for w, end in zip(batch.column("words").flatten().to_pylist(), ends, strict=True):
+                known[w] = raw[begin:end]
+                begin = end
+        return known
+
+
+def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = MOST_WORDS) -> dict[str, bytes]:
+    """The most frequent words of docs (text) with their ids, made by the fold."""
+    return Words(dictionary_rows(docs, ranks, pattern, most)).known
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of each text, in a last column."""
     ids = free_name(docs, ids)
     short_batches(docs.sparkSession)
-    known = dictionary(docs.select(F.col(text).alias("text")), ranks, pattern)
-    shared, kept, at = docs.sparkSession.sparkContext.broadcast((known, ranks, Pairs(ranks))), list(docs.columns), docs.columns.index(text)
+    known = dictionary_rows(docs.select(F.col(text).alias("text")), ranks, pattern)  # stays columns on the driver: as objects the words would take ten times as much, and pickling them as much again
+    shared, kept, at = docs.sparkSession.sparkContext.broadcast((Words(known), ranks, Pairs(ranks))), list(docs.columns), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Dictionary(*shared.value, pattern)
+        words, *own = shared.value
+        d = Dictionary(words.known, *own, pattern)
         for batch in batches:
             done = 0
             for some in pieces(batch.column(at)):
