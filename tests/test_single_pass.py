@@ -82,3 +82,12 @@ def test_networks_and_stores_make_edges_once(spark, monkeypatch):
     assert len(made) == 1
     queries.store_lookups(spark, SF)
     assert len(made) == 2
+
+
+def test_names_of_attributes_are_split_once_a_release(spark):
+    rows = [(1, "US & UK", [1, 2], [3], ["Rock, Pop", "Rock"], None), (2, None, [1], None, [None], ["Jazz"]), (3, None, [9], [], [], [])]
+    release = spark.createDataFrame([(i, c, [(x,) for x in a], None if b is None else [(x,) for x in b], g, s) for i, c, a, b, g, s in rows], "release_id long, country string, artists array<struct<id: long>>, labels array<struct<id: long>>, genres array<string>, styles array<string>")
+    got = aggregates.entity_attributes(release)
+    assert {tuple(r) for r in got.collect()} == {(1, "UK,US", "Pop,Rock", "Jazz"), (2, "UK,US", "Pop,Rock", None), (3, "UK,US", "Pop,Rock", None)}
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert max(i for i, x in enumerate(lines) if "Generate explode" in x) < min(i for i, x in enumerate(lines) if "split(" in x and "Generate" not in x)
