@@ -91,3 +91,8 @@ def test_names_of_attributes_are_split_once_a_release(spark):
     assert {tuple(r) for r in got.collect()} == {(1, "UK,US", "Pop,Rock", "Jazz"), (2, "UK,US", "Pop,Rock", None), (3, "UK,US", "Pop,Rock", None)}
     lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert max(i for i, x in enumerate(lines) if "Generate explode" in x) < min(i for i, x in enumerate(lines) if "split(" in x and "Generate" not in x)
+
+
+def test_edges_by_ends_are_dealt_by_numbers(spark):
+    lines = queries.edge_ends(spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert "hashpartitioning(role#" in next(x for x in lines if "Exchange" in x)
