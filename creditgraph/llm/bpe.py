@@ -360,6 +360,7 @@ def dictionary_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most
         top = top_words(counts.where(F.length("word") <= LONGEST), most)
         parts = partitions(spark)
         some = top.select("word").repartition(parts).groupBy(F.pmod(F.xxhash64("word"), F.lit(512))).agg(F.collect_list("word").alias("words")).repartition(parts)  # MOST_WORDS / 512 words each
+        some = s.staged(some, "words")  # so the plan with the literal has one stage: it would be described anew, some megabytes each time, after every stage before it
         return some.select("words", merged(F.col("words"), rank_map(ranks)).alias("ids")).toArrow()
 
 

@@ -121,9 +121,9 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(c[at], pa.int64())})
 
-    sums = rows.select("lang", "text").mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.select("lang", "text").mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # columns: as rows of objects they would take ten times as much of the driver
     m = np.full((BUCKETS, len(langs)), SMOOTH)
-    m[sums["bucket"], [langs.index(x) for x in sums["lang"]]] += sums["n"].to_numpy()
+    m[sums["bucket"].to_numpy(), pc.index_in(sums["lang"], pa.array(langs, pa.string())).to_numpy()] += sums["n"].to_numpy()
     prior = np.log(np.array([seen[x] for x in langs], dtype=float) / n)
     return Model(langs, np.log(m / m.sum(axis=0)).astype(np.float32), prior)
 
