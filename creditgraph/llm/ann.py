@@ -42,6 +42,12 @@ def clean(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return v.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
+def matrix(vectors: DataFrame) -> np.ndarray:
+    """The vectors of a bounded number of rows (v, all of one length), on the driver. They come as an Arrow column: as rows of objects they would take several times as much."""
+    got = vectors.select("v").toArrow()["v"].combine_chunks()
+    return got.flatten().to_numpy().reshape(len(got), -1) if len(got) else np.zeros((0, 1))
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)).astype(np.float32)
 
@@ -114,14 +120,17 @@ def nearest(ids: np.ndarray, x: np.ndarray, k: int, worst: np.ndarray | None = N
 
 
 def regrouped(parts: DataFrame, k: int) -> DataFrame:
-    """One row for each id, with its k nearest, out of many with some neighbours each."""
+    """One row for each id, with its k nearest, out of many with some neighbours each, and how many of them are fresh: not in its row that is marked as held."""
     n = 4 * partitions(parts.sparkSession)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         size = g["nbrs"].map(len).to_numpy()
-        return merge(np.repeat(g["id"].to_numpy(), size), np.concatenate([*g["nbrs"]]), np.concatenate([*g["dists"]]).astype(np.float32), k)
+        out = merge(np.repeat(g["id"].to_numpy(), size), np.concatenate([*g["nbrs"]]), np.concatenate([*g["dists"]]).astype(np.float32), k)
+        had = dict(zip(g["id"][g["held"]], g["nbrs"][g["held"]], strict=True))
+        out["fresh"] = [len(x) - len(np.intersect1d(x, had[i])) if i in had else len(x) for i, x in zip(out["id"], out["nbrs"], strict=True)]
+        return out
 
-    return parts.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("part")).applyInPandas(run, GRAPH)
+    return parts.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("part")).applyInPandas(run, f"{GRAPH}, fresh int")
 
 
 def cut_overfull(nodes: DataFrame, forest: list[Tree], most: int) -> None:
@@ -167,8 +176,7 @@ def cut_overfull(nodes: DataFrame, forest: list[Tree], most: int) -> None:
 def plant(nodes: DataFrame, n: int, trees: int, leaf: int) -> list[Tree]:
     """Trees fitted on a sample of nodes, and cut further where leaves come out overfull."""
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = nodes.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toPandas()["v"]
-    x = np.stack([*sample]) if len(sample) else np.zeros((0, 1))
+    x = matrix(nodes.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))))
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
     grown = [grow(x, depth, s) for s in range(trees if depth else 1)]
     if depth:
@@ -201,7 +209,7 @@ def first_graph(nodes: DataFrame, trees: list[Tree], leaf: int, k: int) -> DataF
 
     placed = nodes.mapInPandas(place, "tree int, leaf long, id long, v array<float>")
     groups = 4 * partitions(nodes.sparkSession)
-    return regrouped(placed.groupBy(F.pmod(F.xxhash64("tree", "leaf"), F.lit(groups)).alias("part")).applyInPandas(inside, GRAPH), k)
+    return regrouped(placed.groupBy(F.pmod(F.xxhash64("tree", "leaf"), F.lit(groups)).alias("part")).applyInPandas(inside, GRAPH).withColumn("held", F.lit(False)), k)
 
 
 def in_blocks(nodes: DataFrame, tree: Tree, leaf: int) -> DataFrame:
@@ -239,13 +247,12 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
         return merge(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
 
     more = hubs.groupBy("block").cogroup(sent.groupBy("by")).applyInPandas(local, GRAPH)
-    return regrouped(graph.unionByName(more), k)
+    return regrouped(graph.drop("fresh").withColumn("held", F.lit(True)).unionByName(more.withColumn("held", F.lit(False))), k)
 
 
-def changed(old: DataFrame, new: DataFrame) -> float:
-    """The share of new's neighbours that old lacks."""
-    both = new.select("id", "nbrs").join(old.select("id", F.col("nbrs").alias("had")), "id")
-    n, fresh = both.agg(F.sum(F.size("nbrs")), F.sum(F.size(F.array_except("nbrs", "had")))).first()
+def changed(graph: DataFrame) -> float:
+    """The share of the neighbours of a round's graph that the one before lacks."""
+    n, fresh = graph.agg(F.sum(F.size("nbrs")), F.sum("fresh")).first()
     return (fresh or 0) / max(n or 0, 1)
 
 
@@ -263,9 +270,9 @@ class Index:
             graph = s.staged(first_graph(same, grown, leaf, degree), "graph")
             self.rounds = 0
             for seed in range(rounds if n > 1 else 0):
-                before, graph = graph, s.staged(descend(graph, blocks, degree, seed), "graph")
+                graph = s.staged(descend(graph, blocks, degree, seed), "graph")
                 self.rounds += 1
-                if changed(before, graph) < CHANGED:
+                if changed(graph) < CHANGED:
                     break
             out = graph.select("id", F.explode("nbrs").alias("nbr"))
             back = out.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("nbr")))).where(F.col("r") <= degree).drop("r")
@@ -280,8 +287,9 @@ class Index:
         """
         spark = queries.sparkSession
         n = self.nodes.count()
-        pivots = self.nodes.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < int(min(1.0, PIVOTS / max(n, 1)) * (1 << 30))).select("id", "v").toPandas()
-        shared = spark.sparkContext.broadcast((pivots["id"].to_numpy(dtype=np.int64), np.stack([*pivots["v"]]) if len(pivots) else np.zeros((0, 1))))
+        pivots = self.nodes.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < int(min(1.0, PIVOTS / max(n, 1)) * (1 << 30))).select("id", "v").toArrow()
+        at = pivots["v"].combine_chunks()
+        shared = spark.sparkContext.broadcast((pivots["id"].to_numpy(), at.flatten().to_numpy().reshape(len(at), -1) if len(at) else np.zeros((0, 1))))
         state_of = "query_id long, v array<double>, ids array<long>, dists array<double>, done array<boolean>, next array<long>"
 
         def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
