@@ -61,7 +61,7 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query").distinct().select("query", F.explode(words).alias("token"), F.size(words).alias("n"))
 
 
-SLICE = 8192  # about as many ids does a row of a posting list hold
+SLICE = 256  # about as many ids does a row of a posting list hold: a probe of one id meets a whole row
 HOT_TOKENS = 100_000  # tokens with more than one slice that are broadcast
 
 
