@@ -55,9 +55,14 @@ def frequent_tokens(tokens: DataFrame, min_df: int = 10_000) -> DataFrame:
     return known.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > min_df)
 
 
+def query_words(query: Column) -> Column:
+    """Distinct tokens of a query: stop words and hyphens as in the index, unsplit."""
+    return F.array_distinct(without_stop_words(F.split(search_normalise(query), r"\s+")))
+
+
 def query_tokens(queries: DataFrame) -> DataFrame:
-    """(query, token, n): distinct tokens of each query and how many it has; stop words and hyphens as in the index, unsplit."""
-    words = F.array_distinct(without_stop_words(F.split(search_normalise(F.col("query")), r"\s+")))
+    """(query, token, n): distinct tokens of each query and how many it has."""
+    words = query_words(F.col("query"))
     return queries.select("query").distinct().select("query", F.explode(words).alias("token"), F.size(words).alias("n"))
 
 
@@ -104,21 +109,25 @@ def division(asked: DataFrame, postings: DataFrame | Store) -> DataFrame:
     """(query, id) of ids that have every one of a query's tokens: asked (query, token, n), of n tokens each.
 
     The ids of a query's rarest token are its candidates; its other tokens' lists only take some away. Each of these meets the candidates that can be in the
-    same slice, so no list is met as a whole unless it is a query's rarest.
+    same slice, so no list is met as a whole unless it is a query's rarest. A query's other tokens go with the cells of its rarest, which are dealt before their
+    ids are listed: a join by query, or its ranks, would leave all ids of a query, and of few queries all ids, to one task.
     """
     lists = postings.table() if isinstance(postings, Store) else postings
     known = asked.join(lists.select("token", "df", "slices").distinct(), "token")
     of_query = Window.partitionBy("query")
-    rank = F.row_number().over(of_query.orderBy("df", "token"))
-    ranked = known.withColumn("known", F.count("*").over(of_query)).withColumn("rank", rank).where("known = n").drop("known")
-    first = ranked.where("rank = 1").select("query", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: cell_of(F.col("token"), k))).alias("cell"))
-    candidates = matched(postings, "cell", first, "cell").select("query", "n", F.explode("ids").alias("id"))
-    others = ranked.where("rank > 1").select("query", "token", "slices")
-    probes = candidates.where("n > 1").join(others, "query").groupBy("query", "n", "token", slice_of(F.col("id"), F.col("slices")).alias("slice")).agg(F.collect_list("id").alias("asked"))
+    ranked = known.withColumn("known", F.count("*").over(of_query)).withColumn("rank", F.row_number().over(of_query.orderBy("df", "token"))).where("known = n")
+    others = F.collect_list(F.when(F.col("rank") > 1, F.struct("token", "slices"))).over(of_query)
+    cells = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: cell_of(F.col("token"), k))
+    first = ranked.withColumn("others", others).where("rank = 1").select("query", "n", "others", F.explode(cells).alias("cell"))
+    first = first.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
+    size = first.agg(F.coalesce(F.sum(F.size("others") + 1), F.lit(0))).first()[0] if isinstance(postings, Store) else None  # others make rows longer
+    candidates = matched(postings, "cell", first, "cell", size)
+    spread = candidates.where("n > 1").select("query", "n", "ids", F.explode("others").alias("other")).select("query", "n", "other.*", F.explode("ids").alias("id"))
+    probes = spread.groupBy("query", "n", "token", slice_of(F.col("id"), F.col("slices")).alias("slice")).agg(F.collect_list("id").alias("asked"))
     probes = probes.select("query", "n", cell_of(F.col("token"), F.col("slice")).alias("cell"), "asked")
     hits = matched(postings, "cell", probes, "cell").select("query", "n", F.explode(F.array_intersect("asked", "ids")).alias("id"))
     left = hits.groupBy("query", "n", "id").agg(F.count("*").alias("found")).where("found = n - 1")
-    return candidates.where("n = 1").select("query", "id").unionByName(left.select("query", "id"))
+    return candidates.where("n = 1").select("query", F.explode("ids").alias("id")).unionByName(left.select("query", "id"))
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -224,8 +233,14 @@ def top_search(queries: DataFrame, tokens: DataFrame | Store, entity: DataFrame,
 
 
 def tfidf_search(queries: DataFrame, tokens: DataFrame, names: DataFrame) -> DataFrame:
-    """(query, id, score): for entities with every token, the sum over its names of how often a token is in them, times idf."""
-    own = matches(queries, tokens).join(query_tokens(queries).select("query", "token"), "query")
-    counts = names.select("id", F.explode(F.split(search_normalise(F.col("text")), r"\s+")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    return own.join(counts, ["id", "token"], "left").join(token_stats(tokens, names), "token").groupBy("query", "id").agg(F.sum(F.coalesce("tf", F.lit(0)) * F.col("idf")).alias("score"))
+    """(query, id, score): for entities with every token, the sum over its names of how often a token is in them, times idf.
 
+    Matches meet names by id, and a query's tokens are made from it again: a join by query would leave a frequent query to one task.
+    """
+    asked = query_tokens(queries).select("token").distinct()
+    some = asked.limit(HOT_TOKENS + 1).count() <= HOT_TOKENS
+    stats = token_stats(tokens, names).join(F.broadcast(asked) if some else asked, "token", "left_semi").select("token", "idf")
+    words = names.select("id", F.split(search_normalise(F.col("text")), r"\s+").alias("words"))
+    own = matches(queries, tokens).join(words, "id", "left").select("query", "id", "words", F.explode(query_words(F.col("query"))).alias("token"))
+    counts = own.select("query", "id", "token", F.when(F.col("words").isNotNull(), F.size(F.filter("words", lambda w: w == F.col("token")))).otherwise(0).alias("tf"))
+    return counts.join(F.broadcast(stats) if some else stats, "token").groupBy("query", "id").agg(F.sum(F.col("tf") * F.col("idf")).alias("score"))
