@@ -29,12 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, staged
+from .common import Scratch, partitions, short_batches, staged, tidy
 
 RANGE = 1 << 16  # bytes of a range of a long text
 FAN = 8  # ranges that one task composes
 TOGETHER = 1 << 22  # bytes of texts whose distinct words are encoded together
-BLOCK_PAIRS = 1 << 20  # pairs of a block's documents, but for one document
+BLOCK_PAIRS = 1 << 18  # pairs of a block's documents, but for one document
+ALONE = {"parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}  # a block is a row group: the usual writer and reader hold a hundred rows, whatever their size
 LARGE = 1 << 12  # links of a group above which its distinct ids are paired, not its tokens
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed value: how byte-level BPE cuts texts.
@@ -428,7 +429,7 @@ def long_texts(docs: DataFrame, shared, s: Scratch, wide: int, id_type: str) ->
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([begin], pa.int64()), pa.array([piece], pa.string())], names=["key", "doc_id", "begin", "piece"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    pieces = s.staged(numbered.mapInArrow(cut, f"key long, doc_id {id_type}, begin long, piece string"), "pieces")  # written, so that keys stay as they are
+    pieces = s.staged(numbered.mapInArrow(tidy(cut), f"key long, doc_id {id_type}, begin long, piece string"), "pieces")  # written, so that keys stay as they are
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tokenizers(*shared.value)
@@ -440,7 +441,7 @@ def long_texts(docs: DataFrame, shared, s: Scratch, wide: int, id_type: str) ->
 
     schema = f"key long, doc_id {id_type}, {FRAGMENT}"
     names = docs.sparkSession.createDataFrame([], schema).columns
-    made = pieces.repartition(partitions(docs.sparkSession), "key", "begin").mapInArrow(encoded, schema)
+    made = pieces.repartition(partitions(docs.sparkSession), "key", "begin").mapInArrow(tidy(encoded), schema)
 
     def merge(table: pa.Table) -> pa.Table:
         rows = read_fragments(table)
@@ -467,7 +468,7 @@ def long_texts(docs: DataFrame, shared, s: Scratch, wide: int, id_type: str) ->
         if block:
             yield from block.rows(last=True)
 
-    return made.mapInArrow(finish, block_schema(id_type))
+    return made.mapInArrow(tidy(finish), block_schema(id_type))
 
 
 def read_unsorted(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bool, Fragment]]:
@@ -481,6 +482,7 @@ def align(docs: DataFrame, a: str, b: bytes, text: str = "text", doc_id: str = "
     a: a byte-level BPE of the tokenizers library, as JSON; b: a sentencepiece model with byte fallback, whose pieces have spaces in front only.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     shared = spark.sparkContext.broadcast((a, b, as_ranks(a)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -498,8 +500,8 @@ def align(docs: DataFrame, a: str, b: bytes, text: str = "text", doc_id: str = "
 
     size = F.octet_length("text")
     with Scratch(spark) as s:
-        blocks = rows.where(size <= wide).mapInArrow(short, block_schema(id_type))
-        blocks = s.staged(blocks.unionByName(long_texts(rows.where(size > wide), shared, s, wide, id_type)), "blocks")
+        blocks = rows.where(size <= wide).mapInArrow(tidy(short), block_schema(id_type))
+        blocks = s.staged(blocks.unionByName(long_texts(rows.where(size > wide), shared, s, wide, id_type)), "blocks", **ALONE)
         held = blocks.select("block", F.posexplode(F.arrays_zip("keys", "n_docs")).alias("place", "x")).select("block", "place", F.col("x.keys").alias("key"), F.col("x.n_docs").alias("n"))
         counts = s.staged(held.groupBy("key").agg(F.sum("n").alias("n")), "pair-counts")
         best = counts.groupBy(F.shiftright("key", 32).alias("a")).agg(F.max("n").alias("most"))  # a row for each of A's ids at most

@@ -34,10 +34,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
+def staged(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation. options: those of the write."""
     path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,9 +63,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def staged(self, df: DataFrame, name: str) -> DataFrame:
+    def staged(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         self.paths.append(new_path(self.spark, name))
-        return staged(df, name, self.paths[-1])
+        return staged(df, name, self.paths[-1], **options)
 
     def __enter__(self) -> Self:
         return self
