@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import MISSING, entity_url
 from .aggregates import attribute_dictionary
-from .stores import file_exists
+from .stores import file_exists, write
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -15,7 +15,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).parquet(f"{root}/{name}")
+    write(df, f"{root}/{name}", mode)
 
 
 def write_tokens(tokens: DataFrame, root: str, buckets: int = 64) -> None:

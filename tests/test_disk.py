@@ -3,6 +3,7 @@
 import random
 import time
 
+from creditgraph import queries
 from creditgraph.operators import stores
 from creditgraph.streaming.credit_view import CreditView
 
@@ -40,3 +41,16 @@ def test_loads_leave_what_later_ones_read(spark, tmp_path):
     every = ["2024-01", "2024-02", "2024-03"]
     assert left == {**dict.fromkeys(("seen", "support", "entity_id"), every[1:]), **dict.fromkeys(("relation", "dead", "counts"), every), **dict.fromkeys(("moved", "added", "died", "revived", "delta"), [])}
     assert view.edges("2024-01").count() and view.role_counts("2024-01").count()
+
+
+def test_serving_copy_drops_its_edges(spark, monkeypatch):
+    made, kept = [], stores.kept
+
+    def seen(df, name):
+        made.append((name, kept(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(queries.network, "kept", seen)
+    assert queries.serving_relations(spark, SF).count() == 25
+    edges = next(df for name, df in made if name == "edges")
+    assert not any(stores.file_exists(spark, f) for f in edges.inputFiles())
