@@ -4,7 +4,7 @@ import random
 import time
 
 from creditgraph import queries
-from creditgraph.operators import stores
+from creditgraph.operators import aggregates, stores
 from creditgraph.streaming.credit_view import CreditView
 
 from .test_credit_view import ROLES, frames, snapshot
@@ -43,6 +43,29 @@ def test_loads_leave_what_later_ones_read(spark, tmp_path):
     assert view.edges("2024-01").count() and view.role_counts("2024-01").count()
 
 
+def test_dictionary_makes_its_names_once(spark):
+    taken = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            taken.add(len(b))
+            yield b
+
+    given = spark.createDataFrame([(1, "Pop,Soul"), (2, None), (3, "Pop")], "id long, styles string")
+    got = aggregates.attribute_dictionary(given.mapInPandas(count, given.schema), "styles")
+    assert [tuple(x) for x in got.orderBy("id").collect()] == [(0, "Pop"), (1, "Soul")] and taken.value == 3
+
+
+def test_attributes_of_some_columns(spark):
+    from creditgraph.plans.graph_view import GraphView
+
+    r = GraphView(spark, SF).releases()
+    some = aggregates.entity_attributes(r, ("styles",))
+    assert some.columns == ["id", "styles"] and "AS genre#" not in some._jdf.queryExecution().optimizedPlan().toString()
+    whole = aggregates.entity_attributes(r).select("id", "styles").where("styles is not null")
+    assert some.count() and some.exceptAll(whole).isEmpty() and whole.exceptAll(some).isEmpty()
+
+
 def test_serving_copy_drops_its_edges(spark, monkeypatch):
     made, kept = [], stores.kept
 
