@@ -114,8 +114,9 @@ def expand_frontier(edges: DataFrame | Store, frontier: DataFrame, roles: DataFr
 
 
 def links_inside(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    ids = nodes.select("center_id", "id")
-    return links.join(ids.withColumnRenamed("id", "one"), ["center_id", "one"], "left_semi").join(ids.withColumnRenamed("id", "two"), ["center_id", "two"], "left_semi")
+    """links with both ends among their centre's nodes, which are bounded and meet them as one set, so links are dealt by centre once."""
+    ids = nodes.groupBy("center_id").agg(F.collect_set("id").alias("_ids"))
+    return links.join(ids, "center_id").where(F.array_contains("_ids", F.col("one")) & F.array_contains("_ids", F.col("two"))).drop("_ids")
 
 
 def layer(nodes: DataFrame, links: DataFrame, degree: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -367,16 +368,17 @@ def network(
             frontier, table = steps.keep(frontier, "frontier")
             asked_ids = table["id"].unique().to_pylist() if table is not None else None
     nodes = union(all_nodes).where("accepted").drop("stop", "pruned", "n_nodes", "accepted", "stated")
-    inside = None
+    inside = near = None
     if all_links:
         near, _ = steps.keep(within_reach(union(all_links), nodes), "near")  # written, or Spark would put the joins below before it
         steps.drop(*all_links)
         inside = links_inside(near, nodes)
     links, _ = steps.keep(merged_links(inside, spark), "merged")
     nodes, _ = steps.keep(layer(nodes, links, degree)[0], "layered")
-    steps.drop(*all_nodes)
+    steps.drop(*all_nodes, *([near] if all_links else []))
     dated = drop_undated_members(restrict_years(cross_role_years(links_inside(links, nodes), nodes, edges, lo, hi, few), lo, hi), lo, hi)
     dated, _ = steps.keep(dated, "dated")
+    steps.drop(links)
     nodes, _ = steps.keep(layer(nodes, dated, degree)[0], "layered")
     links = links_inside(dated, nodes).select("center_id", "key", "role", "one", "two", "releases")
     nodes = missing_links(alias_clusters(nodes), links, roles).select("center_id", "id", entity_key(F.col("id")).alias("key"), "name", "entity_type", "size", "distance", "cluster", "links", "missing")
